@@ -13,13 +13,14 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import bounded_batches
 
 #: Distinct pieces whose ids a worker remembers, and transducer states that it keeps, before it starts afresh.
-PIECES_KEPT, STATES_KEPT = 150_000, 150_000
+PIECES_KEPT, STATES_KEPT = 240_000, 240_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,14 +42,17 @@ class MergeTransducer:
         self.by_id = {rank: token for token, rank in ranks.items()}
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:k] for token in ranks for k in range(len(token))}
-        self.agrees: dict[tuple[int, int], bool] = {}
+        self.agrees: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", ())]
-        self.numbered = {(-1, b""): 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        """A state is its pending bytes, their last tokens, and the token before them if one can still cover them all."""
+        self.keys: list[tuple[bytes, tuple[int, ...], int]] = [(b"", (), -1)]
+        self.numbered = {self.keys[0]: 0}
+        self.outs: list[tuple[int, ...]] = [()]
+        self.out_at = {(): 0}
+        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 24 | number of what leaves
 
     def merged(self, data: bytes) -> list[int]:
         """The merges by definition: again and again the neighbours whose union ranks first."""
@@ -66,15 +70,16 @@ class MergeTransducer:
             self.whole[token] = self.merged(self.by_id[token]) == [token]
         if before < 0 or not self.whole[token]:
             return self.whole[token]
-        if (pair := (before, token)) not in self.agrees:
+        pair = before << 32 | token
+        if (found := self.agrees.get(pair)) is None:
             if len(self.agrees) > 250_000:
                 self.agrees.clear()
-            self.agrees[pair] = self.merged(self.by_id[before] + self.by_id[token]) == [before, token]
-        return self.agrees[pair]
+            found = self.agrees[pair] = self.merged(self.by_id[before] + self.by_id[token]) == [before, token]
+        return found
 
-    def built(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition that a state lacks: the next state and the tokens that leave."""
-        before, pending, lasts = self.states[state]
+    def built(self, state: int, byte: int) -> int:
+        """The transition that a state lacks."""
+        pending, lasts, before = self.keys[state]
         pending += bytes([byte])
         n, last, ranks, size = len(pending), -1, self.ranks, self.size
         for start in range(max(0, n - self.longest), n):
@@ -103,31 +108,53 @@ class MergeTransducer:
                 used = {j for c in through for j in c[k:]}
                 before, pending = out[-1], pending[start:]
                 lasts = tuple(lasts[j - 1] if j in used else -1 for j in range(start + 1, n + 1))
-        key = (before, pending)
+        key = (pending, lasts, before if pending in self.open else -1)
         if (number := self.numbered.get(key)) is None:
-            number = self.numbered[key] = len(self.states)
-            self.states.append((before, pending, lasts))
-        found = self.moves[state << 8 | byte] = (number, out)
+            number = self.numbered[key] = len(self.keys)
+            self.keys.append(key)
+        if (at := self.out_at.get(out)) is None:
+            at = self.out_at[out] = len(self.outs)
+            self.outs.append(out)
+        found = self.moves[state << 8 | byte] = number << 24 | at
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        if len(self.states) > STATES_KEPT:
+        if len(self.keys) > STATES_KEPT:
             self.reset()
-        moves, state, ids = self.moves, 0, []
+        moves, outs, state, ids = self.moves, self.outs, 0, []
         for byte in piece:
-            state, left = moves.get(state << 8 | byte) or self.built(state, byte)
-            if left:
-                ids += left
-        _, pending, lasts = self.states[state]
-        tail, j = [], len(pending)
+            found = moves.get(state << 8 | byte) or self.built(state, byte)
+            state = found >> 24
+            if found := found & 0xFFFFFF:
+                ids += outs[found]
+        lasts, tail = self.keys[state][1], []
+        j = len(lasts)
         while j:
             tail.append(lasts[j - 1])
             j -= self.size[lasts[j - 1]]
         return (*ids, *reversed(tail))
 
 
+class PieceCache(dict):
+    """What pieces gave, in two generations: when the young one is full it becomes the old one, and hits move up."""
+
+    def __init__(self, make, kept: int):
+        super().__init__()
+        self.make, self.half, self.old = make, kept // 2, {}
+
+    def __missing__(self, piece):
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class Utf8Stream:
     """Token ids in, text out: an incremental UTF-8 decoder holds back the bytes of a character that is not complete."""
 
@@ -154,21 +181,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     """
 
     @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import regex
 
-        machine, pieces, known = compiled(ranks_path), regex.compile(pattern), {}
+        pieces, machine = regex.compile(pattern), compiled(ranks_path)
+        known = PieceCache(lambda piece: machine.encode(piece.encode()), PIECES_KEPT)
         for texts in batches:
             rows = []
             for one in texts:
                 row: list[int] = []
                 for piece in pieces.findall(one):
-                    if (got := known.get(piece)) is None:
-                        if len(known) >= PIECES_KEPT:
-                            known.clear()
-                        got = known[piece] = machine.encode(piece.encode())
-                    row += got
+                    row += known[piece]
                 rows.append(np.array(row, np.int32))
             yield pd.Series(rows, dtype=object)
 
@@ -180,8 +203,7 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", text: str = "deco
     """Add the text of token ids, decoded chunk by chunk; null ids give a null text, no ids an empty one."""
 
     @F.pandas_udf("string")
-    def decoded(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
         by_id = compiled(ranks_path).by_id
         for rows in batches:
