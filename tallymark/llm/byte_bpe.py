@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import bounded_batches
 
 #: Distinct pieces whose ids a worker remembers, and transducer states that it keeps, before it starts afresh.
-PIECES_KEPT, STATES_KEPT = 240_000, 240_000
+PIECES_KEPT, STATES_KEPT = 300_000, 240_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,19 +159,33 @@ class PieceCache(dict):
 class Utf8Stream:
     """Token ids in, text out: an incremental UTF-8 decoder holds back the bytes of a character that is not complete."""
 
-    def __init__(self, by_id: dict[int, bytes], errors: str = "strict"):
-        self.by_id, self.machine = by_id, codecs.getincrementaldecoder("utf-8")(errors)
+    def __init__(self, spelling: tuple[np.ndarray, np.ndarray, np.ndarray], errors: str = "strict"):
+        self.spelling, self.machine = spelling, codecs.getincrementaldecoder("utf-8")(errors)
 
-    def push(self, ids: Iterable[int]) -> str:
-        return self.machine.decode(b"".join(map(self.by_id.__getitem__, ids)))
+    def push(self, ids: np.ndarray) -> str:
+        data, begins, lengths = self.spelling
+        n = lengths[ids]
+        ends = np.cumsum(n)
+        places = np.repeat(begins[ids] - (ends - n), n) + np.arange(n.sum())
+        return self.machine.decode(data[places].tobytes())
 
     def close(self) -> str:
         return self.machine.decode(b"", True)
 
 
 @lru_cache(maxsize=2)
-def compiled(path: str) -> MergeTransducer:
-    return MergeTransducer(read_ranks(path))
+def compiled(path: str) -> tuple[MergeTransducer, PieceCache]:
+    """One transducer and one cache for all tasks of a worker."""
+    machine = MergeTransducer(read_ranks(path))
+    return machine, PieceCache(lambda piece: machine.encode(piece.encode()), PIECES_KEPT)
+
+
+@lru_cache(maxsize=2)
+def spelled(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in one array, where each token's begin, and how many they are; by id."""
+    by_id = {rank: token for token, rank in read_ranks(path).items()}
+    lengths = np.array([len(by_id.get(i, b"")) for i in range(max(by_id) + 1)])
+    return np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -184,15 +199,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import regex
 
-        pieces, machine = regex.compile(pattern), compiled(ranks_path)
-        known = PieceCache(lambda piece: machine.encode(piece.encode()), PIECES_KEPT)
+        pieces, known = regex.compile(pattern), compiled(ranks_path)[1].__getitem__
         for texts in batches:
-            rows = []
-            for one in texts:
-                row: list[int] = []
-                for piece in pieces.findall(one):
-                    row += known[piece]
-                rows.append(np.array(row, np.int32))
+            rows = [np.fromiter(chain.from_iterable(map(known, pieces.findall(one))), np.int32) for one in texts]
             yield pd.Series(rows, dtype=object)
 
     bounded_batches(docs.sparkSession)
@@ -205,14 +214,14 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", text: str = "deco
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
-        by_id = compiled(ranks_path).by_id
+        spelling = spelled(ranks_path)
         for rows in batches:
             texts = []
             for row in rows:
                 if row is None:
                     texts.append(None)
                     continue
-                stream, row = Utf8Stream(by_id), row.tolist()
+                stream = Utf8Stream(spelling)
                 parts = [stream.push(row[i : i + chunk]) for i in range(0, len(row), chunk)]
                 texts.append("".join(parts) + stream.close())
             yield pd.Series(texts, dtype=object)
