@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import byte_bpe, main_text, near_dup, quality_rules
+from tallymark.llm import byte_bpe, main_text, near_dup, quality_rules, secret_scan
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_PATTERN = public_tokenizers.PATTERN
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BPE_RANKS, PIECE_PATTERN)
 
@@ -36,6 +40,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_quality_rules": op2_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_near_dup": op10_near_dup,
 }
