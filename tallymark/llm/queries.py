@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import byte_bpe, main_text, near_dup, quality_rules, secret_scan
+from tallymark.llm import byte_bpe, line_dedup, main_text, near_dup, quality_rules, secret_scan
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_PATTERN = public_tokenizers.PATTERN
@@ -29,6 +29,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BPE_RANKS, PIECE_PATTERN)
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_near_dup": op10_near_dup,
 }
