@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import byte_bpe, line_dedup, main_text, near_dup, quality_rules, secret_scan
+from tallymark.llm import byte_bpe, decontaminate, line_dedup, main_text, near_dup, quality_rules, secret_scan
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_PATTERN = public_tokenizers.PATTERN
@@ -37,6 +37,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BPE_RANKS, PIECE_PATTERN)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.linked(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontaminate": op9_decontaminate,
     "op10_near_dup": op10_near_dup,
 }
 ORACLES: dict[str, str] = {
