@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import byte_bpe, decontaminate, line_dedup, main_text, near_dup, quality_rules, secret_scan
+from tallymark.llm import byte_bpe, decontaminate, lattice_lm, line_dedup, main_text, near_dup, quality_rules, secret_scan
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PIECE_PATTERN = public_tokenizers.PATTERN
 
 
@@ -33,6 +34,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.scored(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BPE_RANKS, PIECE_PATTERN)
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op7_lattice_lm": op7_lattice_lm,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dup": op10_near_dup,
