@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import byte_bpe, decontaminate, lattice_lm, line_dedup, main_text, near_dup, quality_rules, secret_scan
+from tallymark.llm import byte_bpe, decontaminate, importance, lattice_lm, line_dedup, main_text, near_dup, quality_rules, secret_scan, training_order
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.scored(table(spark, sf_dir, "documents"), PIECES)
 
@@ -53,8 +61,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_quality_rules": op2_quality_rules,
+    "op3_training_order": op3_training_order,
     "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op6_importance": op6_importance,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
