@@ -23,12 +23,12 @@ LONG_HEX, LONG_ACCESS = r"[0-9a-f]{16,}", r"AKIA[A-Z0-9]{14,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: name: what all characters are, the alphabet in order, the sizes of its classes (in that order), the least length.
+#: name: what all characters are, the alphabet in order, where its classes end in it, the least length.
 ENCODINGS = {
-    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", (10, 6), 24),
-    "base32": (r"^[A-Z2-7]+$", UPPER + "234567", (26, 6), 24),
-    "base64": (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", (26, 26, 10, 2), 20),
-    "base64url": (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", (26, 26, 10, 2), 20),
+    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", (10, 16), 24),
+    "base32": (r"^[A-Z2-7]+$", UPPER + "234567", (26, 32), 24),
+    "base64": (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", (26, 52, 62, 64), 20),
+    "base64url": (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", (26, 52, 62, 64), 20),
 }
 #: Bins of -ln p to a unit; the largest bin. A stratum's p-values are counted by bin.
 BINS, LAST = 20, 2000
@@ -64,61 +64,64 @@ def two_sided(z: Column) -> Column:
     return 2 * upper_tail(F.abs(z))
 
 
-def chi_tail(x: Column, degrees: int) -> Column:
+def chi_tail(x: Column, degrees: Column) -> Column:
     """The upper tail of chi-squared, by Wilson and Hilferty's cube root."""
     v = 2 / (9 * degrees)
-    return upper_tail((F.pow(x / degrees, F.lit(1 / 3)) - (1 - v)) / v**0.5)
-
-
-def battery(token: Column, name: str) -> Column:
-    """The least of the four p-values times four, at most 1. ``token`` has at least two characters, all of the alphabet."""
-    _, alphabet, classes, _ = ENCODINGS[name]
-    size = len(alphabet)
-    s = F.lower(token) if name == "hex" else token
-    n = F.length(s).cast("double")
-    counts = [n - F.length(F.replace(s, F.lit(c), F.lit(""))) for c in alphabet]
-    squares = sum((c * c for c in counts), F.lit(0.0))
-    fine = size / n * squares - n
-    at, coarse = 0, F.lit(0.0)
-    for k in classes:
-        expected, seen = n * k / size, sum(counts[at : at + k], F.lit(0.0))
-        coarse, at = coarse + (seen - expected) * (seen - expected) / expected, at + k
-    values = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    return _combined(values, n, chi_tail(fine, size - 1), chi_tail(coarse, len(classes) - 1), size)
-
-
-def _combined(values: Column, n: Column, fine: Column, coarse: Column, size: int) -> Column:
-    high = F.transform(values, lambda v: v > size / 2)
-    pair = lambda a: F.arrays_zip(F.slice(a, F.lit(1), F.size(a) - 1).alias("x"), F.slice(a, F.lit(2), F.size(a) - 1).alias("y"))
-    up = F.size(F.filter(high, lambda h: h)).cast("double")
-    down = n - up
-    runs = 1.0 + F.size(F.filter(pair(high), lambda p: p["x"] != p["y"]))
-    mean = 2 * up * down / n + 1
-    spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-    middle = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    square = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - middle) * (v - middle))
-    lag = F.aggregate(pair(values), F.lit(0.0), lambda a, p: a + (p["x"] - middle) * (p["y"] - middle))
-    serial = (lag / F.greatest(square, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-    p = F.least(fine, coarse, two_sided((runs - mean) / spread), two_sided(serial))
-    return F.least(F.lit(1.0), 4 * p)
-
-
-def tested(text: str, base: list[str]) -> Column:
-    """array<struct<start,end,stratum,bin>> of the candidate tokens that no base span touches."""
-    spans = F.filter(placed(text, TOKEN, 20), lambda s: ~F.exists(F.concat(*base), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-
-    def row(s: Column) -> Column:
-        token = F.rtrim(F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]), F.lit("="))
-        size = F.length(token)
-        p, code = F.lit(None).cast("double"), F.lit(None).cast("int")
-        for k, (name, (every, _, _, least)) in reversed(list(enumerate(ENCODINGS.items()))):
-            fits = token.rlike(every) & (size >= least)
-            p, code = F.when(fits, battery(token, name)).otherwise(p), F.when(fits, k).otherwise(code)
-        binned = F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * BINS), F.lit(LAST)).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (code * 64 + F.floor(F.log2(size.cast("double"))).cast("int")).alias("stratum"), binned.alias("bin"))
-
-    found = F.filter(F.transform(spans, row), lambda r: r["bin"].isNotNull())
-    return F.when(F.col(text).rlike(TOKEN), found).otherwise(F.array().cast("array<struct<start:int,end:int,stratum:int,bin:int>>"))
+    return upper_tail((F.pow(x / degrees, F.lit(1 / 3)) - (1 - v)) / F.sqrt(v))
+
+
+def pairs(values: str) -> Column:
+    """Neighbours x and y of an array."""
+    v = F.col(values)
+    return F.arrays_zip(F.slice(v, F.lit(1), F.size(v) - 1).alias("x"), F.slice(v, F.lit(2), F.size(v) - 1).alias("y"))
+
+
+def tested(tokens: DataFrame) -> DataFrame:
+    """Add stratum and bin to rows with a ``token``; rows of no encoding, or too short for it, go.
+
+    bin is -ln p in steps of 1 / BINS, p four times the least of the four p-values, 1 at most.
+    """
+    kind, alphabet, cuts = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("array<int>")
+    out = tokens.withColumn("s", F.rtrim("token", F.lit("=")))
+    for k, (every, letters, ends, least) in reversed(list(enumerate(ENCODINGS.values()))):
+        fits = F.col("s").rlike(every) & (F.length("s") >= least)
+        kind, alphabet = F.when(fits, k).otherwise(kind), F.when(fits, letters).otherwise(alphabet)
+        cuts = F.when(fits, F.array(*map(F.lit, (0, *ends)))).otherwise(cuts)
+    out = out.withColumn("kind", kind).withColumn("alphabet", alphabet).withColumn("cuts", cuts).where("kind IS NOT NULL")
+    n, size = F.col("n"), F.col("size")
+    out = out.withColumn("s", F.when(F.col("kind") == 0, F.lower("s")).otherwise(F.col("s")))
+    out = out.withColumn("n", F.length("s").cast("double")).withColumn("size", F.length("alphabet").cast("double"))
+    out = out.withColumn("v", F.transform(F.split("s", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double")))
+    squares = F.aggregate(F.transform(F.split("alphabet", ""), lambda c: n - F.length(F.replace(F.col("s"), c, F.lit("")))), F.lit(0.0), lambda a, x: a + x * x)
+    out = out.withColumn("fine", size / n * squares - n)
+
+    def share(i: Column) -> Column:
+        low, high = F.get("cuts", i - 1), F.get("cuts", i)
+        expected = n * (high - low) / size
+        off = F.size(F.filter("v", lambda v: (v > low) & (v <= high))) - expected
+        return off * off / expected
+
+    out = out.withColumn("coarse", F.aggregate(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), share), F.lit(0.0), lambda a, x: a + x))
+    out = out.withColumn("high", F.transform("v", lambda v: v > size / 2))
+    out = out.withColumn("up", F.size(F.filter("high", lambda h: h)).cast("double"))
+    out = out.withColumn("runs", 1.0 + F.size(F.filter(pairs("high"), lambda p: p["x"] != p["y"])))
+    out = out.withColumn("mean", 2 * F.col("up") * (n - F.col("up")) / n + 1)
+    spread = F.sqrt(F.greatest((F.col("mean") - 1) * (F.col("mean") - 2) / (n - 1), F.lit(1e-9)))
+    out = out.withColumn("middle", F.aggregate("v", F.lit(0.0), lambda a, v: a + v) / n)
+    out = out.withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, v: a + (v - F.col("middle")) * (v - F.col("middle"))))
+    out = out.withColumn("lag", F.aggregate(pairs("v"), F.lit(0.0), lambda a, p: a + (p["x"] - F.col("middle")) * (p["y"] - F.col("middle"))))
+    serial = (F.col("lag") / F.greatest("square", F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+    p = F.least(chi_tail(F.col("fine"), size - 1), chi_tail(F.col("coarse"), F.size("cuts") - 2.0), two_sided((F.col("runs") - F.col("mean")) / spread), two_sided(serial))
+    out = out.withColumn("p", F.least(F.lit(1.0), 4 * p))
+    binned = F.least(F.floor(-F.log(F.greatest("p", F.lit(1e-300))) * BINS), F.lit(LAST)).cast("int")
+    stratum = F.col("kind") * 64 + F.floor(F.log2("n")).cast("int")
+    return out.select(*tokens.columns, stratum.alias("stratum"), binned.alias("bin"))
+
+
+def candidates(text: str, base: list[str]) -> Column:
+    """array<struct<start,end,token>> of the long tokens that no base span touches."""
+    free = F.filter(placed(text, TOKEN, 20), lambda s: ~F.exists(F.concat(*base), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).alias("token")))
 
 
 def ruled_out(candidates: DataFrame, rate: float) -> dict[int, int]:
@@ -138,11 +141,15 @@ def scanned(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     found = t.withColumn("assign", placed("t", ASSIGN, 12, 2)).withColumn("access", placed("t", LONG_ACCESS, 18)).withColumn("hex", placed("t", LONG_HEX, 16))
-    found = staged(found.withColumn("c", tested("t", ["assign", "access", "hex"])).drop("t"), "spans")
-    limits = ruled_out(found.select(F.explode("c").alias("c")).select("c.stratum", "c.bin"), rate)
+    found = found.withColumn("c", candidates("t", ["assign", "access", "hex"]))
+    found = staged(found.drop("t").withColumn("row", F.monotonically_increasing_id()), "spans")
+    rows = staged(tested(found.select("row", F.explode("c").alias("c")).select("row", "c.*")).drop("token"), "tested")
+    limits = ruled_out(rows, rate)
     first = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)) if limits else F.create_map().cast("map<int,int>")
-    kept = F.filter("c", lambda c: c["bin"] < F.coalesce(first[c["stratum"]], F.lit(LAST + 1)))
-    return found.withColumn("random", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))).drop("c")
+    kept = rows.where(F.col("bin") < F.coalesce(first[F.col("stratum")], F.lit(LAST + 1)))
+    kept = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("random"))
+    out = found.drop("c").join(kept, "row", "left").drop("row")
+    return out.withColumn("random", F.coalesce("random", F.array().cast("array<struct<start:int,end:int>>")))
 
 
 def joined(*kinds: str) -> Column:
