@@ -6,5 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tallymark.plans.views import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with the SELECT of its oracle."""
+
+    def keep(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = oracle(sql)
+        return function
+
+    return keep
