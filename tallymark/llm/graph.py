@@ -1,10 +1,12 @@
-"""Connected components of a graph of any size, as a few joins and aggregations a round."""
+"""Connected components of a graph of any size, and candidates that are not connected yet, as joins and aggregations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.common import staged
+
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -39,3 +41,22 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         before = now
         edges = _small_star(_large_star(edges)).where("u <> v").checkpoint()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def outsiders(buckets: DataFrame, roots: DataFrame, rounds: int, exact: int) -> DataFrame:
+    """Candidates (a, b) in one bucket but not in one component yet.
+
+    In buckets of at most ``exact`` nodes, in the first round: every node outside the bucket's main component with all
+    that are not in its own. In larger ones: all with one outsider, another one in each round. Both are linear in the
+    number of rows of the buckets.
+    """
+    placed = staged(buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("c")), "placed")
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
+    parts = parts.agg(F.max_by("c", F.struct("n", F.col("c"))).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1")
+    strays = placed.join(parts.select("key", "main", "size"), "key").where("c <> main").select("key", "size", F.col("id").alias("x"), F.col("c").alias("cx"))
+    turn = F.xxhash64("x", F.lit(rounds))
+    heads = strays.where(F.col("size") > exact).groupBy("key").agg(F.min(turn).alias("turn"))
+    chosen = strays.join(heads, "key").where(turn == F.col("turn")).select("key", "x", "cx")
+    if rounds == 0:
+        chosen = chosen.unionByName(strays.where(F.col("size") <= exact).select("key", "x", "cx"))
+    return chosen.join(placed, "key").where("c <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
