@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.96
 
@@ -35,7 +36,7 @@ def two_proportion_z(k1: Column | str, n1: Column | str, k2: Column | str, n2: C
     return F.when((n1 > 0) & (n2 > 0), F.when(error > 0, (k2 / n2 - k1 / n1) / error).otherwise(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """P(|N(0,1)| > |z|): Spark has no error function. For the few rows of a finished comparison."""
     return z.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
