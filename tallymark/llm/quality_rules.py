@@ -110,7 +110,8 @@ def judged(docs: DataFrame, candidates: list[Rule] | None = None) -> DataFrame:
 def kept_documents(docs: DataFrame, candidates: list[Rule] | None = None) -> DataFrame:
     """The rows that pass, with the columns of ``docs`` as they were."""
     packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    return judged(packed, candidates).where("kept").select("_row.*")
+    # A filter would be pushed below the measures and compute them once for each mention; a generator is not.
+    return judged(packed, candidates).select(F.inline(F.when(F.col("kept"), F.array("_row"))))
 
 
 def report(docs: DataFrame) -> DataFrame:
