@@ -24,9 +24,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-    return row["n"], row["h"]
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node points to one root and no root points on."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return nodes.where("out > 1 OR (out = 1 AND in = 1)").isEmpty()
 
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
@@ -36,9 +38,7 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     the shuffle and its joins can be split, so no task holds all edges of a node. Each round is checkpointed.
     """
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct().checkpoint()
-    before = None
-    while before != (now := _state(edges)):
-        before = now
+    while not _stars(edges):
         edges = _small_star(_large_star(edges)).where("u <> v").checkpoint()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
