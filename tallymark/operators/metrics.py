@@ -27,7 +27,7 @@ def attempt_counts(rows: DataFrame) -> DataFrame:
 
 def operation_count(rows: DataFrame) -> DataFrame:
     out = rows.groupBy("project_id").agg(F.count_distinct("operation_id").alias("operations"), F.count("*").alias("n"))
-    return out.select("project_id", "operations", F.when(F.col("operations") == 0, F.col("n")).alias("legacy_attempt_equivalent"))
+    return out.select("project_id", "operations", F.when(F.col("operations") == 0, F.col("n")).otherwise(0).alias("legacy_attempt_equivalent"))
 
 
 def operation_coverage(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ SIMPLE = {
     "attempt_counts": (metrics.attempt_counts, "SELECT project_id, count(*) AS attempts, count(*) AS eligible_attempts FROM s_w GROUP BY ALL"),
     "operation_count": (
         metrics.operation_count,
-        "SELECT project_id, count(DISTINCT operation_id) AS operations, CASE WHEN count(DISTINCT operation_id) = 0 THEN count(*) END AS legacy_attempt_equivalent FROM s_w GROUP BY ALL",
+        "SELECT project_id, count(DISTINCT operation_id) AS operations, CASE WHEN count(DISTINCT operation_id) = 0 THEN count(*) ELSE 0 END AS legacy_attempt_equivalent FROM s_w GROUP BY ALL",
     ),
     "operation_coverage": (
         metrics.operation_coverage,

@@ -114,7 +114,7 @@ SELECT *, CASE WHEN duration_ms IS NULL THEN NULL ELSE concat('rt-', duration_ms
   line_no = 6 AS buffer_overflow, CASE WHEN line_no = 7 THEN 2 ELSE 0 END AS dropped,
   duration_ms % 10 = 0 AND line_no = 1 AS signature_valid,
   CASE WHEN outcome IN ('success', 'failure') THEN 'L2' WHEN outcome IS NULL THEN NULL ELSE 'L1' END AS lifecycle,
-  CASE WHEN duration_ms IS NULL THEN 0.0 ELSE duration_ms / 64.0 END AS cost
+  CASE WHEN duration_ms IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(duration_ms AS DOUBLE) / 64 END AS cost
 FROM fx_attempt_obs
 """,
 }
