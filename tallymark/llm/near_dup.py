@@ -6,12 +6,12 @@ that share a band are candidates.
 
 No group is expanded into pairs. Equal sets form one class first. In each bucket every class is compared with one leader.
 What then is in one bucket but not in one component is compared too: in full in small buckets, and in large ones with another
-outsider in each round until a round finds no link. A link inside a large group is lost only if no chain of links found leads
-from the one to the other, though each pair shares about half of the 20 buckets and each bucket has leaders of its own.
+outsider in each round until a round finds no link; then all pairs that remain are compared, large buckets in parts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import bounded_batches, shared_dir, staged
-from tallymark.llm.graph import components, outsiders
+from tallymark.llm.graph import closed
 from tallymark.llm.wordhash import mixed, shingles, word_hashes
 
 
@@ -117,7 +117,9 @@ def linked(docs: DataFrame, config: Config = Config()) -> DataFrame:
     reps = known.withColumnRenamed("doc_id", "id").join(classes, ["node", "id"]).select("id", "n_shingles", "signature").dropDuplicates(["id"])
     reps = staged(reps, "classes")
     band = lambda k: F.xxhash64(k, *(F.get("signature", k * config.rows + i) for i in range(config.rows)))
-    every = reps.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(config.bands - 1)), band)).alias("key"))
+    # Sets whose sizes allow a link are in one bin or in neighbours.
+    size_bin = F.floor(F.log("n_shingles") / (1.001 * math.log(100 / config.percent))).cast("int") if config.percent < 100 else F.lit(0)
+    every = reps.select("id", size_bin.alias("bin"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(config.bands - 1)), band)).alias("key"))
     leaders = every.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = staged(every.join(leaders, "key"), "buckets")
 
@@ -135,16 +137,12 @@ def linked(docs: DataFrame, config: Config = Config()) -> DataFrame:
     members = buckets.select("id").distinct().hint("merge")
     texts = staged(texts_of.join(members, texts_of.doc_id == members.id, "left_semi"), "texts")
     links = staged(confirmed(first, texts, config), "links")
-    tested, rounds, roots = first, 0, components(links, "a", "b").withColumnRenamed("node", "id")
-    while True:
-        candidates = outsiders(buckets, roots, rounds, config.exact).join(tested, ["a", "b"], "left_anti")
-        candidates = staged(alike(candidates), "candidates")
-        more = staged(confirmed(candidates, texts, config), "more-links")
-        rounds += 1
-        if more.isEmpty():
-            break
-        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b").withColumnRenamed("node", "id")
-        tested = tested.unionByName(candidates)
+
+    def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        candidates = staged(alike(pairs), "candidates")
+        return candidates, staged(confirmed(candidates, texts, config), "more-links")
+
+    roots = closed(buckets, first, links, config.exact, compared)
     out = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     out = out.join(classes, "node", "left").join(roots, "id", "left")
     component = F.coalesce("root", "id", "doc_id")

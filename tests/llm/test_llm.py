@@ -317,6 +317,19 @@ def brute(rows):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def test_filled_in_templates_are_compared_in_full(make):
+    """Copies of one template share large buckets and are just unlike; of them only the two with short fills are alike."""
+    rng = random.Random(7)
+    template = [f"t{i}" for i in range(200)]
+    fills = [12] * 40 + [11] + [12] * 40 + [11] + [12] * 40
+    docs = {i + 1: " ".join(template[:90] + [f"f{i}x{rng.randrange(10**6)}" for _ in range(n)] + template[90 + n :]) for i, n in enumerate(fills)}
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(196)} for d, t in docs.items()}
+    links = [(a, b) for a in docs for b in docs if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert links == [(41, 82)]
+    rows = {r.doc_id: r.component_id for r in near_dup.linked(make(*docs.items())).collect()}
+    assert rows == {d: 41 if d == 82 else d for d in docs}
+
+
 def test_components_equal_brute_force(make):
     rng = random.Random(11)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
