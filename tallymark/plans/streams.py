@@ -40,7 +40,8 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_daily_metrics")
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jobs.stream_daily_metrics(source(spark, sf_dir, "fx_trace_obs"))
-    return drained(spark, out.select(F.col("window.start").cast("string").alias("day"), "project_id", "n", "principals"))
+    base, rows = scratch(spark), out.select(F.col("window.start").cast("string").alias("day"), "project_id", "n", "principals")
+    return jobs.run_latest(rows, ["day", "project_id"], spark, f"{base}/out", f"{base}/checkpoint")
 
 
 @query(

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallymark.operators import correlate
 
@@ -100,3 +101,15 @@ def run_once(out: DataFrame, spark: SparkSession, path: str, checkpoint: str) ->
     query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(path)
+
+
+def run_latest(out: DataFrame, keys: list[str], spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """Drain an aggregation into Parquet by batch, and the last row of each key: windows still open are in the result."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    spark.createDataFrame([], out.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    out.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*out.schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(f"{path}/batch=*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*out.columns), "batch").alias("row")).select("row.*")

@@ -126,3 +126,28 @@ def test_empty_inputs_give_empty_results(spark):
 def test_unknown_adapter_is_an_error(spark):
     with pytest.raises(ValueError, match="unknown source"):
         ingest.normalize_adapter(spark.range(1), "other", "p", "w")
+
+
+def test_daily_metrics_of_a_stream_have_the_open_days(spark):
+    from tallymark.plans import registry, streams  # noqa: F401
+    from tallymark.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    day = F.date_trunc("day", F.col("observed_at").cast("timestamp")).cast("string").alias("day")
+    want = view(spark, sf, "fx_trace_obs").groupBy(day, "project_id").agg(F.count("*").alias("n"), F.approx_count_distinct("observer_principal").alias("principals"))
+    got = registry.QUERIES["stream_daily_metrics"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_later_batches_replace_a_window(spark, tmp_path):
+    from tallymark.streaming import jobs
+
+    (tmp_path / "in").mkdir()
+    keys, rows = ["day", "project_id"], "observed_at timestamp_ntz, project_id string, observer_principal string"
+    out = jobs.stream_daily_metrics(spark.readStream.schema(rows).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    out = out.select(F.col("window.start").cast("string").alias("day"), "project_id", "n", "principals")
+    for n in (1, 2):
+        some = spark.sql(f"SELECT timestamp_ntz'2024-01-01 10:00:00' AS observed_at, p AS project_id, concat('c', {n}) AS observer_principal FROM VALUES ('p'), (NULL) AS t(p)")
+        some.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = jobs.run_latest(out, keys, spark, f"file://{tmp_path}/out{n}", f"file://{tmp_path}/checkpoint{n}").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([("2024-01-01 00:00:00", p, n, n) for p in ("p", None)], key=str)
