@@ -222,14 +222,23 @@ def _read_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_choice_events(spark, path).groupBy("kind", "tool").agg(F.count("*").alias("n"))
 
 
-@query("write_ledger", "SELECT strftime(observed_at, '%Y-%m-%d') AS event_date, project_id, count(*) AS n FROM s_obs WHERE observed_at >= TIMESTAMP '1998-01-01 00:00:00' AND observed_at < TIMESTAMP '1998-02-01 00:00:00' GROUP BY ALL")
-def _write(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dates go to a ledger, and are counted as it has them."""
     path = scratch(spark)
-    rows = observations(spark, sf_dir).where("observed_at >= timestamp'1998-01-01' AND observed_at < timestamp'1998-02-01'")
-    files.write_ledger(rows, path, "observed_at")
+    files.write_ledger(observations(spark, sf_dir), path, "observed_at")
     return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date"), "project_id").agg(F.count("*").alias("n"))
 
 
+@query("write_ledger", "SELECT strftime(observed_at, '%Y-%m-%d') AS event_date, project_id, count(*) AS n FROM s_obs WHERE observed_at >= TIMESTAMP '1998-01-01 00:00:00' AND observed_at < TIMESTAMP '1998-02-01 00:00:00' GROUP BY ALL")
+def _write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_counts(spark, sf_dir).where("event_date >= '1998-01-01' AND event_date < '1998-02-01'")
+
+
+@query("write_ledger_whole", "SELECT strftime(observed_at, '%Y-%m-%d') AS event_date, project_id, count(*) AS n FROM s_obs GROUP BY ALL")
+def _write_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_counts(spark, sf_dir)
+
+
 @query("retention_prune", "SELECT project_id, count(*) AS n FROM s_obs WHERE CAST(observed_at AS DATE) >= DATE '2001-08-02' - INTERVAL 900 DAY AND project_id NOT IN ('proj-1', 'proj-3') GROUP BY project_id")
 def _prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     deleted = spark.createDataFrame([("proj-1",), ("proj-3",)], "project_id string")
