@@ -169,6 +169,66 @@ def test_similar_lines_are_linked_as_brute_force_has_it(spark):
     assert all(norm(*lines[a]) is not None and norm(*lines[b]) is not None for a, b in near)
 
 
+def linked_lines(known):
+    """Of {doc_id: text}, the lines that go by brute force: all pairs of different lines by their words' edit distance."""
+    blanks = re.compile(r"[\x00-/:-@\[-`{-\u00bf\u2000-\u206f\u3000-\u303f]+")
+    at = collections.defaultdict(list)
+    for d, t in sorted(known.items()):
+        for n, line in enumerate(t.split("\n")):
+            if line := blanks.sub(" ", line.lower()).strip(" "):
+                at[line].append((d, n))
+    lines = [(line.split(" "), collections.Counter(line.split(" "))) for line in at]
+    root = list(range(len(lines)))
+    pairs = set()
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (x, cx) in enumerate(lines):
+        for j, (y, cy) in enumerate(lines[:i]):
+            most = max(len(x), len(y))
+            if 5 * abs(len(x) - len(y)) > most or 5 * (most - sum(min(c, cy[w]) for w, c in cx.items())) > most:
+                continue
+            row = list(range(len(y) + 1))
+            for a, w in enumerate(x, 1):
+                before, row[0] = row[0], a
+                for b, v in enumerate(y, 1):
+                    before, row[b] = row[b], min(row[b] + 1, row[b - 1] + 1, before + (w != v))
+            if 5 * row[-1] <= most:
+                pairs.add((i, j))
+                root[top(i)] = top(j)
+    groups = collections.defaultdict(list)
+    for i, places in enumerate(at.values()):
+        groups[top(i)] += places
+    return {p for places in groups.values() for p in sorted(places)[1:]}, len(pairs)
+
+
+def test_edited_lines_go_as_brute_force_has_it(spark, make):
+    rng = random.Random(5)
+    known = {d: t for d, t in texts(spark).items() if d < 100}
+    words = sorted({w for t in known.values() for w in WORD.findall(t)})
+    made = []
+    for n in (4, 5, 6, 9, 10, 14, 20, 35, 60, 120):
+        for _ in range(6):
+            line = rng.choices(words, k=n)
+            made.append(line)
+            for share in (0.05, 0.1, 0.15, 0.2, 0.25):
+                copy = list(line)
+                for _ in range(max(1, int(share * n))):
+                    i, kind = rng.randrange(len(copy)), rng.randrange(3)
+                    copy[i : i + 1] = [[], [rng.choice(words)], [copy[i], rng.choice(words)]][kind]
+                made.append(copy)
+    rng.shuffle(made)
+    known |= {1000 + i: "\n".join(" ".join(w) for w in made[i::40]) for i in range(40)}
+    want, n_pairs = linked_lines(known)
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(make(*known.items())).collect()}
+    assert n_pairs > 400
+    for d, t in known.items():
+        assert got[d] == "\n".join(line for n, line in enumerate(t.split("\n")) if (d, n) not in want)
+
+
 def test_odd_lines(odd):
     rows = line_dedup.deduplicated(odd.withColumn("n_lines", F.lit("x"))).collect()
     assert len(rows) == 9 and sorted((r.doc_id or 0, r.text) for r in rows if r.text and r.doc_id in (5, 6)) == [(5, "same text of a few words here")]
