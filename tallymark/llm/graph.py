@@ -1,10 +1,10 @@
-"""Connected components of a graph of any size, and candidates that are not connected yet, as joins and aggregations."""
+"""Connected components of a graph of any size, and the candidates of large groups, as joins and aggregations."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import staged
@@ -45,6 +45,68 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The components when links (a, b) are added to those of ``roots``."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")), "a", "b")
+
+
+def bucketed(every: DataFrame, small: int) -> DataFrame:
+    """Rows (key, id, size) and their heads, for keys that more than one id has; every.size is how much an id weighs.
+
+    Heads are whom all of a bucket are compared with first: the least id; in buckets of more than ``small`` also the largest
+    and one by hash. Keys are counted before the join, which can be split, so a key of many ids fills no task.
+    """
+    own = F.struct("id", "size")
+    counts = every.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), F.min_by(own, F.xxhash64("id")).alias("any")).where("low.id < high.id")
+    heads = F.when(F.col("n") > small, F.array("low", "high", "any")).otherwise(F.array("low"))
+    return every.join(counts.select("key", heads.alias("heads")), "key")
+
+
+def led(buckets: DataFrame, fits: Column) -> DataFrame:
+    """The pairs (a, b), a < b, of the members of buckets with their heads; ``fits`` is a condition on size_a and size_b."""
+    pairs = buckets.select("id", "size", F.explode("heads").alias("head")).where("id <> head.id")
+    less = F.col("id") < F.col("head.id")
+    pick = lambda x, y: F.when(less, x).otherwise(y)
+    pairs = pairs.select(pick(F.col("id"), F.col("head.id")).alias("a"), pick(F.col("head.id"), F.col("id")).alias("b"), pick(F.col("size"), F.col("head.size")).alias("size_a"), pick(F.col("head.size"), F.col("size")).alias("size_b"))
+    return pairs.where(fits).select("a", "b").distinct()
+
+
+def unsettled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, size, c, main, n, weight, outside) of the buckets that hold more than one component.
+
+    c is the row's component and main the one of the most rows; n rows and ``weight`` in all, ``outside`` of which is not in main.
+    """
+    placed = buckets.select("key", "id", "size").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).groupBy("key")
+    parts = parts.agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max_by("weight", F.struct("n", "c")).alias("inside"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    parts = parts.where("parts > 1").select("key", "main", "n", "weight", (F.col("weight") - F.col("inside")).alias("outside"))
+    return staged(placed.join(parts, "key"), "unsettled")
+
+
+def within_small(open_rows: DataFrame, small: int, fits: Column) -> DataFrame:
+    """All pairs (a, b), a < b, of different components in unsettled buckets of at most ``small`` rows."""
+    few = open_rows.where(F.col("n") <= small)
+    a = few.select("key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("c").alias("c_a"))
+    b = few.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("c_b"))
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
+
+
+def blocks(open_rows: DataFrame, small: int, block: int) -> DataFrame:
+    """(key, i, j, side, id, size, c): the larger unsettled buckets as blocks that together hold every pair.
+
+    Side 0 of a block is a part of what lies outside the bucket's main component, side 1 a part of all its rows; each part
+    weighs about ``block``, so a task holds two of them at a time however large the bucket is.
+    """
+    many = open_rows.where(F.col("n") > small)
+    cut = lambda weight: F.ceil(F.col(weight) / block).cast("int")
+    part = lambda weight: F.pmod(F.xxhash64("id"), cut(weight)).cast("int")
+    others = lambda weight: F.explode(F.sequence(F.lit(0), cut(weight) - 1))
+    rows = ["id", "size", "c"]
+    outside = many.where("c <> main").select("key", part("outside").alias("i"), others("weight").alias("j"), F.lit(0).alias("side"), *rows)
+    inside = many.select("key", others("outside").alias("i"), part("weight").alias("j"), F.lit(1).alias("side"), *rows)
+    return outside.unionByName(inside)
+
+
 def outsiders(buckets: DataFrame, roots: DataFrame, rounds: int, exact: int) -> DataFrame:
     """Candidates (a, b) in one bucket but not in one component yet.
 
