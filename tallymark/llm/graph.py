@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,60 +103,3 @@ def blocks(open_rows: DataFrame, small: int, block: int) -> DataFrame:
     outside = many.where("c <> main").select("key", part("outside").alias("i"), others("weight").alias("j"), F.lit(0).alias("side"), *rows)
     inside = many.select("key", others("outside").alias("i"), part("weight").alias("j"), F.lit(1).alias("side"), *rows)
     return outside.unionByName(inside)
-
-
-def outsiders(buckets: DataFrame, roots: DataFrame, rounds: int, exact: int) -> DataFrame:
-    """Candidates (a, b) in one bucket but not in one component yet.
-
-    In buckets of at most ``exact`` nodes, in the first round: every node outside the bucket's main component with all
-    that are not in its own. In larger ones: all with one outsider, another one in each round. Both are linear in the
-    number of rows of the buckets.
-    """
-    placed = staged(buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("c")), "placed")
-    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
-    parts = parts.agg(F.max_by("c", F.struct("n", F.col("c"))).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1")
-    strays = placed.join(parts.select("key", "main", "size"), "key").where("c <> main").select("key", "size", F.col("id").alias("x"), F.col("c").alias("cx"))
-    turn = F.xxhash64("x", F.lit(rounds))
-    heads = strays.where(F.col("size") > exact).groupBy("key").agg(F.min(turn).alias("turn"))
-    chosen = strays.join(heads, "key").where(turn == F.col("turn")).select("key", "x", "cx")
-    if rounds == 0:
-        chosen = chosen.unionByName(strays.where(F.col("size") <= exact).select("key", "x", "cx"))
-    return chosen.join(placed, "key").where("c <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-
-
-#: Pairs of one large bucket that a task is meant to compare, and the most parts a bucket is cut into.
-PAIRS, PARTS = 1_000_000, 256
-
-
-def remaining(buckets: DataFrame, roots: DataFrame, exact: int) -> DataFrame:
-    """Every candidate (a, b) of the larger buckets that is not in one component yet and whose ``bin``s are neighbours.
-
-    What is outside a bucket's main component meets all the rest. A bucket of many such pairs is cut by the outsiders, and
-    its members are repeated for each part, so that no task has them all.
-    """
-    placed = staged(buckets.join(roots, "id", "left").select("key", "id", "bin", F.coalesce("root", "id").alias("c")), "placed")
-    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
-    parts = parts.agg(F.max_by("c", F.struct("n", F.col("c"))).alias("main"), F.max("n").alias("most"), F.count("*").alias("parts"), F.sum("n").alias("size")).where(f"parts > 1 AND size > {exact}")
-    cut = F.least(F.lit(PARTS), F.ceil(F.col("size") * (F.col("size") - F.col("most")) / PAIRS)).cast("int")
-    open_ = staged(placed.join(parts.select("key", "main", cut.alias("cut")), "key"), "open")
-    strays = open_.where("c <> main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"), F.pmod(F.xxhash64("id"), "cut").cast("int").alias("part"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    members = open_.select("key", "bin", "id", "c", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("part"))
-    return strays.join(members, ["key", "bin", "part"]).where("c <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-
-
-def closed(buckets: DataFrame, tested: DataFrame, links: DataFrame, exact: int, test: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(id, root) of what is linked, when every candidate of the buckets (key, id, bin) has been tested or is in one component.
-
-    ``links`` are those of the pairs ``tested`` so far; ``test`` takes untested ones and returns them and their links, both
-    staged. Outsiders go first, as each of them may join many; when a round of them finds no link, all that remain are tested.
-    """
-    rounds, last, roots = 0, False, components(links, "a", "b").withColumnRenamed("node", "id")
-    while True:
-        candidates = remaining(buckets, roots, exact) if last else outsiders(buckets, roots, rounds, exact)
-        candidates, more = test(candidates.distinct().join(tested, ["a", "b"], "left_anti"))
-        rounds += 1
-        if found := not more.isEmpty():
-            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b").withColumnRenamed("node", "id")
-        if last:
-            return roots
-        tested, last = tested.unionByName(candidates), not found
