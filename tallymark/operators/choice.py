@@ -10,6 +10,11 @@ def strict(context: str = "context", validity: str = "validity") -> Column:
     return (F.col(context) == "production") & (F.col(validity) == "normal")
 
 
+def since(rows: DataFrame, at: str, start: str | None) -> DataFrame:
+    """The rows from a start on; without one, all."""
+    return rows if start is None else rows.where(F.col(at).cast("timestamp") >= F.lit(start).cast("timestamp"))
+
+
 def dedup_choice(rows: DataFrame, at: str) -> DataFrame:
     """The first row of each decision and tool, by line_no, tie, time and then the other columns."""
     rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(rows.columns) if c not in ("line_no", "tie", at)]
@@ -17,17 +22,17 @@ def dedup_choice(rows: DataFrame, at: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def presented_opportunities(presented: DataFrame) -> DataFrame:
-    return presented.where(strict()).groupBy("tool").agg(F.count_distinct("decision_id").alias("presented"))
+def presented_opportunities(presented: DataFrame, start: str | None = None) -> DataFrame:
+    return since(presented, "presented_at", start).where(strict()).groupBy("tool").agg(F.count_distinct("decision_id").alias("presented"))
 
 
-def selection_rate(presented: DataFrame, selected: DataFrame) -> DataFrame:
+def selection_rate(presented: DataFrame, selected: DataFrame, start: str | None = None) -> DataFrame:
     """Selected of presented decisions per tool; a tool that was never presented has no row.
 
     A selection counts for the presentation of the same decision, tool and project whose candidate set is the same, nulls
-    included. Both sides are partitioned by decision.
+    included. Both sides are partitioned by decision. A window bounds when decisions were presented, not when they were taken.
     """
-    p = presented.where(strict()).select("decision_id", "tool", "candidate_set_id", "project_id").distinct().alias("p")
+    p = since(presented, "presented_at", start).where(strict()).select("decision_id", "tool", "candidate_set_id", "project_id").distinct().alias("p")
     s = selected.where(strict()).select("decision_id", "tool", "candidate_set_id", "project_id").distinct().withColumn("hit", F.lit(True)).alias("s")
     same = (F.col("p.decision_id") == F.col("s.decision_id")) & (F.col("p.tool") == F.col("s.tool")) & F.col("p.candidate_set_id").eqNullSafe(F.col("s.candidate_set_id")) & (F.col("p.project_id") == F.col("s.project_id"))
     joined = p.join(s, same, "left").select("p.tool", "p.decision_id", "hit")
@@ -41,24 +46,27 @@ def share_in_category(rows: DataFrame) -> DataFrame:
     return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("category_id")))
 
 
-def head_to_head_matrix(presented: DataFrame, selected: DataFrame) -> DataFrame:
+def head_to_head_matrix(presented: DataFrame, selected: DataFrame, start: str | None = None) -> DataFrame:
     """For all pairs of tools a < b presented together: decisions, wins of each, and a's share of the wins.
 
-    Together means in one decision, candidate set and mode. Pairs are of the few tools of one decision.
+    Together means in one decision, candidate set and mode; a win also needs the project of both presentations. A window bounds
+    presentations and selections. Pairs are of the few tools of one decision.
     """
-    p = presented.where(strict()).where("candidate_set_id IS NOT NULL").select("decision_id", "candidate_set_id", "choice_mode", "tool", "project_id").distinct()
+    keys = ["decision_id", "candidate_set_id", "choice_mode", "project_id"]
+    p = since(presented, "presented_at", start).where(strict()).where("candidate_set_id IS NOT NULL AND choice_mode IS NOT NULL").select(*keys, "tool").distinct()
     a, b = p.alias("a"), p.alias("b")
     same = (F.col("a.decision_id") == F.col("b.decision_id")) & (F.col("a.candidate_set_id") == F.col("b.candidate_set_id")) & (F.col("a.choice_mode") == F.col("b.choice_mode")) & (F.col("a.tool") < F.col("b.tool"))
-    pairs = a.join(b, same).select("a.decision_id", "a.candidate_set_id", "a.choice_mode", F.col("a.tool").alias("tool_a"), F.col("b.tool").alias("tool_b"))
-    s = selected.where(strict()).select("decision_id", "candidate_set_id", "choice_mode", "tool").distinct()
-    won = pairs.join(s, ["decision_id", "candidate_set_id", "choice_mode"], "left")
+    project = F.when(F.col("a.project_id") == F.col("b.project_id"), F.col("a.project_id")).alias("project_id")
+    pairs = a.join(b, same).select("a.decision_id", "a.candidate_set_id", "a.choice_mode", project, F.col("a.tool").alias("tool_a"), F.col("b.tool").alias("tool_b"))
+    s = since(selected, "selected_at", start).where(strict()).select(*keys, "tool").distinct()
+    won = pairs.join(s, keys, "left")
     is_ = lambda c: F.count_distinct(F.when(F.col("tool") == F.col(c), F.col("decision_id")))
     out = won.groupBy("tool_a", "tool_b").agg(F.count_distinct("decision_id").alias("co_presented"), is_("tool_a").alias("a_selected"), is_("tool_b").alias("b_selected"))
     total = F.col("a_selected") + F.col("b_selected")
     return out.withColumn("share_a", F.when(total > 0, F.col("a_selected") / total))
 
 
-def head_to_head(presented: DataFrame, selected: DataFrame, tool_a: str, tool_b: str, **scope: str) -> DataFrame:
+def head_to_head(presented: DataFrame, selected: DataFrame, tool_a: str, tool_b: str, start: str | None = None, **scope: str) -> DataFrame:
     """One pair, within a scope: project_id, choice_mode and category_id narrow presentations, decision_authority and
     selection_constraint narrow selections."""
     for name, value in scope.items():
@@ -66,9 +74,8 @@ def head_to_head(presented: DataFrame, selected: DataFrame, tool_a: str, tool_b:
             selected = selected.where(F.col(name) == value)
         else:
             presented = presented.where(F.col(name) == value)
-    low, high = sorted((tool_a, tool_b))
-    out = head_to_head_matrix(presented.where(F.col("tool").isin(low, high)), selected.where(F.col("tool").isin(low, high)))
-    return out
+    pair = F.col("tool").isin(tool_a, tool_b)
+    return head_to_head_matrix(presented.where(pair), selected.where(pair), start)
 
 
 def choice_axes(selected: DataFrame) -> DataFrame:

@@ -13,39 +13,56 @@ RETRYABLE = ("failure", "retry", "denied")
 
 
 def dedup_observations(obs: DataFrame) -> DataFrame:
-    """The first row of each observation_id by observed_at, line_no, then all other columns; null and empty ids go."""
+    """The first row of each observation_id by observed_at, line_no, then all other columns; null and empty ids go.
+
+    An aggregate, so that rows of one id that is everywhere are reduced before the shuffle.
+    """
     rest = [F.col(c).cast("string") for c in sorted(obs.columns)]
     tie = F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in rest))
-    order = Window.partitionBy("observation_id").orderBy("observed_at", "line_no", tie)
     rows = obs.where("observation_id IS NOT NULL AND observation_id <> ''")
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in obs.columns if c != "observation_id")), F.struct("observed_at", "line_no", tie))
+    return rows.groupBy("observation_id").agg(first.alias("_first")).select("observation_id", "_first.*").select(*(F.col(f"`{c}`") for c in obs.columns))
 
 
 def attempt_events_only(obs: DataFrame) -> DataFrame:
+    """Observations of attempts; without a type, as old rows are, each counts as one."""
+    if "observation_type" not in obs.columns:
+        return obs
     return obs.where(F.col("observation_type").isNull() | F.col("observation_type").isin(*ATTEMPT_TYPES))
 
 
-def keyed(obs: DataFrame) -> DataFrame:
-    """Add matched_by and attempt_key.
+def part(value: Column | str) -> Column:
+    """A value as part of a key: its length goes before it, so that no character of it can end it; null is a dash."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-"))
 
-    A call id names an attempt in its project and tool. Else a trace id does, per tool and bucket of 300 seconds, if two
-    sides saw it. Everything else is an attempt of its own, so null keys never meet in one task.
+
+def grouped(obs: DataFrame) -> DataFrame:
+    """Add matched_by and group_key: the attempt that an observation can belong to.
+
+    A call id names it in its project and tool; else a trace id per tool and bucket of 300 seconds does; everything else stands alone.
     """
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     bucket = F.floor(F.unix_timestamp(F.col("observed_at").cast("timestamp")) / BUCKET_SECONDS)
-    called = text("tool_call_id") != ""
-    traced = ~called & (text("trace_id") != "") & F.col("observed_at").isNotNull()
-    trace_key = F.concat_ws("|", F.lit("t"), text("project_id"), "trace_id", text("tool"), bucket.cast("string"))
+    kind = F.when(some("tool_call_id"), "call_id").when(some("trace_id") & F.col("observed_at").isNotNull(), "trace_window").otherwise("none")
+    call = F.concat_ws("|", F.lit("c"), part("project_id"), part("tool"), part("tool_call_id"))
+    trace = F.concat_ws("|", F.lit("t"), part("project_id"), part("trace_id"), part("tool"), bucket.cast("string"))
+    alone = F.concat_ws("|", F.lit("s"), "observation_id")
+    return obs.withColumn("matched_by", kind).withColumn("group_key", F.when(F.col("matched_by") == "call_id", call).when(F.col("matched_by") == "trace_window", trace).otherwise(alone))
+
+
+def keyed(obs: DataFrame) -> DataFrame:
+    """Add matched_by, group_key and attempt_key: the group, but a trace that one side alone saw falls apart.
+
+    All rows are read once. Rows with a call id are dealt out by their own id for the window, which only traces need; so a call
+    id that is everywhere, or none, never fills a task.
+    """
     alone = F.concat_ws("|", F.lit("s"), "observation_id")
-    group = F.when(traced, trace_key).otherwise(alone)
-    sides = Window.partitionBy("_group")
-    with_group = obs.where(traced).withColumn("_group", group)
-    two = (F.min("observer_side").over(sides) != F.max("observer_side").over(sides))
-    traces = with_group.withColumn("_two", F.coalesce(two, F.lit(False)))
-    traces = traces.withColumn("matched_by", F.when(F.col("_two"), "trace_window").otherwise("none")).withColumn("attempt_key", F.when(F.col("_two"), F.col("_group")).otherwise(alone)).drop("_group", "_two")
-    rest = obs.where(~F.coalesce(traced, F.lit(False)))
-    rest = rest.withColumn("matched_by", F.when(called, "call_id").otherwise("none")).withColumn("attempt_key", F.when(called, F.concat_ws("|", F.lit("c"), text("project_id"), text("tool"), "tool_call_id")).otherwise(alone))
-    return rest.unionByName(traces)
+    rows = grouped(obs).withColumn("_deal", F.when(F.col("matched_by") == "trace_window", F.col("group_key")).otherwise(alone))
+    sides = Window.partitionBy("_deal")
+    single = (F.col("matched_by") == "trace_window") & ~F.coalesce(F.min("observer_side").over(sides) != F.max("observer_side").over(sides), F.lit(False))
+    rows = rows.withColumn("_single", single)
+    return rows.withColumn("attempt_key", F.when(F.col("_single"), alone).otherwise(F.col("group_key"))).withColumn("matched_by", F.when(F.col("_single"), "none").otherwise(F.col("matched_by"))).drop("_single", "_deal")
 
 
 def outcome_of() -> Column:
@@ -56,14 +73,15 @@ def outcome_of() -> Column:
 
 
 def evidence_of(cross_side_only: bool = False) -> Column:
-    """The display grade of an attempt's observations."""
-    observers = F.count_distinct(F.when(F.col("observer_principal") != "", F.struct("observer_principal", "trust_domain")))
-    domains = F.count_distinct(F.when((F.col("observer_principal") != "") & (F.col("trust_domain") != ""), F.col("trust_domain")))
-    several = observers >= 2
+    """The display grade of an attempt's observations. Two of a kind are told by its least and largest, without a distinct count."""
+    named = F.col("observer_principal") != ""
+    two = lambda value: F.coalesce(F.min(value) != F.max(value), F.lit(False))
+    several = two(F.when(named, F.concat(part("observer_principal"), part("trust_domain"))))
+    domains = two(F.when(named & (F.col("trust_domain") != ""), F.col("trust_domain")))
     if cross_side_only:
-        several &= F.count_distinct("observer_side") >= 2
+        several &= two(F.col("observer_side"))
     signed = F.coalesce(F.bool_or("signature_valid"), F.lit(False))
-    return F.when(several & (domains >= 2), "independently-corroborated").when(several, "corroborated").when(signed, "authenticated").otherwise("observed")
+    return F.when(several & domains, "independently-corroborated").when(several, "corroborated").when(signed, "authenticated").otherwise("observed")
 
 
 def severity_of(validity: str = "validity") -> Column:
@@ -88,12 +106,13 @@ def attempts(obs: DataFrame) -> DataFrame:
     rank = F.when(~F.coalesce(configured, F.lit(False)), severity_of())
     operation = F.when(F.col("operation_id") != "", F.col("operation_id"))
     out = keyed(attempt_events_only(obs)).groupBy("attempt_key").agg(
+        F.min("group_key").alias("group_key"),
         F.min("matched_by").alias("matched_by"), F.min("project_id").alias("project_id"), F.min("tool").alias("tool"), F.count("*").alias("n_obs"),
         outcome_of().alias("outcome"), F.max(F.coalesce("lifecycle", F.lit("L0"))).alias("lifecycle"), F.min("observed_at").alias("started_at"), evidence_of().alias("evidence"),
         F.min(F.struct(operation.isNull().alias("none"), F.col("observed_at"), F.col("line_no"), operation.alias("id")))["id"].alias("operation_id"),
-        F.count_distinct(operation).alias("n_operations"), F.min("task_id").alias("task_id"), F.min("client_key").alias("client_key"),
+        F.coalesce(F.min(operation) != F.max(operation), F.lit(False)).alias("ambiguous"), F.min("task_id").alias("task_id"), F.min("client_key").alias("client_key"),
         F.min(context).alias("_low"), F.max(context).alias("_high"), F.bool_or(F.col("usage_context") == "unknown").alias("_context_unknown"),
-        F.max(rank).alias("_rank"), F.bool_or(configured).alias("_discarded"), F.bool_or(F.col("observation_type") == "attempt_completed").alias("has_completed"),
+        F.max(rank).alias("_rank"), F.min(rank).alias("_least_rank"), F.bool_or(configured).alias("_discarded"), F.bool_or(F.col("observation_type") == "attempt_completed").alias("has_completed"),
         F.bool_or(F.col("identity_strength").isin("declared", "correlated", "attested")).alias("caller_known"),
         F.bool_or(F.coalesce("buffer_overflow", F.lit(False)) | (F.coalesce("dropped", F.lit(0)) > 0)).alias("collection_flagged"),
         F.bool_or(F.col("observer_side") == "client").alias("has_client"), F.bool_or(F.col("observer_side") == "server").alias("has_server"), F.sum("cost").alias("cost"),
@@ -102,13 +121,15 @@ def attempts(obs: DataFrame) -> DataFrame:
     out = out.withColumn("usage_context", F.when(F.col("_low").isNull(), "unknown").when(F.col("_low") != F.col("_high"), "inconsistent").otherwise(F.col("_low")))
     names = F.array(*map(F.lit, SEVERITY))
     out = out.withColumn("validity", F.coalesce(F.get(names, F.col("_rank")), F.lit("unknown")))
-    partial = (F.coalesce("_context_unknown", none) & ~F.col("usage_context").isin("unknown", "inconsistent")) | F.coalesce("_discarded", none)
+    # A provider's own "normal" counts for nothing: it leaves the rest incomplete, unless somebody else says normal or nobody says anything.
+    dropped = F.coalesce("_discarded", none) & F.coalesce(F.col("_least_rank") > 0, none)
+    partial = (F.coalesce("_context_unknown", none) & ~F.col("usage_context").isin("unknown", "inconsistent")) | dropped
     status = F.when(F.col("usage_context") == "inconsistent", "inconsistent").when(partial, "partially_classified").when((F.col("usage_context") == "production") & (F.col("validity") == "normal"), "qualified").otherwise("unknown")
     out = out.withColumn("qualification_status", status).withColumn("eligible", F.lit(1)).withColumn("attempt_id", F.sha2("attempt_key", 256))
     out = out.withColumn("resolution", F.when(F.col("operation_id").isNotNull(), "explicit").otherwise("unknown"))
     for flag in ("has_completed", "caller_known", "collection_flagged", "has_client", "has_server"):
         out = out.withColumn(flag, F.coalesce(flag, none))
-    return out.drop("_low", "_high", "_context_unknown", "_rank", "_discarded")
+    return out.drop("_low", "_high", "_context_unknown", "_rank", "_least_rank", "_discarded")
 
 
 def observation_links(obs: DataFrame) -> DataFrame:
@@ -118,20 +139,21 @@ def observation_links(obs: DataFrame) -> DataFrame:
 def operations_structural(rows: DataFrame) -> DataFrame:
     """Retry chains of unresolved attempts of one project, tool and task: a chain ends with an outcome that is not retried.
 
-    Adds operation_id (the first attempt of the chain) and resolution ``structural`` to attempts that have a task.
+    Adds operation_id (the first attempt of the chain) and resolution ``structural`` to attempts that have a task and a start.
     """
     chain = Window.partitionBy("project_id", "tool", "task_id").orderBy("started_at", "attempt_key")
     before = F.lag("outcome").over(chain)
-    open_rows = rows.where("operation_id IS NULL AND task_id IS NOT NULL").withColumn("_new", F.when(before.isin(*RETRYABLE), 0).otherwise(1))
+    chained = F.col("operation_id").isNull() & (F.coalesce("task_id", F.lit("")) != "") & F.col("started_at").isNotNull()
+    open_rows = rows.where(chained).withColumn("_new", F.when(before.isin(*RETRYABLE), 0).otherwise(1))
     open_rows = open_rows.withColumn("_chain", F.sum("_new").over(chain))
     first = Window.partitionBy("project_id", "tool", "task_id", "_chain").orderBy("started_at", "attempt_key")
     done = open_rows.withColumn("operation_id", F.first("attempt_id").over(first)).withColumn("resolution", F.lit("structural")).drop("_new", "_chain")
-    return done.unionByName(rows.where("operation_id IS NOT NULL OR task_id IS NULL"))
+    return done.unionByName(rows.where(~chained))
 
 
 def resolution_provenance(rows: DataFrame) -> DataFrame:
     """Per operation: status, method, rule and the attempts it comes from, sorted."""
-    status = F.when(F.max("n_operations") > 1, "ambiguous").otherwise("resolved")
+    status = F.when(F.bool_or("ambiguous"), "ambiguous").otherwise("resolved")
     known = rows.where("operation_id IS NOT NULL").groupBy("operation_id", "resolution")
     return known.agg(status.alias("status"), F.count("*").alias("attempts"), F.array_sort(F.collect_list("attempt_id")).alias("source_attempt_ids")).withColumn("rule_id", F.concat(F.lit("op-"), "resolution")).withColumn("rule_version", F.lit("1"))
 

@@ -29,7 +29,7 @@ def validate_funnel(rows: DataFrame) -> DataFrame:
 def annotate_strata(rows: DataFrame, strata: DataFrame) -> DataFrame:
     """Add stratum of the task, category/tier; tasks that the dimension lacks are unknown/unknown."""
     known = strata.select("task_id", F.concat_ws("/", "category", "tier").alias("_stratum"))
-    return rows.join(F.broadcast(known), "task_id", "left").withColumn("stratum", F.coalesce("_stratum", F.lit("unknown/unknown"))).drop("_stratum")
+    return rows.join(known, "task_id", "left").withColumn("stratum", F.coalesce("_stratum", F.lit("unknown/unknown"))).drop("_stratum")
 
 
 def funnel_aggregate(rows: DataFrame, keys: list[str], *more: list[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def with_rates(cells: DataFrame) -> DataFrame:
 
 
 def compare_arms(cells: DataFrame, baseline: str, within: list[str], rate: str = "selection_rate", alpha: float = 0.05, min_n: int = 100) -> DataFrame:
-    """Each variant against the baseline of its cell: difference, interval, z and verdict.
+    """Each variant against the baseline of its cell: difference, interval, z, p_value, verdict, direction, reason and required_n.
 
     Cells are few rows by now; the baseline's are joined on the cell's key.
     """
@@ -73,17 +73,23 @@ def compare_arms(cells: DataFrame, baseline: str, within: list[str], rate: str =
     some = (F.col("n0") > 0) & (F.col("n") > 0)
     out = met.withColumn("difference", F.when(some, F.col("k") / F.col("n") - F.col("k0") / F.col("n0"))).withColumn("low", low).withColumn("high", high)
     out = out.withColumn("z", stats.two_proportion_z("k0", "n0", "k", "n"))
+    out = out.withColumn("p_value", stats.two_sided_p("z"))
     enough = some & (F.col("n0") >= min_n) & (F.col("n") >= min_n)
-    significant = F.abs("z") > stats.critical_z(alpha)
+    significant = F.col("p_value") < alpha
     verdict = F.when(~enough, "undetermined").when(significant, "significant").otherwise("null_result")
     direction = F.when(verdict == "significant", F.when(F.col("difference") > 0, "improvement").otherwise("regression"))
-    return out.withColumn("verdict", verdict).withColumn("direction", direction)
+    reason = F.when(~some, "empty arm").when(~enough, "small sample").when(verdict == "null_result", "no significant difference")
+    share = F.col("k0") / F.col("n0")
+    # What it would take: without a share in the baseline, a stand-in keeps the formula defined.
+    stand_in = F.when(verdict == "undetermined", F.col("difference") / 2 + 0.01).otherwise(0.02)
+    needed = F.when(some & (F.col("difference") != 0) & (verdict != "significant"), stats.required_n(F.when(share > 0, share).otherwise(stand_in), F.col("k") / F.col("n"), alpha))
+    return out.withColumn("verdict", verdict).withColumn("direction", direction).withColumn("reason", reason).withColumn("required_n", needed.cast("long"))
 
 
 def guardrails(cells: DataFrame, limits: DataFrame) -> DataFrame:
     """(variant_id, metric, value, status) by thresholds (metric, min, max); no data is unknown."""
     long = with_rates(cells).unpivot(["variant_id"], [*RATES, "cost_per_operation"], "metric", "value")
-    met = long.join(F.broadcast(limits), "metric")
+    met = long.join(limits, "metric")
     bad = (F.col("value") > F.col("max")) | (F.col("value") < F.col("min"))
     status = F.when(F.col("value").isNull(), "unknown").when(F.coalesce(bad, (F.col("value") > F.col("max")), (F.col("value") < F.col("min")), F.lit(False)), "breach").otherwise("pass")
     return met.select("variant_id", "metric", "value", status.alias("status"))
@@ -92,7 +98,7 @@ def guardrails(cells: DataFrame, limits: DataFrame) -> DataFrame:
 def fake_growth(cells: DataFrame, baseline: str, alpha: float = 0.05) -> DataFrame:
     """Flag variants whose consumption fell: significantly, or by more than five points."""
     out = compare_arms(cells, baseline, [], "consumption_rate", alpha, 0)
-    significant, material = F.abs("z") > stats.critical_z(alpha), F.col("difference") < -0.05
+    significant, material = F.col("p_value") < alpha, F.col("difference") < -0.05
     flagged = (F.col("difference") < -0.005) & (significant | material)
     kind = F.when(flagged, F.when(significant, "significant").otherwise("material"))
     return out.select("variant_id", F.col("difference").alias("consumption_delta"), F.coalesce(flagged, F.lit(False)).alias("flagged"), kind.alias("kind"))
@@ -127,14 +133,33 @@ def dominance(variants: DataFrame) -> DataFrame:
     return variants.join(met, "variant_id", "left")
 
 
-def variant_verdicts(compared: DataFrame, flags: DataFrame, breaches: DataFrame) -> DataFrame:
-    """The final word on each variant, and what to do."""
+#: What to do about each final word.
+ACTIONS = {
+    "adopt_candidate": "ship behind a flag",
+    "effective_not_qualified": "do not ship: guardrail breach",
+    "unverified_growth": "do not ship: fix consumption first",
+    "regression_reject": "reject",
+    "null_result": "no action",
+    "undetermined": "collect more data",
+}
+
+
+def variant_verdicts(compared: DataFrame, flags: DataFrame, breaches: DataFrame, dominated: DataFrame | None = None) -> DataFrame:
+    """The final word on each variant, and what to do.
+
+    Only a significant improvement can be flagged as growth that consumption doesn't follow, and then as one that breaks a guardrail;
+    a significant regression is rejected; all else keeps the comparison's verdict. Who is dominated is not to be picked, whatever else.
+    """
     broken = breaches.where("status = 'breach'").select("variant_id").distinct().withColumn("broken", F.lit(True))
     met = compared.join(flags.select("variant_id", "flagged"), "variant_id", "left").join(broken, "variant_id", "left")
+    met = met.join(dominated.select("variant_id", "dominated_by"), "variant_id", "left") if dominated is not None else met.withColumn("dominated_by", F.lit(None).cast("string"))
     flagged, broke = F.coalesce("flagged", F.lit(False)), F.coalesce("broken", F.lit(False))
-    final = F.when(broke, "guardrail_breach").when(F.col("verdict") != "significant", F.col("verdict")).when(F.col("direction") == "regression", "regression").when(flagged, "fake_growth").otherwise("improvement")
-    action = F.when(final == "improvement", "ship").when(final.isin("undetermined", "null_result"), "collect_more").otherwise("hold")
-    return met.select("variant_id", "verdict", "direction", final.alias("final"), action.alias("action"))
+    final = F.when(F.col("verdict") != "significant", F.col("verdict")).when(F.col("direction") == "regression", "regression_reject")
+    final = final.when(flagged, "unverified_growth").when(broke, "effective_not_qualified").otherwise("adopt_candidate")
+    action = F.when(F.col("dominated_by").isNotNull(), F.concat(F.lit("do not pick: dominated by "), "dominated_by"))
+    for word, what in ACTIONS.items():
+        action = action.when(final == word, what)
+    return met.select("variant_id", "verdict", "direction", final.alias("final"), "dominated_by", action.alias("action"))
 
 
 def calibrate(offline: DataFrame, production: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,13 +202,29 @@ def plan_balance(plan: DataFrame, max_attempts: int, max_steps: int) -> DataFram
     return out.withColumn("max_cost", F.col("total") * F.lit(max_attempts * max_steps * 2.5))
 
 
-def connector_aggregate(rows: DataFrame, tiers: dict[str, str], export: bool = False) -> DataFrame:
-    """Counts per variant from the data classes that a connection allows; ``off`` classes never enter the aggregation.
+#: The data class of each event kind; fixed by the connection rules.
+CLASSES = {"reach": "choice", "choice": "choice", "attempt": "execution", "operation_result": "execution", "consumption": "consumption"}
 
-    A class is an event kind; its tier is off, local or export. An export holds only classes of the export tier.
+
+def connector_aggregate(rows: DataFrame, tiers: dict[str, str], export: bool = False, revoked: bool = False) -> DataFrame:
+    """Counts per variant from the data classes (choice, execution, consumption) that a connection allows, and which it left out.
+
+    A class's tier is off, local or export; ``off`` never enters the aggregation, and an export holds the export tier only. A
+    revoked connection exports nothing, nor does one without such a class: both raise.
     """
-    allowed = [c for c, t in tiers.items() if t == "export" or (t == "local" and not export)]
-    return rows.where(F.col("event").isin(*allowed)).groupBy("variant_id", "event").agg(F.count("*").alias("n"))
+    if export and revoked:
+        raise ValueError("the connection is revoked")
+    classes = sorted(set(CLASSES.values()))
+    allowed = [c for c in classes if tiers.get(c, "off") == "export" or (tiers.get(c, "off") == "local" and not export)]
+    if export and not allowed:
+        raise ValueError("no data class may be exported")
+    e = F.col("event")
+    out = rows.where(e.isin(*(k for k, c in CLASSES.items() if c in allowed))).groupBy(F.coalesce("variant_id", F.lit("unknown")).alias("variant_id")).agg(
+        F.count_if(e == "reach").alias("reach"), F.count_if((e == "choice") & F.col("selected_subject")).alias("selected"), F.count_if(e == "operation_result").alias("operations"),
+        F.count_if((e == "operation_result") & (F.col("outcome") == "success")).alias("operations_succeeded"), F.sum(F.when(e == "operation_result", F.coalesce("attempts", F.lit(0))).otherwise(0)).cast("long").alias("attempts"),
+        F.count_if((e == "consumption") & F.col("consumed")).alias("consumed"),
+    )
+    return out.withColumn("excluded", F.lit(",".join(c for c in classes if c not in allowed)))
 
 
 def table_fingerprint(rows: DataFrame) -> DataFrame:

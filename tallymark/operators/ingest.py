@@ -7,65 +7,128 @@ from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tallymark.sources.schemas import ENVELOPE
 
 TYPES = ("presentation", "selection", "attempt_started", "attempt_completed", "result_consumed", "task_outcome")
 #: Values that the schema fixes.
-CONTEXTS = ("production", "staging", "test", "evaluation", "development", "demo", "ci", "internal", "unknown")
-VALIDITIES = ("normal", "health_check", "load_test", "duplicate", "replay", "suspected_invalid", "unknown")
+CONTEXTS = ("production", "development", "test", "benchmark", "evaluation", "synthetic", "ci", "demo", "unknown")
+VALIDITIES = ("normal", "duplicate", "replay", "health_check", "load_test", "suspected_invalid", "unknown")
 SIDES = ("client", "server", "platform")
+SOURCES = ("none", "provider_configuration", "collector_derived", "runtime_propagated")
+#: The values of each field that has a fixed set of them. The spec_version's are a parameter.
+ENUMS = {
+    "observation_type": TYPES,
+    "observer.side": SIDES,
+    "caller.type": ("unknown", "claimed_agent", "correlated_agent", "platform_attested"),
+    "caller.identity_strength": ("unknown", "declared", "correlated", "attested"),
+    "usage_context": CONTEXTS,
+    "validity": VALIDITIES,
+    "context_source": SOURCES,
+    "validity_source": SOURCES,
+    "provenance": ("hook", "otel", "wrapper", "platform"),
+}
+PAYLOAD_ENUMS = {
+    "presentation": {"choice_mode": ("exclusive", "multi_select", "parallel", "sequential", "ordered_fallback", "router_preselected", "unknown")},
+    "selection": {
+        "decision_authority": ("model", "router", "workflow", "user", "policy", "platform", "unknown"),
+        "selection_constraint": ("autonomous", "recommended", "required", "user_requested", "fallback", "forced", "unknown"),
+    },
+    "attempt_completed": {"outcome": ("success", "failure", "retry", "denied", "unknown")},
+}
+#: Fields that may be null.
+NULLABLE = ("provider_claim", "capability_claim", "sampling", "signature", "key_id")
 CALLERS = {"unknown": "unknown", "claimed_agent": "declared", "correlated_agent": "correlated", "platform_attested": "attested"}
-REQUIRED = ("observation_id", "observation_type", "observer", "observed_at", "surface")
+REQUIRED = ("spec_version", "observation_id", "observation_type", "observer", "observed_at", "surface", "usage_context", "validity", "payload")
+SUB_REQUIRED = ("observer.principal", "observer.side", "surface.surface_id")
 KEYS = (
     "spec_version observation_id observation_type observer observed_at deployment_context surface caller client_key usage_context validity context_source validity_source collection_health sampling provenance payload signature key_id".split()
 )
 SUB_KEYS = {
     "observer": "principal trust_domain side".split(),
+    "deployment_context": ["project_id"],
     "surface": "surface_id surface_namespace provider_claim capability_claim".split(),
     "caller": "type runtime identity_strength".split(),
+    "collection_health": "source_instance_id source_sequence sequence_epoch dropped_since_last_report buffer_overflow".split(),
 }
+#: Of each type of observation: the fields of its payload, and those that are required.
 PAYLOAD = {
-    "presentation": ("decision_id candidate_set_id category_id category_version choice_mode rank_in_candidate_set", "decision_id"),
-    "selection": ("decision_id selection_id rank decision_authority selection_constraint selection_reason_observable", "decision_id"),
-    "attempt_started": ("tool_call_id trace_id started_at operation_id task_id retry_of", ""),
-    "attempt_completed": ("tool_call_id trace_id operation_id task_id outcome duration_ms error_type started_at ended_at", "outcome"),
+    "presentation": ("decision_id candidate_set_id category_id category_version choice_mode rank_in_candidate_set", "decision_id candidate_set_id choice_mode"),
+    "selection": ("decision_id selection_id rank decision_authority selection_constraint selection_reason_observable", "decision_id decision_authority selection_constraint"),
+    "attempt_started": ("tool_call_id trace_id started_at operation_id task_id retry_of", "tool_call_id"),
+    "attempt_completed": ("tool_call_id outcome duration_ms error_type", "tool_call_id outcome"),
     "result_consumed": ("tool_call_id consumed_by_request_seq", "tool_call_id"),
-    "task_outcome": ("task_id task_success model task_type started_at ended_at", "task_id"),
+    "task_outcome": ("task_id task_success model task_type ended_at", "task_id task_success"),
 }
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-SENSITIVE = ("prompt", "arguments", "args", "input", "output", "result", "content", "response", "api_key", "token", "password", "secret", "authorization")
+#: Keys that no record may have, in any case; fixed values of the privacy rules.
+SENSITIVE = (
+    "prompt", "tool_input", "tool_response", "tool_output", "input", "output", "content", "file_path", "cwd", "command", "transcript", "email", "username", "api_key", "token", "password", "secret",
+)
 
 
 def _text(*items: str) -> Column:
     return F.array(*map(F.lit, items)) if items else F.array().cast("array<string>")
 
 
-def validate_envelope(lines: DataFrame, value: str = "value", e: str = "e") -> DataFrame:
+def _kinds() -> list[tuple[str, str, str]]:
+    """(path, JSON type, pattern of the type as a variant names it) of every field that the envelope's schema types."""
+    names = {"string": ("string", "STRING"), "bigint": ("integer", "BIGINT"), "int": ("integer", "BIGINT"), "boolean": ("boolean", "BOOLEAN"), "double": ("number", "BIGINT|DOUBLE|DECIMAL.*"), "struct": ("object", "OBJECT.*"), "map": ("object", "OBJECT.*")}
+    out = []
+
+    def walk(fields: StructType, path: str) -> None:
+        for f in fields.fields:
+            kind, pattern = names[f.dataType.simpleString().split("<")[0]]
+            out.append((f"{path}.{f.name}", kind, f"^({pattern}{'|VOID' if f.name in NULLABLE else ''})$"))
+            if isinstance(f.dataType, StructType):
+                walk(f.dataType, f"{path}.{f.name}")
+
+    walk(StructType.fromDDL(ENVELOPE), "")
+    return out
+
+
+def validate_envelope(lines: DataFrame, value: str = "value", e: str = "e", versions: tuple[str, ...] = ()) -> DataFrame:
     """Add ``errors``: the violations of each line, in the order of the schema; empty if it is valid.
 
-    The line is parsed once (``e``); its own keys tell unexpected ones apart.
+    A line that is no JSON object has one error. A field of another JSON type than the schema's is one ("expected ..."), as are one
+    that is required and absent, one that is unexpected, and one outside its values. The line is parsed twice: as the typed
+    envelope (``e``), and as a variant, whose types and keys the other checks look up.
     """
-    keys = F.json_object_keys(value)
     c = lambda name: F.col(f"{e}.{name}")
+    sub = lambda name: F.json_object_keys(F.to_json(F.try_variant_get("_v", f"$.{name}", "variant")))
+    rows = lines.withColumn("_v", F.try_parse_json(value)).withColumn("_keys", F.json_object_keys(value))
+    rows = rows.withColumns({f"_keys_{name}": sub(name) for name in (*SUB_KEYS, "payload")})
+    keys = F.col("_keys")
+    some = keys.isNotNull()
     checks = [F.when(keys.isNull(), "observation: not a JSON object")]
     for name in REQUIRED:
-        checks.append(F.when(keys.isNotNull() & c(name).isNull(), f"observation.{name}: required"))
-    strange = lambda found, known: F.when(F.size(F.array_except(found, _text(*known))) > 0, F.array_join(F.array_sort(F.array_except(found, _text(*known))), ","))
+        checks.append(F.when(some & ~F.array_contains(keys, name), f"observation.{name}: required"))
+    for name in SUB_REQUIRED:
+        outer, inner = name.split(".")
+        checks.append(F.when(~F.array_contains(f"_keys_{outer}", inner), f"observation.{name}: required"))
+    for path, kind, pattern in _kinds():
+        found = F.schema_of_variant(F.try_variant_get("_v", f"${path}", "variant"))
+        checks.append(F.when(some & ~found.rlike(pattern), f"observation{path}: expected {kind}"))
+    odd = lambda found, known: F.array_join(F.array_sort(F.array_except(found, _text(*known))), ",")
+    strange = lambda found, known: F.when(F.size(F.array_except(found, _text(*known))) > 0, odd(found, known))
     checks.append(F.concat(F.lit("observation: unexpected "), strange(keys, KEYS)))
     for name, known in SUB_KEYS.items():
-        checks.append(F.concat(F.lit(f"observation.{name}: unexpected "), strange(F.json_object_keys(F.get_json_object(value, f"$.{name}")), known)))
+        checks.append(F.concat(F.lit(f"observation.{name}: unexpected "), strange(F.col(f"_keys_{name}"), known)))
     enum = lambda name, known: F.when(c(name).isNotNull() & ~c(name).isin(*known), f"observation.{name}: not allowed")
-    checks += [enum("observation_type", TYPES), enum("usage_context", CONTEXTS), enum("validity", VALIDITIES), enum("observer.side", SIDES)]
+    checks += [enum(name, known) for name, known in (({"spec_version": versions} if versions else {}) | ENUMS).items()]
     checks.append(F.when(c("observed_at").isNotNull() & ~c("observed_at").rlike(TIMESTAMP), "observation.observed_at: not a timestamp"))
     for kind, (known, required) in PAYLOAD.items():
         mine = c("observation_type") == kind
-        checks.append(F.when(mine, F.concat(F.lit("observation.payload: unexpected "), strange(F.json_object_keys(F.get_json_object(value, "$.payload")), known.split()))))
-        checks += [F.when(mine & c("payload").isNotNull() & c(f"payload.{r}").isNull(), f"observation.payload.{r}: required") for r in required.split()]
+        checks.append(F.when(mine, F.concat(F.lit("observation.payload: unexpected "), strange(F.col("_keys_payload"), known.split()))))
+        checks += [F.when(mine & ~F.array_contains("_keys_payload", r), f"observation.payload.{r}: required") for r in required.split()]
+        checks += [F.when(mine & ~c(f"payload.{name}").isin(*values), f"observation.payload.{name}: not allowed") for name, values in PAYLOAD_ENUMS.get(kind, {}).items()]
     caller, strength = F.coalesce(c("caller.type"), F.lit("unknown")), F.coalesce(c("caller.identity_strength"), F.lit("unknown"))
     fits = F.lit(False)
     for kind, needed in CALLERS.items():
         fits = fits | ((caller == kind) & (strength == needed))
-    checks.append(F.when(keys.isNotNull() & ~fits, "observation: caller type and strength contradict"))
-    return lines.withColumn("errors", F.array_compact(F.array(*checks)))
+    checks.append(F.when(some & ~fits, "observation: caller type and strength contradict"))
+    return rows.withColumn("errors", F.array_compact(F.array(*checks))).drop("_v", "_keys", *(f"_keys_{name}" for name in (*SUB_KEYS, "payload")))
 
 
 def reject_reasons(validated: DataFrame) -> DataFrame:
@@ -104,8 +167,12 @@ def duration_bucket(seconds: Column | str) -> Column:
     return F.when(s.isNull(), F.lit(None).cast("string")).when(s < 1, "<1s").when(s < 10, "1s-10s").when(s < 60, "10s-60s").when(s < 600, "1m-10m").otherwise(">10m")
 
 
-def normalize_adapter(raw: DataFrame, source: str, project: str, principal: str) -> DataFrame:
-    """Raw adapter events as flat observations; each source says only what it can know."""
+def normalize_adapter(raw: DataFrame, source: str, project: str, principal: str, pads: DataFrame) -> DataFrame:
+    """Raw adapter events as flat observations; each source says only what it can know.
+
+    The session leaves under a pseudonym of the event's month (see ``pseudonymize``; without a time there is none, and no session). The observation_id is
+    a digest of the event and its source, so that reading a file twice gives the same observations.
+    """
     cut = lambda c, n=120: F.when(F.col(c) != "", F.substring(F.col(c), 1, n))
     session = lambda a, b: F.coalesce(F.when(F.col(a) != "", F.col(a)), F.col(b))
     said = F.coalesce(F.when(F.col("outcome") != "", F.col("outcome")), F.lit("unknown"))
@@ -120,14 +187,17 @@ def normalize_adapter(raw: DataFrame, source: str, project: str, principal: str)
         fields = (cut("tool"), cut("tool_use_id"), cut("trace_id", 64), session("session_id", "session_key"), said, F.when(F.col("duration_bucket") != "", F.col("duration_bucket")), F.lit(None).cast("long"), stage, "client", "platform", "deepseek-harness")
     else:
         raise ValueError(f"unknown source: {source}")
-    names = "tool tool_call_id trace_id session_key outcome duration_bucket duration_ms lifecycle".split()
+    names = "tool tool_call_id trace_id _session outcome duration_bucket duration_ms lifecycle".split()
     columns = [F.coalesce(fields[0], F.lit("unknown")), *fields[1:8]]
-    rest = {"observation_type": "attempt_completed", "observer_side": fields[8], "observer_type": fields[9], "caller_runtime": fields[10], "project_id": project, "observer_principal": principal}
-    return raw.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)), *(F.lit(v).alias(k) for k, v in rest.items()))
+    rest = {"observation_type": "attempt_completed", "observer_side": fields[8], "observer_type": fields[9], "provenance": fields[9], "caller_runtime": fields[10], "project_id": project, "observer_principal": principal}
+    digest = F.sha2(F.concat_ws("|", F.lit(source), F.lit(principal), F.to_json(F.struct(*sorted(raw.columns)))), 256)
+    rows = raw.select(F.concat(F.lit("obs-"), F.substring(digest, 1, 32)).alias("observation_id"), parse_ts("observed_at").alias("observed_at"), F.col("event_id").alias("source_event_id"), *(c.alias(n) for c, n in zip(columns, names, strict=True)), *(F.lit(v).alias(k) for k, v in rest.items()))
+    named = pseudonymize(rows, pads, fields[10], "_session", "observed_at").drop("_session")
+    return named.withColumn("session_key", F.when(F.col("client_key") != "", F.col("client_key"))).drop("client_key")
 
 
 def redact(lines: DataFrame, allowed: tuple[str, ...], value: str = "value") -> DataFrame:
-    """Drop records with a sensitive key, whatever its case; keep only allowed fields of the others."""
+    """Drop records with a sensitive key, whatever its case and even if it is allowed; keep only allowed fields of the others."""
     keys = F.transform(F.json_object_keys(value), F.lower)
     clean = lines.where(F.json_object_keys(value).isNotNull() & ~F.arrays_overlap(keys, _text(*SENSITIVE)))
     return clean.select(*(F.get_json_object(value, f"$.{a}").alias(a) for a in allowed))
@@ -144,7 +214,7 @@ def monthly_pads(spark: SparkSession, secret: bytes, months: list[str]) -> DataF
 
 def pseudonymize(rows: DataFrame, pads: DataFrame, host: str, raw: str, at: str) -> DataFrame:
     """Add client_key: p- and 20 hex digits of HMAC-SHA256 of host:raw under the key of the event's month; empty stays empty."""
-    met = rows.withColumn("month", F.date_format(at, "yyyy-MM")).join(F.broadcast(pads), "month", "left")
+    met = rows.withColumn("month", F.date_format(at, "yyyy-MM")).join(pads, "month", "left")
     message = F.concat(F.lit(host + ":"), F.col(raw)).cast("binary")
     inner = F.unhex(F.sha2(F.concat(F.unhex("ipad"), message), 256))
     key = F.concat(F.lit("p-"), F.substring(F.sha2(F.concat(F.unhex("opad"), inner), 256), 1, 20))
@@ -169,7 +239,7 @@ def migrate_legacy(rows: DataFrame) -> DataFrame:
     related = F.col("operation_id").isNotNull() | F.col("retry_of").isNotNull()
     retry = F.col("validity") == "retry"
     stage = F.when(F.col("lifecycle") == "L0", "selected").when(F.col("lifecycle") == "L1", "invoked").when(F.col("lifecycle") == "L2", "completed").when(F.col("lifecycle") == "L3", "consumed")
-    grade = F.when(F.col("evidence") == "E0", "observed").when(F.col("evidence") == "E1", "authenticated").when(F.col("evidence") == "E2", "corroborated").otherwise(F.col("evidence"))
+    grade = F.when(F.col("evidence") == "E0", "observed").when(F.col("evidence") == "E1", "authenticated").when(F.col("evidence") == "E2", "corroborated").when(F.col("evidence") == "E3", "platform-attested").otherwise(F.col("evidence"))
     out = rows.withColumn("legacy_retry", F.coalesce(retry & ~related, F.lit(False))).withColumn("stage", stage).withColumn("evidence", grade)
     return out.withColumn("validity", F.when(retry, "unknown").otherwise(F.col("validity")))
 

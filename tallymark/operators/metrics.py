@@ -102,10 +102,16 @@ def evidence_mix(rows: DataFrame) -> DataFrame:
     return rows.groupBy("project_id", "evidence").agg(F.count("*").alias("attempts"))
 
 
-def observer_mix(rows: DataFrame, links: DataFrame, obs: DataFrame) -> DataFrame:
-    """Distinct attempts per project and observing principal."""
-    seen = links.join(obs.select("observation_id", "observer_principal"), "observation_id").join(rows.select("attempt_id", "project_id"), "attempt_id")
-    return seen.groupBy("project_id", "observer_principal").agg(F.count_distinct("attempt_id").alias("attempts"))
+def in_window(keyed: DataFrame, columns: list[str], as_of: str, days: int) -> DataFrame:
+    """(project_id, attempt_key, columns) once for each attempt that started in the window; attempts are not derived again."""
+    seen = keyed.groupBy("project_id", "attempt_key", *columns).agg(F.min("observed_at").alias("at"))
+    start = F.min("at").over(Window.partitionBy("project_id", "attempt_key"))
+    return seen.withColumn("at", start).where(F.col("at").cast("timestamp") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))).drop("at")
+
+
+def observer_mix(keyed: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Distinct attempts per project and observing principal, from the keyed observations of attempts."""
+    return in_window(keyed, ["observer_principal"], as_of, days).groupBy("project_id", "observer_principal").agg(F.count("*").alias("attempts"))
 
 
 def qualification_mix(rows: DataFrame) -> DataFrame:
@@ -118,12 +124,19 @@ def validity_coverage(rows: DataFrame) -> DataFrame:
     return out.withColumn("classified_share", ratio(F.col("normal") + F.col("invalid"), "production"))
 
 
-def caller_mix(rows: DataFrame, links: DataFrame, obs: DataFrame) -> DataFrame:
-    """Distinct attempts per runtime, per strength, and per both; the level says which of the two is summed over."""
-    seen = links.join(obs.where("caller_runtime IS NOT NULL").select("observation_id", "caller_runtime", "identity_strength"), "observation_id").join(rows.select("attempt_id"), "attempt_id", "left_semi")
-    seen = seen.select("attempt_id", "caller_runtime", "identity_strength").distinct()
-    sets = [["caller_runtime", "identity_strength"], ["caller_runtime"], ["identity_strength"]]
-    return seen.groupingSets(sets, "caller_runtime", "identity_strength").agg(F.grouping_id().cast("long").alias("level"), F.count_distinct("attempt_id").alias("attempts"))
+def caller_mix(keyed: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Distinct attempts per project and runtime, strength, and both; the level says which of the two is summed over.
+
+    Each attempt is reduced to one row a pair before the grouping sets; then an attempt counts once where it first has the value.
+    """
+    pair = ["caller_runtime", "identity_strength"]
+    seen = in_window(keyed, pair, as_of, days).where("caller_runtime IS NOT NULL")
+    first = lambda c: F.row_number().over(Window.partitionBy("project_id", "attempt_key", c).orderBy(*pair)) == 1
+    seen = seen.withColumn("_runtime", first("caller_runtime")).withColumn("_strength", first("identity_strength"))
+    level = 2 * F.grouping("caller_runtime").cast("long") + F.grouping("identity_strength").cast("long")
+    sets = [["project_id", *pair], ["project_id", "caller_runtime"], ["project_id", "identity_strength"]]
+    counted = F.when(level == 1, F.count_if("_runtime")).when(level == 2, F.count_if("_strength")).otherwise(F.count("*"))
+    return seen.groupingSets(sets, "project_id", *pair).agg(level.alias("level"), counted.alias("attempts"))
 
 
 def latency_bucket(ms: str | Column) -> Column:
@@ -193,16 +206,25 @@ def privacy_suppress(rows: DataFrame, rate: str, n: str, least: int = 10) -> Dat
     return rows.withColumn("suppressed", F.col(n) < least).withColumn(rate, F.when(F.col(n) >= least, F.col(rate)))
 
 
+def strict_qualified(rows: DataFrame) -> DataFrame:
+    """The attempts that count strictly: production and normal, by all who said so."""
+    return rows.where("usage_context = 'production' AND validity = 'normal'")
+
+
 def project_report(rows: DataFrame) -> DataFrame:
-    """The counts of all attempt metrics in one pass per project."""
-    c, v, o = F.col("usage_context"), F.col("validity"), F.col("outcome")
-    n = F.count("*")
+    """All attempt metrics of a project in one pass: counts, coverages and shares."""
+    c, v, o, e = F.col("usage_context"), F.col("validity"), F.col("outcome"), F.col("evidence")
+    have = lambda condition, name: F.count_if(condition).alias(name)
     out = rows.groupBy("project_id").agg(
-        n.alias("attempts"), F.count_distinct("operation_id").alias("operations"), F.count("operation_id").alias("resolved"), F.count_if(o == "success").alias("success"),
-        F.count_if(o.isin("success", "failure", "denied")).alias("decided"), F.count_if(F.col("evidence").isin(*CORROBORATED)).alias("corroborated"), F.count_if((c == "production") & (v == "normal")).alias("qualified"),
-        F.count_if("caller_known").alias("known_callers"), F.count_if("collection_flagged").alias("flagged"), F.count_distinct("client_key").alias("clients"),
+        F.count("*").alias("attempts"), F.count_distinct("operation_id").alias("operations"), F.count("operation_id").alias("resolved"), have(o == "success", "success"), have(o.isin("failure", "denied"), "failure"),
+        have(o == "unknown", "outcome_unknown"), have(o == "inconsistent", "outcome_inconsistent"), have(o.isin("success", "failure", "denied"), "decided"), have(F.col("has_completed"), "completed"),
+        have(e.isin(*CORROBORATED), "corroborated"), have(e == "independently-corroborated", "independently_corroborated"), have(e == "authenticated", "authenticated"), have(e == "observed", "observed"),
+        have((c == "production") & (v == "normal"), "qualified"), have((c == "production") & (v == "unknown"), "extended"), have(c == "unknown", "unknown_context"), have(v == "unknown", "unknown_validity"), have(v.isin(*INVALID), "invalid"),
+        have(F.col("qualification_status") == "partially_classified", "partially_classified"), have(F.col("qualification_status") == "inconsistent", "qualification_inconsistent"),
+        have(F.col("caller_known"), "known_callers"), have(F.col("collection_flagged"), "flagged"), have(F.col("has_client") & F.col("has_server"), "both_sides"), F.count_distinct("client_key").alias("clients"),
     )
-    return out.select("*", ratio("success", "decided").alias("success_rate"), ratio("corroborated", "attempts").alias("corroborated_share"), ratio("qualified", "attempts").alias("qualified_share"))
+    shares = {"success_rate": ("success", "decided"), "completion_rate": ("completed", "attempts"), "operation_coverage": ("resolved", "attempts"), "attempts_per_operation": ("attempts", "operations"), "corroborated_share": ("corroborated", "attempts"), "qualified_share": ("qualified", "attempts"), "caller_coverage": ("known_callers", "attempts")}
+    return out.select("*", *(ratio(a, b).alias(name) for name, (a, b) in shares.items()), (1 - ratio("flagged", "attempts")).alias("collection_coverage"))
 
 
 def measurement_label(rows: DataFrame, as_of: str, days: int) -> DataFrame:

@@ -19,18 +19,22 @@ def _first(source: str, at: str, columns: list[str]) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY decision_id, tool ORDER BY line_no, tie, {at}, concat_ws('|', {tie})) AS rn FROM {source}) WHERE rn = 1"
 
 
+#: Where the window of choices begins.
+SINCE = "1996-06-01 00:00:00"
+
 STEPS |= {
     "s_presented": _first("fx_presentations", "presented_at", PRESENTED),
     "s_selected": _first("fx_selections", "selected_at", SELECTED),
-    "s_p": "SELECT * FROM s_presented WHERE context = 'production' AND validity = 'normal'",
-    "s_s": "SELECT * FROM s_selected WHERE context = 'production' AND validity = 'normal'",
+    "s_p": f"SELECT * FROM s_presented WHERE context = 'production' AND validity = 'normal' AND presented_at >= TIMESTAMP '{SINCE}'",
+    "s_s": f"SELECT * FROM s_selected WHERE context = 'production' AND validity = 'normal' AND selected_at >= TIMESTAMP '{SINCE}'",
+    "s_s_ever": "SELECT * FROM s_selected WHERE context = 'production' AND validity = 'normal'",
     "s_pairs": """
-SELECT a.decision_id, a.candidate_set_id, a.choice_mode, a.tool AS tool_a, b.tool AS tool_b FROM s_p a JOIN s_p b
+SELECT a.decision_id, a.candidate_set_id, a.choice_mode, CASE WHEN a.project_id = b.project_id THEN a.project_id END AS project_id, a.tool AS tool_a, b.tool AS tool_b FROM s_p a JOIN s_p b
 ON a.decision_id = b.decision_id AND a.candidate_set_id = b.candidate_set_id AND a.choice_mode = b.choice_mode AND a.tool < b.tool""",
     "s_matrix": """
 SELECT *, a_selected / nullif(a_selected + b_selected, 0) AS share_a FROM (SELECT tool_a, tool_b, count(DISTINCT p.decision_id) AS co_presented,
   count(DISTINCT p.decision_id) FILTER (s.tool = tool_a) AS a_selected, count(DISTINCT p.decision_id) FILTER (s.tool = tool_b) AS b_selected
-FROM s_pairs p LEFT JOIN s_s s ON p.decision_id = s.decision_id AND p.candidate_set_id = s.candidate_set_id AND p.choice_mode = s.choice_mode GROUP BY tool_a, tool_b)""",
+FROM s_pairs p LEFT JOIN s_s s ON p.decision_id = s.decision_id AND p.candidate_set_id = s.candidate_set_id AND p.choice_mode = s.choice_mode AND p.project_id = s.project_id GROUP BY tool_a, tool_b)""",
     "s_exact": """
 SELECT r.project_id, r.tool_use_id, min(q.line_no) AS request_line, min(r.tool) AS tool FROM
   (SELECT project_id, tool_use_id, min(line_no) AS line_no, arg_min(tool, line_no) AS tool FROM fx_consumption WHERE type = 'tool_result' AND tool_use_id IS NOT NULL GROUP BY ALL) r
@@ -65,32 +69,32 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("presented_opportunities", "SELECT tool, count(DISTINCT decision_id) AS presented FROM s_p GROUP BY tool")
 def _presented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choice.presented_opportunities(both(spark, sf_dir)[0])
+    return choice.presented_opportunities(both(spark, sf_dir)[0], SINCE)
 
 
 @query(
     "selection_rate",
     """SELECT *, selected / presented AS rate FROM (SELECT p.tool, count(DISTINCT p.decision_id) AS presented, count(DISTINCT s.decision_id) AS selected FROM s_p p
-    LEFT JOIN s_s s ON p.decision_id = s.decision_id AND p.tool = s.tool AND p.candidate_set_id IS NOT DISTINCT FROM s.candidate_set_id AND p.project_id = s.project_id GROUP BY p.tool)""",
+    LEFT JOIN s_s_ever s ON p.decision_id = s.decision_id AND p.tool = s.tool AND p.candidate_set_id IS NOT DISTINCT FROM s.candidate_set_id AND p.project_id = s.project_id GROUP BY p.tool)""",
 )
 def _rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choice.selection_rate(*both(spark, sf_dir))
+    return choice.selection_rate(*both(spark, sf_dir), SINCE)
 
 
 for _name, _side in {"presentation_share": 0, "selection_share": 1}.items():
     query(_name, f"SELECT category_id, tool, n, n / sum(n) OVER (PARTITION BY category_id) AS share FROM (SELECT category_id, tool, count(DISTINCT decision_id) AS n FROM {('s_p', 's_s')[_side]} GROUP BY ALL)")(
-        lambda spark, sf_dir, side=_side: choice.share_in_category(both(spark, sf_dir)[side])
+        lambda spark, sf_dir, side=_side: choice.share_in_category(choice.since(both(spark, sf_dir)[side], ("presented_at", "selected_at")[side], SINCE))
     )
 
 
 @query("head_to_head_matrix", "SELECT * FROM s_matrix")
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choice.head_to_head_matrix(*both(spark, sf_dir))
+    return choice.head_to_head_matrix(*both(spark, sf_dir), SINCE)
 
 
 @query("head_to_head", "SELECT * FROM s_matrix WHERE tool_a = 'tool-1' AND tool_b = 'tool-4'")
 def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choice.head_to_head(*both(spark, sf_dir), "tool-4", "tool-1")
+    return choice.head_to_head(*both(spark, sf_dir), "tool-4", "tool-1", SINCE)
 
 
 @query(
@@ -99,7 +103,7 @@ def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY CUBE (choice_mode, decision_authority, selection_constraint)""",
 )
 def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choice.choice_axes(both(spark, sf_dir)[1])
+    return choice.choice_axes(choice.since(both(spark, sf_dir)[1], "selected_at", SINCE))
 
 
 @query("consumption_exact", "SELECT project_id, tool_use_id, request_line, tool FROM s_exact")

@@ -28,7 +28,8 @@ def envelope(obs: DataFrame) -> DataFrame:
     n = F.regexp_extract("observation_id", r"^obs-(\d+)-", 1).cast("long")
     caller = F.struct(F.lit("unknown").alias("type"), F.lit("rt").alias("runtime"), F.when(n % 29 == 0, "declared").otherwise("unknown").alias("identity_strength"))
     started = F.col("observation_type") == "attempt_started"
-    payload = F.struct("tool_call_id", "trace_id", "operation_id", "task_id", F.when(~started, F.coalesce("outcome", F.lit("unknown"))).alias("outcome"), F.when(~started, F.col("duration_ms")).alias("duration_ms"))
+    only = lambda c: F.when(started, F.col(c)).alias(c)
+    payload = F.struct("tool_call_id", only("trace_id"), only("operation_id"), only("task_id"), F.when(~started, F.coalesce("outcome", F.lit("unknown"))).alias("outcome"), F.when(~started, F.col("duration_ms")).alias("duration_ms"))
     row = F.struct(
         F.lit("0.4").alias("spec_version"), F.when(n % 31 != 0, F.col("observation_id")).alias("observation_id"), F.when(n % 37 == 0, "odd").otherwise(F.col("observation_type")).alias("observation_type"),
         F.struct(F.col("observer_principal").alias("principal"), "trust_domain", F.col("observer_side").alias("side")).alias("observer"),
@@ -36,6 +37,7 @@ def envelope(obs: DataFrame) -> DataFrame:
         F.struct(F.concat(F.lit("mcp_tool:"), "tool").alias("surface_id")).alias("surface"), caller.alias("caller"), "client_key", "usage_context", "validity", payload.alias("payload"),
     )
     line = F.to_json(row)
+    line = F.when(n % 53 == 0, F.replace(line, F.lit('"spec_version":"0.4"'), F.lit('"spec_version":0.4'))).otherwise(line)
     line = F.when(n % 43 == 0, F.substring(line, 1, 20)).when(n % 47 == 0, F.concat(F.lit('{"zzz":1,'), F.substring(line, 2, 1_000_000))).otherwise(line)
     return obs.select(line.alias("value"), n.alias("n"), "line_no")
 
@@ -45,28 +47,36 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STEPS |= {
-    "s_faults": """SELECT *, CASE WHEN n % 43 = 0 THEN 'observation' WHEN n % 31 = 0 THEN 'observation.observation_id' WHEN n % 47 = 0 THEN 'observation' WHEN n % 37 = 0 THEN 'observation.observation_type' WHEN n % 41 = 0 THEN 'observation.observed_at'
-      WHEN n % 29 = 0 THEN 'observation' END AS reason FROM (SELECT *, CAST(regexp_extract(observation_id, '^obs-([0-9]+)-', 1) AS BIGINT) AS n FROM s_obs)""",
+    "s_faults": """SELECT *, CASE WHEN n % 43 = 0 THEN 'observation: not a JSON object' ELSE concat_ws('; ', CASE WHEN n % 31 = 0 THEN 'observation.observation_id: required' END,
+      CASE WHEN n % 53 = 0 THEN 'observation.spec_version: expected string' END, CASE WHEN n % 47 = 0 THEN 'observation: unexpected zzz' END, CASE WHEN n % 37 = 0 THEN 'observation.observation_type: not allowed' END,
+      CASE WHEN n % 41 = 0 THEN 'observation.observed_at: not a timestamp' END, CASE WHEN n % 11 = 0 AND n % 37 <> 0 THEN 'observation.payload.tool_call_id: required' END,
+      CASE WHEN n % 29 = 0 THEN 'observation: caller type and strength contradict' END) END AS errors FROM (SELECT *, CAST(regexp_extract(observation_id, '^obs-([0-9]+)-', 1) AS BIGINT) AS n FROM s_obs)""",
 }
 
 
-@query("reject_reasons", "SELECT reason, count(*) AS n FROM s_faults GROUP BY reason")
+@query("reject_reasons", "SELECT CASE WHEN errors <> '' THEN substr(split_part(errors, ':', 1), 1, 40) END AS reason, count(*) AS n FROM s_faults GROUP BY ALL")
 def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.reject_reasons(ingest.validate_envelope(parsed(spark, sf_dir)))
 
 
-@query(
-    "validate_envelope",
-    """SELECT n, line_no, CAST(CASE WHEN n % 43 = 0 THEN 1 ELSE (n % 31 = 0)::INT + (n % 47 = 0)::INT + (n % 37 = 0)::INT + (n % 41 = 0)::INT + (n % 29 = 0)::INT END AS BIGINT) AS n_errors FROM s_faults""",
-)
+@query("validate_envelope", "SELECT n, line_no, errors FROM s_faults")
 def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.validate_envelope(parsed(spark, sf_dir)).select("n", "line_no", F.size("errors").cast("long").alias("n_errors"))
+    return ingest.validate_envelope(parsed(spark, sf_dir)).select("n", "line_no", F.array_join("errors", "; ").alias("errors"))
+
+
+FLAT = "observation_id observation_type observer_principal observer_side trust_domain project_id surface_id tool tool_call_id trace_id operation_id task_id outcome duration_ms client_key caller_runtime identity_strength usage_context validity context_source".split()
 
 
-@query("flatten_observation", "SELECT observation_id, observer_principal, project_id, tool, tool_call_id, coalesce(usage_context, 'unknown') AS usage_context FROM s_faults WHERE reason IS NULL")
+@query(
+    "flatten_observation",
+    """SELECT observation_id, observation_type, observer_principal, observer_side, trust_domain, project_id, concat('mcp_tool:', tool) AS surface_id, tool, tool_call_id,
+    CASE WHEN observation_type = 'attempt_started' THEN trace_id END AS trace_id, CASE WHEN observation_type = 'attempt_started' THEN operation_id END AS operation_id, CASE WHEN observation_type = 'attempt_started' THEN task_id END AS task_id,
+    CASE WHEN observation_type <> 'attempt_started' THEN coalesce(outcome, 'unknown') END AS outcome, CASE WHEN observation_type <> 'attempt_started' THEN duration_ms END AS duration_ms, client_key,
+    'rt' AS caller_runtime, 'unknown' AS identity_strength, usage_context, validity, 'none' AS context_source FROM s_faults WHERE errors = ''""",
+)
 def _flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = ingest.validate_envelope(parsed(spark, sf_dir)).where(F.size("errors") == 0)
-    return ingest.flatten_observation(good).select("observation_id", "observer_principal", "project_id", "tool", "tool_call_id", "usage_context")
+    return ingest.flatten_observation(good).select(*FLAT)
 
 
 @query("default_project", "SELECT CASE WHEN n % 3 = 0 THEN 'fallback' ELSE project_id END AS project_id, count(*) AS n FROM (SELECT project_id, line_no AS n FROM s_obs) GROUP BY ALL")
@@ -89,29 +99,16 @@ def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("line_no", ingest.parse_ts(said).cast("timestamp_ntz").alias("at")).groupBy("line_no", "at").agg(F.count("*").alias("n"))
 
 
-RAW = "tool AS tool_name, tool, tool_call_id AS tool_use_id, tool_call_id, trace_id, client_key AS session_id, CAST(NULL AS STRING) AS session_key, outcome, CAST(NULL AS STRING) AS duration_bucket, CAST(duration_ms AS STRING) AS duration_ms, CAST(NULL AS STRING) AS lifecycle_stage"
-
-
-@query(
-    "normalize_adapter",
-    """SELECT caller_runtime, observer_side, outcome, lifecycle, count(*) AS n, count(duration_ms) AS timed FROM
-    (SELECT 'codex' AS caller_runtime, 'client' AS observer_side, 'unknown' AS outcome, 'L1' AS lifecycle, CAST(NULL AS BIGINT) AS duration_ms FROM s_obs UNION ALL
-     SELECT 'mcp', 'server', coalesce(outcome, 'unknown'), CASE WHEN outcome IN ('success', 'failure') THEN 'L2' ELSE 'L1' END, duration_ms FROM s_obs UNION ALL
-     SELECT 'deepseek-harness', 'client', coalesce(outcome, 'unknown'), 'L2', NULL FROM s_obs) GROUP BY caller_runtime, observer_side, outcome, lifecycle""",
-)
-def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = observations(spark, sf_dir).selectExpr(*(RAW.split(", ")))
-    every = [ingest.normalize_adapter(raw, s, "p", "who") for s in ("codex-hook", "mcp-wrapper", "dsh")]
-    rows = every[0].unionByName(every[1]).unionByName(every[2])
-    return rows.groupBy("caller_runtime", "observer_side", "outcome", "lifecycle").agg(F.count("*").alias("n"), F.count("duration_ms").alias("timed"))
+RAW = "tool AS tool_name, tool, tool_call_id AS tool_use_id, tool_call_id, trace_id, client_key AS session_id, CAST(NULL AS STRING) AS session_key, outcome, CAST(NULL AS STRING) AS duration_bucket, CAST(duration_ms AS STRING) AS duration_ms, CAST(NULL AS STRING) AS lifecycle_stage, observation_id AS event_id, CAST(observed_at AS STRING) AS observed_at"
 
 
-@query("redact", "SELECT observation_id, tool FROM s_obs WHERE line_no % 3 <> 0")
+@query("redact", "SELECT observation_id, tool FROM s_obs WHERE line_no % 3 <> 0 AND line_no % 5 <> 0")
 def _redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     plain = F.to_json(F.struct("observation_id", "tool", "outcome"))
     leaky = F.to_json(F.struct("observation_id", "tool", F.lit("hello").alias("Prompt")))
-    lines = obs.select(F.when(F.col("line_no") % 3 == 0, leaky).otherwise(plain).alias("value"))
+    named = F.to_json(F.struct("observation_id", "tool", F.lit("a@b.c").alias("email")))
+    lines = obs.select(F.when(F.col("line_no") % 3 == 0, leaky).when(F.col("line_no") % 5 == 0, named).otherwise(plain).alias("value"))
     return ingest.redact(lines, ("observation_id", "tool"))
 
 
@@ -137,6 +134,26 @@ def _pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.pseudonymize(rows, ingest.monthly_pads(spark, SECRET, MONTHS), "host-1", "raw", "observed_at").select("observation_id", "client_key")
 
 
+STEPS["s_padded"] = f"SELECT * FROM s_obs LEFT JOIN (VALUES {_pad_rows()}) AS pads(month, ipad, opad) ON strftime(observed_at, '%Y-%m') = month"
+
+
+def _session(host: str) -> str:
+    return f"CASE WHEN coalesce(client_key, '') <> '' THEN concat('p-', substr(sha256(unhex(opad) || unhex(sha256(unhex(ipad) || encode(concat('{host}:', client_key))))), 1, 20)) END AS session_key"
+
+
+@query(
+    "normalize_adapter",
+    f"""SELECT observation_id AS source_event_id, 'codex' AS caller_runtime, 'client' AS observer_side, 'hook' AS provenance, tool, tool_call_id, CAST(NULL AS VARCHAR) AS trace_id, 'unknown' AS outcome, 'L1' AS lifecycle, CAST(NULL AS BIGINT) AS duration_ms, {_session("codex")} FROM s_padded UNION ALL
+    SELECT observation_id, 'mcp', 'server', 'wrapper', tool, tool_call_id, trace_id, coalesce(outcome, 'unknown'), CASE WHEN outcome IN ('success', 'failure') THEN 'L2' ELSE 'L1' END, duration_ms, {_session("mcp")} FROM s_padded UNION ALL
+    SELECT observation_id, 'deepseek-harness', 'client', 'platform', tool, tool_call_id, trace_id, coalesce(outcome, 'unknown'), 'L2', NULL, {_session("deepseek-harness")} FROM s_padded""",
+)
+def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = observations(spark, sf_dir).selectExpr(*(RAW.split(", ")))
+    every = [ingest.normalize_adapter(raw, s, "p", "who", ingest.monthly_pads(spark, SECRET, MONTHS)) for s in ("codex-hook", "mcp-wrapper", "dsh")]
+    rows = every[0].unionByName(every[1]).unionByName(every[2])
+    return rows.select("source_event_id", "caller_runtime", "observer_side", "provenance", "tool", "tool_call_id", "trace_id", "outcome", "lifecycle", "duration_ms", "session_key")
+
+
 COMMITMENT = f"CASE WHEN coalesce(trace_id, '') <> '' OR coalesce(tool_call_id, '') <> '' THEN concat('c-', substr(sha256(concat_ws('||', '{PREFIX}', coalesce(project_id, ''), coalesce(trace_id, ''), coalesce(tool_call_id, ''))), 1, 32)) END"
 
 
@@ -162,7 +179,7 @@ def _correspond(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "migrate_legacy",
     """SELECT stage, evidence, validity, legacy_retry, count(*) AS n FROM (SELECT CASE lifecycle WHEN 'L1' THEN 'invoked' WHEN 'L2' THEN 'completed' END AS stage,
-    CASE line_no % 4 WHEN 0 THEN 'observed' WHEN 1 THEN 'authenticated' WHEN 2 THEN 'corroborated' ELSE 'E3' END AS evidence, CASE WHEN line_no % 5 = 0 THEN 'unknown' ELSE validity END AS validity,
+    CASE line_no % 4 WHEN 0 THEN 'observed' WHEN 1 THEN 'authenticated' WHEN 2 THEN 'corroborated' ELSE 'platform-attested' END AS evidence, CASE WHEN line_no % 5 = 0 THEN 'unknown' ELSE validity END AS validity,
     line_no % 5 = 0 AND operation_id IS NULL AS legacy_retry FROM s_obs) GROUP BY stage, evidence, validity, legacy_retry""",
 )
 def _migrate(spark: SparkSession, sf_dir: str) -> DataFrame:

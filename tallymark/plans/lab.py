@@ -21,6 +21,14 @@ def _wilson(k: str, n: str) -> tuple[str, str]:
     return f"greatest(0.0, {centre} - {half})", f"least(1.0, {centre} + {half})"
 
 
+def _power() -> str:
+    """The polynomial of two_sided_p, in t."""
+    power = repr(stats.ERFC[-1])
+    for c in reversed(stats.ERFC[:-1]):
+        power = f"({power} * t + {c!r})"
+    return power
+
+
 def _compared(cells: str, keys: str, rate: str = "selection_rate", min_n: int = 100) -> str:
     """The SELECT of compare_arms."""
     k, n = experiment.RATES[rate]
@@ -28,12 +36,15 @@ def _compared(cells: str, keys: str, rate: str = "selection_rate", min_n: int =
     same = " AND ".join(f"a.{c} = b.{c}" for c in keys.split(", ") if c) or "true"
     inner = f"""SELECT a.*, coalesce(b.k, 0) AS k0, coalesce(b.n, 0) AS n0 FROM (SELECT {keys + ", " if keys else ""}variant_id, {k} AS k, {n} AS n FROM {cells} WHERE variant_id <> 'v0') a
       LEFT JOIN (SELECT {keys + ", " if keys else ""}{k} AS k, {n} AS n FROM {cells} WHERE variant_id = 'v0') b ON {same}"""
-    return f"""SELECT *, CASE WHEN NOT (n0 > 0 AND n > 0 AND n0 >= {min_n} AND n >= {min_n}) THEN 'undetermined' WHEN abs(z) > {stats.critical_z(0.05)!r} THEN 'significant' ELSE 'null_result' END AS verdict,
-    CASE WHEN n0 > 0 AND n > 0 AND n0 >= {min_n} AND n >= {min_n} AND abs(z) > {stats.critical_z(0.05)!r} THEN CASE WHEN difference > 0 THEN 'improvement' ELSE 'regression' END END AS direction FROM
-    (SELECT *, k / n - k0 / n0 AS difference,
+    return f"""SELECT *, CASE WHEN NOT (n0 > 0 AND n > 0 AND n0 >= {min_n} AND n >= {min_n}) THEN 'undetermined' WHEN p_value < 0.05 THEN 'significant' ELSE 'null_result' END AS verdict,
+    CASE WHEN NOT (n0 > 0 AND n > 0) THEN 'empty arm' WHEN NOT (n0 >= {min_n} AND n >= {min_n}) THEN 'small sample' WHEN p_value >= 0.05 THEN 'no significant difference' END AS reason,
+    CASE WHEN n0 > 0 AND n > 0 AND difference <> 0 AND NOT (n0 >= {min_n} AND n >= {min_n} AND p_value < 0.05) THEN CAST(ceil({(stats.critical_z(0.05) + stats.NormalDist().inv_cdf(0.8)) ** 2!r} *
+      (q * (1 - q) + k / n * (1 - k / n)) / ((k / n - q) * (k / n - q))) AS BIGINT) END AS required_n,
+    CASE WHEN n0 > 0 AND n > 0 AND n0 >= {min_n} AND n >= {min_n} AND p_value < 0.05 THEN CASE WHEN difference > 0 THEN 'improvement' ELSE 'regression' END END AS direction FROM
+    (SELECT *, least(1.0, t * exp(-x * x + {_power()})) AS p_value, CASE WHEN k0 > 0 THEN k0 / n0 WHEN n0 < {min_n} OR n < {min_n} THEN difference / 2 + 0.01 ELSE 0.02 END AS q FROM (SELECT *, 1 / (1 + x / 2) AS t FROM (SELECT *, abs(z) / {2**0.5!r} AS x FROM (SELECT *, k / n - k0 / n0 AS difference,
       CASE WHEN n0 > 0 AND n > 0 THEN greatest(-1.0, k / n - k0 / n0 - sqrt((k / n - {l2}) * (k / n - {l2}) + ({u1} - k0 / n0) * ({u1} - k0 / n0))) END AS low,
       CASE WHEN n0 > 0 AND n > 0 THEN least(1.0, k / n - k0 / n0 + sqrt(({u2} - k / n) * ({u2} - k / n) + (k0 / n0 - {l1}) * (k0 / n0 - {l1}))) END AS high,
-      CASE WHEN n0 > 0 AND n > 0 THEN CASE WHEN (k + k0) IN (0, n + n0) THEN 0.0 ELSE (k / n - k0 / n0) / sqrt((k + k0) / (n + n0) * (1 - (k + k0) / (n + n0)) * (1 / n0 + 1 / n)) END END AS z FROM ({inner}))"""
+      CASE WHEN n0 > 0 AND n > 0 THEN CASE WHEN (k + k0) IN (0, n + n0) THEN 0.0 ELSE (k / n - k0 / n0) / sqrt((k + k0) / (n + n0) * (1 - (k + k0) / (n + n0)) * (1 / n0 + 1 / n)) END END AS z FROM ({inner})))))"""
 
 
 STEPS |= {
@@ -44,12 +55,15 @@ STEPS |= {
     "s_compared": _compared("s_cells", ""),
     "s_cmp_off": _compared("s_off", "task_id"),
     "s_cmp_prod": _compared("s_prod", "task_id"),
-    "s_fake": f"""SELECT variant_id, difference AS consumption_delta, coalesce(difference < -0.005 AND (abs(z) > {stats.critical_z(0.05)!r} OR difference < -0.05), false) AS flagged,
-      CASE WHEN difference < -0.005 AND abs(z) > {stats.critical_z(0.05)!r} THEN 'significant' WHEN difference < -0.05 THEN 'material' END AS kind FROM ({_compared("s_cells", "", "consumption_rate", 0)})""",
+    "s_fake": f"""SELECT variant_id, difference AS consumption_delta, coalesce(difference < -0.005 AND (p_value < 0.05 OR difference < -0.05), false) AS flagged,
+      CASE WHEN difference < -0.005 AND p_value < 0.05 THEN 'significant' WHEN difference < -0.05 THEN 'material' END AS kind FROM ({_compared("s_cells", "", "consumption_rate", 0)})""",
     "s_guard": """SELECT variant_id, metric, value, CASE WHEN value IS NULL THEN 'unknown' WHEN value > hi OR value < lo THEN 'breach' ELSE 'pass' END AS status FROM
       (SELECT variant_id, 'selection_rate' AS metric, selection_rate AS value, CAST(NULL AS DOUBLE) AS hi, 0.4 AS lo FROM s_rates UNION ALL SELECT variant_id, 'cost_per_operation', cost_per_operation, 22.0, CAST(NULL AS DOUBLE) FROM s_rates)""",
     "s_margin": """SELECT variant_id, selection_rate - (SELECT selection_rate FROM s_rates WHERE variant_id = 'v0') AS selection_delta, true AS computable,
       100000.0 * (selection_rate - (SELECT selection_rate FROM s_rates WHERE variant_id = 'v0')) * operation_success_rate * consumption_rate * 0.1 * 2.0 - 50.0 AS margin FROM s_rates WHERE variant_id <> 'v0'""",
+    "s_improved": "SELECT c.variant_id, c.verdict = 'significant' AND c.direction = 'improvement' AS improved, m.margin, r.cost_per_operation AS cost, r.consumption_rate AS consumption FROM s_compared c JOIN s_margin m ON c.variant_id = m.variant_id JOIN s_rates r ON c.variant_id = r.variant_id",
+    "s_dominated": """SELECT b.variant_id, (SELECT min(a.variant_id) FROM s_improved a WHERE b.improved AND a.improved AND a.variant_id <> b.variant_id AND a.margin >= b.margin * 0.98 AND a.cost < b.cost * 0.98
+      AND a.consumption >= b.consumption) AS dominated_by FROM s_improved b""",
     "s_calibrated": """SELECT *, CASE WHEN width > 0 THEN transfer - width END AS transfer_low, CASE WHEN width > 0 THEN transfer + width END AS transfer_high,
       CASE WHEN vo IS NULL OR vp IS NULL THEN 'not_comparable' WHEN vp = 'undetermined' THEN 'undetermined' WHEN vp = 'significant' AND difference_off * difference_prod > 0 THEN 'production_confirmed'
         WHEN vp = 'significant' AND difference_off * difference_prod < 0 THEN 'direction_mismatch' WHEN vp = 'null_result' THEN 'transfer_not_established' ELSE 'not_comparable' END AS calibration FROM
@@ -140,20 +154,17 @@ def _newcombe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir).select("variant_id", "low", "high")
 
 
-_za, _zb = stats.critical_z(0.05), stats.NormalDist().inv_cdf(0.8)
-
-
 @query(
     "required_n",
-    f"""SELECT variant_id, uplift, CAST(ceil(power({_za!r} * sqrt(2 * m * (1 - m)) + {_zb!r} * sqrt(p * (1 - p) + (p + uplift) * (1 - p - uplift)), 2) / (uplift * uplift)) AS BIGINT) AS n FROM
-    (SELECT variant_id, u.uplift, selected / reached AS p, selected / reached + u.uplift / 2 AS m FROM s_cells, (VALUES (CAST(0.02 AS DOUBLE)), (0.03), (0.05), (0.08)) AS u(uplift))""",
+    f"""SELECT variant_id, uplift, CAST(ceil({(stats.critical_z(0.05) + stats.NormalDist().inv_cdf(0.8)) ** 2!r} * (p * (1 - p) + (p + uplift) * (1 - p - uplift)) / ((p + uplift - p) * (p + uplift - p))) AS BIGINT) AS n FROM
+    (SELECT variant_id, u.uplift, selected / reached AS p FROM s_cells, (VALUES (CAST(0.02 AS DOUBLE)), (0.03), (0.05), (0.08)) AS u(uplift))""",
 )
 def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir).select("variant_id", (F.col("selected") / F.col("reached")).alias("p"), F.explode(F.array(*map(F.lit, (0.02, 0.03, 0.05, 0.08)))).alias("uplift"))
     return rows.select("variant_id", "uplift", stats.required_n("p", F.col("p") + F.col("uplift")).cast("long").alias("n"))
 
 
-@query("compare_arms", "SELECT variant_id, k, n, k0, n0, difference, low, high, z, verdict, direction FROM s_compared")
+@query("compare_arms", "SELECT variant_id, k, n, k0, n0, difference, low, high, z, p_value, verdict, direction, reason, required_n FROM s_compared")
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir)
 
@@ -173,14 +184,12 @@ def _margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.margin(cells(spark, sf_dir), "v0", 100_000.0, 0.1, 2.0, 50.0)
 
 
-@query(
-    "dominance",
-    """SELECT b.variant_id, (SELECT min(a.variant_id) FROM d a WHERE b.improved AND a.improved AND a.variant_id <> b.variant_id AND a.margin >= b.margin * 0.98 AND a.cost < b.cost * 0.98 AND a.consumption >= b.consumption) AS dominated_by FROM
-    (SELECT c.variant_id, c.verdict = 'significant' AND c.direction = 'improvement' AS improved, m.margin, r.cost_per_operation AS cost, r.consumption_rate AS consumption FROM s_compared c JOIN s_margin m ON c.variant_id = m.variant_id JOIN s_rates r ON c.variant_id = r.variant_id) b""".replace(
-        "FROM d a", "FROM (SELECT c.variant_id, c.verdict = 'significant' AND c.direction = 'improvement' AS improved, m.margin, r.cost_per_operation AS cost, r.consumption_rate AS consumption FROM s_compared c JOIN s_margin m ON c.variant_id = m.variant_id JOIN s_rates r ON c.variant_id = r.variant_id) a"
-    ),
-)
+@query("dominance", "SELECT * FROM s_dominated")
 def _dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominated(spark, sf_dir)
+
+
+def dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, own = compared(spark, sf_dir), cells(spark, sf_dir)
     rates = experiment.with_rates(own).select("variant_id", F.col("cost_per_operation").alias("cost"), F.col("consumption_rate").alias("consumption"))
     earned = experiment.margin(own, "v0", 100_000.0, 0.1, 2.0, 50.0).select("variant_id", "margin")
@@ -190,12 +199,15 @@ def _dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "variant_verdicts",
-    """SELECT variant_id, verdict, direction, final, CASE WHEN final = 'improvement' THEN 'ship' WHEN final IN ('undetermined', 'null_result') THEN 'collect_more' ELSE 'hold' END AS action FROM
-    (SELECT c.variant_id, verdict, direction, CASE WHEN c.variant_id IN (SELECT variant_id FROM s_guard WHERE status = 'breach') THEN 'guardrail_breach' WHEN verdict <> 'significant' THEN verdict WHEN direction = 'regression' THEN 'regression'
-      WHEN f.flagged THEN 'fake_growth' ELSE 'improvement' END AS final FROM s_compared c LEFT JOIN s_fake f ON c.variant_id = f.variant_id)""",
+    """SELECT variant_id, verdict, direction, final, dominated_by, CASE WHEN dominated_by IS NOT NULL THEN concat('do not pick: dominated by ', dominated_by) WHEN final = 'adopt_candidate' THEN 'ship behind a flag'
+      WHEN final = 'effective_not_qualified' THEN 'do not ship: guardrail breach' WHEN final = 'unverified_growth' THEN 'do not ship: fix consumption first' WHEN final = 'regression_reject' THEN 'reject'
+      WHEN final = 'null_result' THEN 'no action' ELSE 'collect more data' END AS action FROM
+    (SELECT c.variant_id, verdict, direction, dominated_by, CASE WHEN verdict = 'significant' AND direction = 'improvement' THEN (CASE WHEN f.flagged THEN 'unverified_growth'
+        WHEN c.variant_id IN (SELECT variant_id FROM s_guard WHERE status = 'breach') THEN 'effective_not_qualified' ELSE 'adopt_candidate' END) WHEN verdict = 'significant' THEN 'regression_reject' ELSE verdict END AS final
+      FROM s_compared c LEFT JOIN s_fake f ON c.variant_id = f.variant_id LEFT JOIN s_dominated d ON c.variant_id = d.variant_id)""",
 )
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiment.variant_verdicts(compared(spark, sf_dir), experiment.fake_growth(cells(spark, sf_dir), "v0"), guarded(spark, sf_dir))
+    return experiment.variant_verdicts(compared(spark, sf_dir), experiment.fake_growth(cells(spark, sf_dir), "v0"), guarded(spark, sf_dir), dominated(spark, sf_dir))
 
 
 @query("calibrate", "SELECT task_id, variant_id, difference_off, difference_prod, transfer, transfer_low, transfer_high, width_off, width_prod, calibration FROM s_calibrated")
@@ -229,10 +241,14 @@ def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.plan_balance(planned(spark, sf_dir), 3, 20)
 
 
-@query("connector_aggregate", "SELECT variant_id, event, count(*) AS n FROM fx_funnel WHERE event IN ('reach', 'choice') GROUP BY ALL")
+@query(
+    "connector_aggregate",
+    """SELECT variant_id, CAST(count(*) FILTER (event = 'reach') AS BIGINT) AS reach, count(*) FILTER (event = 'choice' AND selected_subject) AS selected, count(*) FILTER (event = 'operation_result') AS operations,
+    count(*) FILTER (event = 'operation_result' AND outcome = 'success') AS operations_succeeded, CAST(coalesce(sum(attempts) FILTER (event = 'operation_result'), 0) AS BIGINT) AS attempts, CAST(0 AS BIGINT) AS consumed,
+    'consumption' AS excluded FROM fx_funnel WHERE event <> 'consumption' GROUP BY variant_id""",
+)
 def _connector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiers = {"reach": "export", "choice": "export", "attempt": "local", "consumption": "off"}
-    return experiment.connector_aggregate(funnel(spark, sf_dir), tiers, export=True)
+    return experiment.connector_aggregate(funnel(spark, sf_dir), {"choice": "export", "execution": "export", "consumption": "local"}, export=True)
 
 
 @query("table_fingerprint")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.plans.intake import scratch
+from tallymark.plans.intake import envelope, scratch
 from tallymark.plans.registry import query
+from tallymark.plans.usage import observations
 from tallymark.plans.views import view
 from tallymark.streaming import jobs
 
@@ -29,10 +30,24 @@ def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(spark, jobs.stream_ingest(source(spark, sf_dir, "fx_trace_obs"), "400 days")).select("observation_id", "tool")
 
 
+@query("stream_validated", "SELECT errors, count(*) AS n FROM s_faults GROUP BY errors")
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted lines have empty errors here."""
+    base, path = scratch(spark), scratch(spark)
+    envelope(observations(spark, sf_dir)).select("value").write.text(path)
+    jobs.stream_validated(spark.readStream.text(path), f"{base}/accepted", f"{base}/rejected", f"{base}/checkpoint").awaitTermination()
+    good = spark.read.parquet(f"{base}/accepted").select(F.lit("").alias("errors"))
+    return good.unionByName(spark.read.parquet(f"{base}/rejected").select(F.array_join("errors", "; ").alias("errors"))).groupBy("errors").agg(F.count("*").alias("n"))
+
+
 @query("stream_attempts", "SELECT attempt_key, count(*) AS n_obs FROM s_keyed_trace GROUP BY attempt_key")
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = scratch(spark)
-    stream = source(spark, sf_dir, "fx_trace_obs")
+    """In three batches, by the event's number, so that sides come late."""
+    base, path = scratch(spark), scratch(spark)
+    rows = view(spark, sf_dir, "fx_trace_obs")
+    for n in range(3):
+        rows.where(F.col("line_no") % 3 == n).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     jobs.stream_attempts(stream, f"{base}/ledger", f"{base}/attempts", f"{base}/checkpoint").awaitTermination()
     return jobs.latest(spark, f"{base}/attempts").select("attempt_key", "n_obs")
 
@@ -44,6 +59,17 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_latest(rows, ["day", "project_id"], spark, f"{base}/out", f"{base}/checkpoint")
 
 
+@query(
+    "stream_sliding_metrics",
+    """SELECT CAST(CAST(observed_at AS DATE) - CAST(k AS INT) AS VARCHAR) AS first_day, project_id, count(*) AS n FROM fx_trace_obs, (SELECT unnest(range(0, 30)) AS k) GROUP BY ALL""",
+)
+def _sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 30 days that slide by one, those still open included."""
+    out = jobs.stream_daily_metrics(source(spark, sf_dir, "fx_trace_obs"), every="30 days", slide="1 day")
+    base, rows = scratch(spark), out.select(F.col("window.start").cast("date").cast("string").alias("first_day"), "project_id", "n")
+    return jobs.run_latest(rows, ["first_day", "project_id"], spark, f"{base}/out", f"{base}/checkpoint")
+
+
 @query(
     "stream_consumption",
     """SELECT r.project_id, r.tool_use_id, q.line_no AS request_line FROM fx_consumption r JOIN fx_consumption q ON r.type = 'tool_result' AND q.type = 'request'

@@ -14,6 +14,10 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.dedup_observations(view(spark, sf_dir, "fx_obs"))
 
 
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.keyed(correlate.attempt_events_only(observations(spark, sf_dir)))
+
+
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.window(correlate.attempts(observations(spark, sf_dir)), AS_OF, DAYS)
 
@@ -90,12 +94,21 @@ SIMPLE = {
         """SELECT *, cost / nullif(successes, 0) AS cost_per_success, cost / nullif(operations, 0) AS cost_per_operation FROM
         (SELECT project_id, sum(cost) AS cost, count(*) FILTER (outcome = 'success') AS successes, count(DISTINCT operation_id) AS operations FROM s_w GROUP BY ALL)""",
     ),
+    "strict_qualified": (
+        lambda rows: metrics.strict_qualified(rows).select("attempt_id", "project_id", "tool", "outcome"),
+        "SELECT attempt_id, project_id, tool, outcome FROM s_w WHERE usage_context = 'production' AND validity = 'normal'",
+    ),
     "project_report": (
         metrics.project_report,
-        """SELECT *, success / nullif(decided, 0) AS success_rate, corroborated / attempts AS corroborated_share, qualified / attempts AS qualified_share FROM (SELECT project_id, count(*) AS attempts, count(DISTINCT operation_id) AS operations,
-        count(operation_id) AS resolved, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome IN ('success', 'failure', 'denied')) AS decided,
-        count(*) FILTER (evidence IN ('corroborated', 'independently-corroborated')) AS corroborated, count(*) FILTER (usage_context = 'production' AND validity = 'normal') AS qualified,
-        count(*) FILTER (caller_known) AS known_callers, count(*) FILTER (collection_flagged) AS flagged, count(DISTINCT client_key) AS clients FROM s_w GROUP BY ALL)""",
+        """SELECT *, success / nullif(decided, 0) AS success_rate, completed / attempts AS completion_rate, resolved / attempts AS operation_coverage, attempts / nullif(operations, 0) AS attempts_per_operation, corroborated / attempts AS corroborated_share,
+        qualified / attempts AS qualified_share, known_callers / attempts AS caller_coverage, 1 - flagged / attempts AS collection_coverage FROM (SELECT project_id, count(*) AS attempts, count(DISTINCT operation_id) AS operations,
+        count(operation_id) AS resolved, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome IN ('failure', 'denied')) AS failure, count(*) FILTER (outcome = 'unknown') AS outcome_unknown,
+        count(*) FILTER (outcome = 'inconsistent') AS outcome_inconsistent, count(*) FILTER (outcome IN ('success', 'failure', 'denied')) AS decided, count(*) FILTER (has_completed) AS completed,
+        count(*) FILTER (evidence IN ('corroborated', 'independently-corroborated')) AS corroborated, count(*) FILTER (evidence = 'independently-corroborated') AS independently_corroborated, count(*) FILTER (evidence = 'authenticated') AS authenticated,
+        count(*) FILTER (evidence = 'observed') AS observed, count(*) FILTER (usage_context = 'production' AND validity = 'normal') AS qualified, count(*) FILTER (usage_context = 'production' AND validity = 'unknown') AS extended,
+        count(*) FILTER (usage_context = 'unknown') AS unknown_context, count(*) FILTER (validity = 'unknown') AS unknown_validity, count(*) FILTER (validity NOT IN ('normal', 'unknown')) AS invalid,
+        count(*) FILTER (qualification_status = 'partially_classified') AS partially_classified, count(*) FILTER (qualification_status = 'inconsistent') AS qualification_inconsistent,
+        count(*) FILTER (caller_known) AS known_callers, count(*) FILTER (collection_flagged) AS flagged, count(*) FILTER (has_client AND has_server) AS both_sides, count(DISTINCT client_key) AS clients FROM s_w GROUP BY ALL)""",
     ),
     "lineage_coverage": (
         correlate.lineage_coverage,
@@ -113,7 +126,7 @@ SIMPLE = {
     ),
     "resolution_provenance": (
         correlate.resolution_provenance,
-        """SELECT operation_id, resolution, CASE WHEN max(n_operations) > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, count(*) AS attempts, list_sort(list(attempt_id)) AS source_attempt_ids,
+        """SELECT operation_id, resolution, CASE WHEN bool_or(ambiguous) THEN 'ambiguous' ELSE 'resolved' END AS status, count(*) AS attempts, list_sort(list(attempt_id)) AS source_attempt_ids,
         concat('op-', resolution) AS rule_id, '1' AS rule_version FROM s_w WHERE operation_id IS NOT NULL GROUP BY operation_id, resolution""",
     ),
     "repeat_clients": (
@@ -182,15 +195,15 @@ for _name, _columns in {
     "resolve_lifecycle": "lifecycle",
     "attempt_started_at": "started_at",
     "grade_evidence": "evidence",
-    "operations_explicit": "operation_id, resolution, n_operations",
+    "operations_explicit": "operation_id, resolution, ambiguous",
     "resolve_qualification": "usage_context, validity, qualification_status",
 }.items():
     _column(_name, _columns)
 
 
-@query("eligible", "SELECT 1 AS eligible, count(*) AS attempts FROM s_attempts")
+@query("eligible", "SELECT project_id, tool, 1 AS eligible, count(*) AS attempts FROM s_attempts GROUP BY project_id, tool")
 def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.attempts(observations(spark, sf_dir)).groupBy("eligible").agg(F.count("*").alias("attempts"))
+    return correlate.attempts(observations(spark, sf_dir)).groupBy("project_id", "tool", "eligible").agg(F.count("*").alias("attempts"))
 
 
 @query("operations_unknown", "SELECT project_id, tool, count(*) AS attempts FROM s_attempts WHERE operation_id IS NULL GROUP BY ALL")
@@ -203,7 +216,7 @@ def _unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT attempt_id, first_value(attempt_id) OVER (PARTITION BY project_id, tool, task_id, chain ORDER BY started_at, attempt_key) AS operation_id FROM
     (SELECT *, sum(fresh) OVER (PARTITION BY project_id, tool, task_id ORDER BY started_at, attempt_key) AS chain FROM
     (SELECT *, CASE WHEN lag(outcome) OVER (PARTITION BY project_id, tool, task_id ORDER BY started_at, attempt_key) IN ('failure', 'retry', 'denied') THEN 0 ELSE 1 END AS fresh
-    FROM s_attempts WHERE operation_id IS NULL AND task_id IS NOT NULL))""",
+    FROM s_attempts WHERE operation_id IS NULL AND task_id <> '' AND started_at IS NOT NULL))""",
 )
 def _structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = correlate.operations_structural(correlate.attempts(observations(spark, sf_dir)))
@@ -215,19 +228,17 @@ def _structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT s_w.project_id, observer_principal, count(DISTINCT s_w.attempt_key) AS attempts FROM s_keyed JOIN s_w ON s_keyed.attempt_key = s_w.attempt_key GROUP BY ALL",
 )
 def _observers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir)
-    return metrics.observer_mix(windowed(spark, sf_dir), correlate.observation_links(obs), obs)
+    return metrics.observer_mix(keyed(spark, sf_dir), AS_OF, DAYS)
 
 
 @query(
     "caller_mix",
-    """SELECT caller_runtime, identity_strength, CAST(grouping(caller_runtime, identity_strength) AS BIGINT) AS level, count(DISTINCT s_w.attempt_key) AS attempts
+    """SELECT s_w.project_id, caller_runtime, identity_strength, CAST(grouping(caller_runtime, identity_strength) AS BIGINT) AS level, count(DISTINCT s_w.attempt_key) AS attempts
     FROM s_keyed JOIN s_w ON s_keyed.attempt_key = s_w.attempt_key WHERE caller_runtime IS NOT NULL
-    GROUP BY GROUPING SETS ((caller_runtime, identity_strength), (caller_runtime), (identity_strength))""",
+    GROUP BY GROUPING SETS ((s_w.project_id, caller_runtime, identity_strength), (s_w.project_id, caller_runtime), (s_w.project_id, identity_strength))""",
 )
 def _callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir)
-    return metrics.caller_mix(windowed(spark, sf_dir), correlate.observation_links(obs), obs)
+    return metrics.caller_mix(keyed(spark, sf_dir), AS_OF, DAYS)
 
 
 @query(

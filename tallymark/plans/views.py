@@ -166,10 +166,14 @@ def _first(source: str, columns: list[str]) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY observed_at, line_no, concat_ws('|', {tie})) AS rn FROM {source} WHERE observation_id <> '') WHERE rn = 1"
 
 
+def _part(x: str) -> str:
+    return f"coalesce(CAST(length({x}) AS VARCHAR) || ':' || {x}, '-')"
+
+
 def _keyed(source: str) -> str:
-    group = "concat_ws('|', 't', coalesce(project_id, ''), trace_id, coalesce(tool, ''), CAST(CAST(floor(epoch(observed_at) / 300) AS BIGINT) AS VARCHAR))"
+    group = f"concat_ws('|', 't', {_part('project_id')}, {_part('trace_id')}, {_part('tool')}, CAST(CAST(floor(epoch(observed_at) / 300) AS BIGINT) AS VARCHAR))"
     return f"""
-SELECT *, CASE WHEN tool_call_id <> '' THEN concat_ws('|', 'c', coalesce(project_id, ''), coalesce(tool, ''), tool_call_id)
+SELECT *, CASE WHEN tool_call_id <> '' THEN concat_ws('|', 'c', {_part('project_id')}, {_part('tool')}, {_part('tool_call_id')})
     WHEN two THEN g ELSE concat_ws('|', 's', observation_id) END AS attempt_key,
   CASE WHEN tool_call_id <> '' THEN 'call_id' WHEN two THEN 'trace_window' ELSE 'none' END AS matched_by
 FROM (SELECT *, g IS NOT NULL AND min(observer_side) OVER (PARTITION BY g) <> max(observer_side) OVER (PARTITION BY g) AS two
@@ -188,12 +192,13 @@ SELECT attempt_key, min(matched_by) AS matched_by, min(project_id) AS project_id
   CASE WHEN count(DISTINCT concat_ws('@', observer_principal, trust_domain)) >= 2 AND count(DISTINCT trust_domain) >= 2 THEN 'independently-corroborated'
     WHEN count(DISTINCT concat_ws('@', observer_principal, trust_domain)) >= 2 THEN 'corroborated'
     WHEN coalesce(bool_or(signature_valid), false) THEN 'authenticated' ELSE 'observed' END AS evidence,
-  arg_min(operation_id, line_no) FILTER (operation_id IS NOT NULL) AS operation_id, CAST(count(DISTINCT operation_id) AS BIGINT) AS n_operations,
+  arg_min(operation_id, line_no) FILTER (operation_id IS NOT NULL) AS operation_id, count(DISTINCT operation_id) > 1 AS ambiguous,
   min(task_id) AS task_id, min(client_key) AS client_key,
   CASE WHEN count(DISTINCT usage_context) FILTER (usage_context <> 'unknown') = 0 THEN 'unknown' WHEN count(DISTINCT usage_context) FILTER (usage_context <> 'unknown') > 1 THEN 'inconsistent'
     ELSE min(usage_context) FILTER (usage_context <> 'unknown') END AS usage_context,
   bool_or(usage_context = 'unknown') AS context_unknown,
-  bool_or(validity = 'normal' AND validity_source = 'provider_configuration') AS discarded,
+  count(DISTINCT validity) FILTER (validity <> 'unknown') AS values_said,
+  count(DISTINCT validity) FILTER (validity <> 'unknown' AND NOT (validity = 'normal' AND validity_source = 'provider_configuration')) AS values_kept,
   CASE max(CASE WHEN validity = 'normal' AND validity_source = 'provider_configuration' THEN NULL WHEN validity = 'normal' THEN 0 WHEN validity = 'replay' THEN 4 WHEN validity = 'suspected_invalid' THEN 5 END)
     WHEN 0 THEN 'normal' WHEN 4 THEN 'replay' WHEN 5 THEN 'suspected_invalid' ELSE 'unknown' END AS validity,
   bool_or(observation_type = 'attempt_completed') AS has_completed,
@@ -202,7 +207,7 @@ SELECT attempt_key, min(matched_by) AS matched_by, min(project_id) AS project_id
 FROM s_keyed GROUP BY attempt_key""",
     "s_attempts": """
 SELECT *, sha256(attempt_key) AS attempt_id, CASE WHEN operation_id IS NULL THEN 'unknown' ELSE 'explicit' END AS resolution,
-  CASE WHEN usage_context = 'inconsistent' THEN 'inconsistent' WHEN (context_unknown AND usage_context <> 'unknown') OR discarded THEN 'partially_classified'
+  CASE WHEN usage_context = 'inconsistent' THEN 'inconsistent' WHEN (context_unknown AND usage_context <> 'unknown') OR values_kept BETWEEN 1 AND values_said - 1 THEN 'partially_classified'
     WHEN usage_context = 'production' AND validity = 'normal' THEN 'qualified' ELSE 'unknown' END AS qualification_status
 FROM s_grouped""",
     "s_w": f"SELECT * FROM s_attempts WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY",

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallymark.operators import correlate
+from tallymark.operators import correlate, ingest
+from tallymark.sources.schemas import ENVELOPE
 
 LATE = "10 minutes"
+#: Parts of the ledger of observations by a hash of their group.
+LEDGER_PARTS = 64
 
 
 def with_event_time(stream: DataFrame, at: str = "observed_at", late: str = LATE) -> DataFrame:
@@ -21,43 +24,63 @@ def with_event_time(stream: DataFrame, at: str = "observed_at", late: str = LATE
 
 
 def stream_ingest(stream: DataFrame, late: str = LATE) -> DataFrame:
-    """Valid observations, each id once within the watermark."""
+    """Observations with an id, each id once within the watermark."""
     valid = stream.where("observation_id IS NOT NULL AND observation_id <> ''")
     return with_event_time(valid, late=late).dropDuplicatesWithinWatermark(["observation_id"])
 
 
+def stream_validated(lines: DataFrame, accepted: str, rejected: str, checkpoint: str, project: str | None = None) -> StreamingQuery:
+    """JSON lines (``value``) to flat observations, and to lines with their errors: nothing is lost, nothing invalid goes on.
+
+    Each batch writes both under its number, so a retry replaces them. ``stream_ingest`` takes what is accepted.
+    """
+
+    def route(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            judged = ingest.validate_envelope(batch.withColumn("e", F.from_json("value", ENVELOPE)))
+            ingest.flatten_observation(judged.where(F.size("errors") == 0), project=project).write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+            judged.where(F.size("errors") > 0).select("value", "errors").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return lines.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_attempts(stream: DataFrame, ledger: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Attempts that follow late sides: each batch goes to the ledger, and the keys it touches are derived anew.
+    """Attempts that follow late sides: each batch goes to the ledger, and the groups it touches are derived anew.
 
-    Every batch writes its attempts under its number, so a retry replaces them; readers take the last row of a key, as
-    ``latest`` does.
+    A group (see correlate.grouped) holds all observations that can be one attempt: a call, or a trace in its tool and five minutes,
+    which is one attempt or several. Of a group the attempts of the last batch that touched it count, so singles that a late
+    side joins vanish. The ledger is partitioned by a hash of the group, and a batch reads only the parts that it touches. Every
+    batch writes under its number, so a retry replaces it. Repeated ids must be gone already: see ``stream_ingest``.
     """
 
     def derive(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
-        known = spark.read.option("basePath", ledger).parquet(f"{ledger}/batch=*").where(F.col("batch") <= number).drop("batch")
-        keys = ["project_id", "tool", "trace_id", "tool_call_id"]
-        same = [F.coalesce(F.col(k), F.lit("")) for k in keys]
-        touched = batch.select(*(c.alias(k) for c, k in zip(same, keys, strict=True))).distinct()
-        mine = known.withColumns({f"_{k}": c for c, k in zip(same, keys, strict=True)}).join(touched.select(*(F.col(k).alias(f"_{k}") for k in keys)), [f"_{k}" for k in keys], "left_semi").drop(*(f"_{k}" for k in keys))
-        rows = correlate.attempts(correlate.dedup_observations(mine)).withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = correlate.grouped(correlate.attempt_events_only(batch)).withColumn("part", F.pmod(F.xxhash64("group_key"), F.lit(LEDGER_PARTS)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{ledger}/batch={number}")
+        written = spark.read.schema(rows.schema).option("basePath", f"{ledger}/batch={number}").parquet(f"{ledger}/batch={number}")
+        parts = [r["part"] for r in written.select("part").distinct().collect()]  # LEDGER_PARTS numbers at most
+        whole = StructType([*rows.schema.fields, StructField("batch", LongType())])
+        known = spark.read.schema(whole).option("basePath", ledger).parquet(ledger).where((F.col("batch") <= number) & F.col("part").isin(parts))
+        mine = known.join(written.select("group_key").distinct(), "group_key", "left_semi").drop("batch", "part", "group_key", "matched_by")
+        correlate.attempts(correlate.dedup_observations(mine)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(derive).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
-    """Each attempt as its last batch left it; singles that a later side turned into a trace attempt stay superseded."""
+    """The attempts of each group as the last batch that touched it left them."""
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    newest = rows.groupBy("attempt_key").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["attempt_key", "batch"], "left_semi").drop("batch")
+    newest = rows.groupBy("group_key").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["group_key", "batch"], "left_semi").drop("batch")
 
 
-def stream_daily_metrics(stream: DataFrame, late: str = LATE, every: str = "1 day") -> DataFrame:
-    """Observations and about how many clients per project and UTC day."""
+def stream_daily_metrics(stream: DataFrame, late: str = LATE, every: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Observations and about how many clients per project and window: UTC days, or with ``slide`` sliding ones, such as 30 days by 1."""
     rows = with_event_time(stream, late=late)
-    return rows.groupBy(F.window("observed_at", every), "project_id").agg(F.count("*").alias("n"), F.approx_count_distinct("observer_principal").alias("principals"))
+    return rows.groupBy(F.window("observed_at", every, slide), "project_id").agg(F.count("*").alias("n"), F.approx_count_distinct("observer_principal").alias("principals"))
 
 
 def stream_consumption(results: DataFrame, requests: DataFrame, within: str = "1 hour", late: str = LATE) -> DataFrame:

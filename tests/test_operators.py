@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import stats
-from tallymark.operators import consumption, correlate, experiment, ingest, metering, metrics
+from tallymark.operators import choice, consumption, correlate, experiment, ingest, metering, metrics
+from tallymark.sources import schemas
 
 OBS = "observation_id string, observed_at timestamp, line_no int, observation_type string, observer_principal string, observer_side string, trust_domain string, project_id string, tool string, tool_call_id string, trace_id string, outcome string, usage_context string, validity string, validity_source string, operation_id string, task_id string"
 
@@ -49,7 +51,23 @@ def test_null_call_ids_never_meet(spark):
 
 def test_provider_configuration_never_qualifies(spark):
     (row,) = attempt(spark, dict(tool_call_id="c", validity_source="provider_configuration"))
-    assert (row.validity, row.qualification_status) == ("unknown", "partially_classified")
+    assert (row.validity, row.qualification_status) == ("unknown", "unknown")
+    both = dict(tool_call_id="c", observer_side="server", validity_source="collector_derived")
+    provider = dict(tool_call_id="c", validity_source="provider_configuration")
+    (row,) = attempt(spark, provider, both)
+    assert (row.validity, row.qualification_status) == ("normal", "qualified")
+    (row,) = attempt(spark, provider, {**both, "validity": "replay"})
+    assert (row.validity, row.qualification_status) == ("replay", "partially_classified")
+
+
+def test_bars_in_names_keep_attempts_apart(spark):
+    assert len(attempt(spark, dict(tool_call_id="c", project_id="a|b", tool="x"), dict(tool_call_id="c", project_id="a", tool="b|x"))) == 2
+    assert len(attempt(spark, dict(tool_call_id="c", tool=None), dict(tool_call_id="c", tool=""))) == 2
+
+
+def test_tasks_without_a_name_or_a_start_do_not_chain(spark):
+    rows = correlate.attempts(observed(spark, dict(task_id="", outcome="failure"), dict(task_id="", outcome="success"), dict(task_id="k", observed_at=None), dict(task_id="k")))
+    assert sorted(r.resolution for r in correlate.operations_structural(rows).collect()) == ["structural", "unknown", "unknown", "unknown"]
 
 
 def test_repeated_observation_counts_once(spark):
@@ -95,8 +113,105 @@ def test_wilson_and_z(spark):
 
 
 def test_two_sided_p(spark):
-    (row,) = spark.createDataFrame([(1.959963985,)], "z double").select(stats.two_sided_p("z").alias("p")).collect()
-    assert math.isclose(row.p, 0.05, rel_tol=1e-6)
+    zs = [0.0, 0.3, -1.0, 1.959963985, 3.5, 6.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", stats.two_sided_p("z").alias("p")).collect()
+    assert all(math.isclose(r.p, math.erfc(abs(r.z) / 2**0.5), rel_tol=2e-7) for r in rows)
+
+
+def test_required_sample(spark):
+    (row,) = spark.range(1).select(stats.required_n(F.lit(0.1), F.lit(0.15)).alias("n"), stats.required_n(F.lit(0.1), F.lit(0.1)).alias("none")).collect()
+    assert (row.n, row.none) == (683, None)
+
+
+def test_final_words_on_variants(spark):
+    compared = spark.createDataFrame([(v, "significant", "improvement") for v in ("good", "broke", "both", "worse_money")] + [("down", "significant", "regression"), ("flat", "null_result", None), ("few", "undetermined", None)], "variant_id string, verdict string, direction string")
+    flags = spark.createDataFrame([("both", True), ("flat", True)], "variant_id string, flagged boolean")
+    breaches = spark.createDataFrame([(v, "breach") for v in ("broke", "both", "flat")], "variant_id string, status string")
+    dominated = spark.createDataFrame([("worse_money", "good")], "variant_id string, dominated_by string")
+    got = {r.variant_id: r for r in experiment.variant_verdicts(compared, flags, breaches, dominated).collect()}
+    want = {"good": "adopt_candidate", "broke": "effective_not_qualified", "both": "unverified_growth", "worse_money": "adopt_candidate", "down": "regression_reject", "flat": "null_result", "few": "undetermined"}
+    assert {v: r.final for v, r in got.items()} == want
+    assert got["worse_money"].action == "do not pick: dominated by good" and got["good"].action == "ship behind a flag"
+
+
+def test_connections_export_what_they_may(spark):
+    rows = spark.createDataFrame([("v", "reach", None, None, None, None), ("v", "choice", True, None, None, None), ("v", "operation_result", None, "success", 3, None), ("v", "consumption", None, None, None, True), ("v", "other", None, None, None, None)], "variant_id string, event string, selected_subject boolean, outcome string, attempts int, consumed boolean")
+    tiers = {"choice": "export", "execution": "local", "consumption": "off"}
+    assert [tuple(r) for r in experiment.connector_aggregate(rows, tiers).collect()] == [("v", 1, 1, 1, 1, 3, 0, "consumption")]
+    assert [tuple(r) for r in experiment.connector_aggregate(rows, tiers, export=True).collect()] == [("v", 1, 1, 0, 0, 0, 0, "consumption,execution")]
+    for bad in (dict(tiers=tiers, revoked=True), dict(tiers={"choice": "local"})):
+        with pytest.raises(ValueError, match=r"revoked|exported"):
+            experiment.connector_aggregate(rows, export=True, **bad)
+
+
+def test_wins_need_the_project_of_both_presentations(spark):
+    p = spark.createDataFrame([("d1", "s", "m", "p1", "a", "2024-01-01"), ("d1", "s", "m", "p1", "b", "2024-01-01"), ("d2", "s", "m", "p1", "a", "2024-01-01"), ("d2", "s", "m", "p2", "b", "2024-01-01"), ("d3", "s", "m", "p1", "a", "2023-01-01"), ("d3", "s", "m", "p1", "b", "2023-01-01")], "decision_id string, candidate_set_id string, choice_mode string, project_id string, tool string, presented_at string")
+    p = p.withColumn("context", F.lit("production")).withColumn("validity", F.lit("normal"))
+    s = p.where("tool = 'a'").withColumnRenamed("presented_at", "selected_at")
+    (row,) = choice.head_to_head(p, s, "b", "a", "2023-06-01").collect()
+    assert (row.co_presented, row.a_selected, row.b_selected) == (2, 1, 0)
+
+
+def test_sensitive_records_go_whatever_is_allowed(spark):
+    lines = spark.createDataFrame([(f'{{"tool":"x","{k}":"v"}}',) for k in ("email", "File_Path", "command", "cwd", "username", "tool_input", "tool_output", "tool_response", "transcript", "result", "outcome")], "value string")
+    got = ingest.redact(lines, ("tool", "email", "File_Path", "result")).collect()
+    assert [(r.tool, r.result) for r in got] == [("x", "v"), ("x", None)]
+
+
+GOOD = dict(spec_version="1", observation_id="o", observation_type="attempt_completed", observer=dict(principal="p", side="client"), observed_at="2024-01-01T00:00:00Z", surface=dict(surface_id="mcp:x"), usage_context="production", validity="normal", payload=dict(tool_call_id="c", outcome="success", duration_ms=3))
+
+
+@pytest.mark.parametrize(
+    ("change", "errors"),
+    [
+        ({}, []),
+        ({"signature": None}, []),
+        ({"client_key": None}, ["observation.client_key: expected string"]),
+        ({"client_key": 5}, ["observation.client_key: expected string"]),
+        ({"observer": "me"}, ["observation.observer: expected object"]),
+        ({"observer": {"side": "client"}}, ["observation.observer.principal: required"]),
+        ({"payload": {"tool_call_id": "c", "outcome": "success", "duration_ms": "3"}}, ["observation.payload.duration_ms: expected integer"]),
+        ({"payload": {"tool_call_id": "c", "outcome": "success", "duration_ms": 3.5}}, ["observation.payload.duration_ms: expected integer"]),
+        ({"payload": {"tool_call_id": "c", "outcome": "maybe", "trace_id": "t"}}, ["observation.payload: unexpected trace_id", "observation.payload.outcome: not allowed"]),
+        ({"collection_health": {"buffer_overflow": "no"}}, ["observation.collection_health.buffer_overflow: expected boolean"]),
+        ({"usage_context": "staging"}, ["observation.usage_context: not allowed"]),
+        ({"validity": ...}, ["observation.validity: required"]),
+        ({"caller": {"type": "claimed_agent"}}, ["observation: caller type and strength contradict"]),
+    ],
+)
+def test_validation(spark, change, errors):
+    line = json.dumps({k: v for k, v in (GOOD | change).items() if v is not ...})
+    rows = spark.createDataFrame([(line,)], "value string").withColumn("e", F.from_json("value", schemas.ENVELOPE))
+    assert ingest.validate_envelope(rows).first().errors == errors
+
+
+def test_sessions_leave_under_a_pseudonym(spark):
+    raw = spark.createDataFrame([("bash", None, "u1", None, None, "alice", None, None, None, None, None, "e1", "2024-05-06T00:00:00Z"), ("bash", None, "u2", None, None, None, None, None, None, None, None, "e2", "soon")], schemas.ADAPTER)
+    pads = ingest.monthly_pads(spark, b"k", ["2024-05"])
+    a, b = sorted(ingest.normalize_adapter(raw, "codex-hook", "p", "w", pads).collect(), key=lambda r: r.source_event_id)
+    key = hmac.new(b"k", b"2024-05", hashlib.sha256).digest()
+    assert a.session_key == "p-" + hmac.new(key, b"codex:alice", hashlib.sha256).hexdigest()[:20] and a.provenance == "hook" and a.observation_id != b.observation_id
+    assert (b.session_key, b.observed_at) == (None, None)
+
+
+def test_late_sides_join_in_the_stream(spark, tmp_path):
+    from tallymark.streaming import jobs
+
+    base = dict(tool="x", outcome="success")
+    batches = [
+        [dict(base, observation_id="a", trace_id="T"), dict(base, observation_id="b", tool_call_id="C")],
+        [dict(base, observation_id="c", trace_id="T", observer_side="server"), dict(base, observation_id="d", tool_call_id="C", trace_id="T", observer_side="server")],
+        [dict(base, observation_id="e", trace_id="U"), dict(base, observation_id="f", tool_call_id="C", outcome="failure")],
+    ]
+    for rows in batches:
+        observed(spark, *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.stream_attempts(stream, f"{tmp_path}/ledger", f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    names = ["attempt_key", "n_obs", "outcome", "matched_by"]
+    got = jobs.latest(spark, f"{tmp_path}/out").select(names).collect()
+    want = correlate.attempts(correlate.dedup_observations(spark.read.parquet(f"{tmp_path}/in"))).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
 
 
 def test_empty_arm_is_undetermined(spark):
@@ -125,7 +240,7 @@ def test_empty_inputs_give_empty_results(spark):
 
 def test_unknown_adapter_is_an_error(spark):
     with pytest.raises(ValueError, match="unknown source"):
-        ingest.normalize_adapter(spark.range(1), "other", "p", "w")
+        ingest.normalize_adapter(spark.range(1).withColumn("outcome", F.lit("")), "other", "p", "w", None)
 
 
 def test_daily_metrics_of_a_stream_have_the_open_days(spark):
