@@ -52,12 +52,15 @@ def bucketed(every: DataFrame, small: int) -> DataFrame:
     """Rows (key, id, size) and their heads, for keys that more than one id has; every.size is how much an id weighs.
 
     Heads are whom all of a bucket are compared with first: the least id; in buckets of more than ``small`` also the largest
-    and one by hash. Keys are counted before the join, which can be split, so a key of many ids fills no task.
+    and one by hash. Keys are counted before each join, and the counts written, so a join can be split and a key of many ids
+    fills no task.
     """
+    shared = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    rows = staged(every.join(staged(shared.select("key"), "shared").hint("merge"), "key"), "shared-rows")
     own = F.struct("id", "size")
-    counts = every.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), F.min_by(own, F.xxhash64("id")).alias("any")).where("low.id < high.id")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), F.min_by(own, F.xxhash64("id")).alias("any"))
     heads = F.when(F.col("n") > small, F.array("low", "high", "any")).otherwise(F.array("low"))
-    return every.join(counts.select("key", heads.alias("heads")), "key")
+    return staged(rows.join(staged(counts.select("key", heads.alias("heads")), "heads").hint("merge"), "key"), "buckets")
 
 
 def led(buckets: DataFrame, fits: Column) -> DataFrame:

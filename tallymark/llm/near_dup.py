@@ -173,7 +173,7 @@ def linked(docs: DataFrame, config: Config = Config()) -> DataFrame:
     classes = staged(known.groupBy(F.col("node").alias("id")).agg(first.alias("first")).select("id", "first.*"), "classes")
     band = lambda k: F.xxhash64(k, *(F.get("signature", k * config.rows + i) for i in range(config.rows)))
     every = classes.select("id", F.col("n_shingles").alias("size"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(config.bands - 1)), band)).alias("key"))
-    buckets = staged(bucketed(every, config.small), "buckets")
+    buckets = bucketed(every, config.small)
     fits = 100 * F.least("size_a", "size_b") >= config.percent * F.greatest("size_a", "size_b")
 
     # What follows the corpus in size is never broadcast, however small the corpus.
