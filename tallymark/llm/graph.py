@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import staged
+from tallymark.llm.common import discard, staged
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -56,11 +56,15 @@ def bucketed(every: DataFrame, small: int) -> DataFrame:
     fills no task.
     """
     shared = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    rows = staged(every.join(staged(shared.select("key"), "shared").hint("merge"), "key"), "shared-rows")
+    shared = staged(shared.select("key"), "shared")
+    rows = staged(every.join(shared.hint("merge"), "key"), "shared-rows")
     own = F.struct("id", "size")
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), F.min_by(own, F.xxhash64("id")).alias("any"))
     heads = F.when(F.col("n") > small, F.array("low", "high", "any")).otherwise(F.array("low"))
-    return staged(rows.join(staged(counts.select("key", heads.alias("heads")), "heads").hint("merge"), "key"), "buckets")
+    heads = staged(counts.select("key", heads.alias("heads")), "heads")
+    out = staged(rows.join(heads.hint("merge"), "key"), "buckets")
+    discard(shared, rows, heads)
+    return out
 
 
 def led(buckets: DataFrame, fits: Column) -> DataFrame:

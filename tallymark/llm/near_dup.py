@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import bounded_batches, shared_dir, staged
+from tallymark.llm.common import bounded_batches, discard, shared_dir, staged
 from tallymark.llm.graph import blocks, bucketed, components, joined, led, unsettled, within_small
 from tallymark.llm.wordhash import mixed, shingles, word_hashes
 
@@ -188,6 +188,7 @@ def linked(docs: DataFrame, config: Config = Config()) -> DataFrame:
     more = staged(confirmed(pairs, texts, config).unionByName(blockwise(blocks(rest, config.small, config.block), texts, config)), "more-links")
     if not more.isEmpty():
         roots = joined(roots, more)
+    discard(buckets, texts, tested, rest, more)
 
     placed = classes.select("id", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
