@@ -14,14 +14,15 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import bounded_batches
 
-#: Distinct pieces whose ids a worker remembers, and transducer states that it keeps, before it starts afresh.
-PIECES_KEPT, STATES_KEPT = 300_000, 240_000
+#: Distinct pieces whose ids a worker remembers (of up to so many characters each), and transducer states that it keeps, before it
+#: starts afresh.
+PIECES_KEPT, PIECE_LENGTH, STATES_KEPT = 300_000, 48, 240_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,76 +44,121 @@ class MergeTransducer:
         self.by_id = {rank: token for token, rank in ranks.items()}
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:k] for token in ranks for k in range(len(token))}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.agrees: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.keys: list[tuple[bytes, tuple[int, ...], int]] = []
+        self.numbered: dict[tuple, int] = {}
+        self.outs: list[tuple[int, ...]] = []
+        self.out_at: dict[tuple[int, ...], int] = {}
+        self.starts: list[tuple[int, ...]] = []  # by state, where in its pending bytes a token can start that goes on
+        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 24 | number of what leaves
         self.reset()
 
     def reset(self) -> None:
         """A state is its pending bytes, their last tokens, and the token before them if one can still cover them all."""
-        self.keys: list[tuple[bytes, tuple[int, ...], int]] = [(b"", (), -1)]
-        self.numbered = {self.keys[0]: 0}
-        self.outs: list[tuple[int, ...]] = [()]
-        self.out_at = {(): 0}
-        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 24 | number of what leaves
-
-    def merged(self, data: bytes) -> list[int]:
-        """The merges by definition: again and again the neighbours whose union ranks first."""
+        for table in (self.keys, self.numbered, self.outs, self.out_at, self.starts, self.moves):
+            table.clear()
+        self.keys.append((b"", (), -1))
+        self.numbered[self.keys[0]] = 0
+        self.outs.append(())
+        self.starts.append(())
+        self.out_at[()] = 0
+
+    def merged(self, data: bytes, until: int = 1) -> list[int]:
+        """The merges by definition, down to so many parts: again and again the neighbours whose union ranks first."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if best == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def split(self, token: int) -> tuple[int, int]:
+        """The two tokens that the last merge of a token joins; a byte is its own halves, and what merges never make has -1."""
+        if (found := self.halves.get(token)) is None:
+            data = self.by_id[token]
+            parts = self.merged(data, 2)
+            found = (token, token) if len(data) == 1 else (parts[0], parts[1]) if len(parts) == 2 else (-1, -1)
+            self.halves[token] = found
+        return found
+
     def fits(self, before: int, token: int) -> bool:
-        """Whether the merges keep the two tokens apart, and the token in one piece."""
-        if token not in self.whole:
-            self.whole[token] = self.merged(self.by_id[token]) == [token]
-        if before < 0 or not self.whole[token]:
-            return self.whole[token]
+        """Whether the merges keep the two tokens apart, and the token in one piece.
+
+        The tokens are undone, the later of their merges first. They part if at some point what then meets at the boundary would
+        have merged before the merge that was undone.
+        """
+        if self.split(token)[0] < 0:
+            return False
+        if before < 0:
+            return True
         pair = before << 32 | token
-        if (found := self.agrees.get(pair)) is None:
-            if len(self.agrees) > 250_000:
-                self.agrees.clear()
-            found = self.agrees[pair] = self.merged(self.by_id[before] + self.by_id[token]) == [before, token]
+        if (found := self.agrees.get(pair)) is not None:
+            return found
+        spelling, ranks, split = self.by_id, self.ranks, self.split
+        left, right, limit, found = before, token, 1 << 60, True
+        while True:
+            if ranks.get(spelling[left] + spelling[right], 1 << 60) < limit:
+                found = False
+                break
+            a, b = split(left)[1], split(right)[0]
+            if a == left and b == right:
+                break
+            if b == right or (a != left and left > right):
+                limit, left = left, a
+            else:
+                limit, right = right + 1, b
+        if len(self.agrees) > 250_000:
+            self.agrees.clear()
+        self.agrees[pair] = found
+        return found
+
+    def number(self, key: tuple[bytes, tuple[int, ...], int], starts: tuple[int, ...]) -> int:
+        if (found := self.numbered.get(key)) is None:
+            found = self.numbered[key] = len(self.keys)
+            self.keys.append(key)
+            self.starts.append(starts)
         return found
 
     def built(self, state: int, byte: int) -> int:
-        """The transition that a state lacks."""
-        pending, lasts, before = self.keys[state]
-        pending += bytes([byte])
-        n, last, ranks, size = len(pending), -1, self.ranks, self.size
-        for start in range(max(0, n - self.longest), n):
-            if (token := ranks.get(pending[start:])) is not None:
-                ahead = lasts[start - 1] if start else before
-                if (ahead >= 0 or not start) and self.fits(ahead, token):
-                    last = token
-                    break
-        lasts = (*lasts, last)
-        out: tuple[int, ...] = ()
-        if pending not in self.open:  # else a token can still cover all that is pending
+        """The transition that a state lacks. When there are too many states, only the present one is carried over."""
+        key, starts = self.keys[state], self.starts[state]
+        if len(self.keys) > STATES_KEPT:
+            self.reset()
+            state = self.number(key, starts)
+        pending, lasts, before = key
+        n, last, going, ranks, is_open = len(pending), -1, [], self.ranks, self.open
+        pending += bytes((byte,))
+        for start in (*starts, n) if not n or lasts[-1] >= 0 else starts:
+            part = pending[start:]
+            if last < 0 and (token := ranks.get(part)) is not None and self.fits(lasts[start - 1] if start else before, token):
+                last = token
+            if part in is_open:
+                going.append(start)
+        lasts, out = (*lasts, last), ()
+        n += 1
+        if not going or going[0]:  # else a token can still cover all that is pending
             # The boundaries that the tokenisation up to each live position runs through.
-            through = []
-            for j in range(1, n + 1):
-                if lasts[j - 1] >= 0 and (j == n or pending[j:] in self.open):
-                    chain = [j]
-                    while j := j - size[lasts[j - 1]]:
-                        chain.append(j)
-                    through.append(chain[::-1])
-            k, shortest = 0, min(map(len, through))
-            while k < shortest and all(c[k] == through[0][k] for c in through):
-                k += 1
+            size, through = self.size, []
+            for j in (*going, n) if last >= 0 else going:
+                chain = [j]
+                while j := j - size[lasts[j - 1]]:
+                    chain.append(j)
+                through.append(chain[::-1])
+            k, first = 0, through[0]
+            for k, together in enumerate(zip(*through, strict=False)):  # noqa: B007
+                if len(set(together)) > 1:
+                    break
+            else:
+                k = min(map(len, through))
             if k:
-                out = tuple(lasts[j - 1] for j in through[0][:k])
-                start = through[0][k - 1]
+                out, start = tuple([lasts[j - 1] for j in first[:k]]), first[k - 1]
                 used = {j for c in through for j in c[k:]}
                 before, pending = out[-1], pending[start:]
-                lasts = tuple(lasts[j - 1] if j in used else -1 for j in range(start + 1, n + 1))
-        key = (pending, lasts, before if pending in self.open else -1)
-        if (number := self.numbered.get(key)) is None:
-            number = self.numbered[key] = len(self.keys)
-            self.keys.append(key)
+                lasts = tuple([lasts[j - 1] if j in used else -1 for j in range(start + 1, n + 1)])
+                going = [s - start for s in going]
+        number = self.number((pending, lasts, before if going and not going[0] else -1), tuple(going))
         if (at := self.out_at.get(out)) is None:
             at = self.out_at[out] = len(self.outs)
             self.outs.append(out)
@@ -122,19 +168,17 @@ class MergeTransducer:
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        if len(self.keys) > STATES_KEPT:
-            self.reset()
         moves, outs, state, ids = self.moves, self.outs, 0, []
         for byte in piece:
             found = moves.get(state << 8 | byte) or self.built(state, byte)
             state = found >> 24
             if found := found & 0xFFFFFF:
                 ids += outs[found]
-        lasts, tail = self.keys[state][1], []
+        lasts, tail, size = self.keys[state][1], [], self.size
         j = len(lasts)
         while j:
             tail.append(lasts[j - 1])
-            j -= self.size[lasts[j - 1]]
+            j -= size[lasts[j - 1]]
         return (*ids, *reversed(tail))
 
 
@@ -149,10 +193,11 @@ class PieceCache(dict):
         found = self.old.get(piece)
         if found is None:
             found = self.make(piece)
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = found
+        if len(piece) <= PIECE_LENGTH:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
 
@@ -195,14 +240,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     and rows that repeat are encoded each for itself. ``ranks_path`` must exist on every executor.
     """
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
         pieces, known = regex.compile(pattern), compiled(ranks_path)[1].__getitem__
         for texts in batches:
-            rows = [np.fromiter(chain.from_iterable(map(known, pieces.findall(one))), np.int32) for one in texts]
-            yield pd.Series(rows, dtype=object)
+            rows = [np.fromiter(chain.from_iterable(map(known, pieces.findall(one))), np.int32) for one in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, rows)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(ids, encoded(F.coalesce(F.col(text), F.lit(""))))
@@ -211,20 +257,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded", chunk: int = 4096) -> DataFrame:
     """Add the text of token ids, decoded chunk by chunk; null ids give a null text, no ids an empty one."""
 
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-
+    @F.arrow_udf("string")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spelling = spelled(ranks_path)
         for rows in batches:
+            every, ends, missing = rows.values.to_numpy(), rows.offsets.to_numpy(), rows.is_null().to_numpy(zero_copy_only=False)
             texts = []
-            for row in rows:
-                if row is None:
+            for k in range(len(rows)):
+                if missing[k]:
                     texts.append(None)
                     continue
                 stream = Utf8Stream(spelling)
-                parts = [stream.push(row[i : i + chunk]) for i in range(0, len(row), chunk)]
+                parts = [stream.push(every[i : min(i + chunk, ends[k + 1])]) for i in range(ends[k], ends[k + 1], chunk)]
                 texts.append("".join(parts) + stream.close())
-            yield pd.Series(texts, dtype=object)
+            yield pa.array(texts, pa.string())
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn(text, decoded(ids))
