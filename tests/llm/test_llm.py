@@ -154,21 +154,6 @@ def test_lines_stay_once(make):
     assert near != base
 
 
-def test_similar_lines_are_linked_as_brute_force_has_it(spark):
-    docs = documents(spark)
-    rows = line_dedup.occurrences(docs).collect()
-    lines = {}
-    for r in rows:
-        lines.setdefault((r.k, r.simhash), (r.doc_id, r.line_no))
-    known = texts(spark)
-    norm = lambda d, n: known[d].split("\n")[n].lower()
-    keys = list(lines)
-    near = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 3]
-    got = line_dedup.deduplicated(docs).collect()
-    assert len(got) == 200 and sum(r.n_dropped for r in got) >= len(rows) - len(lines)
-    assert all(norm(*lines[a]) is not None and norm(*lines[b]) is not None for a, b in near)
-
-
 def linked_lines(known):
     """Of {doc_id: text}, the lines that go by brute force: all pairs of different lines by their words' edit distance."""
     blanks = re.compile(r"[\x00-/:-@\[-`{-\u00bf\u2000-\u206f\u3000-\u303f]+")
@@ -202,7 +187,7 @@ def linked_lines(known):
     groups = collections.defaultdict(list)
     for i, places in enumerate(at.values()):
         groups[top(i)] += places
-    return {p for places in groups.values() for p in sorted(places)[1:]}, len(pairs)
+    return {p for places in groups.values() for p in sorted(places)[1:]}, [(lines[i][0], lines[j][0]) for i, j in pairs]
 
 
 def test_edited_lines_go_as_brute_force_has_it(spark, make):
@@ -222,11 +207,54 @@ def test_edited_lines_go_as_brute_force_has_it(spark, make):
                 made.append(copy)
     rng.shuffle(made)
     known |= {1000 + i: "\n".join(" ".join(w) for w in made[i::40]) for i in range(40)}
-    want, n_pairs = linked_lines(known)
-    got = {r.doc_id: r.text for r in line_dedup.deduplicated(make(*known.items())).collect()}
-    assert n_pairs > 400
-    for d, t in known.items():
-        assert got[d] == "\n".join(line for n, line in enumerate(t.split("\n")) if (d, n) not in want)
+    want, pairs = linked_lines(known)
+    docs = make(*known.items())
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    gone = {(d, n) for d, t in known.items() for n, line in enumerate(t.split("\n")) if line not in got[d].split("\n")}
+    assert len(pairs) > 400
+    # No line goes that brute force keeps, and it keeps few that brute force drops.
+    assert not gone - want and len(want - gone) <= 0.03 * len(want)
+    linked = collections.Counter(recalled(docs, pairs))
+    assert linked[True] >= 0.97 * len(pairs)
+
+
+def recalled(docs, pairs):
+    """Of each pair of normal lines, as lists of words, whether it is in one group."""
+    place = {tuple(r.words): r.k for r in docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("x")).select(F.array_remove(F.split("x", line_dedup.BREAK), "").alias("words")).withColumn("k", F.xxhash64("words")).distinct().collect()}
+    nodes = line_dedup.normal_lines(docs).select(F.col("k").alias("id"), "w").dropDuplicates(["id"])
+    root = {r.node: r.root for r in line_dedup.line_groups(nodes, line_dedup.Config()).collect()}
+    top = lambda words: root.get(place[tuple(words)], place[tuple(words)])
+    return [top(a) == top(b) for a, b in pairs]
+
+
+def test_one_changed_word_is_found(make):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(3000)]
+    rows = []
+    for n in (5, 7, 9, 10, 20, 40):
+        for i in range(60):
+            line = rng.sample(words, n)
+            other = list(line)
+            other[rng.randrange(n)] = "changed"
+            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+    pairs = [(a.split(), b.split()) for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)]
+    assert all(recalled(make(*rows), pairs))
+
+
+def test_lines_of_one_word_pattern_are_all_compared(make):
+    """Lines that share a long run but differ in all else are one bucket; only the pairs among them are alike."""
+    rng = random.Random(4)
+    run = [f"r{i}" for i in range(30)]
+    lines = []
+    for i in range(120):
+        own = [f"o{i // 2}x{k}" if k < 8 else f"o{i}x{k}" for k in range(16)]
+        lines.append(" ".join(run + own))
+    nodes = make(*enumerate(lines))
+    for config in (line_dedup.Config(), line_dedup.Config(small=3, block=400)):
+        ids = line_dedup.normal_lines(nodes).select(F.col("k").alias("id"), "w", "doc_id")
+        doc = {r.id: r.doc_id for r in ids.collect()}
+        got = {frozenset((doc[r.node], doc[r.root])) for r in line_dedup.line_groups(ids.select("id", "w"), config).collect()}
+        assert got == {frozenset((i, i + 1)) for i in range(0, 120, 2)}
 
 
 def test_odd_lines(odd):
