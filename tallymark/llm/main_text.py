@@ -1,8 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a tree; boilerplate subtrees are cut; each paragraph passes points for its length and its commas to its
-ancestors, discounted by the share of its text that links hold; the container with the most points and those of its
-siblings that look like parts of the same article are kept, block by block in page order.
+A page becomes a tree; elements that are or are named as boilerplate are cut; each paragraph passes points for its length and its
+commas to its ancestors, discounted by the share of its text that links hold; the container with the most points and those of
+its siblings that look like parts of the same article are kept, block by block in page order. A name that only has a word
+of boilerplate in it costs points, and the element goes if it loses: if it has less than half of the points of what is kept.
 """
 
 from __future__ import annotations
@@ -43,36 +44,66 @@ BOILERPLATE = frozenset(
     "widget pagination pager toolbar copyright disclaimer outbrain taboola skip login search alert complementary contentinfo".split()
 )
 ARTICLE = frozenset("article content main post entry story body text blog page".split())
+#: Words that say nothing beside a word of boilerplate: such a name is boilerplate, one with any other word may be.
+NEUTRAL = ARTICLE | frozenset(
+    "site section container wrapper wrap box area block list items item inner outer top bottom left right col column row panel bar header head "
+    "title global primary secondary posts articles entries view module region group links link buttons button icons icon form the a".split()
+)
+#: What follows these in a name describes the layout or says what is absent.
 NOT_NAMES = frozenset("has with no is without".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A quote opens a value only after "="; one that is never closed is part of an unquoted value.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>?""", re.S)
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "cut", "parent", "score", "tag", "tall")
+    __slots__ = ("block", "children", "cut", "doubted", "open", "parent", "points", "score", "tag", "tall")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False, tall: bool = False):
-        self.tag, self.parent, self.cut, self.tall, self.score = tag, parent, cut, tall, 0.0
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, tall: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.cut, self.tall, self.score, self.points = tag, parent, cut, tall, 0.0, 0.0
         self.children: list[Node | str] = []
+        self.block: Node = self if parent is None or tag in BLOCK else parent.block
+        #: The nearest element, itself included, whose name raises a doubt.
+        self.doubted: Node | None = self if doubtful else parent and parent.doubted
+        #: Of a block, how many inline elements of each kind are open in it.
+        self.open: dict[str, int] = {} if self.block is self else self.block.open
 
 
-def named(attributes: dict[str, str]) -> tuple[bool, bool]:
-    """Whether class, id or role name boilerplate, and whether they name the article."""
-    bad = good = False
+def named(attributes: dict[str, str]) -> tuple[bool, bool, bool]:
+    """Whether class, id or role name boilerplate, have a word of it, and name the article."""
+    bad = doubtful = good = False
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".split():
         parts = [p.lower() for p in NAME_PARTS.findall(name)]
-        if parts and parts[0] not in NOT_NAMES:
-            bad |= not BOILERPLATE.isdisjoint(parts)
-            good |= not ARTICLE.isdisjoint(parts)
-    return bad, good
+        parts = parts[: next((i for i, p in enumerate(parts) if p in NOT_NAMES), None)]
+        if not BOILERPLATE.isdisjoint(parts):
+            sure = all(p in BOILERPLATE or p in NEUTRAL for p in parts)
+            bad |= sure
+            doubtful |= not sure
+        elif not ARTICLE.isdisjoint(parts):
+            good = True
+    return bad, doubtful, good
+
 
+def parsed(page: str, trusting: bool = False) -> tuple[Node, bool]:
+    """The tree of a page, with the end tags that HTML lets authors leave out, and whether names cut any of it; what is open ends with it.
 
-def parsed(page: str) -> Node:
-    """The tree of a page, with the end tags that HTML lets authors leave out; what is left open ends with the page."""
+    Counts of what is open save the walk up the tree for an end tag that ends nothing. ``trusting``: names raise doubts only.
+    """
     root = at = Node("#root", None)
-    place = 0
+    blocks: dict[str, int] = {}
+    place, doubts = 0, False
+
+    def close(node: Node) -> None:
+        """End a node and all in it."""
+        nonlocal at
+        while True:
+            (blocks if at.block is at else at.open)[at.tag] -= 1
+            last, at = at, at.parent
+            if last is node:
+                return
+
     while place < len(page):
         token = TOKEN.search(page, place)
         if token is None:
@@ -85,38 +116,36 @@ def parsed(page: str) -> Node:
             continue
         tag = tag.lower()
         if token[1]:
-            node = at
-            while node.parent and node.tag != tag and not (tag not in BLOCK and node.tag in BLOCK):
-                node = node.parent
-            if node.parent and node.tag == tag:
-                at = node.parent
+            if (blocks if tag in BLOCK else at.open).get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                close(node)
             continue
-        if tag in BLOCK:  # ends a paragraph that is open in this block
-            node = at
-            while node.parent and node.tag != "p" and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in ENDS:
+        if tag in BLOCK and at.block.tag == "p":  # ends a paragraph that is open
+            close(at.block)
+        if tag in ENDS and any(blocks.get(t) or at.open.get(t) for t in ENDS[tag]):
             node = at
             while node.parent and node.tag not in ENDS[tag] and node.tag not in FENCE[tag]:
                 node = node.parent
             if node.tag in ENDS[tag]:
-                at = node.parent
+                close(node)
                 if tag == "tr" and at.tag == "tr":
-                    at = at.parent
+                    close(at)
         if tag == "br":
             at.children.append(" ")
         if tag in VOID:
             continue
-        attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(token[3])} if token[3].strip(" /") else {}
-        bad, good = named(attributes) if attributes else (False, False)
+        attributes = {} if not token[3] else {k.lower(): html.unescape(v[1:-1] if v[:1] in ("'", '"') and v[-1:] == v[:1] else v) for k, v in ATTRIBUTE.findall(token[3])}
+        bad, doubtful, good = named(attributes) if attributes else (False, False, False)
         if tag in ("html", "body", "main"):
-            bad = False
+            bad = doubtful = False
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
         # A header heads the page, unless it lies in the article itself.
-        heads = tag == "header" and not within(at, ("article", "main"))
-        node = Node(tag, at, bad or hidden or heads or tag in CUT, good or tag in ("article", "main"))
+        heads = tag == "header" and not blocks.get("article") and not blocks.get("main")
+        doubts |= bad
+        cut = (bad and not trusting) or hidden or heads or tag in CUT
+        node = Node(tag, at, cut, good or tag in ("article", "main"), doubtful or (bad and trusting))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, place)
@@ -124,24 +153,18 @@ def parsed(page: str) -> Node:
             place = end.end() if end else len(page)
         elif not token[0].endswith("/>"):
             at = node
-    return root
-
-
-def within(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+            counts = blocks if node.block is node else node.open
+            counts[tag] = counts.get(tag, 0) + 1
+    return root, doubts
 
 
 class Block:
     """A run of text that no block element breaks: its container, its text and how much of it links hold."""
 
-    __slots__ = ("linked", "node", "parts", "text")
+    __slots__ = ("linked", "node", "parts", "points", "text")
 
     def __init__(self, node: Node):
-        self.node, self.parts, self.linked, self.text = node, [], 0, ""
+        self.node, self.parts, self.linked, self.text, self.points = node, [], 0, "", 0.0
 
 
 def blocks(root: Node) -> list[Block]:
@@ -154,10 +177,7 @@ def blocks(root: Node) -> list[Block]:
             new |= node.tag in BLOCK
         elif isinstance(child, str):
             if new or not out:
-                owner = node
-                while owner.parent and owner.tag not in BLOCK:
-                    owner = owner.parent
-                out.append(Block(owner))
+                out.append(Block(node.block))
                 new = False
             out[-1].parts.append(child)
             out[-1].linked += link and len("".join(child.split()))
@@ -177,21 +197,20 @@ def ancestors(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def main_text(page: str) -> str:
-    """The article's blocks, joined by newlines; empty if the page has no text outside boilerplate.
+#: How many ancestors a paragraph passes points to; each takes half of what the one below took, so the rest is nothing.
+REACH = 64
 
-    A paragraph's points are 1, 1 for each comma, and 1 for each 100 characters up to 3, times the share of it outside links;
-    its own element takes them in full, each ancestor half of what the one below took. Elements that are, or are named
-    like, an article start with 5 points, and the innermost such element around the best container is preferred to it.
-    """
-    if not page or page.isspace():
-        return ""
-    found = blocks(parsed(page))
+
+def chosen(root: Node) -> list[str]:
+    """The article's blocks of a tree."""
+    found = blocks(root)
     scored: dict[int, Node] = {}
     for block in found:
         size = len(block.text)
-        points = (1 + block.text.count(",") + min(size / 100, 3)) * max(0.0, 1 - block.linked / size)
-        for node in ancestors(block.node):
+        block.points = points = (1 + block.text.count(",") + min(size / 100, 3)) * max(0.0, 1 - block.linked / size)
+        if block.node.doubted:
+            points /= 2
+        for _, node in zip(range(REACH), ancestors(block.node), strict=False):
             if node.tag in LEAVES:
                 continue
             if id(node) not in scored:
@@ -199,18 +218,17 @@ def main_text(page: str) -> str:
                 node.score = 5.0 if node.tall and points else 0.0
             node.score += points
             points /= 2
-            if points < 1e-6:
-                break
     best = max(scored.values(), key=lambda n: n.score, default=None)
     if best is None or best.score <= 0:
-        return ""
+        return []
     best = next((n for n in ancestors(best) if n.tag in ("article", "main")), None) or next((n for n in ancestors(best) if n.tall), best)
-    beside = None if best.tag in ("article", "main") else best.parent
     inside = {id(best): True}
+    beside = best.parent if best.tag != "main" else None
     for node in beside.children if beside else ():
-        if isinstance(node, Node) and node.score >= max(1.0, 0.2 * best.score):
+        # Beside an article stand other articles only.
+        if isinstance(node, Node) and node.score >= max(1.0, 0.2 * best.score) and (best.tag != "article" or node.tag == "article"):
             inside[id(node)] = True
-    out = []
+    tops, kept = set(inside), []
     for block in found:
         path, node = [], block.node
         while node and id(node) not in inside:
@@ -218,10 +236,38 @@ def main_text(page: str) -> str:
             node = node.parent
         within_kept = inside[id(node)] if node else False
         inside.update(dict.fromkeys(path, within_kept))
-        near = beside is not None and block.node.parent is beside and block.node.tag in LEAVES and block.linked * 4 < len(block.text)
+        near = best.tag not in ("article", "main") and beside is not None and block.node.parent is beside and block.node.tag in LEAVES and block.linked * 4 < len(block.text)
         if within_kept or near:
-            out.append(block.text)
-    return "\n".join(out)
+            kept.append(block)
+            doubt = block.node.doubted
+            while doubt and inside.get(id(doubt)) and id(doubt) not in tops:
+                doubt.points += block.points
+                doubt = doubt.parent.doubted
+    least = sum(b.points for b in kept) / 2
+
+    def loses(block: Block) -> bool:
+        doubt = block.node.doubted
+        while doubt and inside.get(id(doubt)) and id(doubt) not in tops:
+            if doubt.points < least:
+                return True
+            doubt = doubt.parent.doubted
+        return False
+
+    return [b.text for b in kept if not loses(b)]
+
+
+def main_text(page: str) -> str:
+    """The article's blocks, joined by newlines; empty if the page has no text outside boilerplate.
+
+    A paragraph's points are 1, 1 for each comma, and 1 for each 100 characters up to 3, times the share of it outside links;
+    its own element takes them in full, each ancestor half of what the one below took. Elements that are, or are named
+    like, an article start with 5 points, and the innermost such element around the best container is preferred to it. If names
+    leave nothing, they are only doubted.
+    """
+    if not page or page.isspace():
+        return ""
+    root, doubts = parsed(page)
+    return "\n".join(chosen(root) or (chosen(parsed(page, trusting=True)[0]) if doubts else []))
 
 
 def extracted(page: str | Column = "html") -> Column:
@@ -238,11 +284,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """Every page with ``text`` and ``n_chars`` (code points), one by one: no shuffle, whole pages, nothing capped.
 
     A null or empty page, and one with nothing outside boilerplate, has an empty text. Rows that repeat give repeated rows, and
-    null ids or urls pass through. Columns of ``pages`` that are named text or n_chars are replaced.
+    null ids or urls pass through. An empty table gives an empty result. Columns of ``pages`` that are named text or n_chars are replaced.
     """
     bounded_batches(pages.sparkSession)
     return pages.withColumn("text", extracted()).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def report(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every row; odd rows as in ``main_texts``."""
     return main_texts(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -56,6 +57,14 @@ def test_pages_give_their_articles(spark):
         ("<p>Only one.", "Only one."),
         ("<main><h1>A &lt;b&gt;</h1><div><p>x&nbsp;y &am</p></div></main>", "A <b>\nx y &am"),
         ("<body><header><h1>Site</h1></header><div class='post-content'><h2>T</h2><p>One, two, three.<p>a<br>b</div><div id=comments><p>Nice, very, nice, indeed</div><footer>f</footer>", "T\nOne, two, three.\na b"),
+        ("<p title=it's>one, two</p><p>it's three, four</p>", "one, two\nit's three, four"),
+        ("<p title = 'a > b' data-x=\"<p>\">one, two</p>", "one, two"),
+        ("<div class='content-with-sidebar'><p>One, two.</p><p>Three.</p></div>", "One, two.\nThree."),
+        ("<div id=social-history><p>One, two.</p></div>", "One, two."),
+        ("<div class=article-search-engine-history><p>One, two.</p></div>", "One, two."),
+        ("<article><p>One, two, three, four.</p></article><article><p>Five, six, seven.</p></article>", "One, two, three, four.\nFive, six, seven."),
+        ("<div class=cookie-law-info><p>We, too, use them.</p></div><div class=post><p>One, two, three, four, five.</p><p>Six, seven, eight, nine.</p></div>", "One, two, three, four, five.\nSix, seven, eight, nine."),
+        ("<div class=post><p>One, two.</p><div class=post-comments><p>Nice, very, nice, indeed, this, is.</p></div></div>", "One, two."),
         ("<article><p>Text, with, commas.</p><form><p>name</p></form><aside>more</aside><script>x = '<p>'</script></article>", "Text, with, commas."),
         ("<div><div><p>One, two, three, four.</p></div><div><p>Five, six, seven.</p></div></div><ul><li><a href=1>l1</a></ul>", "One, two, three, four.\nFive, six, seven."),
     ],
@@ -64,6 +73,18 @@ def test_page(page, want):
     assert main_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "<div></div>" * 20_000, "</b>" * 60_000, "<b><div>" + "<i>" * 40_000 + "</b>" * 40_000, "<p>" * 60_000, "<blockquote>" * 30_000 + "x", "<a title='" * 30_000, "<td>" * 60_000])
+def test_pages_take_linear_time(page):
+    began = time.perf_counter()
+    main_text.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_pages_with_other_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x, y</p>", 5, "old")], "page_id long, url string, html string, n_chars int, text string")
+    assert [(r.text, r.n_chars) for r in main_text.main_texts(pages).collect()] == [("x, y", 4)]
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>"), (2, "u", "<div>" * 3000 + "deep")], "page_id long, url string, html string")
     assert {(r.page_id, r.text) for r in main_text.report(pages).collect()} == {(1, ""), (None, "x"), (2, "deep")}
