@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,7 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dup": op10_near_dup,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
