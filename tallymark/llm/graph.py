@@ -88,6 +88,23 @@ def unsettled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(placed.join(parts, "key"), "unsettled")
 
 
+def led_again(open_rows: DataFrame, small: int, heads: int, fits: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of the rows outside the main component of larger unsettled buckets with some rows of other components.
+
+    Those are the least by hash in each of ``heads`` parts of the main component, and in two parts of the rest. Where copies
+    gather around no single one of them, this joins most that are left.
+    """
+    many = open_rows.where(F.col("n") > small)
+    inside = F.col("c") == F.col("main")
+    slot = F.when(inside, F.pmod(F.xxhash64("id"), F.lit(heads))).otherwise(heads + F.pmod(F.xxhash64("id"), F.lit(2)))
+    chosen = many.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("id", "size", "c"), F.xxhash64("id", F.lit(1))).alias("head"))
+    outside = many.where(~inside).select("key", "id", "size", "c").join(chosen, "key").where("c <> head.c")
+    less = F.col("id") < F.col("head.id")
+    pick = lambda x, y: F.when(less, x).otherwise(y)
+    pairs = outside.select(pick(F.col("id"), F.col("head.id")).alias("a"), pick(F.col("head.id"), F.col("id")).alias("b"), pick(F.col("size"), F.col("head.size")).alias("size_a"), pick(F.col("head.size"), F.col("size")).alias("size_b"))
+    return pairs.where(fits).select("a", "b").distinct()
+
+
 def within_small(open_rows: DataFrame, small: int, fits: Column) -> DataFrame:
     """All pairs (a, b), a < b, of different components in unsettled buckets of at most ``small`` rows."""
     few = open_rows.where(F.col("n") <= small)

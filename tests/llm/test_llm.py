@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallymark.llm import byte_bpe, decontaminate, importance, lattice_lm, line_dedup, main_text, near_dup, quality_rules, queries, secret_scan, training_order
+from tallymark.llm.common import staged
 from tallymark.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +136,37 @@ def test_shards_hold_every_token_once(spark, odd, tmp_path):
     assert all(b"".join(p[k] for k in sorted(p)) == want[d] for d, p in parts.items())
 
 
+def test_a_finished_wave_is_not_written_again(spark, make, tmp_path):
+    docs, folder = make(*((i, "x" * (7 * i)) for i in range(60))), f"file://{tmp_path}/out"
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in").withColumn("ids", F.lit("mine"))
+    config = training_order.Config(length=16, shard=20, waves=3)
+    first = sorted(map(tuple, training_order.report(spark, docs, config, folder).collect()))
+    parts = sorted(p for p in tmp_path.glob("out/manifest-*"))
+    assert len(parts) == 3
+    shards = {p.name: p.stat().st_mtime_ns for p in tmp_path.glob("out/shard-*")}
+    (parts[1] / "_SUCCESS").unlink()  # as if the second wave had not ended
+    assert sorted(map(tuple, training_order.report(spark, docs, config, folder).collect())) == first
+    again = {p.name for p in tmp_path.glob("out/shard-*") if p.stat().st_mtime_ns != shards[p.name]}
+    assert again and again < set(shards)
+    assert training_order.report(spark, docs.limit(0), config, f"{folder}-2").count() == 0
+
+
+def test_ids_of_a_vocabulary_are_written(spark, tmp_path):
+    rows = [(1, [5, 40_000, 65_535]), (2, None), (3, list(range(1000, 1040)))]
+    spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1).write.parquet(f"{tmp_path}/in")
+    docs, config = spark.read.parquet(f"{tmp_path}/in"), training_order.Config(length=8, width=2, pad=0, shard=4)
+    manifest = training_order.materialised(training_order.id_tokens(docs, "ids", 7, 2), f"file://{tmp_path}/out", config).collect()
+    records = [np.frombuffer(r, "<u2") for r in training_order.read_from(f"file://{tmp_path}/out", 0, len(manifest), config)]
+    got = collections.defaultdict(list)
+    for r in sorted(manifest, key=lambda r: r.part):
+        got[r.doc_id] += records[r.slot][: r.n_tokens].tolist()
+        assert not records[r.slot][r.n_tokens :].any()
+    assert got == {d: [*(ids or []), 7] for d, ids in rows}
+    with pytest.raises(Exception, match="more than 1 bytes"):
+        training_order.id_tokens(docs, "ids", 7, 1).collect()
+
+
 # Secrets
 
 
@@ -242,7 +274,7 @@ def test_edited_lines_go_as_brute_force_has_it(spark, make):
 def recalled(docs, pairs):
     """Of each pair of normal lines, as lists of words, whether it is in one group."""
     place = {tuple(r.words): r.k for r in docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("x")).select(F.array_remove(F.split("x", line_dedup.BREAK), "").alias("words")).withColumn("k", F.xxhash64("words")).distinct().collect()}
-    nodes = line_dedup.normal_lines(docs).select(F.col("k").alias("id"), "w").dropDuplicates(["id"])
+    nodes = staged(line_dedup.normal_lines(docs).select(F.col("k").alias("id"), "w").dropDuplicates(["id"]), "nodes")
     root = {r.node: r.root for r in line_dedup.line_groups(nodes, line_dedup.Config()).collect()}
     top = lambda words: root.get(place[tuple(words)], place[tuple(words)])
     return [top(a) == top(b) for a, b in pairs]
@@ -274,7 +306,7 @@ def test_lines_of_one_word_pattern_are_all_compared(make):
     for config in (line_dedup.Config(), line_dedup.Config(small=3, block=400)):
         ids = line_dedup.normal_lines(nodes).select(F.col("k").alias("id"), "w", "doc_id")
         doc = {r.id: r.doc_id for r in ids.collect()}
-        got = {frozenset((doc[r.node], doc[r.root])) for r in line_dedup.line_groups(ids.select("id", "w"), config).collect()}
+        got = {frozenset((doc[r.node], doc[r.root])) for r in line_dedup.line_groups(staged(ids.select("id", "w"), "nodes"), config).collect()}
         assert got == {frozenset((i, i + 1)) for i in range(0, 120, 2)}
 
 
@@ -294,6 +326,40 @@ def test_kth_largest(spark):
         assert importance.kth_largest(df, "v", k, small=20) == sorted(values, reverse=True)[k - 1]
 
 
+def test_weights_equal_a_plain_count(spark, make):
+    known = {d: t for d, t in texts(spark).items() if d < 60} | {900: "", 901: "one", 902: "one two one two"}
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)] + [(902, 1), (5000, 1)], "doc_id long, quality int")
+    config = importance.Config(buckets=1 << 10, keep=0.5)
+    from tallymark.llm.wordhash import mixed, word_hashes
+
+    def buckets(text):
+        """Of each word and each pair of words in their order."""
+        import pyarrow as pa
+
+        words, _ = word_hashes(pa.array([text]))
+        single = [int(mixed(np.array([w], np.uint64))[0]) % config.buckets for w in words]
+        return single + [int(importance.windows(words[i : i + 2], 2)[0]) % config.buckets for i in range(len(words) - 1)]
+
+    every, target = collections.Counter(), collections.Counter()
+    for d, t in known.items():
+        every.update(buckets(t))
+        if d == 902 or (d < 40 and d % 2):
+            target.update(buckets(t))
+    p = lambda c, b: (c[b] + 1) / (sum(c.values()) + config.buckets)
+    rows = importance.resampled(make(*known.items()), labels, config).collect()
+    for r in rows:
+        own = buckets(known[r.doc_id])
+        assert r.n_features == len(own)
+        assert math.isclose(r.log_weight, sum(math.log(p(target, b) / p(every, b)) for b in own), rel_tol=1e-9, abs_tol=1e-9)
+    assert sum(r.kept for r in rows) == round(0.5 * len(rows)) and min(r.key for r in rows if r.kept) > max(r.key for r in rows if not r.kept)
+
+
+def test_ties_with_the_last_drawn_are_kept(make):
+    docs = make(*([(7, "a b c")] * 6)).withColumn("key", F.lit("mine"))
+    labels = docs.sparkSession.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert all(r.kept for r in importance.resampled(docs, labels).collect())
+
+
 def test_good_documents_are_drawn(spark):
     base = "/root/testdata/sf0.1"
     rows = {r.doc_id: r.kept for r in queries.op6_importance(spark, base).collect()}
@@ -341,6 +407,61 @@ def test_marginal_sums_all_segmentations():
     assert lattice.marginal("\U0001f9ff") < 0
 
 
+def plain_marginal(lattice, word):
+    """The probability of a word as a sum over its prefixes, one by one."""
+    text, total = "▁" + word, [1.0]
+    for j in range(1, len(text) + 1):
+        own = sum(total[i] * math.exp(lattice.logs[text[i:j]]) for i in range(j) if text[i:j] in lattice.logs)
+        if text[j - 1] not in lattice.logs:
+            own += total[j - 1] * math.exp(sum(lattice.byte_weights[b] for b in text[j - 1].encode()))
+        total.append(own)
+    return total[-1]
+
+
+def test_scores_equal_a_plain_sum(spark):
+    docs = documents(spark)
+    known = texts(spark)
+    own = {d: WORD.findall(t.translate(LOWER)) for d, t in known.items()}
+    train = [d for d in known if zlib.crc32(str(d).encode()) % 7 != 2]
+    weights = lattice_lm.fitted(lattice_lm.word_counts(docs), queries.PIECES, lattice_lm.Config())
+    assert math.isclose(np.exp(weights).sum(), 1, rel_tol=1e-6)
+    lattice = lattice_lm.Lattice(queries.PIECES, weights)
+    p_stop = (len(train) + 1) / (sum(len(own[d]) for d in train) + len(train) + 2)
+    price = {}
+    for r in lattice_lm.scored(docs.withColumn("hash", F.lit("mine")), queries.PIECES).where("doc_id < 60").collect():
+        logs = 0.0
+        for w in own[r.doc_id]:
+            if len(w) > 60:
+                price[w] = lattice.marginal(w)
+            elif w not in price:
+                price[w] = math.log(plain_marginal(lattice, w))
+            logs += price[w] + math.log(1 - p_stop)
+        assert math.isclose(r.score, (logs + math.log(p_stop)) / math.log(10), rel_tol=1e-9)
+
+
+def test_training_counts_pieces_over_all_segmentations(spark):
+    words = spark.createDataFrame([("abc", 2), ("tokens", 3), ("held", 0)], "word string, c long")
+    before = lattice_lm.Lattice(queries.PIECES, lattice_lm.vocabulary(queries.PIECES)[2])
+
+    def every(text):
+        if not text:
+            yield (), 1.0
+        for k in range(1, len(text) + 1):
+            if text[:k] in before.logs:
+                for rest, p in every(text[k:]):
+                    yield (text[:k], *rest), p * math.exp(before.logs[text[:k]])
+
+    counts = np.zeros(len(before.weights))
+    for word, c in (("abc", 2), ("tokens", 3)):
+        ways = list(every("▁" + word))
+        total = sum(p for _, p in ways)
+        for pieces, p in ways:
+            for piece in pieces:
+                counts[before.numbers[piece]] += c * p / total
+    want = 0.95 * counts / counts.sum() + 0.05 * np.exp(before.weights)
+    assert np.allclose(np.exp(lattice_lm.fitted(words, queries.PIECES, lattice_lm.Config())), want, rtol=1e-9)
+
+
 def test_odd_scores(odd):
     assert lattice_lm.scored(odd, queries.PIECES).count() == 9
     assert lattice_lm.scored(odd.limit(0), queries.PIECES).count() == 0
@@ -391,8 +512,52 @@ def test_leaks(spark, make):
     rows = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, items).collect()}
     assert set(rows) == {(1, 7), (2, 7), (5, 7)} and rows[1, 7] == 1.0
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
-    small = decontaminate.Config(block=20)
+    small = decontaminate.Config(bits=6)  # a filter that lets everything through changes nothing
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, small).collect()} == set(rows)
+    clash = docs.withColumn("item_id", F.lit("mine")).withColumn("h", F.lit(1)).withColumn("words", F.lit(1))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(clash, items).collect()} == set(rows)
+    assert decontaminate.clean_documents(clash, items).columns == clash.columns
+
+
+def plain_alignment(item, text):
+    """Smith and Waterman's recursion, cell by cell: the best points."""
+    best, before = 0, [0] * (len(text) + 1)
+    for a in item:
+        row = [0]
+        for j, b in enumerate(text, 1):
+            row.append(max(0, before[j - 1] + (2 if a == b else -1), before[j] - 1, row[j - 1] - 1))
+        best, before = max(best, *row), row
+    return best
+
+
+def test_leaks_equal_plain_alignments(spark, make):
+    """Every document against every item, in whole: the pairs that reach the limit, their scores, and where they lie."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (8, 12, 20, 35, 50) for _ in range(3)] + [["short", "item"]]
+    docs = []
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 120))]
+        item = list(items[i % len(items)])
+        for _ in range(int(len(item) * rng.choice([0, 0.1, 0.2, 0.3, 0.6]))):
+            k, kind = rng.randrange(len(item)), rng.randrange(3)
+            item[k : k + 1] = [[], [rng.choice(vocabulary)], [item[k], rng.choice(vocabulary)]][kind] if len(item) > 4 else [item[k]]
+        at = rng.randrange(len(words))
+        docs.append((i, words[:at] + (item if i % 4 else item[: len(item) // 2]) + words[at:]))
+    want = {}
+    for d, words in docs:
+        for k, item in enumerate(items):
+            share = plain_alignment(item, words) / (2 * len(item))
+            if share >= (0.5 if len(item) >= 8 else 1.0):
+                want[d, k] = share
+    table = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.leaks(make(*((d, ", ".join(w)) for d, w in docs)), table).collect()
+    assert len(want) > 30 and {(r.doc_id, r.item_id): r.score for r in rows} == want
+    known = dict(docs)
+    for r in rows:  # the passage alone has all the points, and no end of it can go
+        item, passage = items[r.item_id], known[r.doc_id][r.start_word : r.end_word]
+        points = round(r.score * 2 * len(item))
+        assert plain_alignment(item, passage) == points > max(plain_alignment(item, passage[1:]), plain_alignment(item, passage[:-1]))
 
 
 def test_whole_items_are_found(spark):
