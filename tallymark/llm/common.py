@@ -49,6 +49,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, by Spark's own view of the store."""
+    context = spark.sparkContext
+    there = context._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(context._jsc.hadoopConfiguration()).exists(there)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
     for table in tables:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import bounded_batches, setting, shared_dir
+from tallymark.llm.common import bounded_batches, exists, setting, shared_dir
 
 #: Byte-level ids: a token is a byte of UTF-8; these two bytes never stand in UTF-8.
 END, PAD = 0xFF, 0xFE
@@ -28,14 +28,20 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @dataclass(frozen=True)
 class Config:
-    """``length`` tokens a sequence, ``shard`` sequences a shard; the shuffle is done in ``waves`` of shards, each durable
-    before the next begins."""
+    """``length`` tokens of ``width`` bytes (1, 2 or 4, little-endian) a sequence, ``shard`` sequences a shard; the shuffle is done in
+    ``waves`` of shards, each durable before the next begins. ``pad`` fills the last sequence of a document."""
 
     length: int = 512
+    width: int = 1
+    pad: int = PAD
     shard: int = 1 << 16
     waves: int = 4
     key: str = "training-order"
 
+    @property
+    def stride(self) -> int:
+        return self.length * self.width
+
 
 def feistel(index: np.ndarray, total: int, key: str, rounds: int = 6) -> np.ndarray:
     """A permutation of 0 .. total - 1 under the key, applied to each index."""
@@ -68,13 +74,25 @@ def byte_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(bytes([END]))).alias("ids"))
 
 
+def id_tokens(docs: DataFrame, ids: str, end: int, width: int) -> DataFrame:
+    """doc_id and ``ids``: token ids of an array<int> column (null: none) and an end token, each as ``width`` bytes.
+
+    An id that doesn't fit into them is an error, never cut.
+    """
+    whole = F.concat(F.coalesce(ids, F.array().cast("array<int>")), F.array(F.lit(end)))
+    fits = F.forall(whole, lambda t: (t >= 0) & (t < F.lit(1 << (8 * width))))
+    digits = lambda t: F.concat(*(F.lpad(F.hex(F.shiftright(t.cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(width)))
+    packed = F.unhex(F.array_join(F.transform(whole, digits), ""))
+    return docs.select("doc_id", F.when(fits, packed).otherwise(F.raise_error(F.lit(f"a token id needs more than {width} bytes"))).alias("ids"))
+
+
 def numbered(tokens: DataFrame, config: Config) -> tuple[DataFrame, int]:
     """(doc_id, part, index, n_tokens, ids) of each sequence, indexed densely, and how many there are.
 
     The index is the place in the table as it is read: sequences are counted by partition first (one number for each comes to
     the driver). ``tokens`` must read the same way twice, as files do.
     """
-    n = F.ceil(F.octet_length("ids") / config.length).cast("long")
+    n = F.ceil(F.octet_length("ids") / config.stride).cast("long")
     rows = tokens.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(n).alias("n")).collect()
     counts = {r["p"]: r["n"] for r in rows}
     begins, total = {}, 0
@@ -85,14 +103,14 @@ def numbered(tokens: DataFrame, config: Config) -> tuple[DataFrame, int]:
         from pyspark import TaskContext
 
         p = TaskContext.get().partitionId()
-        at, length = begins.get(p, 0), config.length
+        at, length = begins.get(p, 0), config.stride
         end = at + counts.get(p, 0)
         for batch in batches:
             ids, parts, indexes, sizes, records = [], [], [], [], []
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k in range(0, len(data), length):
                     piece = data[k : k + length]
-                    ids.append(doc), parts.append(k // length), indexes.append(at), sizes.append(len(piece)), records.append(piece)
+                    ids.append(doc), parts.append(k // length), indexes.append(at), sizes.append(len(piece) // config.width), records.append(piece)
                     at += 1
             slots = feistel(np.array(indexes, np.int64), total, config.key)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(slots), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())], names=["doc_id", "part", "slot", "n_tokens", "ids"])
@@ -110,10 +128,14 @@ def shard_writer(folder: str, config: Config):
 
         store, root = fs.FileSystem.from_uri(folder)
         shard, out, own = None, None, ""
+        fill = config.pad.to_bytes(config.width, "little") * config.length
 
         def close() -> None:
             out.close()
-            store.move(own, f"{root}/shard-{shard:08d}.bin")
+            done = f"{root}/shard-{shard:08d}.bin"
+            if store.get_file_info(done).type != fs.FileType.NotFound:
+                store.delete_file(done)
+            store.move(own, done)
 
         for batch in batches:
             slots, rows = batch.column("slot").to_pylist(), batch.column("ids").to_pylist()
@@ -124,11 +146,11 @@ def shard_writer(folder: str, config: Config):
                         close()
                     shard, own = slot // config.shard, f"{root}/.shard-{uuid.uuid4().hex}"
                     out = store.open_output_stream(own)
-                record = data.ljust(config.length, bytes([PAD]))
+                record = data + fill[len(data) :]
                 checks.append(zlib.crc32(record))
                 out.write(record)
             s = np.array(slots, np.int64)
-            columns = [batch.column("slot"), pa.array(s // config.shard), pa.array(s % config.shard * config.length), batch.column("doc_id"), batch.column("part"), batch.column("n_tokens"), pa.array(checks, pa.int64())]
+            columns = [batch.column("slot"), pa.array(s // config.shard), pa.array(s % config.shard * config.stride), batch.column("doc_id"), batch.column("part"), batch.column("n_tokens"), pa.array(checks, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "offset", "doc_id", "part", "n_tokens", "crc32"])
         if out:
             close()
@@ -143,8 +165,9 @@ def materialised(tokens: DataFrame, folder: str, config: Config = Config()) -> D
     """Write all sequences to ``folder``/shard-*.bin, and return the manifest: a row for each sequence.
 
     slot, shard, offset (bytes in the shard), doc_id, part (of the document), n_tokens (before padding), crc32 (of the record).
-    A wave shuffles a range of shards by shard number, sorts each by slot and writes it; finished waves are kept if a later
-    one fails, and repeating a wave rewrites the same bytes. Rows that repeat are sequences of their own; a null doc_id passes
+    A wave shuffles a range of shards by shard number, sorts each by slot and writes it, then its part of the manifest. When the call
+    is repeated with the same table, folder and settings, waves whose part is complete are left as they are; repeating a wave
+    rewrites the same bytes and its own part only. Rows that repeat are sequences of their own; a null doc_id passes
     through; an empty table writes nothing.
     """
     from pyarrow import fs
@@ -156,13 +179,18 @@ def materialised(tokens: DataFrame, folder: str, config: Config = Config()) -> D
     store.create_dir(root, recursive=True)
     shards = -(-total // config.shard)
     step = max(1, -(-shards // config.waves))
+    plan = hashlib.blake2b(f"{total} {config}".encode(), digest_size=8).hexdigest()
+    parts = []
     for first in range(0, shards, step):
         count = min(step, shards - first)
+        parts.append(f"{folder}/manifest-{plan}-{first:08d}")
+        if exists(spark, f"{parts[-1]}/_SUCCESS"):
+            continue
         wave = sequences.where((F.col("slot") >= first * config.shard) & (F.col("slot") < (first + count) * config.shard))
         wave = wave.repartitionById(count, (F.floor(F.col("slot") / config.shard) - first).cast("int")).sortWithinPartitions("slot")
         with setting(spark, CLEANUP, "true"):
-            wave.mapInArrow(shard_writer(folder, config), MANIFEST).write.mode("append").option("compression", "zstd").parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest") if shards else spark.createDataFrame([], MANIFEST)
+            wave.mapInArrow(shard_writer(folder, config), MANIFEST).write.mode("overwrite").option("compression", "zstd").parquet(parts[-1])
+    return spark.read.schema(MANIFEST).parquet(*parts) if parts else spark.createDataFrame([], MANIFEST)
 
 
 def read_from(folder: str, slot: int, total: int, config: Config = Config()) -> Iterator[bytes]:
@@ -172,11 +200,12 @@ def read_from(folder: str, slot: int, total: int, config: Config = Config()) ->
     store, root = fs.FileSystem.from_uri(folder)
     while slot < total:
         with store.open_input_file(f"{root}/shard-{slot // config.shard:08d}.bin") as shard:
-            shard.seek(slot % config.shard * config.length)
-            while record := shard.read(config.length):
+            shard.seek(slot % config.shard * config.stride)
+            while record := shard.read(config.stride):
                 yield record
                 slot += 1
 
 
-def report(spark: SparkSession, docs: DataFrame, config: Config = Config()) -> DataFrame:
-    return materialised(byte_tokens(docs), f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}", config)
+def report(spark: SparkSession, docs: DataFrame, config: Config = Config(), folder: str | None = None) -> DataFrame:
+    """The manifest of the byte-level tokens of all documents, in a new folder unless one is named; odd rows as in ``materialised``."""
+    return materialised(byte_tokens(docs), folder or f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}", config)
