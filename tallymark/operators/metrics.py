@@ -188,9 +188,9 @@ def cohort_retention(rows: DataFrame, after: tuple[int, ...] = (7, 30)) -> DataF
     return span.groupBy("project_id", F.date_format("first", "yyyy-MM").alias("cohort")).agg(F.count("*").alias("clients"), *kept)
 
 
-def cost_economics(rows: DataFrame) -> DataFrame:
-    """Cost stays with the attempt that spent it."""
-    out = rows.groupBy("project_id").agg(F.sum("cost").alias("cost"), F.count_if(F.col("outcome") == "success").alias("successes"), F.count_distinct("operation_id").alias("operations"))
+def cost_economics(rows: DataFrame, by: tuple[str, ...] = ("project_id", "tool", "caller_known")) -> DataFrame:
+    """Cost per capability and class of caller; it stays with the attempt that spent it."""
+    out = rows.groupBy(*by).agg(F.sum("cost").alias("cost"), F.count_if(F.col("outcome") == "success").alias("successes"), F.count_distinct("operation_id").alias("operations"))
     return out.select("*", ratio("cost", "successes").alias("cost_per_success"), ratio("cost", "operations").alias("cost_per_operation"))
 
 

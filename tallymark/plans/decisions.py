@@ -180,6 +180,18 @@ def _meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metering.meter_events(view(spark, sf_dir, "fx_meter"), policy)
 
 
+@query(
+    "meter_events_resolved",
+    """SELECT operation_id, billable_event, CASE billable_event WHEN 'operation_succeeded' THEN 'operation' ELSE 'booking' END AS billable_unit, CAST(1 AS BIGINT) AS quantity, count(*) AS attempts FROM fx_meter
+    WHERE (billable_event = 'effect_confirmed' OR (billable_event = 'operation_succeeded' AND validity NOT IN ('replay', 'duplicate', 'suspected_invalid'))) AND quantity % 3 <> 0 GROUP BY operation_id, billable_event""",
+)
+def _meter_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only what at least a correlation binds to its operation is billed."""
+    policy = spark.createDataFrame(POLICY, "billable_event string, billable_unit string, billable_quantity long, exclusions array<string>")
+    bound = F.when(F.col("quantity") % 3 == 0, "provider_policy").when(F.col("quantity") % 3 == 1, "correlated").otherwise("explicit_operation_id")
+    return metering.meter_events(view(spark, sf_dir, "fx_meter").withColumn("resolution", bound), policy, "correlated")
+
+
 @query(
     "ledger_balance",
     """SELECT billable_event, count(*) AS events, CAST(sum(quantity) AS BIGINT) AS quantity FROM s_ledger WHERE reversal_of IS NULL AND meter_event_id NOT IN

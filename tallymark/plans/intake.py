@@ -262,6 +262,21 @@ def _prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.retention_prune(observations(spark, sf_dir), "2001-08-02", 900, deleted).groupBy("project_id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "retention_cascade",
+    """SELECT 'observations' AS name, project_id, count(*) AS n FROM s_obs WHERE CAST(observed_at AS DATE) >= DATE '2001-08-02' - INTERVAL 1200 DAY AND project_id <> 'proj-1' GROUP BY project_id UNION ALL
+    SELECT 'attempts', project_id, count(*) FROM s_attempts WHERE CAST(started_at AS DATE) >= DATE '2001-08-02' - INTERVAL 1200 DAY AND project_id <> 'proj-1' GROUP BY project_id UNION ALL
+    SELECT 'aggregates', project_id, count(DISTINCT CAST(observed_at AS DATE)) FROM s_obs WHERE CAST(observed_at AS DATE) >= DATE '1997-08-02' AND project_id <> 'proj-1' GROUP BY project_id""",
+)
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir)
+    tables = {"observations": obs, "attempts": correlate.attempts(obs), "aggregates": obs.groupBy("project_id", F.to_date("observed_at").alias("day")).agg(F.count("*").alias("n"))}
+    deleted = spark.createDataFrame([("proj-1",)], "project_id string")
+    kept = files.retention_cascade(tables, "2001-08-02", deleted, 1200, 48)
+    counts = [rows.groupBy(F.lit(name).alias("name"), "project_id").agg(F.count("*").alias("n")) for name, rows in kept.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query(
     "experiment_history",
     "SELECT concat('2024-01-0', 1 + CAST(substr(task_id, 3) AS INT)) AS run_date, 'done' AS status, concat('v1=', count(*) FILTER (variant_id = 'v1'), ', v2=', count(*) FILTER (variant_id = 'v2')) AS verdicts, task_id AS manifest_hash, 'p' AS prereg_hash FROM fx_funnel GROUP BY task_id",

@@ -92,7 +92,7 @@ SIMPLE = {
     "cost_economics": (
         metrics.cost_economics,
         """SELECT *, cost / nullif(successes, 0) AS cost_per_success, cost / nullif(operations, 0) AS cost_per_operation FROM
-        (SELECT project_id, sum(cost) AS cost, count(*) FILTER (outcome = 'success') AS successes, count(DISTINCT operation_id) AS operations FROM s_w GROUP BY ALL)""",
+        (SELECT project_id, tool, caller_known, sum(cost) AS cost, count(*) FILTER (outcome = 'success') AS successes, count(DISTINCT operation_id) AS operations FROM s_w GROUP BY ALL)""",
     ),
     "strict_qualified": (
         lambda rows: metrics.strict_qualified(rows).select("attempt_id", "project_id", "tool", "outcome"),

@@ -50,6 +50,22 @@ def retention_prune(rows: DataFrame, as_of: str, days: int, deleted: DataFrame |
     return kept if deleted is None else kept.join(deleted, "project_id", "left_anti")
 
 
+def retention_cascade(tables: dict[str, DataFrame], as_of: str, deleted: DataFrame | None = None, raw_days: int = 30, aggregate_months: int = 12) -> dict[str, DataFrame]:
+    """The tables of a workspace as they are to stay: raw observations of the last days, aggregates (with ``day``) of the last months.
+
+    What is derived from observations (attempts and operations, by ``started_at``) goes with them. A deleted project goes from all.
+    """
+    months_ago = F.add_months(F.to_date(F.lit(as_of)), -aggregate_months)
+    out = {}
+    for name, rows in tables.items():
+        if name == "aggregates":
+            kept = rows.where(F.to_date("day") >= months_ago)
+            out[name] = kept if deleted is None else kept.join(deleted, "project_id", "left_anti")
+        else:
+            out[name] = retention_prune(rows, as_of, raw_days, deleted, "observed_at" if name == "observations" else "started_at")
+    return out
+
+
 def experiment_history(spark: SparkSession, path: str) -> DataFrame:
     """One row per report file: date, status, verdicts as variant=verdict, and hashes, in order of date."""
     rows = spark.read.schema(schemas.REPORT).option("multiLine", True).json(path)
