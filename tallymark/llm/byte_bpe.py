@@ -22,7 +22,7 @@ from tallymark.llm.common import bounded_batches
 
 #: Distinct pieces whose ids a worker remembers (of up to so many characters each), and transducer states that it keeps, before it
 #: starts afresh.
-PIECES_KEPT, PIECE_LENGTH, STATES_KEPT = 300_000, 48, 240_000
+PIECES_KEPT, PIECE_LENGTH, STATES_KEPT = 240_000, 48, 160_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,13 +50,14 @@ class MergeTransducer:
         self.numbered: dict[tuple, int] = {}
         self.outs: list[tuple[int, ...]] = []
         self.out_at: dict[tuple[int, ...], int] = {}
+        self.alike: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.starts: list[tuple[int, ...]] = []  # by state, where in its pending bytes a token can start that goes on
         self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 24 | number of what leaves
         self.reset()
 
     def reset(self) -> None:
         """A state is its pending bytes, their last tokens, and the token before them if one can still cover them all."""
-        for table in (self.keys, self.numbered, self.outs, self.out_at, self.starts, self.moves):
+        for table in (self.keys, self.numbered, self.outs, self.out_at, self.starts, self.alike, self.moves):
             table.clear()
         self.keys.append((b"", (), -1))
         self.numbered[self.keys[0]] = 0
@@ -118,7 +119,7 @@ class MergeTransducer:
         if (found := self.numbered.get(key)) is None:
             found = self.numbered[key] = len(self.keys)
             self.keys.append(key)
-            self.starts.append(starts)
+            self.starts.append(self.alike.setdefault(starts, starts))
         return found
 
     def built(self, state: int, byte: int) -> int:
@@ -282,6 +283,10 @@ def ids_digest(ids: str = "ids") -> Column:
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per document what encoding and decoding gave: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Per row what encoding and decoding gave: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null or empty text has no tokens and the digests of nothing. Null doc_ids, rows that repeat and very long texts pass one by one;
+    other columns play no part; an empty table gives an empty result.
+    """
     both = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern), ranks_path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

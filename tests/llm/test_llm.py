@@ -482,9 +482,23 @@ def test_transducer_equals_tiktoken():
         assert [t for p in pieces.findall(text) for t in machine.encode(p.encode())] == library.encode_ordinary(text)
 
 
+def test_states_start_afresh_within_a_piece(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "STATES_KEPT", 40)
+    ranks = byte_bpe.read_ranks(RANKS)
+    small, rng = byte_bpe.MergeTransducer(ranks), random.Random(6)
+    for n in (5, 30, 3000):
+        piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()
+        assert list(small.encode(piece)) == small.merged(piece) and len(small.keys) <= 42
+
+
 def test_round_trip(spark):
+    import tiktoken
+
     known = texts(spark)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
     for r in queries.op8_byte_bpe(spark, SF).collect():
+        ids = library.encode_ordinary(known[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(known[r.doc_id].encode()).hexdigest()
 
 
