@@ -583,7 +583,7 @@ def test_whole_items_are_found(spark):
 # Near-duplicates
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
@@ -599,7 +599,7 @@ def brute(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: (len(sets[d]), find(d)) for d in ids}
@@ -664,6 +664,31 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()} and set(docs.columns) <= set(out.columns)
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage again by a plain version, on what the plain version before it kept."""
+    import pyarrow as pa
+    import tiktoken
+    from tallymark.llm.wordhash import word_hashes
+
+    documents(spark).where("doc_id < 90").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    good = {d for d, kept in connection.execute(f"SELECT doc_id, kept FROM ({quality_rules.ORACLE})").fetchall() if kept}
+    known = {d: t for d, t in texts(spark).items() if d in good}
+    away, _ = linked_lines(known)
+    known = {d: "\n".join(line for n, line in enumerate(t.split("\n")) if (d, n) not in away) for d, t in known.items()}
+    known = {d: known[d] for d, (_, c) in brute(sorted(known.items()), 80).items() if c == d}
+    hashed = lambda t: word_hashes(pa.array([t.lower()]), keep=decontaminate.LETTERS)[0]
+    items = [w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(w := hashed(r.text or ""))]
+    reached = lambda item, words: decontaminate.aligned(item, words)[0] >= (1.0 if len(item) >= 8 else 2.0) * len(item)
+    known = {d: t for d, t in known.items() if not any(reached(item, words) for words in [hashed(t)] for item in items)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    assert 10 < len(known) < len(good) < 90 and away
+    assert {d: (r.text, r.ids, r.round_trip) for d, r in got.items()} == {d: (t, library.encode_ordinary(t), True) for d, t in known.items()}
+
+
 def test_stages_on_odd_documents(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         docs = odd.withColumn("n_lines", F.lit("mine")).withColumn("n_tokens", F.lit("mine")).withColumn("_drops", F.lit(1)).withColumn("h", F.lit(2))
