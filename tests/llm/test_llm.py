@@ -195,6 +195,50 @@ def test_random_tokens_are_told_from_words(make, odd):
     assert secret_scan.report(odd).count() == 9 and secret_scan.report(odd.limit(0)).count() == 0
 
 
+def plain_tests(token):
+    """(stratum, bin) of a token by the four tests written out; None if it has no encoding or is too short."""
+    s = token.rstrip("=")
+    for kind, (pattern, alphabet, ends, least) in enumerate(secret_scan.ENCODINGS.values()):
+        if re.fullmatch(pattern.strip("^$"), s) and len(s) >= least:
+            break
+    else:
+        return None
+    s = s.lower() if kind == 0 else s
+    n, size, v = len(s), len(alphabet), [alphabet.index(c) + 1 for c in s]
+    tail = lambda z: 0.5 * math.exp(-0.717 * abs(z) - 0.416 * z * z) if z > 0 else 1 - 0.5 * math.exp(-0.717 * abs(z) - 0.416 * z * z)
+    chi = lambda x, d: tail(((x / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
+    counts = collections.Counter(v)
+    fine = sum((counts[k + 1] - n / size) ** 2 / (n / size) for k in range(size))
+    cuts = (0, *ends)
+    coarse = sum((sum(a < x <= b for x in v) - n * (b - a) / size) ** 2 / (n * (b - a) / size) for a, b in zip(cuts, cuts[1:]))
+    high = [x > size / 2 for x in v]
+    up, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * up * (n - up) / n + 1
+    spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    middle = sum(v) / n
+    square, lag = sum((x - middle) ** 2 for x in v), sum((a - middle) * (b - middle) for a, b in zip(v, v[1:]))
+    serial = (lag / max(square, 1e-9) + 1 / n) * math.sqrt(n)
+    p = min(chi(fine, size - 1), chi(coarse, len(cuts) - 2), 2 * tail(abs((runs - mean) / spread)), 2 * tail(abs(serial)))
+    return kind * 64 + int(math.log2(n)), min(-math.log(max(min(1.0, 4 * p), 1e-300)) * secret_scan.BINS, secret_scan.LAST)
+
+
+def test_battery_equals_its_tests_written_out(spark):
+    rng = random.Random(12)
+    tokens = [base64.b64encode(rng.randbytes(n)).decode() for n in (16, 24, 32, 48, 90) for _ in range(20)] + [rng.randbytes(n).hex() for n in (12, 16, 40) for _ in range(20)]
+    tokens += ["aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "thisisaverylongidentifierofwords", "ABABABABABABABABABABABABAB", "abcdefghijklmnopqrstuvwxyz0123456789", "short+but/ok", "0123456789012345678901234567"] + ["".join(rng.choice("etaoin") for _ in range(40)) for _ in range(30)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i long, token string")
+    got = {r.i: (r.stratum, r.bin) for r in secret_scan.tested(rows).collect()}
+    want = {i: plain for i, t in enumerate(tokens) if (plain := plain_tests(t))}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - math.floor(want[i][1])) <= 1e-6 + (abs(want[i][1] - round(want[i][1])) < 1e-6) for i in got)
+    # Benjamini and Hochberg's step in each stratum, token by token.
+    limits, rate = secret_scan.ruled_out(secret_scan.tested(rows), 0.05), 0.05
+    for stratum in {s for s, _ in got.values()}:
+        bins = sorted((b for s, b in got.values() if s == stratum), reverse=True)
+        passed = [b for b in bins if math.exp(-b / secret_scan.BINS) <= rate * sum(x >= b for x in bins) / len(bins)]
+        assert limits.get(stratum) == (min(passed) if passed else None)
+
+
 # Lines
 
 
