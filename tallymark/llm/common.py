@@ -65,5 +65,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
-    """Arrow batches of a few MB, so that a worker's memory does not follow the length of texts times a row count."""
+    """Arrow batches of a few MB, so that a worker's memory does not follow the length of texts times a row count.
+
+    The setting stays with the session: the plans made under it run later.
+    """
     spark.conf.set(BATCH_BYTES, str(megabytes << 20))

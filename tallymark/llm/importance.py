@@ -99,7 +99,7 @@ def resampled(docs: DataFrame, labels: DataFrame, config: Config = Config()) ->
 
     Null and empty texts have no features and a weight of 1. The noise comes from doc_id and seed, so repeated rows share it and
     are kept or left together; rows that tie with the k-th key are all kept. A null doc_id has the noise of -1. Without labels
-    every row is kept; an empty table gives an empty result.
+    every row is kept; an empty table gives an empty result. Very long texts are read whole; other columns play no part.
     """
     spark = docs.sparkSession
     shared_dir(spark)

@@ -167,7 +167,8 @@ def scored(docs: DataFrame, path: str, config: Config = Config()) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text).
 
     A null or empty text is its end alone. A null doc_id is held out. Rows that repeat count as often as they stand there. With no
-    training documents N is 0 and V is 0, and the pieces keep their first weights; an empty table gives an empty result.
+    training documents N is 0 and V is 0, and the pieces keep their first weights; an empty table gives an empty result. Very long texts are read whole; other
+    columns play no part.
     """
     spark = docs.sparkSession
     shared_dir(spark)

@@ -108,13 +108,18 @@ def judged(docs: DataFrame, candidates: list[Rule] | None = None) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, candidates: list[Rule] | None = None) -> DataFrame:
-    """The rows that pass, with the columns of ``docs`` as they were."""
+    """The rows that pass, with the columns of ``docs`` as they were, whatever their names.
+
+    Null, empty and short texts fail; a null doc_id plays no part; rows that repeat pass or fail together; very long texts are
+    measured whole; an empty table gives an empty one.
+    """
     packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     # A filter would be pushed below the measures and compute them once for each mention; a generator is not.
     return judged(packed, candidates).select(F.inline(F.when(F.col("kept"), F.array("_row"))))
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of every row; odd rows as in ``judged``, and other columns play no part."""
     return judged(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -163,5 +163,6 @@ def joined(*kinds: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, the number of spans of each base kind, their digest and all spans; odd rows as in ``scanned``, other columns play no part."""
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return scanned(docs).select("doc_id", *counts, F.sha2(joined(*KINDS[:3]), 256).alias("base_sha256"), joined(*KINDS).alias("spans"))
