@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import byte_bpe, decontaminate, importance, lattice_lm, line_dedup, main_text, near_dup, quality_rules, secret_scan, training_order
+from tallymark.llm import byte_bpe, decontaminate, importance, lattice_lm, line_dedup, main_text, near_dup, quality_rules, secret_scan, token_alignment, topk, training_order, whitening
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_PATTERN = public_tokenizers.PATTERN
 
 
@@ -58,6 +59,18 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.linked(table(spark, sf_dir, "documents"), BPE_JSON, PIECES, PIECE_PATTERN)
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_quality_rules": op2_quality_rules,
@@ -69,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dup": op10_near_dup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
