@@ -269,7 +269,7 @@ def linked(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFrame
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    bounded_batches(spark)
+    bounded_batches(spark, 1)
     with open(a_path, encoding="utf-8") as f, open(b_path, "rb") as g:
         a, b = f.read(), g.read()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
