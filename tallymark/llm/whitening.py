@@ -6,13 +6,14 @@ found on the driver (it is as large as the dimensions squared); the blocks times
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,24 +58,50 @@ def indexed(rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def blocks(rows: DataFrame, vector: Column, dims: int, config: Config) -> BlockMatrix:
-    """Indexed rows' vectors as a block matrix, one block wide."""
-    table = MLUtils.convertVectorColumnsFromML(rows.select("at", array_to_vector(vector).alias("v")), "v")
-    return IndexedRowMatrix(table, numCols=dims).toBlockMatrix(config.rows, dims)
+def blocks(rows: DataFrame, mean: np.ndarray, n: int, config: Config) -> BlockMatrix:
+    """The centred vectors x of indexed rows as a block matrix, one block wide.
+
+    Neighbours in a partition fill a block; at its edges blocks are filled up with zeros, and the two halves of one add up to the
+    block in whatever the matrix is multiplied with. So rows are never shuffled to become blocks.
+    """
+    size, dims = config.rows, len(mean)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, None
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(len(batch), dims) - mean
+            cuts = np.flatnonzero(np.diff(at // size)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if low == high:
+                    continue
+                if at[low] // size != block:
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([held.ravel(order="F").tobytes()])], names=["block", "values"])
+                    block, held = int(at[low] // size), np.zeros((size, dims))
+                held[at[low:high] % size] = x[low:high]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([held.ravel(order="F").tobytes()])], names=["block", "values"])
+
+    table = rows.select("at", "x").mapInArrow(build, "block long, values binary")
+    parts = table.rdd.map(lambda r: ((r["block"], 0), DenseMatrix(size, dims, np.frombuffer(r["values"]))))
+    return BlockMatrix(parts, size, dims, -(-n // size) * size, dims)
 
 
 def scatter(matrix: BlockMatrix, dims: int) -> np.ndarray:
     """The matrix's transpose times itself.
 
     MLlib would gather all blocks of one result block in a task; the middle dimension is split (an argument of the method that
-    Python's form of it hides), so that a task multiplies about 16 blocks and adds them up before the shuffle.
+    Python's form of it hides), so that a task multiplies about 16 blocks and adds them up before the shuffle. Blocks are kept
+    on executors' disks for the four times that they are read, and computed again where an executor is lost.
     """
-    if not matrix.numRows():
-        return np.zeros((dims, dims))
-    wrapped = matrix._java_matrix_wrapper
-    splits = max(1, -(-matrix.numRowBlocks // 16))
-    product = wrapped._java_model.transpose().multiply(wrapped._java_model, splits)
-    return BlockMatrix(product, dims, dims).toLocalMatrix().toArray()
+    matrix.persist(StorageLevel.DISK_ONLY)
+    own = matrix._java_matrix_wrapper._java_model
+    product = own.transpose().multiply(own, max(1, -(-matrix.numRowBlocks // 16)))
+    try:
+        return BlockMatrix(product, dims, dims).toLocalMatrix().toArray()
+    finally:
+        own.blocks().unpersist(False)
 
 
 def whitened(embeddings: DataFrame, config: Config = Config()) -> DataFrame:
@@ -92,13 +119,11 @@ def whitened(embeddings: DataFrame, config: Config = Config()) -> DataFrame:
     padded = F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("x")))
     rows = indexed(rows.select("vec_id", padded.alias("x")), "vectors")
     fit = indexed(rows.groupBy("x").agg(F.min("at").alias("first")), "fit-list")
-    n = fit.count()
+    n, many = fit.count(), rows.count()
     sums = [r["s"] for r in fit.select(F.posexplode("x").alias("d", "x")).groupBy("d").agg(F.sum("x").alias("s")).orderBy("d").collect()]  # one row a dimension
     mean = np.array(sums, float) / max(n, 1)
 
-    centre = F.array(*map(F.lit, mean.tolist())) if dims else F.array().cast("array<double>")
-    centred = lambda x: F.zip_with(x, centre, lambda a, m: a.cast("double") - m)
-    covariance = scatter(blocks(fit, centred("x"), dims, config), dims) / n if n and dims else np.zeros((0, 0))
+    covariance = scatter(blocks(fit, mean, n, config), dims) / n if n and dims else np.zeros((0, 0))
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     order = np.argsort(values)[::-1][: config.components]
     trace = float(np.trace(covariance))
@@ -111,7 +136,7 @@ def whitened(embeddings: DataFrame, config: Config = Config()) -> DataFrame:
     matrix = vectors[:, order] / np.sqrt(values[order])
     local = DenseMatrix(dims, len(order), matrix.ravel(order="F").tolist())
     whitening = BlockMatrix(spark.sparkContext.parallelize([((0, 0), local)], 1), dims, len(order))
-    projected = blocks(rows, centred("x"), dims, config).multiply(whitening).toIndexedRowMatrix().rows
+    projected = blocks(rows, mean, many, config).multiply(whitening).toIndexedRowMatrix().rows
     projected = projected.map(lambda r: (int(r.index), r.vector.toArray().tolist())).toDF("at long, w array<double>")
     projected = staged(projected, "projected")
 
