@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A token of the text contracts: a run of characters that are neither space nor \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +65,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(docs: DataFrame, away: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are not in ``away`` (doc_id, h: xxhash64 of the text); columns as they were.
+
+    Rows without a doc_id stay. Names of other columns don't matter.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    gone = away.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    return own.join(gone, ["_id", "_h"], "left_anti").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Arrow batches of a few MB, so that a worker's memory does not follow the length of texts times a row count.
 

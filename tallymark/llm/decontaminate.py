@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import bounded_batches, discard, shared_dir, staged
+from tallymark.llm.common import bounded_batches, discard, shared_dir, staged, without
 from tallymark.llm.wordhash import mixed, windows, word_hashes
 
 #: Bytes that make words: letters, digits and everything beyond ASCII.
@@ -199,31 +199,37 @@ def best_passage(item: np.ndarray, words: np.ndarray, starts: list[int], config:
     return share, end - aligned(item[::-1], words[a:end][::-1])[1], end
 
 
-LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long"
+LEAKS = "doc_id long, h long, item_id long, score double, start_word long, end_word long"
 
 
 def alignments(pairs: DataFrame, config: Config) -> DataFrame:
-    """LEAKS of the rows (doc_id, text, item_id, words, starts) that align."""
+    """LEAKS of the rows (doc_id, h, text, item_id, words, starts) that align."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, at = word_hashes(batch.column(1), keep=LETTERS)
+            words, at = word_hashes(batch.column(2), keep=LETTERS)
             rows = []
-            for k, (doc, item_id, item, starts) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True)):
+            for k, (doc, h, item_id, item, starts) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True)):
                 if best := best_passage(np.array(item, np.int64).astype(np.uint64), words[at[k] : at[k + 1]], starts, config):
-                    rows.append((doc, item_id, *best))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+                    rows.append((doc, h, item_id, *best))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "h", "item_id", "score", "start_word", "end_word"])
 
-    return pairs.select("doc_id", "text", "item_id", "words", "starts").mapInArrow(align, LEAKS)
+    return pairs.select("doc_id", "h", "text", "item_id", "words", "starts").mapInArrow(align, LEAKS)
 
 
 def leaks(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word): each document and item that align, with the best passage.
+    """(doc_id, item_id, score, start_word, end_word): ``leaks_by_text``, the best passage of any text of an id."""
+    best = F.max(F.struct("score", "start_word", "end_word")).alias("best")
+    return leaks_by_text(docs, items, config).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def leaks_by_text(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataFrame:
+    """LEAKS: each document (h: a hash of its text) and item that align, with the best passage.
 
     Whole texts are read where they lie; only documents with a seed are shuffled. Null texts on either side match nothing, as do
-    documents with a null doc_id and items with a null item_id; rows that repeat on either side give one row, as do different
-    texts of one id, with the best passage of any of them. Very long texts are searched whole. Without documents or items the
+    documents with a null doc_id and items with a null item_id; rows that repeat on either side give one row, and different
+    texts of one doc_id are told apart, while those of one item_id give their best passage. Very long texts are searched whole. Without documents or items the
     result is empty; other columns play no part. Words are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -236,17 +242,17 @@ def leaks(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataF
     total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
     found_at = staged(seeds(items, counts.where("word IS NOT NULL"), total, config), "seeds")
     lengths = sorted(r["n"] for r in found_at.select("n").distinct().collect())  # as many as Config has at most
-    found = staged(hits(docs, Filter.of(found_at.select("hash").distinct(), config.bits), lengths), "seeded").dropDuplicates(["doc_id", "h"])
+    seeded = staged(hits(docs, Filter.of(found_at.select("hash").distinct(), config.bits), lengths), "seeded")
+    found = seeded.dropDuplicates(["doc_id", "h"])
     runs = found.select("doc_id", "h", F.inline(F.arrays_zip("n", "hash", "at")))
     pairs = runs.join(found_at, ["n", "hash"]).groupBy("doc_id", "h", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
     met = pairs.join(found.select("doc_id", "h", "text"), ["doc_id", "h"]).join(items, "item")
     best = F.max(F.struct("score", "start_word", "end_word")).alias("best")
-    out = staged(alignments(met, config).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*"), "leaks")
-    discard(counts, found_at)
+    out = staged(alignments(met, config).groupBy("doc_id", "h", "item_id").agg(best).select("doc_id", "h", "item_id", "best.*"), "leaks")
+    discard(items, counts, found_at, seeded)
     return out
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, config: Config = Config()) -> DataFrame:
-    """The rows of ``docs`` whose document holds no item."""
-    leaked = leaks(docs, items, config).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text holds no item; each text of a doc_id is judged on its own."""
+    return without(docs, leaks_by_text(docs, items, config))

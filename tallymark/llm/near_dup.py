@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import bounded_batches, discard, shared_dir, staged
+from tallymark.llm.common import bounded_batches, discard, shared_dir, staged, without
 from tallymark.llm.graph import blocks, bucketed, components, joined, led, unsettled, within_small
 from tallymark.llm.wordhash import mixed, shingles, word_hashes
 
@@ -157,8 +157,8 @@ def blockwise(rows: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
     return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
 
 
-def linked(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) and kept.
+def judged(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """Per row: doc_id, h (a hash of the text), n_shingles, component_id (the smallest doc_id reachable by links, itself included) and kept.
 
     A null text, or one without words, has an empty set and is linked with nothing. Rows with a null doc_id are not linked
     (their component is null and they are kept). Rows that repeat have equal sets and so share a component; rows of
@@ -193,12 +193,19 @@ def linked(docs: DataFrame, config: Config = Config()) -> DataFrame:
     placed = classes.select("id", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(names, "root").select(F.col("id").alias("node"), "component_id")
-    out = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
+    out = sketches.select("doc_id", "h", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def linked(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """``judged`` without the hash."""
+    return judged(docs, config).drop("h")
 
 
 def kept_documents(docs: DataFrame, config: Config = Config(percent=80)) -> DataFrame:
-    """The rows of one document of each group, the one with the smallest doc_id; columns as they were."""
-    away = linked(docs, config).where("NOT kept").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of one document of each group, the one with the smallest doc_id; columns as they were.
+
+    Different texts of one doc_id each follow their own text, as in ``judged``.
+    """
+    return without(docs, judged(docs, config).where("NOT kept"))

@@ -14,9 +14,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import bounded_batches, exists, setting, shared_dir
@@ -61,14 +60,6 @@ def feistel(index: np.ndarray, total: int, key: str, rounds: int = 6) -> np.ndar
     return out.astype(np.int64)
 
 
-def slot_of(index: Column, total: int, key: str) -> Column:
-    @F.pandas_udf("long")
-    def slots(i: pd.Series) -> pd.Series:
-        return pd.Series(feistel(i.to_numpy(), total, key))
-
-    return slots(index)
-
-
 def byte_tokens(docs: DataFrame) -> DataFrame:
     """doc_id and ``ids``: the bytes of each text (null: none) and END, one unsigned byte a token."""
     return docs.select("doc_id", F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(bytes([END]))).alias("ids"))
@@ -86,15 +77,17 @@ def id_tokens(docs: DataFrame, ids: str, end: int, width: int) -> DataFrame:
     return docs.select("doc_id", F.when(fits, packed).otherwise(F.raise_error(F.lit(f"a token id needs more than {width} bytes"))).alias("ids"))
 
 
-def numbered(tokens: DataFrame, config: Config) -> tuple[DataFrame, int]:
-    """(doc_id, part, index, n_tokens, ids) of each sequence, indexed densely, and how many there are.
+def numbered(tokens: DataFrame, config: Config) -> tuple[DataFrame, int, str]:
+    """(doc_id, part, index, n_tokens, ids) of each sequence, indexed densely, how many there are, and a digest of the table.
 
-    The index is the place in the table as it is read: sequences are counted by partition first (one number for each comes to
-    the driver). ``tokens`` must read the same way twice, as files do.
+    The index is the place in the table as it is read: sequences are counted by partition first (two numbers for each come to
+    the driver: how many, and a hash of its rows and their places). ``tokens`` must read the same way twice, as files do.
     """
     n = F.ceil(F.octet_length("ids") / config.stride).cast("long")
-    rows = tokens.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(n).alias("n")).collect()
+    placed = tokens.select(F.spark_partition_id().alias("p"), n.alias("n"), F.xxhash64(F.monotonically_increasing_id(), "doc_id", "ids").alias("h"))
+    rows = placed.groupBy("p").agg(F.sum("n").alias("n"), F.bit_xor("h").alias("h")).collect()
     counts = {r["p"]: r["n"] for r in rows}
+    digest = hashlib.blake2b(repr(sorted((r["p"], r["n"], r["h"]) for r in rows)).encode(), digest_size=8).hexdigest()
     begins, total = {}, 0
     for p in sorted(counts):
         begins[p], total = total, total + counts[p]
@@ -117,7 +110,7 @@ def numbered(tokens: DataFrame, config: Config) -> tuple[DataFrame, int]:
         if at != end:
             raise RuntimeError("the table read differently the second time; write it out before ordering it")
 
-    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(number, "doc_id long, part long, slot long, n_tokens long, ids binary"), total
+    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(number, "doc_id long, part long, slot long, n_tokens long, ids binary"), total, digest
 
 
 def shard_writer(folder: str, config: Config):
@@ -167,19 +160,22 @@ def materialised(tokens: DataFrame, folder: str, config: Config = Config()) -> D
     slot, shard, offset (bytes in the shard), doc_id, part (of the document), n_tokens (before padding), crc32 (of the record).
     A wave shuffles a range of shards by shard number, sorts each by slot and writes it, then its part of the manifest. When the call
     is repeated with the same table, folder and settings, waves whose part is complete are left as they are; repeating a wave
-    rewrites the same bytes and its own part only. Rows that repeat are sequences of their own; a null doc_id passes
+    rewrites the same bytes and its own part only. A folder of another table, in content or order, or of other settings is refused. Rows that repeat are sequences of their own; a null doc_id passes
     through; an empty table writes nothing.
     """
     from pyarrow import fs
 
     spark = tokens.sparkSession
     bounded_batches(spark)
-    sequences, total = numbered(tokens, config)
+    sequences, total, digest = numbered(tokens, config)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     shards = -(-total // config.shard)
     step = max(1, -(-shards // config.waves))
-    plan = hashlib.blake2b(f"{total} {config}".encode(), digest_size=8).hexdigest()
+    plan = hashlib.blake2b(f"{total} {digest} {config}".encode(), digest_size=8).hexdigest()
+    others = {f.base_name.split("-")[1] for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("manifest-")} - {plan}
+    if others:
+        raise ValueError(f"{folder} holds the shards of another table or of other settings; name a new folder")
     parts = []
     for first in range(0, shards, step):
         count = min(step, shards - first)
