@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.sources.files import checkpointed
+
 BUCKET_SECONDS = 300
 ATTEMPT_TYPES = ("attempt_started", "attempt_completed")
 #: Validity values from the weakest to the strongest reason to exclude; fixed by the qualification rules.
@@ -72,14 +78,12 @@ def outcome_of() -> Column:
     return F.when(low.isNull(), "unknown").when(low != high, "inconsistent").otherwise(low)
 
 
-def evidence_of(cross_side_only: bool = False) -> Column:
+def evidence_of() -> Column:
     """The display grade of an attempt's observations. Two of a kind are told by its least and largest, without a distinct count."""
     named = F.col("observer_principal") != ""
     two = lambda value: F.coalesce(F.min(value) != F.max(value), F.lit(False))
     several = two(F.when(named, F.concat(part("observer_principal"), part("trust_domain"))))
     domains = two(F.when(named & (F.col("trust_domain") != ""), F.col("trust_domain")))
-    if cross_side_only:
-        several &= two(F.col("observer_side"))
     signed = F.coalesce(F.bool_or("signature_valid"), F.lit(False))
     return F.when(several & domains, "independently-corroborated").when(several, "corroborated").when(signed, "authenticated").otherwise("observed")
 
@@ -164,11 +168,127 @@ def receipts_correspond(receipts: DataFrame) -> DataFrame:
     return sides.where("client > 0 AND server > 0")
 
 
+#: Numbers of a bitmap; what Spark's bitmap functions take.
+BITS = 1 << 15
+
+
+def zero_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The least and greatest number of each bitmap, and the ranges missing in between."""
+    for batch in batches:
+        low, high, gaps = [], [], []
+        for bucket, data in zip(batch["bucket"], batch["bitmap"], strict=True):
+            there = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")) + int(bucket) * BITS
+            low.append(there[0])
+            high.append(there[-1])
+            after = np.flatnonzero(np.diff(there) > 1)
+            gaps.append([{"first_missing": int(a), "last_missing": int(b)} for a, b in zip(there[after] + 1, there[after + 1] - 1, strict=True)])
+        yield batch[["source_instance_id", "sequence_epoch", "bucket"]].assign(low=low, high=high, gaps=gaps)
+
+
 def sequence_gaps(rows: DataFrame) -> DataFrame:
-    """Missing ranges of source_sequence per source instance and epoch."""
-    order = Window.partitionBy("source_instance_id", "sequence_epoch").orderBy("source_sequence")
-    before = F.lag("source_sequence").over(order)
-    return rows.withColumn("_before", before).where("source_sequence - _before > 1").select("source_instance_id", "sequence_epoch", (F.col("_before") + 1).alias("first_missing"), (F.col("source_sequence") - 1).alias("last_missing"))
+    """Missing ranges of source_sequence per source instance and epoch, as the numbers that are there leave them.
+
+    Numbers become bitmaps of ``BITS`` by a partial aggregate, so a source that has all rows of the table is spread over as many groups
+    as it has ranges of numbers. Gaps inside a range are read from its bitmap, those between ranges from one row each. Numbers that
+    repeat count once, and null ones not at all; rows without a source or an epoch are one source of their own.
+    """
+    n = F.col("source_sequence").cast("long")
+    bucket = F.shiftright(n, 15)
+    keys = ["source_instance_id", "sequence_epoch"]
+    maps = rows.where("source_sequence IS NOT NULL").select(*keys, bucket.alias("bucket"), (n - bucket * BITS).alias("place")).groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+    read = maps.mapInPandas(zero_runs, "source_instance_id string, sequence_epoch string, bucket long, low long, high long, gaps array<struct<first_missing:long,last_missing:long>>")
+    before = F.lag("high").over(Window.partitionBy(*keys).orderBy("bucket"))
+    read = read.withColumn("before", before)
+    edge = F.when(F.col("low") - F.col("before") > 1, F.array(F.struct((F.col("before") + 1).alias("first_missing"), (F.col("low") - 1).alias("last_missing")))).otherwise(F.array().cast("array<struct<first_missing:bigint,last_missing:bigint>>"))
+    return read.select(*keys, F.explode(F.concat("gaps", edge)).alias("gap")).select(*keys, "gap.first_missing", "gap.last_missing")
+
+
+#: Columns of an evidence vector but the class.
+EVIDENCE = ("authentication", "corroboration", "independence", "attestation")
+
+
+def evidence_vector(obs: DataFrame) -> DataFrame:
+    """Per attempt: attempt_key, evidence and the axes that it is condensed from.
+
+    authentication (signed or none), corroboration (how many principals in their domains), independence (distinct-domains,
+    single-domain, or unknown without any domain), attestation (UNSUPPORTED: nothing attests yet).
+    """
+    named = F.col("observer_principal") != ""
+    observers = F.count_distinct(F.when(named, F.concat(part("observer_principal"), part("trust_domain"))))
+    domain = F.when(named & (F.col("trust_domain") != ""), F.col("trust_domain"))
+    independence = F.when(F.min(domain) != F.max(domain), "distinct-domains").when(F.min(domain).isNotNull(), "single-domain").otherwise("unknown")
+    signed = F.when(F.coalesce(F.bool_or("signature_valid"), F.lit(False)), "signed").otherwise("none")
+    return keyed(attempt_events_only(obs)).groupBy("attempt_key").agg(
+        evidence_of().alias("evidence"), signed.alias("authentication"), F.concat(observers.cast("string"), F.lit(" observers")).alias("corroboration"), independence.alias("independence"), F.lit("UNSUPPORTED").alias("attestation")
+    )
+
+
+def retry_links(obs: DataFrame) -> DataFrame:
+    """(attempt_key, retried, project_id) of the attempts that say which call they retry: the attempt of that call in their project and tool.
+
+    Of several calls that one attempt names the least counts. What is retried need not be there.
+    """
+    call = F.concat_ws("|", F.lit("c"), part("project_id"), part("tool"), part("retry_of"))
+    rows = keyed(attempt_events_only(obs)).where("retry_of <> ''")
+    return rows.groupBy("attempt_key").agg(F.min(call).alias("retried"), F.min("project_id").alias("project_id"))
+
+
+def retry_ranks(links: DataFrame) -> DataFrame:
+    """(attempt_key, head, place, cyclic) of every attempt on a chain: the first attempt, and how many retries lie between.
+
+    Pointer doubling: in each round an attempt's pointer becomes its target's, so a chain of n attempts takes about log n
+    rounds of one join. A pointer that has met no head after as many rounds as all attempts in one chain would take goes round a
+    cycle, or leads into one: no head and no place, and ``cyclic``.
+    """
+    edges = checkpointed(links.select("attempt_key", F.col("retried").alias("up")))
+    heads = edges.select(F.col("up").alias("attempt_key")).distinct().join(edges.select("attempt_key"), "attempt_key", "left_anti")
+    heads = checkpointed(heads)
+    state = edges.join(heads.select(F.col("attempt_key").alias("up"), F.lit(True).alias("done")), "up", "left").select("attempt_key", "up", F.lit(1).cast("long").alias("place"), F.coalesce("done", F.lit(False)).alias("done"))
+    state, most = checkpointed(state), edges.count()
+    for _ in range(max(1, most.bit_length())):
+        if state.where("NOT done").isEmpty():
+            break
+        step = state.select(F.col("attempt_key").alias("up"), F.col("up").alias("_up"), F.col("place").alias("_place"), F.col("done").alias("_done"))
+        going = state.where("NOT done").join(step, "up").select("attempt_key", F.col("_up").alias("up"), (F.col("place") + F.col("_place")).alias("place"), F.col("_done").alias("done"))
+        state = checkpointed(state.where("done").unionByName(going))
+    found = state.select("attempt_key", F.when(F.col("done"), F.col("up")).alias("head"), F.when(F.col("done"), F.col("place")).alias("place"), (~F.col("done")).alias("cyclic"))
+    return found.unionByName(heads.select("attempt_key", F.col("attempt_key").alias("head"), F.lit(0).cast("long").alias("place"), F.lit(False).alias("cyclic")))
+
+
+def retry_relation(obs: DataFrame) -> DataFrame:
+    """One row per chain: project_id, head, attempts, length, final_outcome, succeeded_after, and whether its head was observed.
+
+    Several attempts can retry the same one; length is that of the longest way, and final_outcome that of the last attempt on
+    it, the latest by start and key where several are as far. succeeded_after is the least place with a success. A chain whose head nobody
+    observed keeps its name, and does not count it as an attempt. Attempts on cycles have no chain: see ``retry_cycles``.
+    """
+    ranks = retry_ranks(retry_links(obs)).where("NOT cyclic")
+    known = attempts(obs).select("attempt_key", "project_id", "outcome", "started_at")
+    met = ranks.join(known, "attempt_key", "left")
+    there = F.col("outcome").isNotNull()
+    last = F.max_by("outcome", F.when(there, F.struct("place", "started_at", "attempt_key")))
+    return met.groupBy("head").agg(
+        F.min("project_id").alias("project_id"), F.count_if(there).alias("attempts"), (F.max("place") + 1).alias("length"), last.alias("final_outcome"),
+        F.min(F.when(F.col("outcome") == "success", F.col("place"))).alias("succeeded_after"), F.coalesce(F.bool_or(there & (F.col("place") == 0)), F.lit(False)).alias("observed"),
+    )
+
+
+def retry_cycles(obs: DataFrame) -> DataFrame:
+    """The attempts (attempt_key) whose retries go round, or lead to some that do."""
+    return retry_ranks(retry_links(obs)).where("cyclic").select("attempt_key")
+
+
+def retry_rate(obs: DataFrame) -> DataFrame:
+    """Per project: resolved operations, those in which an attempt retries another attempt of the same operation, and their share.
+
+    Retries between operations, or of attempts without one, don't count: the rate is within resolved operations only.
+    """
+    known = attempts(obs).where("operation_id IS NOT NULL").select("attempt_key", "project_id", "operation_id")
+    both = retry_links(obs).select("attempt_key", "retried").join(known, "attempt_key").join(known.select(F.col("attempt_key").alias("retried"), F.col("operation_id").alias("of"), F.col("project_id").alias("_p")), "retried")
+    retried = both.where("operation_id = of AND project_id = _p AND attempt_key <> retried").select("project_id", "operation_id").distinct().withColumn("again", F.lit(True))
+    out = known.select("project_id", "operation_id").distinct().join(retried, ["project_id", "operation_id"], "left")
+    out = out.groupBy("project_id").agg(F.count("*").alias("operations"), F.count_if("again").alias("with_retries"))
+    return out.withColumn("rate", F.col("with_retries") / F.col("operations"))
 
 
 def discrepancy_report(rows: DataFrame) -> DataFrame:

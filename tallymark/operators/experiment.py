@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import stats
+from tallymark.operators.correlate import part
 
 EVENTS = ("reach", "choice", "attempt", "operation_result", "consumption")
 RATES = {"selection_rate": ("selected", "reached"), "operation_success_rate": ("succeeded", "operations"), "consumption_rate": ("consumed", "succeeded")}
@@ -67,7 +68,7 @@ def compare_arms(cells: DataFrame, baseline: str, within: list[str], rate: str =
     arms = cells.select(*within, "variant_id", F.col(a).alias("k"), F.col(b).alias("n"))
     base = arms.where(F.col("variant_id") == baseline).select(*within, F.col("k").alias("k0"), F.col("n").alias("n0"))
     arms = arms.where(F.col("variant_id") != baseline)
-    met = arms.join(base, within, "left") if within else arms.crossJoin(F.broadcast(base))
+    met = arms.join(base, within, "left") if within else arms.crossJoin(base)
     met = met.fillna(0, ["k0", "n0"])
     low, high = stats.newcombe("k0", "n0", "k", "n")
     some = (F.col("n0") > 0) & (F.col("n") > 0)
@@ -111,7 +112,7 @@ def margin(cells: DataFrame, baseline: str, opportunity: float | None, conversio
     """
     rows = with_rates(cells)
     base = rows.where(F.col("variant_id") == baseline).select(F.col("selection_rate").alias("_base"))
-    met = rows.where(F.col("variant_id") != baseline).crossJoin(F.broadcast(base)).withColumn("selection_delta", F.col("selection_rate") - F.col("_base"))
+    met = rows.where(F.col("variant_id") != baseline).crossJoin(base).withColumn("selection_delta", F.col("selection_rate") - F.col("_base"))
     known = None not in (opportunity, conversion, margin_per_event)
     value = F.lit(None).cast("double")
     if known:
@@ -129,7 +130,7 @@ def dominance(variants: DataFrame) -> DataFrame:
     by_margin = F.col("a.margin").isNotNull() & F.col("b.margin").isNotNull()
     value = F.when(by_margin, F.col("a.margin") >= F.col("b.margin") * 0.98).otherwise(F.coalesce("a.difference", F.lit(0.0)) >= F.coalesce("b.difference", F.lit(0.0)) * 0.98)
     beats = (F.col("a.variant_id") != F.col("b.variant_id")) & value & (F.col("a.cost") < F.col("b.cost") * 0.98) & (F.col("a.consumption") >= F.col("b.consumption"))
-    met = b.join(F.broadcast(a), beats).groupBy(F.col("b.variant_id").alias("variant_id")).agg(F.min_by(F.col("a.variant_id"), F.col("a.place")).alias("dominated_by"))
+    met = b.join(a, beats).groupBy(F.col("b.variant_id").alias("variant_id")).agg(F.min_by(F.col("a.variant_id"), F.col("a.place")).alias("dominated_by"))
     return variants.join(met, "variant_id", "left")
 
 
@@ -187,7 +188,7 @@ def reweighting_top3(calibrated: DataFrame, condition: str) -> DataFrame:
 def assignment_plan(harnesses: DataFrame, tasks: DataFrame, variants: DataFrame, experiment: str, replicates: int, seed: int) -> DataFrame:
     """Every harness and task with blocks that hold each variant once, in an order that a hash of the seed decides."""
     blocks = harnesses.sparkSession.range(1, replicates + 1).withColumnRenamed("id", "block")
-    rows = harnesses.crossJoin(F.broadcast(tasks)).crossJoin(F.broadcast(variants)).crossJoin(F.broadcast(blocks))
+    rows = harnesses.crossJoin(tasks).crossJoin(variants).crossJoin(blocks)
     turn = F.sha2(F.concat_ws("|", F.lit(experiment), F.lit(str(seed)), "harness_id", "task_id", F.col("block").cast("string"), "variant_id"), 256)
     order = Window.partitionBy("harness_id", "task_id").orderBy("block", turn)
     out = rows.withColumn("replicate", F.row_number().over(order).cast("long"))
@@ -227,10 +228,38 @@ def connector_aggregate(rows: DataFrame, tiers: dict[str, str], export: bool = F
     return out.withColumn("excluded", F.lit(",".join(c for c in classes if c not in allowed)))
 
 
+#: A row's SHA-256 as so many numbers of 64 bits, each added up modulo 2^64.
+LANES = 4
+MODULUS = "18446744073709551616"
+
+
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's values as text, by name of column, each with its length before it; null is a dash."""
+    return F.sha2(F.concat_ws("|", *(part(F.col(f"`{c}`").cast("string")) for c in sorted(columns))), 256)
+
+
 def table_fingerprint(rows: DataFrame) -> DataFrame:
-    """A digest of a table that neither order nor partitioning changes: count, xor and sum of row digests."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(rows.columns))))
-    return rows.agg(F.count("*").alias("rows"), F.bit_xor(row).alias("xor"), F.sum(F.pmod(row, F.lit(1 << 31))).alias("sum"))
+    """(rows, lane0 ... lane3): a digest of a table as a multiset, which neither order nor partitioning changes.
+
+    Lanes are sums modulo 2^64 of the rows' SHA-256, so a repeated row counts, and fingerprints of parts add up: see ``merged``.
+    An empty table has zeros. Names of columns are not in the digest, only their order by name.
+    """
+    digest = row_digest(rows.columns)
+    lane = lambda k: F.sum(F.conv(F.substring("_d", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)"))
+    whole = F.lit(MODULUS).cast("decimal(20,0)")
+    out = rows.select(digest.alias("_d")).agg(F.count("*").alias("rows"), *((F.coalesce(lane(k), F.lit(0)) % whole).cast("decimal(20,0)").alias(f"lane{k}") for k in range(LANES)))
+    return out
+
+
+def merged_fingerprint(parts: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """The fingerprint of a table from those of its parts, less those of parts that are gone; equal to computing it anew."""
+    names = ["rows", *(f"lane{k}" for k in range(LANES))]
+    signed = parts.select(*names, F.lit(1).alias("_s"))
+    if gone is not None:
+        signed = signed.unionByName(gone.select(*names, F.lit(-1).alias("_s")))
+    whole = F.lit(MODULUS).cast("decimal(20,0)")
+    lanes = (F.pmod(F.coalesce(F.sum(F.col(f"lane{k}") * F.col("_s")), F.lit(0)).cast("decimal(38,0)"), whole).cast("decimal(20,0)").alias(f"lane{k}") for k in range(LANES))
+    return signed.agg(F.coalesce(F.sum(F.col("rows") * F.col("_s")), F.lit(0)).alias("rows"), *lanes)
 
 
 def improved(compared: DataFrame) -> Column:

@@ -137,21 +137,49 @@ def reject_reasons(validated: DataFrame) -> DataFrame:
     return validated.groupBy(F.when(F.size("errors") > 0, reason).alias("reason")).agg(F.count("*").alias("n"))
 
 
+#: The stage that each type of observation shows.
+STAGES = {"selection": "L0", "attempt_started": "L1", "attempt_completed": "L2", "result_consumed": "L3"}
+#: Fields of payloads that keep their names.
+CARRIED = (
+    "tool_call_id trace_id operation_id task_id retry_of outcome duration_ms error_type consumed_by_request_seq task_success model task_type "
+    "decision_id candidate_set_id category_id category_version choice_mode rank_in_candidate_set selection_id rank decision_authority selection_constraint selection_reason_observable"
+).split()
+
+
 def flatten_observation(rows: DataFrame, e: str = "e", project: str | None = None) -> DataFrame:
-    """The flat observation of each envelope; ``tool`` is what follows the first colon of the surface."""
+    """The flat observation of each envelope, with its line_no; ``tool`` is what follows the first colon of the surface.
+
+    All fields are carried: caller, surface and its claims, collection health (``dropped``, ``buffer_overflow``), sampling as JSON,
+    provenance, signature and key, and those of every type's payload, times as timestamps. ``lifecycle`` is the stage that
+    the type shows. ``signature_valid`` is null until ``with_signatures`` says what a verifier found.
+    """
     c = lambda name: F.col(f"{e}.{name}")
     surface = c("surface.surface_id")
     tool = F.when(surface != "", F.regexp_replace(surface, "^[^:]*:", ""))
     default = lambda name, value: F.coalesce(c(name), F.lit(value)).alias(name.split(".")[-1])
+    stage = F.lit(None).cast("string")
+    for kind, code in STAGES.items():
+        stage = F.when(c("observation_type") == kind, code).otherwise(stage)
+    health = {"source_instance_id": "source_instance_id", "source_sequence": "source_sequence", "sequence_epoch": "sequence_epoch", "dropped": "dropped_since_last_report", "buffer_overflow": "buffer_overflow"}
     return rows.select(
-        c("observation_id").alias("observation_id"), c("observation_type").alias("observation_type"), parse_ts(c("observed_at")).alias("observed_at"), c("observer.principal").alias("observer_principal"),
-        c("observer.side").alias("observer_side"), c("observer.trust_domain").alias("trust_domain"), default_project(c("deployment_context.project_id"), project).alias("project_id"), surface.alias("surface_id"), tool.alias("tool"),
-        *(c(f"payload.{x}").alias(x) for x in ("tool_call_id", "trace_id", "operation_id", "task_id", "retry_of", "outcome", "duration_ms")), c("client_key").alias("client_key"),
-        default("caller.runtime", "unknown").alias("caller_runtime"), default("caller.identity_strength", "unknown"), default("usage_context", "unknown"), default("validity", "unknown"), default("context_source", "none"), default("validity_source", "none"),
-        c("collection_health.source_instance_id").alias("source_instance_id"), c("collection_health.source_sequence").alias("source_sequence"), c("collection_health.sequence_epoch").alias("sequence_epoch"),
+        c("observation_id").alias("observation_id"), c("observation_type").alias("observation_type"), parse_ts(c("observed_at")).alias("observed_at"), F.col("line_no").cast("long").alias("line_no"), c("observer.principal").alias("observer_principal"),
+        c("observer.side").alias("observer_side"), c("observer.trust_domain").alias("trust_domain"), c("provenance").alias("provenance"), default_project(c("deployment_context.project_id"), project).alias("project_id"),
+        surface.alias("surface_id"), *(c(f"surface.{x}").alias(x) for x in ("surface_namespace", "provider_claim", "capability_claim")), tool.alias("tool"),
+        *(c(f"payload.{x}").alias(x) for x in CARRIED), *(parse_ts(c(f"payload.{x}")).alias(f"attempt_{x}" if x == "started_at" else x) for x in ("started_at", "ended_at")), c("client_key").alias("client_key"), stage.alias("lifecycle"),
+        default("caller.type", "unknown").alias("caller_type"), default("caller.runtime", "unknown").alias("caller_runtime"), default("caller.identity_strength", "unknown"),
+        default("usage_context", "unknown"), default("validity", "unknown"), default("context_source", "none"), default("validity_source", "none"),
+        *(c(f"collection_health.{field}").alias(name) for name, field in health.items()), F.to_json(c("sampling")).alias("sampling"), c("signature").alias("signature"), c("key_id").alias("key_id"), F.lit(None).cast("boolean").alias("signature_valid"),
     )
 
 
+def with_signatures(obs: DataFrame, verified: DataFrame) -> DataFrame:
+    """Set ``signature_valid``: there are a signature and a key, and a verifier lists the observation with that key (observation_id, key_id)."""
+    good = verified.select("observation_id", F.col("key_id").alias("_key")).distinct()
+    met = obs.alias("o").join(good.alias("v"), (F.col("o.observation_id") == F.col("v.observation_id")) & (F.col("o.key_id") == F.col("v._key")), "left")
+    valid = F.coalesce((F.col("o.signature") != "") & F.col("v._key").isNotNull(), F.lit(False))
+    return met.select(*(valid.alias(c) if c == "signature_valid" else F.col(f"o.`{c}`") for c in obs.columns))
+
+
 def default_project(project: Column | str, fallback: str | None) -> Column:
     p = F.col(project) if isinstance(project, str) else project
     return F.coalesce(F.when(p != "", p), F.lit(fallback).cast("string"))
@@ -167,9 +195,12 @@ def duration_bucket(seconds: Column | str) -> Column:
     return F.when(s.isNull(), F.lit(None).cast("string")).when(s < 1, "<1s").when(s < 10, "1s-10s").when(s < 60, "10s-60s").when(s < 600, "1m-10m").otherwise(">10m")
 
 
-def normalize_adapter(raw: DataFrame, source: str, project: str, principal: str, pads: DataFrame) -> DataFrame:
+def normalize_adapter(raw: DataFrame, source: str, project: str, principal: str, pads: DataFrame, trust_domain: str | None = None) -> DataFrame:
     """Raw adapter events as flat observations; each source says only what it can know.
 
+    source_event_id is the source's own id of the event: the call's for codex, the event's for dsh, none for the wrapper. line_no is the
+    reader's; events that come without one have null. Usage context and validity are unknown, as adapters can't tell them.
+
     The session leaves under a pseudonym of the event's month (see ``pseudonymize``; without a time there is none, and no session). The observation_id is
     a digest of the event and its source, so that reading a file twice gives the same observations.
     """
@@ -187,11 +218,13 @@ def normalize_adapter(raw: DataFrame, source: str, project: str, principal: str,
         fields = (cut("tool"), cut("tool_use_id"), cut("trace_id", 64), session("session_id", "session_key"), said, F.when(F.col("duration_bucket") != "", F.col("duration_bucket")), F.lit(None).cast("long"), stage, "client", "platform", "deepseek-harness")
     else:
         raise ValueError(f"unknown source: {source}")
+    own = {"codex-hook": cut("tool_use_id"), "dsh": cut("event_id")}.get(source, none)
+    line = (F.col("line_no").cast("long") if "line_no" in raw.columns else F.lit(None).cast("long")).alias("line_no")
     names = "tool tool_call_id trace_id _session outcome duration_bucket duration_ms lifecycle".split()
     columns = [F.coalesce(fields[0], F.lit("unknown")), *fields[1:8]]
-    rest = {"observation_type": "attempt_completed", "observer_side": fields[8], "observer_type": fields[9], "provenance": fields[9], "caller_runtime": fields[10], "project_id": project, "observer_principal": principal}
-    digest = F.sha2(F.concat_ws("|", F.lit(source), F.lit(principal), F.to_json(F.struct(*sorted(raw.columns)))), 256)
-    rows = raw.select(F.concat(F.lit("obs-"), F.substring(digest, 1, 32)).alias("observation_id"), parse_ts("observed_at").alias("observed_at"), F.col("event_id").alias("source_event_id"), *(c.alias(n) for c, n in zip(columns, names, strict=True)), *(F.lit(v).alias(k) for k, v in rest.items()))
+    rest = {"observation_type": "attempt_completed", "observer_side": fields[8], "observer_type": fields[9], "provenance": fields[9], "caller_runtime": fields[10], "project_id": project, "observer_principal": principal, "usage_context": "unknown", "validity": "unknown", "context_source": "none", "validity_source": "none"}
+    digest = F.sha2(F.concat_ws("|", F.lit(source), F.lit(principal), F.to_json(F.struct(*sorted(set(raw.columns) - {"line_no"})))), 256)
+    rows = raw.select(F.concat(F.lit("obs-"), F.substring(digest, 1, 32)).alias("observation_id"), parse_ts("observed_at").alias("observed_at"), own.alias("source_event_id"), line, F.lit(trust_domain).cast("string").alias("trust_domain"), *(c.alias(n) for c, n in zip(columns, names, strict=True)), *(F.lit(v).alias(k) for k, v in rest.items()))
     named = pseudonymize(rows, pads, fields[10], "_session", "observed_at").drop("_session")
     return named.withColumn("session_key", F.when(F.col("client_key") != "", F.col("client_key"))).drop("client_key")
 
@@ -228,10 +261,20 @@ def correlation_commitment(prefix: str, project: str = "project_id", trace: str
     return F.when((text(trace) != "") | (text(call) != ""), F.concat(F.lit("c-"), F.substring(digest, 1, 32)))
 
 
-def build_receipts(obs: DataFrame, prefix: str) -> DataFrame:
-    """What one side may show the other: no content, ids cut, and a commitment to join on."""
-    cut = lambda c, n: F.substring(F.col(c), 1, n).alias(c)
-    return obs.select("observation_id", "observer_side", "observer_principal", "project_id", cut("tool", 120), cut("tool_call_id", 120), cut("trace_id", 64), "outcome", correlation_commitment(prefix).alias("commitment"))
+def build_receipts(obs: DataFrame, prefix: str, session: str = "client_key") -> DataFrame:
+    """What one side may show the other: no content, ids cut, a pseudonymous session, and a commitment to join on.
+
+    A receipt's id is a digest of the observation's, so that building receipts twice gives the same ones. ``session`` names a column that
+    holds a pseudonym already (see ``pseudonymize``). Receipts are unsigned.
+    """
+    cut = lambda c, n: F.when(F.col(c) != "", F.substring(F.col(c), 1, n)).alias(c)
+    other = lambda c, value: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(value)).alias(c)
+    here = lambda c: (F.col(c) if c in obs.columns else F.lit(None).cast("string")).alias(c)
+    return obs.select(
+        F.concat(F.lit("r-"), F.substring(F.sha2("observation_id", 256), 1, 32)).alias("receipt_id"), "observation_id", "observed_at", "observer_side", "observer_principal", here("provenance"), "trust_domain", "project_id",
+        F.substring(F.coalesce(F.when(F.col("tool") != "", F.col("tool")), F.lit("unknown")), 1, 120).alias("tool"), cut("tool_call_id", 120), cut("trace_id", 64), F.when(F.col(session) != "", F.col(session)).alias("session_key"),
+        other("outcome", "unknown"), other("lifecycle", "L0"), correlation_commitment(prefix).alias("commitment"), here("sampling"),
+    )
 
 
 def migrate_legacy(rows: DataFrame) -> DataFrame:

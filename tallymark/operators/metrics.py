@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,12 +182,83 @@ def repeat_clients(rows: DataFrame, window_days: int) -> DataFrame:
     return per.groupBy("project_id").agg(F.count_if(F.col("windows") >= 2).alias("repeat_clients"), F.count("*").alias("clients"))
 
 
-def cohort_retention(rows: DataFrame, after: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """Per project and month of first use: clients, and those active again at least so many days later. No client goes out."""
-    days = rows.where("client_key IS NOT NULL").select("project_id", "client_key", F.to_date("started_at").alias("day"))
-    span = days.groupBy("project_id", "client_key").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    kept = [F.count_if(F.datediff("last", "first") >= d).alias(f"d{d}") for d in after]
-    return span.groupBy("project_id", F.date_format("first", "yyyy-MM").alias("cohort")).agg(F.count("*").alias("clients"), *kept)
+def active_days(rows: DataFrame) -> DataFrame:
+    """(project_id, client_key, first, words): a client's first day (days since 1970), and a bit for each active day, by words of 64 days."""
+    day = F.unix_date(F.to_date("started_at")).cast("long")
+    days = rows.where("client_key IS NOT NULL AND started_at IS NOT NULL").select("project_id", "client_key", day.alias("day"))
+    word = F.floor(F.col("day") / 64).cast("long")
+    words = days.groupBy("project_id", "client_key", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(day, 64) AS INT))")).alias("bits"), F.min("day").alias("day"))
+    # A client has one entry for each 64 days at most.
+    return words.groupBy("project_id", "client_key").agg(F.min("day").alias("first"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+
+
+def active_on(day: Column, words: str = "words") -> Column:
+    """Whether a day's bit is set."""
+    bits = F.try_element_at(words, F.floor(day / 64).cast("long"))
+    return F.coalesce(F.getbit(bits, F.pmod(day, F.lit(64)).cast("int")) == 1, F.lit(False))
+
+
+def cohort_retention(rows: DataFrame, after: tuple[int, ...] = (7, 30), within: int = 1) -> DataFrame:
+    """Per project and month of first use: clients, and those active ON the 7th and 30th day after their first, or on one of the
+    ``within`` days that begin with it. No client goes out; attempts are read once, and days are tested by their bits."""
+    held = active_days(rows)
+    again = lambda d: functools.reduce(lambda a, b: a | b, (active_on(F.col("first") + d + k) for k in range(within)))
+    kept = [F.count_if(again(d)).alias(f"d{d}") for d in after]
+    cohort = F.date_format(F.date_from_unix_date(F.col("first").cast("int")), "yyyy-MM")
+    return held.groupBy("project_id", cohort.alias("cohort")).agg(F.count("*").alias("clients"), *kept)
+
+
+#: Sizes of sketches: 2^LG entries of a set's, and K of a distribution's.
+LG, K = 14, 400
+
+
+def client_ledger(rows: DataFrame) -> DataFrame:
+    """A mergeable row per project and day (project_id, day, clients, members): a sketch that counts clients, and one that intersects."""
+    days = rows.where("client_key IS NOT NULL AND started_at IS NOT NULL").select("project_id", "client_key", F.to_date("started_at").alias("day"))
+    return days.groupBy("project_id", "day").agg(F.hll_sketch_agg("client_key", F.lit(LG)).alias("clients"), F.theta_sketch_agg("client_key", F.lit(LG)).alias("members"))
+
+
+def days_between(ledger: DataFrame, first: str | None, last: str | None) -> DataFrame:
+    """The ledger's days from first to last, both included; null is open."""
+    out = ledger if first is None else ledger.where(F.col("day") >= F.lit(first).cast("date"))
+    return out if last is None else out.where(F.col("day") <= F.lit(last).cast("date"))
+
+
+def active_clients_sketched(ledger: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """About how many clients each project had in a window of days: a merge of as many small rows, attempts are not read.
+
+    The relative standard error is 0.83 / sqrt(2^LG): 0.65 %.
+    """
+    return days_between(ledger, first, last).groupBy("project_id").agg(F.hll_sketch_estimate(F.hll_union_agg("clients")).alias("clients"))
+
+
+def repeat_clients_sketched(ledger: DataFrame, window_days: int, first: str | None = None, last: str | None = None) -> DataFrame:
+    """About how many clients each project had in two windows or more, and in any.
+
+    Days are merged to windows; going through them, what a window shares with all before it joins the repeated ones. Exact below 2^LG
+    clients; above, an intersection's error is 1 / sqrt(2^LG) of the union it is taken from: 0.8 %.
+    """
+    index = F.floor(F.unix_date("day") / window_days)
+    windows = days_between(ledger, first, last).groupBy("project_id", index.alias("i")).agg(F.theta_union_agg("members").alias("m"))
+    # One sketch a window: as many as the time has windows.
+    lists = windows.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda w: w["m"]).alias("w"))
+    start = F.struct(F.get("w", F.lit(0)).alias("seen"), F.theta_difference(F.get("w", F.lit(0)), F.get("w", F.lit(0))).alias("again"))
+    join = lambda s, m: F.struct(F.theta_union(s["seen"], m).alias("seen"), F.theta_union(s["again"], F.theta_intersection(s["seen"], m)).alias("again"))
+    both = F.aggregate(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), start, join)
+    return lists.select("project_id", both.alias("s")).select("project_id", F.theta_sketch_estimate("s.again").alias("repeat_clients"), F.theta_sketch_estimate("s.seen").alias("clients"))
+
+
+def latency_ledger(obs: DataFrame) -> DataFrame:
+    """A mergeable row per project and day (project_id, day, latency): a sketch of durations in milliseconds."""
+    rows = obs.where("duration_ms IS NOT NULL").select("project_id", F.to_date("observed_at").alias("day"), F.col("duration_ms").cast("long").alias("ms"))
+    return rows.groupBy("project_id", "day").agg(F.kll_sketch_agg_bigint("ms", F.lit(K)).alias("latency"))
+
+
+def latency_sketched(ledger: DataFrame, first: str | None = None, last: str | None = None, at: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """n and percentiles of each project in a window of days, from merged sketches; a percentile's rank is off by 0.7 % at most (99 %)."""
+    merged = days_between(ledger, first, last).groupBy("project_id").agg(F.kll_merge_agg_bigint("latency").alias("s"))
+    quantiles = [F.kll_sketch_get_quantile_bigint("s", F.lit(p)).alias(f"p{round(100 * p)}_ms") for p in at]
+    return merged.select("project_id", F.kll_sketch_get_n_bigint("s").alias("n"), *quantiles)
 
 
 def cost_economics(rows: DataFrame, by: tuple[str, ...] = ("project_id", "tool", "caller_known")) -> DataFrame:

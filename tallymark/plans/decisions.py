@@ -35,10 +35,26 @@ ON a.decision_id = b.decision_id AND a.candidate_set_id = b.candidate_set_id AND
 SELECT *, a_selected / nullif(a_selected + b_selected, 0) AS share_a FROM (SELECT tool_a, tool_b, count(DISTINCT p.decision_id) AS co_presented,
   count(DISTINCT p.decision_id) FILTER (s.tool = tool_a) AS a_selected, count(DISTINCT p.decision_id) FILTER (s.tool = tool_b) AS b_selected
 FROM s_pairs p LEFT JOIN s_s s ON p.decision_id = s.decision_id AND p.candidate_set_id = s.candidate_set_id AND p.choice_mode = s.choice_mode AND p.project_id = s.project_id GROUP BY tool_a, tool_b)""",
+    # Each result with the first request that names it; ids of results are unique here, and no request names both an id and a tool.
+    "s_claimed": """
+SELECT r.project_id, r.tool_use_id, r.tool, r.line_no, min(q.line_no) AS ends FROM fx_consumption r LEFT JOIN fx_consumption q
+ON q.type = 'request' AND q.project_id = r.project_id AND q.consumed_tool_use_id = r.tool_use_id AND q.line_no > r.line_no WHERE r.type = 'tool_result' GROUP BY ALL""",
+    # The requests that name a tool, numbered, with the results of it that no id has claimed yet, the latest first.
+    "s_asks": """
+SELECT q.project_id, q.mcp_tool AS tool, q.line_no, row_number() OVER (PARTITION BY q.project_id, q.mcp_tool ORDER BY q.line_no) AS n,
+  list(r.line_no ORDER BY r.line_no DESC) FILTER (r.line_no IS NOT NULL) AS pending FROM fx_consumption q LEFT JOIN s_claimed r
+ON r.project_id = q.project_id AND r.tool = q.mcp_tool AND r.line_no < q.line_no AND (r.ends IS NULL OR r.ends > q.line_no) WHERE q.type = 'request' AND q.mcp_tool IS NOT NULL GROUP BY q.project_id, q.mcp_tool, q.line_no""",
+    # Walked one by one: what is pending and younger than the last result taken.
+    "s_walk": """
+WITH RECURSIVE walk AS (
+  SELECT DISTINCT project_id, tool, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS reset, CAST(NULL AS BIGINT) AS request_line, CAST(NULL AS BIGINT) AS result_line, CAST(0 AS BIGINT) AS many FROM s_asks
+  UNION ALL
+  SELECT project_id, tool, n, CASE WHEN len(open) = 1 THEN line_no ELSE reset END, line_no, CASE WHEN len(open) = 1 THEN open[1] END, CAST(len(open) AS BIGINT)
+  FROM (SELECT a.project_id, a.tool, a.n, a.line_no, w.reset, list_filter(coalesce(a.pending, CAST([] AS BIGINT[])), lambda x: x > w.reset) AS open FROM walk w JOIN s_asks a ON a.project_id = w.project_id AND a.tool = w.tool AND a.n = w.n + 1))
+SELECT project_id, tool, request_line, result_line, CASE many WHEN 0 THEN 'none' WHEN 1 THEN 'linked' ELSE 'ambiguous' END AS kind FROM walk WHERE n > 0""",
     "s_exact": """
-SELECT r.project_id, r.tool_use_id, min(q.line_no) AS request_line, min(r.tool) AS tool FROM
-  (SELECT project_id, tool_use_id, min(line_no) AS line_no, arg_min(tool, line_no) AS tool FROM fx_consumption WHERE type = 'tool_result' AND tool_use_id IS NOT NULL GROUP BY ALL) r
-JOIN fx_consumption q ON q.type = 'request' AND q.project_id = r.project_id AND q.consumed_tool_use_id = r.tool_use_id AND r.line_no < q.line_no GROUP BY r.project_id, r.tool_use_id""",
+SELECT r.project_id, r.tool_use_id, r.ends AS request_line, r.tool FROM s_claimed r WHERE r.ends IS NOT NULL
+AND NOT EXISTS (SELECT 1 FROM s_walk w WHERE w.project_id = r.project_id AND w.result_line = r.line_no)""",
     "s_resolved": """
 SELECT o.surface_id, CASE WHEN k.lo IS NULL THEN 'unknown' WHEN k.lo <> k.hi THEN 'ambiguous' ELSE 'resolved' END AS entity_status,
   CASE WHEN k.lo = k.hi THEN k.lo END AS entity_id FROM (SELECT concat('mcp_tool:', tool) AS surface_id FROM s_obs) o
@@ -59,7 +75,7 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def used(obs: DataFrame) -> DataFrame:
     """Calls whose result was used: the server reported success."""
-    return obs.where("observer_side = 'server' AND outcome = 'success' AND tool_call_id IS NOT NULL").select("tool_call_id").distinct()
+    return obs.where("observer_side = 'server' AND outcome = 'success' AND tool_call_id IS NOT NULL").select("project_id", "tool_call_id").distinct()
 
 
 @query("dedup_choice", "SELECT decision_id, tool, candidate_set_id, choice_mode FROM s_presented")
@@ -111,7 +127,10 @@ def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consumption.consumption_exact(view(spark, sf_dir, "fx_consumption"))
 
 
-@query("consumption_inferred")
+@query(
+    "consumption_inferred",
+    "SELECT w.project_id, w.tool, w.request_line, w.kind, r.tool_use_id FROM s_walk w LEFT JOIN s_claimed r ON r.project_id = w.project_id AND r.line_no = w.result_line",
+)
 def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consumption.consumption_inferred(view(spark, sf_dir, "fx_consumption"))
 
@@ -133,12 +152,24 @@ def _runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "consumed_rate",
-    """SELECT *, consumed / nullif(observable, 0) AS rate FROM (SELECT project_id, count(*) FILTER (seen AND used) AS consumed, count(*) FILTER (seen) AS observable, count(*) FILTER (NOT seen) AS unobservable FROM
-    (SELECT project_id, tool_call_id, bool_or(o = 'OBSERVABLE') AS seen, bool_or(used) AS used FROM s_calls GROUP BY ALL) GROUP BY project_id)""",
+    f"""SELECT *, consumed / nullif(observable, 0) AS rate FROM (SELECT project_id, count(*) FILTER (seen AND used) AS consumed, count(*) FILTER (seen) AS observable, count(*) FILTER (NOT seen) AS unobservable FROM
+    (SELECT attempt_key, min(project_id) AS project_id, bool_or(observer_principal LIKE 'claude-otel%' AND observer_side = 'client') AS seen, bool_or(tool_call_id IN (SELECT tool_call_id FROM s_used)) IS TRUE AS used
+    FROM s_keyed GROUP BY attempt_key HAVING bool_or(observer_side = 'client') AND min(observed_at) >= TIMESTAMP '{SINCE}') GROUP BY project_id)""",
 )
 def _consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
-    return consumption.consumed_rate(obs, used(obs))
+    return consumption.consumed_rate(obs, used(obs), SINCE)
+
+
+@query(
+    "consumed_rate_strict",
+    """SELECT *, consumed / nullif(observable, 0) AS rate FROM (SELECT project_id, count(*) FILTER (seen AND used) AS consumed, count(*) FILTER (seen) AS observable, count(*) FILTER (NOT seen) AS unobservable FROM
+    (SELECT k.attempt_key, min(k.project_id) AS project_id, bool_or(observer_principal LIKE 'claude-otel%' AND observer_side = 'client') AS seen, bool_or(tool_call_id IN (SELECT tool_call_id FROM s_used)) IS TRUE AS used
+    FROM s_keyed k JOIN s_attempts a ON a.attempt_key = k.attempt_key AND a.usage_context = 'production' AND a.validity = 'normal' GROUP BY k.attempt_key HAVING bool_or(observer_side = 'client')) GROUP BY project_id)""",
+)
+def _consumed_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir)
+    return consumption.consumed_rate(obs, used(obs), strict=True)
 
 
 @query("observability_states", "SELECT project_id, CASE WHEN o <> 'OBSERVABLE' THEN o WHEN used THEN 'TRUE' ELSE 'FALSE' END AS state, count(*) AS n FROM s_calls GROUP BY ALL")

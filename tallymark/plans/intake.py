@@ -26,6 +26,7 @@ PREFIX = "tallymark-0.1"
 def envelope(obs: DataFrame) -> DataFrame:
     """Observations as canonical JSON lines; by line and supplier number some are broken in one way."""
     n = F.regexp_extract("observation_id", r"^obs-(\d+)-", 1).cast("long")
+    health = F.struct(F.concat(F.lit("src-"), F.col("tool")).alias("source_instance_id"), F.col("line_no").cast("long").alias("source_sequence"), F.lit("1").alias("sequence_epoch"), F.col("dropped").cast("long").alias("dropped_since_last_report"), F.col("buffer_overflow").alias("buffer_overflow"))
     caller = F.struct(F.lit("unknown").alias("type"), F.lit("rt").alias("runtime"), F.when(n % 29 == 0, "declared").otherwise("unknown").alias("identity_strength"))
     started = F.col("observation_type") == "attempt_started"
     only = lambda c: F.when(started, F.col(c)).alias(c)
@@ -34,7 +35,7 @@ def envelope(obs: DataFrame) -> DataFrame:
         F.lit("0.4").alias("spec_version"), F.when(n % 31 != 0, F.col("observation_id")).alias("observation_id"), F.when(n % 37 == 0, "odd").otherwise(F.col("observation_type")).alias("observation_type"),
         F.struct(F.col("observer_principal").alias("principal"), "trust_domain", F.col("observer_side").alias("side")).alias("observer"),
         F.when(n % 41 == 0, "yesterday").otherwise(F.date_format(F.col("observed_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("observed_at"), F.struct("project_id").alias("deployment_context"),
-        F.struct(F.concat(F.lit("mcp_tool:"), "tool").alias("surface_id")).alias("surface"), caller.alias("caller"), "client_key", "usage_context", "validity", payload.alias("payload"),
+        F.struct(F.concat(F.lit("mcp_tool:"), "tool").alias("surface_id")).alias("surface"), caller.alias("caller"), "client_key", "usage_context", "validity", F.col("validity_source"), health.alias("collection_health"), F.lit("otel").alias("provenance"), payload.alias("payload"), F.when(F.col("signature_valid"), "sig").alias("signature"), F.when(F.col("signature_valid"), "key-1").alias("key_id"),
     )
     line = F.to_json(row)
     line = F.when(n % 53 == 0, F.replace(line, F.lit('"spec_version":"0.4"'), F.lit('"spec_version":0.4'))).otherwise(line)
@@ -64,19 +65,28 @@ def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.validate_envelope(parsed(spark, sf_dir)).select("n", "line_no", F.array_join("errors", "; ").alias("errors"))
 
 
-FLAT = "observation_id observation_type observer_principal observer_side trust_domain project_id surface_id tool tool_call_id trace_id operation_id task_id outcome duration_ms client_key caller_runtime identity_strength usage_context validity context_source".split()
+#: What the lines say of each observation; all else of a flat one is null here.
+SAID = (
+    "observation_id observation_type observed_at line_no observer_principal observer_side trust_domain provenance project_id surface_id tool tool_call_id trace_id operation_id task_id outcome duration_ms client_key lifecycle "
+    "caller_type caller_runtime identity_strength usage_context validity context_source validity_source source_instance_id source_sequence sequence_epoch dropped buffer_overflow signature key_id signature_valid"
+).split()
+_STARTED = "observation_type = 'attempt_started'"
 
 
 @query(
     "flatten_observation",
-    """SELECT observation_id, observation_type, observer_principal, observer_side, trust_domain, project_id, concat('mcp_tool:', tool) AS surface_id, tool, tool_call_id,
-    CASE WHEN observation_type = 'attempt_started' THEN trace_id END AS trace_id, CASE WHEN observation_type = 'attempt_started' THEN operation_id END AS operation_id, CASE WHEN observation_type = 'attempt_started' THEN task_id END AS task_id,
-    CASE WHEN observation_type <> 'attempt_started' THEN coalesce(outcome, 'unknown') END AS outcome, CASE WHEN observation_type <> 'attempt_started' THEN duration_ms END AS duration_ms, client_key,
-    'rt' AS caller_runtime, 'unknown' AS identity_strength, usage_context, validity, 'none' AS context_source FROM s_faults WHERE errors = ''""",
+    f"""SELECT observation_id, observation_type, observed_at, line_no, observer_principal, observer_side, trust_domain, 'otel' AS provenance, project_id, concat('mcp_tool:', tool) AS surface_id, tool, tool_call_id,
+    CASE WHEN {_STARTED} THEN trace_id END AS trace_id, CASE WHEN {_STARTED} THEN operation_id END AS operation_id, CASE WHEN {_STARTED} THEN task_id END AS task_id,
+    CASE WHEN NOT {_STARTED} THEN coalesce(outcome, 'unknown') END AS outcome, CASE WHEN NOT {_STARTED} THEN duration_ms END AS duration_ms, client_key, CASE WHEN {_STARTED} THEN 'L1' ELSE 'L2' END AS lifecycle,
+    'unknown' AS caller_type, 'rt' AS caller_runtime, 'unknown' AS identity_strength, usage_context, validity, 'none' AS context_source, validity_source, concat('src-', tool) AS source_instance_id, line_no AS source_sequence, '1' AS sequence_epoch,
+    dropped, buffer_overflow, CASE WHEN signature_valid THEN 'sig' END AS signature, CASE WHEN signature_valid THEN 'key-1' END AS key_id, coalesce(signature_valid, false) AS signature_valid, true AS rest_is_null FROM s_faults WHERE errors = ''""",
 )
 def _flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = ingest.validate_envelope(parsed(spark, sf_dir)).where(F.size("errors") == 0)
-    return ingest.flatten_observation(good).select(*FLAT)
+    flat = ingest.flatten_observation(good)
+    flat = ingest.with_signatures(flat, flat.where("key_id = 'key-1'").select("observation_id", "key_id"))
+    rest = [c for c in flat.columns if c not in SAID]
+    return flat.select(*(F.col(c).cast("timestamp_ntz").alias(c) if c == "observed_at" else F.col(c) for c in SAID), (sum(F.col(c).isNotNull().cast("int") for c in rest) == 0).alias("rest_is_null"))
 
 
 @query("default_project", "SELECT CASE WHEN n % 3 = 0 THEN 'fallback' ELSE project_id END AS project_id, count(*) AS n FROM (SELECT project_id, line_no AS n FROM s_obs) GROUP BY ALL")
@@ -99,7 +109,7 @@ def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("line_no", ingest.parse_ts(said).cast("timestamp_ntz").alias("at")).groupBy("line_no", "at").agg(F.count("*").alias("n"))
 
 
-RAW = "tool AS tool_name, tool, tool_call_id AS tool_use_id, tool_call_id, trace_id, client_key AS session_id, CAST(NULL AS STRING) AS session_key, outcome, CAST(NULL AS STRING) AS duration_bucket, CAST(duration_ms AS STRING) AS duration_ms, CAST(NULL AS STRING) AS lifecycle_stage, observation_id AS event_id, CAST(observed_at AS STRING) AS observed_at"
+RAW = "tool AS tool_name, tool, tool_call_id AS tool_use_id, tool_call_id, trace_id, client_key AS session_id, CAST(NULL AS STRING) AS session_key, outcome, CAST(NULL AS STRING) AS duration_bucket, CAST(duration_ms AS STRING) AS duration_ms, CAST(NULL AS STRING) AS lifecycle_stage, observation_id AS event_id, CAST(observed_at AS STRING) AS observed_at, line_no"
 
 
 @query("redact", "SELECT observation_id, tool FROM s_obs WHERE line_no % 3 <> 0 AND line_no % 5 <> 0")
@@ -143,15 +153,15 @@ def _session(host: str) -> str:
 
 @query(
     "normalize_adapter",
-    f"""SELECT observation_id AS source_event_id, 'codex' AS caller_runtime, 'client' AS observer_side, 'hook' AS provenance, tool, tool_call_id, CAST(NULL AS VARCHAR) AS trace_id, 'unknown' AS outcome, 'L1' AS lifecycle, CAST(NULL AS BIGINT) AS duration_ms, {_session("codex")} FROM s_padded UNION ALL
-    SELECT observation_id, 'mcp', 'server', 'wrapper', tool, tool_call_id, trace_id, coalesce(outcome, 'unknown'), CASE WHEN outcome IN ('success', 'failure') THEN 'L2' ELSE 'L1' END, duration_ms, {_session("mcp")} FROM s_padded UNION ALL
-    SELECT observation_id, 'deepseek-harness', 'client', 'platform', tool, tool_call_id, trace_id, coalesce(outcome, 'unknown'), 'L2', NULL, {_session("deepseek-harness")} FROM s_padded""",
+    f"""SELECT tool_call_id AS source_event_id, line_no, 'td-9' AS trust_domain, 'codex' AS caller_runtime, 'client' AS observer_side, 'hook' AS provenance, tool, tool_call_id, CAST(NULL AS VARCHAR) AS trace_id, 'unknown' AS outcome, 'L1' AS lifecycle, CAST(NULL AS BIGINT) AS duration_ms, {_session("codex")} FROM s_padded UNION ALL
+    SELECT NULL, line_no, 'td-9', 'mcp', 'server', 'wrapper', tool, tool_call_id, trace_id, coalesce(outcome, 'unknown'), CASE WHEN outcome IN ('success', 'failure') THEN 'L2' ELSE 'L1' END, duration_ms, {_session("mcp")} FROM s_padded UNION ALL
+    SELECT observation_id, line_no, 'td-9', 'deepseek-harness', 'client', 'platform', tool, tool_call_id, trace_id, coalesce(outcome, 'unknown'), 'L2', NULL, {_session("deepseek-harness")} FROM s_padded""",
 )
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = observations(spark, sf_dir).selectExpr(*(RAW.split(", ")))
-    every = [ingest.normalize_adapter(raw, s, "p", "who", ingest.monthly_pads(spark, SECRET, MONTHS)) for s in ("codex-hook", "mcp-wrapper", "dsh")]
+    every = [ingest.normalize_adapter(raw, s, "p", "who", ingest.monthly_pads(spark, SECRET, MONTHS), "td-9") for s in ("codex-hook", "mcp-wrapper", "dsh")]
     rows = every[0].unionByName(every[1]).unionByName(every[2])
-    return rows.select("source_event_id", "caller_runtime", "observer_side", "provenance", "tool", "tool_call_id", "trace_id", "outcome", "lifecycle", "duration_ms", "session_key")
+    return rows.select("source_event_id", "line_no", "trust_domain", "caller_runtime", "observer_side", "provenance", "tool", "tool_call_id", "trace_id", "outcome", "lifecycle", "duration_ms", "session_key")
 
 
 COMMITMENT = f"CASE WHEN coalesce(trace_id, '') <> '' OR coalesce(tool_call_id, '') <> '' THEN concat('c-', substr(sha256(concat_ws('||', '{PREFIX}', coalesce(project_id, ''), coalesce(trace_id, ''), coalesce(tool_call_id, ''))), 1, 32)) END"
@@ -162,7 +172,11 @@ def _commitment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("observation_id", ingest.correlation_commitment(PREFIX).alias("commitment"))
 
 
-@query("build_receipts", f"SELECT observation_id, observer_side, observer_principal, project_id, tool, tool_call_id, trace_id, outcome, {COMMITMENT} AS commitment FROM s_obs")
+@query(
+    "build_receipts",
+    f"""SELECT concat('r-', substr(sha256(observation_id), 1, 32)) AS receipt_id, observation_id, observed_at, observer_side, observer_principal, CAST(NULL AS VARCHAR) AS provenance, trust_domain, project_id, tool, tool_call_id, trace_id,
+    client_key AS session_key, coalesce(outcome, 'unknown') AS outcome, coalesce(lifecycle, 'L0') AS lifecycle, {COMMITMENT} AS commitment, CAST(NULL AS VARCHAR) AS sampling FROM s_obs""",
+)
 def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.build_receipts(observations(spark, sf_dir), PREFIX)
 

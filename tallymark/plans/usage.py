@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import correlate, metrics
 from tallymark.plans.registry import query
-from tallymark.plans.views import AS_OF, DAYS, view
+from tallymark.plans.views import AS_OF, DAYS, STEPS, key_part, view
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,9 @@ def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.window(correlate.attempts(observations(spark, sf_dir)), AS_OF, DAYS)
 
 
+#: Each client's first day and all of its days.
+_DAYS = "SELECT project_id, client_key, min(CAST(started_at AS DATE)) AS a, list(DISTINCT CAST(started_at AS DATE)) AS days FROM s_w WHERE client_key IS NOT NULL GROUP BY ALL"
+
 #: name: (metric, its SELECT over the windowed attempts w)
 SIMPLE = {
     "attempt_counts": (metrics.attempt_counts, "SELECT project_id, count(*) AS attempts, count(*) AS eligible_attempts FROM s_w GROUP BY ALL"),
@@ -86,8 +89,12 @@ SIMPLE = {
     "active_client_days": (metrics.active_client_days, "SELECT project_id, count(DISTINCT (client_key, CAST(started_at AS DATE))) AS client_days FROM s_w WHERE client_key IS NOT NULL GROUP BY ALL"),
     "cohort_retention": (
         metrics.cohort_retention,
-        """SELECT project_id, strftime(a, '%Y-%m') AS cohort, count(*) AS clients, count(*) FILTER (b - a >= 7) AS d7, count(*) FILTER (b - a >= 30) AS d30 FROM
-        (SELECT project_id, client_key, min(CAST(started_at AS DATE)) AS a, max(CAST(started_at AS DATE)) AS b FROM s_w WHERE client_key IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
+        f"SELECT project_id, strftime(a, '%Y-%m') AS cohort, count(*) AS clients, count(*) FILTER (list_contains(days, a + 7)) AS d7, count(*) FILTER (list_contains(days, a + 30)) AS d30 FROM ({_DAYS}) GROUP BY ALL",
+    ),
+    "cohort_retention_weekly": (
+        lambda rows: metrics.cohort_retention(rows, (7, 30, 60), 7),
+        f"""SELECT project_id, strftime(a, '%Y-%m') AS cohort, count(*) AS clients, count(*) FILTER (len(list_filter(days, lambda d: d BETWEEN a + 7 AND a + 13)) > 0) AS d7,
+        count(*) FILTER (len(list_filter(days, lambda d: d BETWEEN a + 30 AND a + 36)) > 0) AS d30, count(*) FILTER (len(list_filter(days, lambda d: d BETWEEN a + 60 AND a + 66)) > 0) AS d60 FROM ({_DAYS}) GROUP BY ALL""",
     ),
     "cost_economics": (
         metrics.cost_economics,
@@ -262,6 +269,88 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.sequence_gaps(view(spark, sf_dir, "fx_sequence"))
 
 
+@query(
+    "evidence_vector",
+    """SELECT attempt_key, evidence, CASE WHEN signed THEN 'signed' ELSE 'none' END AS authentication, concat(observers, ' observers') AS corroboration,
+    CASE WHEN domains > 1 THEN 'distinct-domains' WHEN domains = 1 THEN 'single-domain' ELSE 'unknown' END AS independence, 'UNSUPPORTED' AS attestation FROM
+    (SELECT k.attempt_key, min(a.evidence) AS evidence, coalesce(bool_or(signature_valid), false) AS signed, count(DISTINCT (observer_principal, trust_domain)) AS observers, count(DISTINCT trust_domain) AS domains
+    FROM s_keyed k JOIN s_attempts a ON k.attempt_key = a.attempt_key GROUP BY k.attempt_key)""",
+)
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.evidence_vector(observations(spark, sf_dir))
+
+
+#: Calls retry the one 40 numbers before, in runs of four; some of them the one after, which makes cycles. Every eleventh has no id.
+RETRY_OF = """CASE WHEN CAST(substr(tool_call_id, 4, 20) AS BIGINT) % 97 = 0 THEN concat('tc-', CAST(substr(tool_call_id, 4, 20) AS BIGINT) + 40)
+  WHEN CAST(floor(CAST(substr(tool_call_id, 4, 20) AS BIGINT) / 40) AS BIGINT) % 4 <> 0 THEN concat('tc-', CAST(substr(tool_call_id, 4, 20) AS BIGINT) - 40) END"""
+
+STEPS |= {
+    "s_retries": f"""SELECT attempt_key, min(concat_ws('|', 'c', {key_part("project_id")}, {key_part("tool")}, {key_part("retry_of")})) AS retried, min(project_id) AS project_id FROM (SELECT *, {RETRY_OF} AS retry_of FROM s_keyed) WHERE retry_of <> '' GROUP BY attempt_key""",
+    "s_ranks": """
+WITH RECURSIVE ranks AS (SELECT DISTINCT retried AS attempt_key, retried AS head, CAST(0 AS BIGINT) AS place FROM s_retries WHERE retried NOT IN (SELECT attempt_key FROM s_retries)
+  UNION ALL SELECT s.attempt_key, head, place + 1 FROM ranks r JOIN s_retries s ON s.retried = r.attempt_key) SELECT * FROM ranks""",
+}
+
+
+def retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).withColumn("retry_of", F.expr(RETRY_OF))
+
+
+@query(
+    "retry_relation",
+    """SELECT head, min(project_id) AS project_id, count(outcome) AS attempts, max(place) + 1 AS length, arg_max(outcome, (place, started_at, r.attempt_key)) FILTER (outcome IS NOT NULL) AS final_outcome,
+    min(place) FILTER (outcome = 'success') AS succeeded_after, bool_or(outcome IS NOT NULL AND place = 0) AS observed FROM s_ranks r LEFT JOIN s_attempts a ON r.attempt_key = a.attempt_key GROUP BY head""",
+)
+def _retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.retry_relation(retried(spark, sf_dir))
+
+
+@query("retry_cycles", "SELECT attempt_key FROM s_retries WHERE attempt_key NOT IN (SELECT attempt_key FROM s_ranks)")
+def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.retry_cycles(retried(spark, sf_dir))
+
+
+@query(
+    "retry_rate",
+    """SELECT *, with_retries / operations AS rate FROM (SELECT project_id, count(DISTINCT operation_id) AS operations, count(DISTINCT operation_id) FILTER (again) AS with_retries FROM
+    (SELECT a.project_id, a.operation_id, b.attempt_key IS NOT NULL AS again FROM s_attempts a LEFT JOIN s_retries s ON a.attempt_key = s.attempt_key
+    LEFT JOIN s_attempts b ON b.attempt_key = s.retried AND b.operation_id = a.operation_id AND b.project_id = a.project_id AND b.attempt_key <> a.attempt_key WHERE a.operation_id IS NOT NULL) GROUP BY project_id)""",
+)
+def _retry_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.retry_rate(retried(spark, sf_dir))
+
+
+@query("active_clients_sketched", "SELECT project_id, count(DISTINCT client_key) AS clients, true AS close FROM s_w WHERE client_key IS NOT NULL GROUP BY ALL")
+def _sketched_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact count, and whether the ledger's estimate is within 3 % of it."""
+    rows = windowed(spark, sf_dir)
+    exact = rows.where("client_key IS NOT NULL").groupBy("project_id").agg(F.count_distinct("client_key").alias("clients"))
+    about = metrics.active_clients_sketched(metrics.client_ledger(rows)).withColumnRenamed("clients", "about")
+    return exact.join(about, "project_id").select("project_id", "clients", (F.abs(F.col("about") / F.col("clients") - 1) <= 0.03).alias("close"))
+
+
+@query(
+    "repeat_clients_sketched",
+    """SELECT project_id, true AS close, count(*) AS clients FROM (SELECT DISTINCT project_id, client_key FROM s_w WHERE client_key IS NOT NULL) GROUP BY ALL""",
+)
+def _sketched_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clients exactly, and whether the ledger's estimate of those in two months or more is within 3 % of the exact count."""
+    rows = windowed(spark, sf_dir)
+    exact = metrics.repeat_clients(rows, 30)
+    about = metrics.repeat_clients_sketched(metrics.client_ledger(rows), 30).select("project_id", F.col("repeat_clients").alias("about"))
+    return exact.join(about, "project_id").select("project_id", (F.abs(F.col("about") - F.col("repeat_clients")) <= 0.03 * F.col("clients")).alias("close"), "clients")
+
+
+@query("latency_sketched", "SELECT project_id, count(*) AS n, true AS p50_close, true AS p95_close FROM s_obs WHERE duration_ms IS NOT NULL GROUP BY ALL")
+def _sketched_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n, and whether the sketched percentiles stand within 1 % of their ranks among all durations."""
+    obs = observations(spark, sf_dir).where("duration_ms IS NOT NULL")
+    about = metrics.latency_sketched(metrics.latency_ledger(obs))
+    met = obs.select("project_id", "duration_ms").join(about, "project_id")
+    close = lambda c, p: ((F.count_if(F.col("duration_ms") < F.col(c)) <= (p + 0.01) * F.count("*")) & (F.count_if(F.col("duration_ms") <= F.col(c)) >= (p - 0.01) * F.count("*"))).alias(c.replace("_ms", "_close"))
+    return met.groupBy("project_id").agg(F.max("n").alias("n"), close("p50_ms", 0.5), close("p95_ms", 0.95))
+
+
 @query(
     "delegation_metrics",
     """SELECT *, cross_harness / tasks AS cross_harness_share FROM (SELECT deepest, count(*) AS tasks, CAST(sum(n) AS BIGINT) AS delegations, count(*) FILTER (h >= 2) AS cross_harness FROM

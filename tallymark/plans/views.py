@@ -166,14 +166,14 @@ def _first(source: str, columns: list[str]) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY observed_at, line_no, concat_ws('|', {tie})) AS rn FROM {source} WHERE observation_id <> '') WHERE rn = 1"
 
 
-def _part(x: str) -> str:
+def key_part(x: str) -> str:
     return f"coalesce(CAST(length({x}) AS VARCHAR) || ':' || {x}, '-')"
 
 
 def _keyed(source: str) -> str:
-    group = f"concat_ws('|', 't', {_part('project_id')}, {_part('trace_id')}, {_part('tool')}, CAST(CAST(floor(epoch(observed_at) / 300) AS BIGINT) AS VARCHAR))"
+    group = f"concat_ws('|', 't', {key_part('project_id')}, {key_part('trace_id')}, {key_part('tool')}, CAST(CAST(floor(epoch(observed_at) / 300) AS BIGINT) AS VARCHAR))"
     return f"""
-SELECT *, CASE WHEN tool_call_id <> '' THEN concat_ws('|', 'c', {_part('project_id')}, {_part('tool')}, {_part('tool_call_id')})
+SELECT *, CASE WHEN tool_call_id <> '' THEN concat_ws('|', 'c', {key_part('project_id')}, {key_part('tool')}, {key_part('tool_call_id')})
     WHEN two THEN g ELSE concat_ws('|', 's', observation_id) END AS attempt_key,
   CASE WHEN tool_call_id <> '' THEN 'call_id' WHEN two THEN 'trace_window' ELSE 'none' END AS matched_by
 FROM (SELECT *, g IS NOT NULL AND min(observer_side) OVER (PARTITION BY g) <> max(observer_side) OVER (PARTITION BY g) AS two

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.sources import schemas
@@ -10,12 +12,39 @@ from tallymark.sources import schemas
 EVENT_FILES = "*events*.jsonl"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where the master is local."""
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not configured:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallymark-"))
+        configured = context.getCheckpointDir()
+    return configured.rstrip("/")
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows, written where all executors read them; what they come from is not computed again."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
+
+
+def line_number() -> Column:
+    """A number that grows with a line's place in its file: by split, and in it in order. Files are not told apart.
+
+    Splits begin at multiples of 64 KB at least; a split has less than 2^33 lines. For a column next to a file source only.
+    """
+    block = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 16), 33)
+    return (block + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("line_no")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, source_file) of the lines of a file, folder or glob that are not blank."""
+    """(value, source_file, line_no) of the lines of a file, folder or glob that are not blank."""
     reader = spark.read
     if not any(ch in path for ch in "*?[{") and not path.endswith((".jsonl", ".json")):
         reader = reader.option("pathGlobFilter", EVENT_FILES)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("source_file")).where("trim(value) <> ''")
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), line_number()).where("trim(value) <> ''")
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +53,8 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_adapter_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ADAPTER).json(path)
+    """Raw adapter events with line_no."""
+    return spark.read.schema(schemas.ADAPTER).json(path).select("*", line_number())
 
 
 def read_funnel_events(spark: SparkSession, path: str) -> DataFrame:

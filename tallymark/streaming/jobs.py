@@ -32,13 +32,15 @@ def stream_ingest(stream: DataFrame, late: str = LATE) -> DataFrame:
 def stream_validated(lines: DataFrame, accepted: str, rejected: str, checkpoint: str, project: str | None = None) -> StreamingQuery:
     """JSON lines (``value``) to flat observations, and to lines with their errors: nothing is lost, nothing invalid goes on.
 
-    Each batch writes both under its number, so a retry replaces them. ``stream_ingest`` takes what is accepted.
+    Each batch writes both under its number, so a retry replaces them. ``stream_ingest`` takes what is accepted. line_no grows
+    with the batch, and in it with the place in the file.
     """
 
     def route(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            judged = ingest.validate_envelope(batch.withColumn("e", F.from_json("value", ENVELOPE)))
+            placed = batch.withColumn("line_no", F.lit(number << 48) + F.monotonically_increasing_id())
+            judged = ingest.validate_envelope(placed.withColumn("e", F.from_json("value", ENVELOPE)))
             ingest.flatten_observation(judged.where(F.size("errors") == 0), project=project).write.mode("overwrite").parquet(f"{accepted}/batch={number}")
             judged.where(F.size("errors") > 0).select("value", "errors").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
         finally:
@@ -91,6 +93,98 @@ def stream_consumption(results: DataFrame, requests: DataFrame, within: str = "1
     return r.join(q, same).select("project_id", "tool_use_id", "request_line")
 
 
+class Consumption(StatefulProcessor):
+    """The pending results of a project, and its events that the watermark has not passed yet.
+
+    Events wait for the watermark and are then taken in order of time and line, so that late ones within it find their place. A result
+    is forgotten once it has been pending for ``within``; a timer does it where no events come.
+    """
+
+    def __init__(self, within: float):
+        self.within = within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, line_no long", "type string, tool_use_id string, tool string, consumed_tool_use_id string, mcp_tool string")
+        self.pending = handle.getMapState("pending", "tool_use_id string", "tool string, at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for part in rows:
+            for at, line, *event in zip(part["at"], part["line_no"], part["type"], part["tool_use_id"], part["tool"], part["consumed_tool_use_id"], part["mcp_tool"], strict=True):
+                self.waiting.updateValue((int(at), int(line)), tuple(None if pd.isna(v) or v == "" else v for v in event))
+                first = int(at) if first is None else min(first, int(at))
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        yield pd.DataFrame([], columns=LINKED)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, limit = timerValues.getCurrentWatermarkInMs(), int(self.within * 1000)
+        times = list(self.waiting.keys())
+        due, later = sorted(t for t in times if t[0] < now), [at + 1 for at, _ in times if at >= now]
+        held = {use: tuple(value) for (use,), value in self.pending.iterator()}
+        before, out = dict(held), []
+        by_tool: dict[str, set[str]] = {}
+        for use, (tool, _) in held.items():
+            by_tool.setdefault(tool, set()).add(use)
+
+        def forget(use: str) -> str:
+            tool = held.pop(use)[0]
+            by_tool[tool].discard(use)
+            return tool
+
+        for at, line in due:
+            kind, use, tool, target, mcp_tool = self.waiting.getValue((at, line))
+            self.waiting.removeKey((at, line))
+            if kind == "tool_result" and use:
+                if use in held:
+                    forget(use)
+                held[use] = (tool or "unknown", at)
+                by_tool.setdefault(tool or "unknown", set()).add(use)
+            elif kind == "request":
+                if target in held and at - held[target][1] > limit:
+                    forget(target)
+                if target in held:
+                    out.append((key[0], forget(target), line, "exact", target))
+                elif mcp_tool:
+                    for old in [u for u in by_tool.get(mcp_tool, ()) if at - held[u][1] > limit]:
+                        forget(old)
+                    found = sorted(by_tool.get(mcp_tool, ()))
+                    out.append((key[0], mcp_tool, line, "linked" if len(found) == 1 else "ambiguous" if found else "none", found[0] if len(found) == 1 else None))
+                    if len(found) == 1:
+                        forget(found[0])
+        for use in [u for u, (_, at) in held.items() if at + limit < now]:
+            forget(use)
+        for use in before.keys() - held.keys():
+            self.pending.removeKey((use,))
+        for use, value in held.items():
+            if before.get(use) != value:
+                self.pending.updateValue((use,), value)
+            later.append(value[1] + limit + 1)
+        if later:
+            self.handle.registerTimer(max(min(later), now + 1))
+        yield pd.DataFrame(out, columns=LINKED)
+
+    def close(self) -> None:
+        pass
+
+
+LINKED = ["project_id", "tool", "request_line", "kind", "tool_use_id"]
+
+
+def stream_consumption_ordered(events: DataFrame, within: str = "1 hour", late: str = LATE) -> DataFrame:
+    """The rows of consumption.consumption but for repeated links, for requests by id and by tool, over a stream of both kinds of events.
+
+    A result can be taken for the time ``within``; then its state goes. Events later than the watermark are dropped. State is by
+    project; needs the RocksDB state store.
+    """
+    rows = with_event_time(events, "ts", late).where("project_id IS NOT NULL AND line_no IS NOT NULL AND ts IS NOT NULL")
+    rows = rows.select("project_id", "ts", F.unix_millis("ts").alias("at"), "line_no", "type", "tool_use_id", "tool", "consumed_tool_use_id", "mcp_tool")
+    seconds = pd.Timedelta(within).total_seconds()
+    schema = "project_id string, tool string, request_line long, kind string, tool_use_id string"
+    return rows.groupBy("project_id").transformWithStateInPandas(Consumption(seconds), schema, "append", "eventTime")
+
+
 class GapFinder(StatefulProcessor):
     """The highest sequence number of a source and epoch; a jump over it is a gap."""
 
