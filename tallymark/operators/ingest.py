@@ -88,47 +88,92 @@ def _kinds() -> list[tuple[str, str, str]]:
     return out
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row. Spark copies a column's expression to wherever it is used, filters below included;
+    a generator of one row stops that, and these expressions are long."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+#: JSON types as a variant's schema names them, by a field's type.
+SHAPES = {"string": "STRING", "bigint": "BIGINT", "int": "BIGINT", "boolean": "BOOLEAN", "double": r"(?:BIGINT|DOUBLE|DECIMAL\([^)]*\))", "map": "OBJECT<[^<>]*>"}
+
+
+def shape_of(fields: StructType, path: str, required: tuple[str, ...], payload: str, known: tuple[str, ...] = ()) -> str:
+    """A pattern of the schemas of all objects with these fields: a variant names its keys in order, each with its type."""
+    out = []
+    for f in sorted(fields.fields, key=lambda f: f.name):
+        if known and f.name not in known:
+            continue
+        name = f"{path}{f.name}"
+        if name == "payload":
+            inner = payload
+        elif isinstance(f.dataType, StructType):
+            inner = shape_of(f.dataType, f"{name}.", required, payload)
+        else:
+            inner = SHAPES[f.dataType.simpleString().split("<")[0]]
+        inner = f"(?:{inner}|VOID)" if f.name in NULLABLE else inner
+        out.append(f"(?:{f.name}: {inner}(?:, |(?=>)))" + ("" if name in required else "?"))
+    return f"OBJECT<{''.join(out)}>"
+
+
+def well_formed(shape: Column, kind: Column) -> Column:
+    """Whether a line's shape, the schema of its variant, is one that the schema allows: all keys known, all types right, nothing
+    required absent. The schema is compiled to one pattern for each type of observation."""
+    envelope = StructType.fromDDL(ENVELOPE)
+    fields = envelope["payload"].dataType
+    out = F.lit(False)
+    for name, (known, required) in PAYLOAD.items():
+        payload = shape_of(fields, "payload.", tuple(f"payload.{r}" for r in required.split()), "", tuple(known.split()))
+        out = F.when(kind == name, shape.rlike(f"^{shape_of(envelope, '', (*REQUIRED, *SUB_REQUIRED), payload)}$")).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
 def validate_envelope(lines: DataFrame, value: str = "value", e: str = "e", versions: tuple[str, ...] = ()) -> DataFrame:
     """Add ``errors``: the violations of each line, in the order of the schema; empty if it is valid.
 
     A line that is no JSON object has one error. A field of another JSON type than the schema's is one ("expected ..."), as are one
-    that is required and absent, one that is unexpected, and one outside its values. The line is parsed twice: as the typed
-    envelope (``e``), and as a variant, whose types and keys the other checks look up.
+    that is required and absent, one that is unexpected, and one outside its values. A line is parsed once to a variant, and the schema of
+    that is held against the compiled one (``well_formed``): only lines that differ from it are searched for what is wrong. Values are
+    looked up in the typed envelope ``e``.
     """
     c = lambda name: F.col(f"{e}.{name}")
-    sub = lambda name: F.json_object_keys(F.to_json(F.try_variant_get("_v", f"$.{name}", "variant")))
-    rows = lines.withColumn("_v", F.try_parse_json(value)).withColumn("_keys", F.json_object_keys(value))
-    rows = rows.withColumns({f"_keys_{name}": sub(name) for name in (*SUB_KEYS, "payload")})
+    rows = lines.withColumn("_v", F.try_parse_json(value)).withColumn("_shape", F.schema_of_variant("_v"))
+    rows = rows.withColumn("_fine", well_formed(F.col("_shape"), c("observation_type")))
+    odd_only = lambda x: F.when(~F.col("_fine"), x)
+    sub = lambda name: odd_only(F.json_object_keys(F.to_json(F.try_variant_get("_v", f"$.{name}", "variant"))))
+    rows = rows.withColumns({"_keys": odd_only(F.json_object_keys(value)), **{f"_keys_{name}": sub(name) for name in (*SUB_KEYS, "payload")}})
     keys = F.col("_keys")
     some = keys.isNotNull()
-    checks = [F.when(keys.isNull(), "observation: not a JSON object")]
+    #: (whether it tells of a line's shape, the check)
+    checks: list[tuple[bool, Column]] = [(True, F.when(keys.isNull(), "observation: not a JSON object"))]
     for name in REQUIRED:
-        checks.append(F.when(some & ~F.array_contains(keys, name), f"observation.{name}: required"))
+        checks.append((True, F.when(some & ~F.array_contains(keys, name), f"observation.{name}: required")))
     for name in SUB_REQUIRED:
         outer, inner = name.split(".")
-        checks.append(F.when(~F.array_contains(f"_keys_{outer}", inner), f"observation.{name}: required"))
+        checks.append((True, F.when(~F.array_contains(f"_keys_{outer}", inner), f"observation.{name}: required")))
     for path, kind, pattern in _kinds():
         found = F.schema_of_variant(F.try_variant_get("_v", f"${path}", "variant"))
-        checks.append(F.when(some & ~found.rlike(pattern), f"observation{path}: expected {kind}"))
+        checks.append((True, F.when(some & ~found.rlike(pattern), f"observation{path}: expected {kind}")))
     odd = lambda found, known: F.array_join(F.array_sort(F.array_except(found, _text(*known))), ",")
     strange = lambda found, known: F.when(F.size(F.array_except(found, _text(*known))) > 0, odd(found, known))
-    checks.append(F.concat(F.lit("observation: unexpected "), strange(keys, KEYS)))
+    checks.append((True, F.concat(F.lit("observation: unexpected "), strange(keys, KEYS))))
     for name, known in SUB_KEYS.items():
-        checks.append(F.concat(F.lit(f"observation.{name}: unexpected "), strange(F.col(f"_keys_{name}"), known)))
-    enum = lambda name, known: F.when(c(name).isNotNull() & ~c(name).isin(*known), f"observation.{name}: not allowed")
+        checks.append((True, F.concat(F.lit(f"observation.{name}: unexpected "), strange(F.col(f"_keys_{name}"), known))))
+    enum = lambda name, known: (False, F.when(c(name).isNotNull() & ~c(name).isin(*known), f"observation.{name}: not allowed"))
     checks += [enum(name, known) for name, known in (({"spec_version": versions} if versions else {}) | ENUMS).items()]
-    checks.append(F.when(c("observed_at").isNotNull() & ~c("observed_at").rlike(TIMESTAMP), "observation.observed_at: not a timestamp"))
+    checks.append((False, F.when(c("observed_at").isNotNull() & ~c("observed_at").rlike(TIMESTAMP), "observation.observed_at: not a timestamp")))
     for kind, (known, required) in PAYLOAD.items():
         mine = c("observation_type") == kind
-        checks.append(F.when(mine, F.concat(F.lit("observation.payload: unexpected "), strange(F.col("_keys_payload"), known.split()))))
-        checks += [F.when(mine & ~F.array_contains("_keys_payload", r), f"observation.payload.{r}: required") for r in required.split()]
-        checks += [F.when(mine & ~c(f"payload.{name}").isin(*values), f"observation.payload.{name}: not allowed") for name, values in PAYLOAD_ENUMS.get(kind, {}).items()]
+        checks.append((True, F.when(mine, F.concat(F.lit("observation.payload: unexpected "), strange(F.col("_keys_payload"), known.split())))))
+        checks += [(True, F.when(mine & ~F.array_contains("_keys_payload", r), f"observation.payload.{r}: required")) for r in required.split()]
+        checks += [(False, F.when(mine & ~c(f"payload.{name}").isin(*values), f"observation.payload.{name}: not allowed")) for name, values in PAYLOAD_ENUMS.get(kind, {}).items()]
     caller, strength = F.coalesce(c("caller.type"), F.lit("unknown")), F.coalesce(c("caller.identity_strength"), F.lit("unknown"))
     fits = F.lit(False)
     for kind, needed in CALLERS.items():
         fits = fits | ((caller == kind) & (strength == needed))
-    checks.append(F.when(some & ~fits, "observation: caller type and strength contradict"))
-    return rows.withColumn("errors", F.array_compact(F.array(*checks))).drop("_v", "_keys", *(f"_keys_{name}" for name in (*SUB_KEYS, "payload")))
+    checks.append((False, F.when((F.col("_fine") | some) & ~fits, "observation: caller type and strength contradict")))
+    errors = F.when(F.col("_fine"), F.array_compact(F.array(*(check for of_shape, check in checks if not of_shape)))).otherwise(F.array_compact(F.array(*(check for _, check in checks))))
+    return once(rows, errors=errors).drop("_v", "_shape", "_fine", "_keys", *(f"_keys_{name}" for name in (*SUB_KEYS, "payload")))
 
 
 def reject_reasons(validated: DataFrame) -> DataFrame:

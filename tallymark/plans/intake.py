@@ -270,6 +270,19 @@ def _write_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger_counts(spark, sf_dir)
 
 
+@query(
+    "retention_stored",
+    """SELECT strftime(observed_at, '%Y-%m-%d') AS event_date, project_id, count(*) AS n FROM s_obs WHERE CAST(observed_at AS DATE) >= DATE '2001-08-02' - INTERVAL 1500 DAY AND project_id NOT IN ('proj-1', 'proj-3') GROUP BY ALL""",
+)
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of all dates; old dates are dropped, and two projects erased, as it stands."""
+    path = scratch(spark)
+    files.write_ledger(observations(spark, sf_dir), path, "observed_at")
+    files.retain(spark, path, "2001-08-02", 1500)
+    files.erase(spark, path, spark.createDataFrame([("proj-1",), ("proj-3",)], "project_id string"))
+    return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date"), "project_id").agg(F.count("*").alias("n"))
+
+
 @query("retention_prune", "SELECT project_id, count(*) AS n FROM s_obs WHERE CAST(observed_at AS DATE) >= DATE '2001-08-02' - INTERVAL 900 DAY AND project_id NOT IN ('proj-1', 'proj-3') GROUP BY project_id")
 def _prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     deleted = spark.createDataFrame([("proj-1",), ("proj-3",)], "project_id string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +98,68 @@ def retention_cascade(tables: dict[str, DataFrame], as_of: str, deleted: DataFra
     return out
 
 
+def write_tables(spark: SparkSession, database: str, tables: dict[str, tuple[DataFrame, str]], buckets: int = 64) -> None:
+    """Managed tables of a database, each (rows, time column), by event date and bucketed by project: a join of two by project needs no shuffle.
+
+    Tables are replaced. What goes together in joins must have the same number of buckets.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, (rows, at) in tables.items():
+        dated = rows.withColumn("event_date", F.to_date(at))
+        # One file a date and bucket: rows come dealt out as the table holds them.
+        dealt = dated.repartition(buckets, "project_id")
+        dealt.sortWithinPartitions("event_date", "project_id").write.mode("overwrite").partitionBy("event_date").bucketBy(buckets, "project_id").sortBy("project_id").saveAsTable(f"{database}.{name}")
+
+
+def dates_of(spark: SparkSession, path: str) -> dict[str, object]:
+    """The date partitions of a ledger, by date, as folders; nothing is read."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(context._jsc.hadoopConfiguration())
+    found = {}
+    for status in store.listStatus(root):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("event_date="):
+            found[name.removeprefix("event_date=")] = status.getPath()
+    return found
+
+
+def drop_dates(spark: SparkSession, path: str, dates: Iterable[str]) -> list[str]:
+    """Delete date partitions of a ledger as they stand, without reading them; returns those that there were."""
+    folders = dates_of(spark, path)
+    gone = sorted(set(dates) & set(folders))
+    for date in gone:
+        folders[date].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folders[date], True)
+    return gone
+
+
+def retain(spark: SparkSession, path: str, as_of: str, days: int) -> list[str]:
+    """Drop the dates of a ledger that are older than so many days; rows without a date stay. Returns the dates that went."""
+    first = (datetime.date.fromisoformat(as_of[:10]) - datetime.timedelta(days=days)).isoformat()
+    return drop_dates(spark, path, [d for d in dates_of(spark, path) if d[:1].isdigit() and d < first])
+
+
+def erase(spark: SparkSession, path: str, projects: DataFrame) -> list[str]:
+    """Delete the rows of projects (project_id) from a ledger: only dates that hold some are rewritten. Returns these dates.
+
+    Dates are found by a scan of project_id alone. Their other rows are written where all executors read them, then replace the dates
+    in one overwrite of these partitions; dates of which nothing is left are dropped. A repeated call finds nothing more to do.
+    """
+    rows = spark.read.parquet(path)
+    mine = projects.select("project_id").distinct()
+    touched = [r["d"] for r in rows.select("project_id", F.col("event_date").cast("string").alias("d")).join(mine, "project_id", "left_semi").select("d").distinct().collect()]  # dates
+    if not touched:
+        return []
+    named = [d for d in touched if d is not None]
+    where = F.col("event_date").cast("string").isin(named) | (F.col("event_date").isNull() if None in touched else F.lit(False))
+    kept = checkpointed(rows.where(where).join(mine, "project_id", "left_anti").select(*rows.columns))
+    left = {r["d"] for r in kept.select(F.col("event_date").cast("string").alias("d")).distinct().collect()}
+    place = F.pmod(F.xxhash64("project_id"), F.lit(8))
+    kept.repartition("event_date", place).sortWithinPartitions("project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    drop_dates(spark, path, [d if d is not None else "__HIVE_DEFAULT_PARTITION__" for d in touched if d not in left])
+    return sorted(d or "" for d in touched)
+
+
 def experiment_history(spark: SparkSession, path: str) -> DataFrame:
     """One row per report file: date, status, verdicts as variant=verdict, and hashes, in order of date."""
     rows = spark.read.schema(schemas.REPORT).option("multiLine", True).json(path)
