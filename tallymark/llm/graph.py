@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,17 +115,34 @@ def within_small(open_rows: DataFrame, small: int, fits: Column) -> DataFrame:
     return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
 
 
-def blocks(open_rows: DataFrame, small: int, block: int) -> DataFrame:
-    """(key, i, j, side, id, size, c): the larger unsettled buckets as blocks that together hold every pair.
+def second_keys(open_rows: DataFrame, small: int) -> DataFrame:
+    """(id, size, key): pairs of the larger unsettled buckets' keys that one id has, as new keys.
 
-    Side 0 of a block is a part of what lies outside the bucket's main component, side 1 a part of all its rows; each part
-    weighs about ``block``, so a task holds two of them at a time however large the bucket is.
+    Rows that share one common key and are alike share others: if one of these is rare, they have met; if all are common, they have
+    a pair of them in common, which is rarer.
     """
-    many = open_rows.where(F.col("n") > small)
+    many = open_rows.where(F.col("n") > small).groupBy("id").agg(F.min("size").alias("size"), F.array_sort(F.collect_set("key")).alias("keys"))
+    pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
+    return many.where(F.size("keys") > 1).select("id", "size", F.explode(pairs).alias("key"))
+
+
+def blocks(open_rows: DataFrame, small: int, block: int, ratio: float) -> DataFrame:
+    """(key, i, j, side, id, size, c): the larger unsettled buckets as blocks that together hold every pair whose sizes fit.
+
+    Sizes fit if the smaller is at least ``ratio`` of the larger: rows are told apart by classes of size as wide as that, and meet their own
+    class and the two beside it. Side 0 of a block is a part of what lies outside the bucket's main component, side 1 a part of all
+    its rows in one class; each part weighs about ``block``, so a task holds two of them at a time however large the bucket is.
+    """
+    many = open_rows.where(F.col("n") > small).withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(-math.log(ratio)) + 1e-9).cast("int"))
+    rows = ["id", "size", "c"]
+    near = F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class")
+    outside = many.where("c <> main").select("key", near, *rows)
+    weights = lambda x, name: x.groupBy("key", "class").agg(F.sum("size").alias(name))
+    sizes = weights(outside, "outside").join(weights(many, "inside"), ["key", "class"])
     cut = lambda weight: F.ceil(F.col(weight) / block).cast("int")
     part = lambda weight: F.pmod(F.xxhash64("id"), cut(weight)).cast("int")
     others = lambda weight: F.explode(F.sequence(F.lit(0), cut(weight) - 1))
-    rows = ["id", "size", "c"]
-    outside = many.where("c <> main").select("key", part("outside").alias("i"), others("weight").alias("j"), F.lit(0).alias("side"), *rows)
-    inside = many.select("key", others("outside").alias("i"), part("weight").alias("j"), F.lit(1).alias("side"), *rows)
-    return outside.unionByName(inside)
+    key = F.xxhash64("key", "class").alias("key")
+    a = outside.join(sizes.hint("merge"), ["key", "class"]).select(key, part("outside").alias("i"), others("inside").alias("j"), F.lit(0).alias("side"), *rows)
+    b = many.select("key", "class", *rows).join(sizes.hint("merge"), ["key", "class"]).select(key, others("outside").alias("i"), part("inside").alias("j"), F.lit(1).alias("side"), *rows)
+    return a.unionByName(b)

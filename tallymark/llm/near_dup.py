@@ -185,7 +185,7 @@ def judged(docs: DataFrame, config: Config = Config()) -> DataFrame:
     roots = components(staged(confirmed(tested, texts, config), "links"), "a", "b")
     rest = unsettled(buckets, roots)
     pairs = within_small(rest, config.small, fits).join(tested, ["a", "b"], "left_anti")
-    more = staged(confirmed(pairs, texts, config).unionByName(blockwise(blocks(rest, config.small, config.block), texts, config)), "more-links")
+    more = staged(confirmed(pairs, texts, config).unionByName(blockwise(blocks(rest, config.small, config.block, config.percent / 100), texts, config)), "more-links")
     if not more.isEmpty():
         roots = joined(roots, more)
     discard(buckets, texts, tested, rest, more)

@@ -40,3 +40,22 @@ def test_another_table_in_the_folder_is_refused(spark, make, tmp_path):
     with pytest.raises(ValueError, match="another table"):
         training_order.report(spark, read("two"), config, folder)
     assert sorted(map(tuple, training_order.report(spark, read("one"), config, folder).collect())) == first
+
+
+def test_lines_without_spaces_are_compared_by_character(make):
+    """40 pairs of 40 Han characters, one of them changed; and 10 of other lines stay."""
+    import random
+
+    from tallymark.llm import line_dedup
+
+    rng = random.Random(1)
+    han = [chr(0x4E00 + k) for k in range(5000)]
+    rows = []
+    for k in range(40):
+        line = rng.sample(han, 40)
+        other = list(line)
+        other[rng.randrange(40)] = rng.choice(han)
+        rows += [(2 * k, "".join(line)), (2 * k + 1, "".join(other))]
+    rows += [(100 + k, "".join(rng.sample(han, 40))) for k in range(10)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.deduplicated(make(*rows)).collect()}
+    assert sum(got[2 * k + 1] for k in range(40)) == 40 and sum(got.values()) == 40
