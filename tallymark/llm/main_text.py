@@ -1,6 +1,7 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a tree; elements that are or are named as boilerplate are cut; each paragraph passes points for its length and its
+A page becomes a tree; elements that are or are named as boilerplate are cut, unless they hold most of a page that has no article
+beside them; each paragraph passes points for its length and its
 commas to its ancestors, discounted by the share of its text that links hold; the container with the most points and those of
 its siblings that look like parts of the same article are kept, block by block in page order. A name that only has a word
 of boilerplate in it costs points, and the element goes if it loses: if it has less than half of the points of what is kept.
@@ -25,6 +26,8 @@ CUT = frozenset(
     "script style noscript template head title nav footer aside form button select textarea input iframe svg math canvas "
     "object embed menu dialog audio video map datalist noembed noframes fieldset".split()
 )
+#: Of these, the ones that can lie around a whole page.
+AROUND = frozenset("form fieldset".split())
 BLOCK = frozenset(
     "html body address article blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr li main nav ol p pre section summary table caption thead tbody tfoot tr td th ul aside menu dialog".split()
@@ -44,6 +47,9 @@ BOILERPLATE = frozenset(
     "widget pagination pager toolbar copyright disclaimer outbrain taboola skip login search alert complementary contentinfo".split()
 )
 ARTICLE = frozenset("article content main post entry story body text blog page".split())
+#: Words of boilerplate that always are it, however much text they hold; and some that are also what an article can be about.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+TOPICS = frozenset("share sharing social related search alert notice notices copyright banner skip login reply discussion menu ad ads".split())
 #: Words that say nothing beside a word of boilerplate: such a name is boilerplate, one with any other word may be.
 NEUTRAL = ARTICLE | frozenset(
     "site section container wrapper wrap box area block list items item inner outer top bottom left right col column row panel bar header head "
@@ -54,36 +60,45 @@ NOT_NAMES = frozenset("has with no is without".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A quote opens a value only after "="; one that is never closed is part of an unquoted value.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>?""", re.S)
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>?""", re.S)
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("block", "children", "cut", "doubted", "open", "parent", "points", "score", "tag", "tall")
+    __slots__ = ("block", "children", "cut", "doubted", "open", "parent", "points", "score", "softly", "tag", "tall", "within")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False, tall: bool = False, doubtful: bool = False):
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, tall: bool = False, doubtful: bool = False, soft: bool = False):
         self.tag, self.parent, self.cut, self.tall, self.score, self.points = tag, parent, cut, tall, 0.0, 0.0
         self.children: list[Node | str] = []
         self.block: Node = self if parent is None or tag in BLOCK else parent.block
         #: The nearest element, itself included, whose name raises a doubt.
         self.doubted: Node | None = self if doubtful else parent and parent.doubted
+        #: The nearest element, itself included, that is cut only if something else holds the article; and whether one named like an article is around.
+        self.softly: Node | None = self if soft else parent and parent.softly
+        self.within: bool = tall or bool(parent and parent.within)
         #: Of a block, how many inline elements of each kind are open in it.
         self.open: dict[str, int] = {} if self.block is self else self.block.open
 
 
-def named(attributes: dict[str, str]) -> tuple[bool, bool, bool]:
-    """Whether class, id or role name boilerplate, have a word of it, and name the article."""
-    bad = doubtful = good = False
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".split():
+def named(attributes: dict[str, str], tag: str, within: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether class, id or role name boilerplate, name comments, have a word of boilerplate, and name the article.
+
+    Ids of headings, and of sections in an article, are made from their titles and don't count. In an article a word that it can be
+    about raises no doubt beside words of other kinds, nor does the name of a paragraph.
+    """
+    bad = comments = doubtful = good = False
+    titled = tag in HEADINGS or (within and tag == "section")
+    for name in f"{attributes.get('class', '')} {'' if titled else attributes.get('id', '')} {attributes.get('role', '')}".split():
         parts = [p.lower() for p in NAME_PARTS.findall(name)]
         parts = parts[: next((i for i, p in enumerate(parts) if p in NOT_NAMES), None)]
         if not BOILERPLATE.isdisjoint(parts):
             sure = all(p in BOILERPLATE or p in NEUTRAL for p in parts)
             bad |= sure
-            doubtful |= not sure
+            comments |= sure and not COMMENTS.isdisjoint(parts)
+            doubtful |= not sure and not (within and (tag in LEAVES or all(p in TOPICS or p not in BOILERPLATE for p in parts)))
         elif not ARTICLE.isdisjoint(parts):
             good = True
-    return bad, doubtful, good
+    return bad, comments, doubtful, good
 
 
 def parsed(page: str, trusting: bool = False) -> tuple[Node, bool]:
@@ -93,7 +108,7 @@ def parsed(page: str, trusting: bool = False) -> tuple[Node, bool]:
     """
     root = at = Node("#root", None)
     blocks: dict[str, int] = {}
-    place, doubts = 0, False
+    place, doubts, softs = 0, False, False
 
     def close(node: Node) -> None:
         """End a node and all in it."""
@@ -137,15 +152,17 @@ def parsed(page: str, trusting: bool = False) -> tuple[Node, bool]:
         if tag in VOID:
             continue
         attributes = {} if not token[3] else {k.lower(): html.unescape(v[1:-1] if v[:1] in ("'", '"') and v[-1:] == v[:1] else v) for k, v in ATTRIBUTE.findall(token[3])}
-        bad, doubtful, good = named(attributes) if attributes else (False, False, False)
+        bad, comments, doubtful, good = named(attributes, tag, at.within) if attributes else (False, False, False, False)
         if tag in ("html", "body", "main"):
             bad = doubtful = False
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
         # A header heads the page, unless it lies in the article itself.
         heads = tag == "header" and not blocks.get("article") and not blocks.get("main")
         doubts |= bad
-        cut = (bad and not trusting) or hidden or heads or tag in CUT
-        node = Node(tag, at, cut, good or tag in ("article", "main"), doubtful or (bad and trusting))
+        soft = not hidden and not comments and ((bad and not trusting and not heads and tag not in CUT) or tag in AROUND)
+        cut = not soft and ((bad and not trusting) or hidden or heads or tag in CUT)
+        node = Node(tag, at, cut, good or tag in ("article", "main"), doubtful or (bad and trusting), soft)
+        softs |= soft
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, place)
@@ -155,6 +172,8 @@ def parsed(page: str, trusting: bool = False) -> tuple[Node, bool]:
             at = node
             counts = blocks if node.block is node else node.open
             counts[tag] = counts.get(tag, 0) + 1
+    if softs:
+        settle(root)
     return root, doubts
 
 
@@ -191,6 +210,44 @@ def blocks(root: Node) -> list[Block]:
     return [b for b in out if b.text]
 
 
+def points_of(block: Block) -> float:
+    """1, 1 for each comma, and 1 for each 100 characters up to 3, times the share of the text outside links."""
+    size = len(block.text)
+    return (1 + block.text.count(",") + min(size / 100, 3)) * max(0.0, 1 - block.linked / size)
+
+
+def softly_in(node: Node | None) -> Iterator[Node]:
+    """The elements around a node that are cut softly, from the innermost on."""
+    soft = node and node.softly
+    while soft:
+        yield soft
+        soft = soft.parent and soft.parent.softly
+
+
+def settle(root: Node) -> None:
+    """Cut the elements that are cut softly, but the ones with more than half of the page's points beside which nothing named like an
+    article has a twentieth of theirs."""
+    held: dict[int, list] = {}
+    total = article = 0.0
+    for block in blocks(root):
+        points = points_of(block)
+        total += points
+        told = points if block.node.within else 0.0
+        article += told
+        for _, soft in zip(range(REACH), softly_in(block.node), strict=False):
+            own = held.setdefault(id(soft), [soft, 0.0, 0.0])
+            own[1] += points
+            own[2] += told
+    stays = {key for key, (_, points, told) in held.items() if 2 * points > total and 20 * (article - told) < points}
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for child in node.children:
+            if isinstance(child, Node) and not child.cut:
+                child.cut = child.softly is child and id(child) not in stays
+                stack.append(child)
+
+
 def ancestors(node: Node | None) -> Iterator[Node]:
     while node:
         yield node
@@ -206,8 +263,7 @@ def chosen(root: Node) -> list[str]:
     found = blocks(root)
     scored: dict[int, Node] = {}
     for block in found:
-        size = len(block.text)
-        block.points = points = (1 + block.text.count(",") + min(size / 100, 3)) * max(0.0, 1 - block.linked / size)
+        block.points = points = points_of(block)
         if block.node.doubted:
             points /= 2
         for _, node in zip(range(REACH), ancestors(block.node), strict=False):
@@ -229,6 +285,16 @@ def chosen(root: Node) -> list[str]:
         if isinstance(node, Node) and node.score >= max(1.0, 0.2 * best.score) and (best.tag != "article" or node.tag == "article"):
             inside[id(node)] = True
     tops, kept = set(inside), []
+
+    def doubts_of(block: Block) -> Iterator[Node]:
+        """The doubted elements around a block, below what is kept as a whole."""
+        doubt = block.node.doubted
+        for _ in range(REACH):
+            if not doubt or not inside.get(id(doubt)) or id(doubt) in tops:
+                return
+            yield doubt
+            doubt = doubt.parent.doubted
+
     for block in found:
         path, node = [], block.node
         while node and id(node) not in inside:
@@ -239,19 +305,12 @@ def chosen(root: Node) -> list[str]:
         near = best.tag not in ("article", "main") and beside is not None and block.node.parent is beside and block.node.tag in LEAVES and block.linked * 4 < len(block.text)
         if within_kept or near:
             kept.append(block)
-            doubt = block.node.doubted
-            while doubt and inside.get(id(doubt)) and id(doubt) not in tops:
+            for doubt in doubts_of(block):
                 doubt.points += block.points
-                doubt = doubt.parent.doubted
     least = sum(b.points for b in kept) / 2
 
     def loses(block: Block) -> bool:
-        doubt = block.node.doubted
-        while doubt and inside.get(id(doubt)) and id(doubt) not in tops:
-            if doubt.points < least:
-                return True
-            doubt = doubt.parent.doubted
-        return False
+        return any(doubt.points < least for doubt in doubts_of(block))
 
     return [b.text for b in kept if not loses(b)]
 
