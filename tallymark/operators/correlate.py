@@ -95,17 +95,23 @@ def severity_of(validity: str = "validity") -> Column:
     return out
 
 
+#: What a source of observations may leave out, and its type.
+OPTIONAL = {"signature_valid": "boolean", "lifecycle": "string", "identity_strength": "string", "buffer_overflow": "boolean", "dropped": "int", "cost": "double", "operation_id": "string", "task_id": "string", "client_key": "string", "usage_context": "string", "validity": "string", "validity_source": "string", "observation_type": "string", "outcome": "string"}
+
+
+def with_optional(obs: DataFrame) -> DataFrame:
+    """The observations with nulls in what the source leaves out. Flat observations (ingest.flatten_observation) leave out the cost alone."""
+    return obs.withColumns({name: F.lit(None).cast(kind) for name, kind in OPTIONAL.items() if name not in obs.columns})
+
+
 def attempts(obs: DataFrame) -> DataFrame:
-    """One row per attempt with all that metrics ask of its observations, in one aggregation.
+    """One row per attempt with all that metrics ask of its observations, in one aggregation; see ``with_optional`` for what may be absent.
 
     Every state is a minimum, maximum, count or small distinct, so that a call id that a client uses for everything cannot
-    fill a task's memory.
+    fill a task's memory. An empty usage context says nothing, as an unknown one.
     """
-    have = set(obs.columns)
-    for name, kind in {"signature_valid": "boolean", "lifecycle": "string", "identity_strength": "string", "buffer_overflow": "boolean", "dropped": "int", "cost": "double", "operation_id": "string", "task_id": "string", "client_key": "string", "usage_context": "string", "validity": "string", "validity_source": "string", "observation_type": "string", "outcome": "string"}.items():
-        if name not in have:
-            obs = obs.withColumn(name, F.lit(None).cast(kind))
-    context = F.when(F.col("usage_context") != "unknown", F.col("usage_context"))
+    obs = with_optional(obs)
+    context = F.when(~F.col("usage_context").isin("unknown", ""), F.col("usage_context"))
     configured = (F.col("validity") == "normal") & (F.col("validity_source") == "provider_configuration")
     rank = F.when(~F.coalesce(configured, F.lit(False)), severity_of())
     operation = F.when(F.col("operation_id") != "", F.col("operation_id"))
@@ -115,7 +121,7 @@ def attempts(obs: DataFrame) -> DataFrame:
         outcome_of().alias("outcome"), F.max(F.coalesce("lifecycle", F.lit("L0"))).alias("lifecycle"), F.min("observed_at").alias("started_at"), evidence_of().alias("evidence"),
         F.min(F.struct(operation.isNull().alias("none"), F.col("observed_at"), F.col("line_no"), operation.alias("id")))["id"].alias("operation_id"),
         F.coalesce(F.min(operation) != F.max(operation), F.lit(False)).alias("ambiguous"), F.min("task_id").alias("task_id"), F.min("client_key").alias("client_key"),
-        F.min(context).alias("_low"), F.max(context).alias("_high"), F.bool_or(F.col("usage_context") == "unknown").alias("_context_unknown"),
+        F.min(context).alias("_low"), F.max(context).alias("_high"), F.bool_or(F.col("usage_context").isin("unknown", "")).alias("_context_unknown"),
         F.max(rank).alias("_rank"), F.min(rank).alias("_least_rank"), F.bool_or(configured).alias("_discarded"), F.bool_or(F.col("observation_type") == "attempt_completed").alias("has_completed"),
         F.bool_or(F.col("identity_strength").isin("declared", "correlated", "attested")).alias("caller_known"),
         F.bool_or(F.coalesce("buffer_overflow", F.lit(False)) | (F.coalesce("dropped", F.lit(0)) > 0)).alias("collection_flagged"),

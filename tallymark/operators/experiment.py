@@ -87,6 +87,12 @@ def compare_arms(cells: DataFrame, baseline: str, within: list[str], rate: str =
     return out.withColumn("verdict", verdict).withColumn("direction", direction).withColumn("reason", reason).withColumn("required_n", needed.cast("long"))
 
 
+def rounded(compared: DataFrame) -> DataFrame:
+    """A comparison as it is published: difference and interval to 4 digits, z and p to 6; verdicts come from unrounded values."""
+    digits = {"difference": 4, "low": 4, "high": 4, "z": 6, "p_value": 6}
+    return compared.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 def guardrails(cells: DataFrame, limits: DataFrame) -> DataFrame:
     """(variant_id, metric, value, status) by thresholds (metric, min, max); no data is unknown."""
     long = with_rates(cells).unpivot(["variant_id"], [*RATES, "cost_per_operation"], "metric", "value")

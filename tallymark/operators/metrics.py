@@ -300,6 +300,28 @@ def project_report(rows: DataFrame) -> DataFrame:
     return out.select("*", *(ratio(a, b).alias(name) for name, (a, b) in shares.items()), (1 - ratio("flagged", "attempts")).alias("collection_coverage"))
 
 
+def report_sections(keyed: DataFrame, rows: DataFrame, latency: DataFrame, as_of: str, days: int) -> DataFrame:
+    """(project_id, section, name, value): the parts of a project's report that are lists, and its latency and validity coverage.
+
+    Sections: observers (attempts per principal), caller_by_runtime, caller_by_strength, evidence, operation_resolution,
+    qualification_status, latency (n, min_ms, mean_ms, p50_ms, p95_ms, max_ms) and validity (production, classified, coverage). Rows, not
+    lists, so that a project with many principals fills no task.
+    """
+    part = lambda table, section, name, value: table.select("project_id", F.lit(section).alias("section"), F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+    callers = caller_mix(keyed, as_of, days)
+    out = part(observer_mix(keyed, as_of, days), "observers", "observer_principal", "attempts")
+    for section, level, name in (("caller_by_runtime", 1, "caller_runtime"), ("caller_by_strength", 2, "identity_strength")):
+        out = out.unionByName(part(callers.where(F.col("level") == level), section, name, "attempts"))
+    for section, mix, name in (("evidence", evidence_mix, "evidence"), ("operation_resolution", resolution_mix, "resolution"), ("qualification_status", qualification_mix, "qualification_status")):
+        out = out.unionByName(part(mix(rows), section, name, "attempts"))
+    figures = latency_stats(latency).unpivot(["project_id"], [F.col(c).cast("double").alias(c) for c in ("n", "min_ms", "mean_ms", "p50_ms", "p95_ms", "max_ms")], "name", "value")
+    valid = validity_coverage(rows).select("project_id", F.col("production").cast("double").alias("production"), (F.col("normal") + F.col("invalid")).cast("double").alias("classified"), F.col("classified_share").alias("coverage"))
+    valid = valid.unpivot(["project_id"], ["production", "classified", "coverage"], "name", "value")
+    for section, table in (("latency", figures), ("validity", valid)):
+        out = out.unionByName(table.select("project_id", F.lit(section).alias("section"), "name", "value"))
+    return out
+
+
 def measurement_label(rows: DataFrame, as_of: str, days: int) -> DataFrame:
     """What a published number must say about itself."""
     report = extended_usage(rows).join(corroborated_share(rows), "project_id")

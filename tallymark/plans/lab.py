@@ -169,6 +169,11 @@ def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir)
 
 
+@query("compare_arms_rounded", "SELECT variant_id, round(difference, 4) AS difference, round(low, 4) AS low, round(high, 4) AS high, round(z, 6) AS z, round(p_value, 6) AS p_value, verdict, direction FROM s_compared")
+def _rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment.rounded(compared(spark, sf_dir)).select("variant_id", "difference", "low", "high", "z", "p_value", "verdict", "direction")
+
+
 @query("guardrails", "SELECT * FROM s_guard")
 def _guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guarded(spark, sf_dir)

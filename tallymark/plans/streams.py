@@ -52,6 +52,20 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest(spark, f"{base}/attempts").select("attempt_key", "n_obs")
 
 
+@query("stream_attempts_bounded", "SELECT attempt_key, matched_by, count(*) AS n_obs, min(observed_at) AS started_at FROM s_keyed_trace GROUP BY attempt_key, matched_by")
+def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations, then two far in the future, which let the sessions of the others end."""
+    base, path = scratch(spark), scratch(spark)
+    rows = view(spark, sf_dir, "fx_trace_obs")
+    rows.coalesce(1).write.parquet(path)
+    for year in (2100, 2101):
+        far = rows.limit(1).withColumn("observed_at", F.lit(f"{year}-01-01").cast("timestamp_ntz")).withColumn("observation_id", F.lit(f"end-{year}")).withColumn("trace_id", F.lit(None).cast("string"))
+        far.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.run_once(jobs.stream_attempts_bounded(stream, "5 minutes"), spark, f"{base}/out", f"{base}/checkpoint")
+    return out.where("attempt_key NOT LIKE 's|end-%'").select("attempt_key", "matched_by", "n_obs", F.col("started_at").cast("timestamp_ntz").alias("started_at"))
+
+
 @query("stream_daily_metrics")
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jobs.stream_daily_metrics(source(spark, sf_dir, "fx_trace_obs"))

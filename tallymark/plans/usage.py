@@ -260,6 +260,31 @@ def _latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency_stats(observations(spark, sf_dir))
 
 
+STEPS |= {
+    "s_seen": "SELECT w.project_id, observer_principal, caller_runtime, identity_strength, w.attempt_key FROM s_keyed k JOIN s_w w ON k.attempt_key = w.attempt_key",
+    "s_figures": """
+SELECT project_id, max(n) AS n, min(duration_ms) AS min_ms, avg(duration_ms) AS mean_ms, min(duration_ms) FILTER (r = least(n - 1, CAST(floor(n * 0.5) AS BIGINT)) + 1) AS p50_ms,
+  min(duration_ms) FILTER (r = least(n - 1, CAST(floor(n * 0.95) AS BIGINT)) + 1) AS p95_ms, max(duration_ms) AS max_ms FROM
+(SELECT project_id, duration_ms, count(*) OVER (PARTITION BY project_id) AS n, row_number() OVER (PARTITION BY project_id ORDER BY duration_ms) AS r FROM s_obs WHERE duration_ms IS NOT NULL) GROUP BY ALL""",
+    "s_valid": "SELECT project_id, count(*) AS production, count(*) FILTER (validity <> 'unknown') AS classified FROM s_w WHERE usage_context = 'production' GROUP BY ALL",
+}
+
+
+@query(
+    "report_sections",
+    """SELECT project_id, 'observers' AS section, observer_principal AS name, CAST(count(DISTINCT attempt_key) AS DOUBLE) AS value FROM s_seen GROUP BY ALL UNION ALL
+    SELECT project_id, 'caller_by_runtime', caller_runtime, count(DISTINCT attempt_key) FROM s_seen WHERE caller_runtime IS NOT NULL GROUP BY ALL UNION ALL
+    SELECT project_id, 'caller_by_strength', identity_strength, count(DISTINCT attempt_key) FROM s_seen WHERE caller_runtime IS NOT NULL GROUP BY ALL UNION ALL
+    SELECT project_id, 'evidence', evidence, count(*) FROM s_w GROUP BY ALL UNION ALL SELECT project_id, 'operation_resolution', resolution, count(*) FROM s_w GROUP BY ALL UNION ALL
+    SELECT project_id, 'qualification_status', qualification_status, count(*) FROM s_w GROUP BY ALL UNION ALL
+    SELECT project_id, 'latency', 'n', n FROM s_figures UNION ALL SELECT project_id, 'latency', 'min_ms', min_ms FROM s_figures UNION ALL SELECT project_id, 'latency', 'mean_ms', mean_ms FROM s_figures UNION ALL
+    SELECT project_id, 'latency', 'p50_ms', p50_ms FROM s_figures UNION ALL SELECT project_id, 'latency', 'p95_ms', p95_ms FROM s_figures UNION ALL SELECT project_id, 'latency', 'max_ms', max_ms FROM s_figures UNION ALL
+    SELECT project_id, 'validity', 'production', production FROM s_valid UNION ALL SELECT project_id, 'validity', 'classified', classified FROM s_valid UNION ALL SELECT project_id, 'validity', 'coverage', classified / production FROM s_valid""",
+)
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.report_sections(keyed(spark, sf_dir), windowed(spark, sf_dir), observations(spark, sf_dir), AS_OF, DAYS)
+
+
 @query(
     "sequence_gaps",
     """SELECT source_instance_id, sequence_epoch, p + 1 AS first_missing, source_sequence - 1 AS last_missing FROM

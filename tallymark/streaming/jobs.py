@@ -79,6 +79,31 @@ def latest(spark: SparkSession, out: str) -> DataFrame:
     return rows.join(newest, ["group_key", "batch"], "left_semi").drop("batch")
 
 
+def stream_attempts_bounded(stream: DataFrame, gap: str = "10 minutes", late: str = LATE) -> DataFrame:
+    """Attempts whose sides come within ``gap`` of each other, from state that the watermark bounds; nothing is read again.
+
+    A session of a group (see correlate.grouped) ends when none of its observations came for the gap; then its attempts are given out,
+    once. A trace's session that one side alone saw falls apart, as in the batch operator. Unlike the ledger's form
+    (``stream_attempts``), a side that comes after the gap, or later than the watermark lets it, makes an attempt of its own. Repeated ids
+    must be gone already. Per attempt: attempt_key, matched_by, project_id, tool, n_obs, outcome, lifecycle, started_at, evidence, has_client, has_server.
+    """
+    rows = correlate.grouped(correlate.with_optional(correlate.attempt_events_only(with_event_time(stream, late=late))))
+    side = lambda name: F.coalesce(F.bool_or(F.col("observer_side") == name), F.lit(False)).alias(f"has_{name}")
+    signed = F.when(F.coalesce("signature_valid", F.lit(False)), "authenticated").otherwise("observed")
+    value = F.coalesce(F.when(F.col("outcome") != "", F.col("outcome")), F.lit("unknown"))
+    own = F.struct("observation_id", value.alias("outcome"), F.coalesce("lifecycle", F.lit("L0")).alias("lifecycle"), F.col("observed_at").alias("started_at"), signed.alias("evidence"), (F.col("observer_side") == "client").alias("has_client"), (F.col("observer_side") == "server").alias("has_server"))
+    out = rows.groupBy(F.session_window("observed_at", gap), "group_key").agg(
+        F.min("matched_by").alias("matched_by"), F.min("project_id").alias("project_id"), F.min("tool").alias("tool"), F.count("*").alias("n_obs"), correlate.outcome_of().alias("outcome"),
+        F.max(F.coalesce("lifecycle", F.lit("L0"))).alias("lifecycle"), F.min("observed_at").alias("started_at"), correlate.evidence_of().alias("evidence"), side("client"), side("server"),
+        F.coalesce(F.min("observer_side") != F.max("observer_side"), F.lit(False)).alias("_two"), F.collect_list(F.when(F.col("matched_by") == "trace_window", own)).alias("_each"),
+    )
+    whole = ["outcome", "lifecycle", "started_at", "evidence", "has_client", "has_server"]
+    apart = (F.col("matched_by") == "trace_window") & ~F.col("_two")
+    alone = F.transform("_each", lambda o: F.struct(F.concat_ws("|", F.lit("s"), o["observation_id"]).alias("attempt_key"), F.lit("none").alias("matched_by"), F.lit(1).cast("long").alias("n_obs"), *(o[c].alias(c) for c in whole)))
+    one = F.array(F.struct(F.col("group_key").alias("attempt_key"), "matched_by", "n_obs", *whole))
+    return out.select("project_id", "tool", F.explode(F.when(apart, alone).otherwise(one)).alias("a")).select("a.attempt_key", "a.matched_by", "project_id", "tool", "a.n_obs", *(f"a.{c}" for c in whole))
+
+
 def stream_daily_metrics(stream: DataFrame, late: str = LATE, every: str = "1 day", slide: str | None = None) -> DataFrame:
     """Observations and about how many clients per project and window: UTC days, or with ``slide`` sliding ones, such as 30 days by 1."""
     rows = with_event_time(stream, late=late)

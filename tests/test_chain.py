@@ -104,3 +104,22 @@ def test_lines_keep_their_order_over_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r.n for r in rows] == list(range(8_000))
+
+
+def test_bounded_state_differs_only_beyond_the_gap(spark, tmp_path):
+    """Sides within the gap are one attempt as in the ledger's form; a side after it is an attempt of its own."""
+    at = "CAST('2024-01-01 00:00:00' AS TIMESTAMP) + make_interval(0, 0, 0, 0, 0, 0, CAST(s AS DECIMAL(18,6)))"
+    rows = [("o1", 0, "client", "c1", None), ("o2", 200, "server", "c1", None), ("o3", 0, "client", "c2", None), ("o4", 2000, "server", "c2", None), ("o5", 10, "client", None, "t1"), ("o6", 20, "server", None, "t1"), ("o7", 30, "client", None, "t2"), ("o8", 40, "client", None, "t2"), ("o9", 50, "client", None, None)]
+    obs = spark.createDataFrame(rows, "observation_id string, s int, observer_side string, tool_call_id string, trace_id string")
+    obs = obs.selectExpr("observation_id", f"{at} AS observed_at", "CAST(s AS BIGINT) AS line_no", "observer_side", "observer_side AS observer_principal", "observer_side AS trust_domain", "'p' AS project_id", "'t' AS tool", "tool_call_id", "trace_id")
+    obs.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for n, late in enumerate((1_000_000, 2_000_000)):
+        end = spark.createDataFrame([(f"end{n}", late, "client", None, None)], "observation_id string, s int, observer_side string, tool_call_id string, trace_id string")
+        end.selectExpr("observation_id", f"{at} AS observed_at", "CAST(s AS BIGINT) AS line_no", "observer_side", "observer_side AS observer_principal", "observer_side AS trust_domain", "'p' AS project_id", "'t' AS tool", "tool_call_id", "trace_id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = jobs.run_once(jobs.stream_attempts_bounded(stream, "10 minutes"), spark, f"{tmp_path}/out", f"{tmp_path}/c")
+    got = sorted((r.attempt_key, r.n_obs, r.evidence) for r in out.where("attempt_key NOT LIKE '%end%'").collect())
+    batch = sorted((r.attempt_key, r.n_obs, r.evidence) for r in correlate.attempts(obs).collect())
+    split = [x for x in batch if "c2" in x[0]]
+    assert [x for x in got if "c2" not in x[0]] == [x for x in batch if "c2" not in x[0]]
+    assert [x[1] for x in split] == [2] and [x[1:] for x in got if "c2" in x[0]] == [(1, "observed"), (1, "observed")]
