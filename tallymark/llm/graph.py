@@ -37,17 +37,25 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root) of every node but the roots, root the smallest node of its component. Nulls and loops don't count.
 
     Alternates large-star and small-star steps until the edges are stars. A hub's edges are reduced to a minimum before
-    the shuffle and its joins can be split, so no task holds all edges of a node. Each round is checkpointed.
+    the shuffle and its joins can be split, so no task holds all edges of a node. Each round is written, and frees the one
+    before it with its shuffles; the result can be discarded.
     """
-    edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct().checkpoint()
+    edges = staged(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "edges")
     while not _stars(edges):
-        edges = _small_star(_large_star(edges)).where("u <> v").checkpoint()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        larger = staged(_large_star(edges).where("u <> v"), "large-star")
+        discard(edges)
+        edges = staged(_small_star(larger).where("u <> v"), "edges")
+        discard(larger)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.staged_at = edges.staged_at
+    return out
 
 
 def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
-    """The components when links (a, b) are added to those of ``roots``."""
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")), "a", "b")
+    """The components when links (a, b) are added to those of ``roots``, which are discarded."""
+    out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")), "a", "b")
+    discard(roots)
+    return out
 
 
 def bucketed(every: DataFrame, small: int) -> DataFrame:
