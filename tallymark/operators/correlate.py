@@ -304,6 +304,28 @@ def discrepancy_report(rows: DataFrame) -> DataFrame:
     return counts.withColumn("delta", F.col("client") - F.col("server")).withColumn("match_rate", F.col("both_sides") / F.col("attempts"))
 
 
+def discrepancy_stages(obs: DataFrame) -> DataFrame:
+    """Per tool and stage (invoked, completed, succeeded): attempts that the client saw there, the server, both; the difference, and the
+    share of those that either saw which both did. An attempt is in a stage for a side if one of the side's observations shows it."""
+    client, server = F.col("observer_side") == "client", F.col("observer_side") == "server"
+    shows = {"invoked": F.lit(True), "completed": F.col("observation_type") == "attempt_completed", "succeeded": F.col("outcome") == "success"}
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    per = keyed(attempt_events_only(with_optional(obs))).groupBy("attempt_key").agg(F.min("tool").alias("tool"), *(some(side & shown).alias(f"{name}_{stage}") for stage, shown in shows.items() for name, side in (("client", client), ("server", server))))
+    stages = F.explode(F.array(*(F.struct(F.lit(stage).alias("stage"), F.col(f"client_{stage}").alias("c"), F.col(f"server_{stage}").alias("s")) for stage in shows))).alias("x")
+    rows = per.select("tool", stages).select("tool", "x.*").where("c OR s")
+    out = rows.groupBy("tool", "stage").agg(F.count_if("c").alias("client"), F.count_if("s").alias("server"), F.count_if(F.col("c") & F.col("s")).alias("both_sides"), F.count("*").alias("attempts"))
+    return out.withColumn("delta", F.col("client") - F.col("server")).withColumn("match_rate", F.col("both_sides") / F.col("attempts"))
+
+
+def lineage_of_observations(obs: DataFrame) -> DataFrame:
+    """Per project: observations of attempts, those with a call or trace, and those with a task too, whose operation is known as well; and the
+    share of the last among those with a task. Observations without a task stay out of that share."""
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    tied = named("tool_call_id") | named("trace_id")
+    out = attempt_events_only(with_optional(obs)).groupBy("project_id").agg(F.count("*").alias("observations"), F.count_if(tied).alias("tied"), F.count_if(named("task_id")).alias("with_task"), F.count_if(tied & named("task_id") & named("operation_id")).alias("complete"))
+    return out.withColumn("coverage", F.when(F.col("with_task") > 0, F.col("complete") / F.col("with_task")))
+
+
 def lineage_coverage(rows: DataFrame) -> DataFrame:
     """Attempts with a task, and those with an operation too."""
     out = rows.groupBy("project_id").agg(F.count_if(F.col("task_id").isNotNull()).alias("with_task"), F.count_if(F.col("task_id").isNotNull() & F.col("operation_id").isNotNull()).alias("complete"))

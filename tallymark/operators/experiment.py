@@ -81,7 +81,7 @@ def compare_arms(cells: DataFrame, baseline: str, within: list[str], rate: str =
     direction = F.when(verdict == "significant", F.when(F.col("difference") > 0, "improvement").otherwise("regression"))
     reason = F.when(~some, "empty arm").when(~enough, "small sample").when(verdict == "null_result", "no significant difference")
     share = F.col("k0") / F.col("n0")
-    # What it would take: without a share in the baseline, a stand-in keeps the formula defined.
+    # What it would take: without a share in the baseline, a stand-in keeps the formula defined. Its values are fixed by the comparison's rules.
     stand_in = F.when(verdict == "undetermined", F.col("difference") / 2 + 0.01).otherwise(0.02)
     needed = F.when(some & (F.col("difference") != 0) & (verdict != "significant"), stats.required_n(F.when(share > 0, share).otherwise(stand_in), F.col("k") / F.col("n"), alpha))
     return out.withColumn("verdict", verdict).withColumn("direction", direction).withColumn("reason", reason).withColumn("required_n", needed.cast("long"))

@@ -332,12 +332,32 @@ def migrate_legacy(rows: DataFrame) -> DataFrame:
     return out.withColumn("validity", F.when(retry, "unknown").otherwise(F.col("validity")))
 
 
-def map_otel_spans(spans: DataFrame) -> DataFrame:
-    """GenAI spans (attributes map) as usage; reasoning is part of output, and a cache split that is absent stays null."""
+def map_otel_spans(spans: DataFrame, principal: str = "otel", project: str | None = None, side: str = "client") -> DataFrame:
+    """GenAI spans (trace_id, span_id, ended_at, attributes: a map of texts) as observations of attempts with their usage.
+
+    A span is an attempt, never an operation; its ids are evidence for correlation, and observation_id is a digest of them. An agent's name
+    is a claim. Reasoning is part of output. Without a split of the cache, uncached input is all input and the split stays null, as
+    ``cache_allocation`` says; with one it is what the cache did not give.
+    """
     a = lambda key: F.try_element_at("attributes", F.lit(key))
-    n = lambda key, name: a(key).try_cast("long").alias(name)
+    n = lambda *keys: F.coalesce(*(a(k).try_cast("long") for k in keys))
     outcome = F.when(a("error.type").isNotNull(), "failure").otherwise("success")
+    given, read, made = n("gen_ai.usage.input_tokens"), n("gen_ai.usage.cache_read.input_tokens"), n("gen_ai.usage.cache_creation.input_tokens")
+    none = F.lit(0).cast("long")
+    split = read.isNotNull() | made.isNotNull()
+    at = (F.col("ended_at").cast("timestamp") if "ended_at" in spans.columns else F.lit(None).cast("timestamp")).alias("observed_at")
+    agent = a("gen_ai.agent.name")
     return spans.select(
-        "trace_id", "span_id", a("gen_ai.tool.name").alias("tool"), a("gen_ai.tool.call.id").alias("tool_call_id"), a("gen_ai.request.model").alias("model"), outcome.alias("outcome"), n("gen_ai.usage.input_tokens", "input_tokens"),
-        n("gen_ai.usage.output_tokens", "output_tokens"), n("gen_ai.usage.reasoning_tokens", "reasoning_tokens"), n("gen_ai.usage.cache_read.input_tokens", "cache_read_tokens"), n("gen_ai.usage.cache_creation.input_tokens", "cache_creation_tokens"),
+        F.concat(F.lit("obs-"), F.substring(F.sha2(F.concat_ws("|", F.lit("otel"), part_of("trace_id"), part_of("span_id")), 256), 1, 32)).alias("observation_id"), F.lit("attempt_completed").alias("observation_type"), at,
+        F.lit(principal).alias("observer_principal"), F.lit(side).alias("observer_side"), F.lit("otel").alias("provenance"), F.lit(project).cast("string").alias("project_id"),
+        "trace_id", "span_id", a("gen_ai.operation.name").alias("operation_name"), F.coalesce(a("gen_ai.provider.name"), a("gen_ai.system")).alias("provider_claim"), agent.alias("caller_runtime"),
+        F.when(agent.isNotNull(), "claimed_agent").otherwise("unknown").alias("caller_type"), F.when(agent.isNotNull(), "declared").otherwise("unknown").alias("identity_strength"),
+        a("gen_ai.tool.name").alias("tool"), a("gen_ai.tool.call.id").alias("tool_call_id"), a("gen_ai.request.model").alias("model"), outcome.alias("outcome"), F.lit("L2").alias("lifecycle"),
+        given.alias("input_tokens"), n("gen_ai.usage.output_tokens").alias("output_tokens"), n("gen_ai.usage.reasoning.output_tokens", "gen_ai.usage.reasoning_tokens").alias("reasoning_tokens"), read.alias("cache_read_tokens"), made.alias("cache_creation_tokens"),
+        (given - F.coalesce(read, none) - F.coalesce(made, none)).alias("uncached_input"), F.when(split, "split").otherwise("unknown").alias("cache_allocation"),
     )
+
+
+def part_of(name: str) -> Column:
+    """A value in a digest: its length before it; null is a dash."""
+    return F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), F.col(name)), F.lit("-"))

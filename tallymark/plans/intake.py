@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import correlate, ingest
 from tallymark.plans.registry import query
 from tallymark.plans.usage import observations
-from tallymark.plans.views import STEPS, view
+from tallymark.plans.views import STEPS, key_part, view
 from tallymark.sources import files, schemas
 
 PREFIX = "tallymark-0.1"
@@ -204,14 +204,21 @@ def _migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "map_otel_spans",
-    """SELECT tool, outcome, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN line_no % 2 = 0 THEN line_no END) AS BIGINT) AS cache_read_tokens FROM
-    (SELECT tool, duration_ms, line_no, CASE WHEN outcome = 'failure' THEN 'failure' ELSE 'success' END AS outcome FROM s_obs) GROUP BY tool, outcome""",
+    f"""SELECT concat('obs-', substr(sha256(concat_ws('|', 'otel', {key_part("trace_id")}, {key_part("observation_id")})), 1, 32)) AS observation_id, observed_at, 'proj' AS project_id,
+    trace_id, observation_id AS span_id, 'chat' AS operation_name, caller_runtime, CASE WHEN caller_runtime IS NULL THEN 'unknown' ELSE 'claimed_agent' END AS caller_type, tool, CASE WHEN outcome = 'failure' THEN 'failure' ELSE 'success' END AS outcome,
+    duration_ms AS input_tokens, CASE WHEN line_no % 2 = 0 THEN line_no END AS cache_read_tokens, line_no AS reasoning_tokens, duration_ms - CASE WHEN line_no % 2 = 0 THEN line_no ELSE 0 END AS uncached_input,
+    CASE WHEN line_no % 2 = 0 THEN 'split' ELSE 'unknown' END AS cache_allocation FROM s_obs""",
 )
 def _otel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = {"gen_ai.tool.name": F.col("tool"), "gen_ai.usage.input_tokens": F.col("duration_ms").cast("string"), "error.type": F.when(F.col("outcome") == "failure", "timeout"), "gen_ai.usage.cache_read.input_tokens": F.when(F.col("line_no") % 2 == 0, F.col("line_no").cast("string"))}
+    line = F.col("line_no").cast("string")
+    pairs = {
+        "gen_ai.tool.name": F.col("tool"), "gen_ai.usage.input_tokens": F.col("duration_ms").cast("string"), "error.type": F.when(F.col("outcome") == "failure", "timeout"), "gen_ai.operation.name": F.lit("chat"),
+        "gen_ai.agent.name": F.col("caller_runtime"), "gen_ai.usage.reasoning.output_tokens": line, "gen_ai.usage.cache_read.input_tokens": F.when(F.col("line_no") % 2 == 0, line),
+    }
     attributes = F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
-    spans = observations(spark, sf_dir).select("trace_id", F.col("observation_id").alias("span_id"), attributes.alias("attributes"))
-    return ingest.map_otel_spans(spans).groupBy("tool", "outcome").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("cache_read_tokens").alias("cache_read_tokens"))
+    spans = observations(spark, sf_dir).select("trace_id", F.col("observation_id").alias("span_id"), F.col("observed_at").alias("ended_at"), attributes.alias("attributes"))
+    columns = "observation_id project_id trace_id span_id operation_name caller_runtime caller_type tool outcome input_tokens cache_read_tokens reasoning_tokens uncached_input cache_allocation".split()
+    return ingest.map_otel_spans(spans, project="proj").select(*columns, F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
 
 
 def scratch(spark: SparkSession) -> str:

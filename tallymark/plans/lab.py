@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import stats
 from tallymark.operators import experiment
 from tallymark.plans.registry import query
-from tallymark.plans.views import STEPS, view
+from tallymark.plans.views import STEPS, key_part, view
 
 COUNTS = """count(*) FILTER (event = 'reach') AS reached, count(*) FILTER (event = 'choice' AND selected_subject) AS selected, count(*) FILTER (event = 'operation_result') AS operations,
   count(*) FILTER (event = 'operation_result' AND outcome = 'success') AS succeeded, CAST(coalesce(sum(attempts) FILTER (event = 'operation_result'), 0) AS BIGINT) AS attempts,
@@ -21,6 +21,10 @@ def _wilson(k: str, n: str) -> tuple[str, str]:
     return f"greatest(0.0, {centre} - {half})", f"least(1.0, {centre} + {half})"
 
 
+#: The square of the normal quantiles of 0.975 and 0.8, added up.
+QUANTILES = (1.959963984540054 + 0.8416212335729143) ** 2
+
+
 def _power() -> str:
     """The polynomial of two_sided_p, in t."""
     power = repr(stats.ERFC[-1])
@@ -38,7 +42,7 @@ def _compared(cells: str, keys: str, rate: str = "selection_rate", min_n: int =
       LEFT JOIN (SELECT {keys + ", " if keys else ""}{k} AS k, {n} AS n FROM {cells} WHERE variant_id = 'v0') b ON {same}"""
     return f"""SELECT *, CASE WHEN NOT (n0 > 0 AND n > 0 AND n0 >= {min_n} AND n >= {min_n}) THEN 'undetermined' WHEN p_value < 0.05 THEN 'significant' ELSE 'null_result' END AS verdict,
     CASE WHEN NOT (n0 > 0 AND n > 0) THEN 'empty arm' WHEN NOT (n0 >= {min_n} AND n >= {min_n}) THEN 'small sample' WHEN p_value >= 0.05 THEN 'no significant difference' END AS reason,
-    CASE WHEN n0 > 0 AND n > 0 AND difference <> 0 AND NOT (n0 >= {min_n} AND n >= {min_n} AND p_value < 0.05) THEN CAST(ceil({(stats.critical_z(0.05) + stats.NormalDist().inv_cdf(0.8)) ** 2!r} *
+    CASE WHEN n0 > 0 AND n > 0 AND difference <> 0 AND NOT (n0 >= {min_n} AND n >= {min_n} AND p_value < 0.05) THEN CAST(ceil({QUANTILES!r} *
       (q * (1 - q) + k / n * (1 - k / n)) / ((k / n - q) * (k / n - q))) AS BIGINT) END AS required_n,
     CASE WHEN n0 > 0 AND n > 0 AND n0 >= {min_n} AND n >= {min_n} AND p_value < 0.05 THEN CASE WHEN difference > 0 THEN 'improvement' ELSE 'regression' END END AS direction FROM
     (SELECT *, least(1.0, t * exp(-x * x + {_power()})) AS p_value, CASE WHEN k0 > 0 THEN k0 / n0 WHEN n0 < {min_n} OR n < {min_n} THEN difference / 2 + 0.01 ELSE 0.02 END AS q FROM (SELECT *, 1 / (1 + x / 2) AS t FROM (SELECT *, abs(z) / {2**0.5!r} AS x FROM (SELECT *, k / n - k0 / n0 AS difference,
@@ -156,7 +160,7 @@ def _newcombe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "required_n",
-    f"""SELECT variant_id, uplift, CAST(ceil({(stats.critical_z(0.05) + stats.NormalDist().inv_cdf(0.8)) ** 2!r} * (p * (1 - p) + (p + uplift) * (1 - p - uplift)) / ((p + uplift - p) * (p + uplift - p))) AS BIGINT) AS n FROM
+    f"""SELECT variant_id, uplift, CAST(ceil({QUANTILES!r} * (p * (1 - p) + (p + uplift) * (1 - p - uplift)) / ((p + uplift - p) * (p + uplift - p))) AS BIGINT) AS n FROM
     (SELECT variant_id, u.uplift, selected / reached AS p FROM s_cells, (VALUES (CAST(0.02 AS DOUBLE)), (0.03), (0.05), (0.08)) AS u(uplift))""",
 )
 def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +261,7 @@ def _connector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRINTED = "assignment_id attempts environment event harness_id outcome steps task_id variant_id".split()
-_digest = "sha256(concat_ws('|', " + ", ".join(f"coalesce(concat(length(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)), '-')" for c in PRINTED) + "))"
+_digest = "sha256(concat_ws('|', " + ", ".join(f"{key_part(f'CAST({c} AS VARCHAR)')}" for c in PRINTED) + "))"
 _lanes = ", ".join(f"CAST(sum(CAST(concat('0x', substr(d, {16 * k + 1}, 16)) AS UBIGINT)) % 18446744073709551616 AS VARCHAR) AS lane{k}" for k in range(4))
 
 

@@ -294,6 +294,26 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.sequence_gaps(view(spark, sf_dir, "fx_sequence"))
 
 
+@query(
+    "discrepancy_stages",
+    """SELECT *, client - server AS delta, both_sides / attempts AS match_rate FROM (SELECT tool, stage, count(*) FILTER (c) AS client, count(*) FILTER (s) AS server, count(*) FILTER (c AND s) AS both_sides, count(*) AS attempts FROM
+    (SELECT attempt_key, tool, stage, bool_or(observer_side = 'client') AS c, bool_or(observer_side = 'server') AS s FROM
+    (SELECT attempt_key, tool, 'invoked' AS stage, observer_side FROM s_keyed UNION ALL SELECT attempt_key, tool, 'completed', observer_side FROM s_keyed WHERE observation_type = 'attempt_completed' UNION ALL
+    SELECT attempt_key, tool, 'succeeded', observer_side FROM s_keyed WHERE outcome = 'success') GROUP BY ALL) GROUP BY tool, stage)""",
+)
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.discrepancy_stages(observations(spark, sf_dir))
+
+
+@query(
+    "lineage_of_observations",
+    """SELECT *, complete / nullif(with_task, 0) AS coverage FROM (SELECT project_id, count(*) AS observations, count(*) FILTER (tool_call_id IS NOT NULL OR trace_id IS NOT NULL) AS tied, count(task_id) AS with_task,
+    count(*) FILTER ((tool_call_id IS NOT NULL OR trace_id IS NOT NULL) AND task_id IS NOT NULL AND operation_id IS NOT NULL) AS complete FROM s_obs GROUP BY project_id)""",
+)
+def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.lineage_of_observations(observations(spark, sf_dir))
+
+
 @query(
     "evidence_vector",
     """SELECT attempt_key, evidence, CASE WHEN signed THEN 'signed' ELSE 'none' END AS authentication, concat(observers, ' observers') AS corroboration,
