@@ -123,6 +123,10 @@ FROM fx_attempt_obs
 STEPS: dict[str, str] = {}
 
 
+#: Steps that a recursive one reads in each of its rounds.
+ONCE = {"s_claimed", "s_asks"}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
@@ -150,7 +154,7 @@ def oracle(select: str) -> str:
                     done.append(name)
 
     need(select)
-    ctes = ",\n".join(f"{name} AS ({known[name].strip()})" for name in done)
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in ONCE else ''}({known[name].strip()})" for name in done)
     return f"WITH {ctes}\n{select.strip()}" if done else select.strip()
 
 
