@@ -11,9 +11,10 @@ def meter_events(rows: DataFrame, policy: DataFrame, minimum_resolution: str = "
 
     ``policy`` has billable_event, billable_unit, billable_quantity and exclusions (array of validities). Rows of an
     excluded validity, rows without an operation, and rows whose ``resolution`` binds them to it less than the minimum bill
-    nothing; retries of one operation bill once.
+    nothing; retries of one operation bill once. The policy has a row for each kind of event and goes to all tasks, as rows
+    brought together by their kind would fill a few.
     """
-    met = rows.join(policy, "billable_event").where("operation_id IS NOT NULL").where(~F.coalesce(F.array_contains("exclusions", F.col("validity")), F.lit(False)))
+    met = rows.join(F.broadcast(policy), "billable_event").where("operation_id IS NOT NULL").where(~F.coalesce(F.array_contains("exclusions", F.col("validity")), F.lit(False)))
     if minimum_resolution != "none":
         met = met.where(resolution_rank() >= RESOLUTION[minimum_resolution])
     return met.groupBy("operation_id", "billable_event", "billable_unit").agg(F.max("billable_quantity").alias("quantity"), F.count("*").alias("attempts"))
