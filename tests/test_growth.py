@@ -27,3 +27,10 @@ def test_events_of_one_kind_are_not_brought_together(spark, least):
     out = metering.meter_events(rows, policy, least)
     assert sorted(r.attempts for r in out.collect()) == [14] * 5 + [15] * 2
     assert "SortMergeJoin" not in plan(out)
+
+
+def test_rows_are_dealt_out_plain_and_traces_alone_meet(spark):
+    obs = usage.observations(spark, SF)
+    assert "REPARTITION_BY_COL" in plan(obs)
+    text = plan(correlate.keyed(obs))
+    assert "Union" in text and text.count("Window") == 1
