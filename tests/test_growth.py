@@ -29,6 +29,35 @@ def test_events_of_one_kind_are_not_brought_together(spark, least):
     assert "SortMergeJoin" not in plan(out)
 
 
+def test_rounds_follow_the_longest_chain_beside_a_cycle(spark, monkeypatch):
+    pairs = [(f"a{i}", f"a{i - 1}") for i in range(1, 6)] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x")] + [(f"b{i}", f"c{i}") for i in range(2000)]
+    links = spark.createDataFrame(pairs, "attempt_key string, retried string")
+    calls, stored = [], files.stored
+    monkeypatch.setattr(correlate, "stored", lambda rows: calls.append(1) or stored(rows))
+    got = {r.attempt_key: (r.head, r.place, r.cyclic) for r in correlate.retry_ranks(links).collect()}
+    assert len(calls) <= 3 + 4  # three tables, and rounds for 5 = log2 + 1, of which the last finds nothing
+    assert got["a5"] == ("a0", 5, False) and got["b7"] == ("c7", 1, False) and got["a0"] == ("a0", 0, False)
+    assert all(got[k] == (None, None, True) for k in "xyzw")
+
+
+def test_retries_derive_attempts_once(spark):
+    text = plan(correlate.retry_links(usage.retried(spark, SF)))
+    assert "Join" not in text.replace("SortMergeJoin [l_orderkey", "").replace("BroadcastHashJoin [l_orderkey", "")
+    # What is stored is read, not derived again.
+    assert "observation_id" not in plan(correlate.retry_rate(usage.retried(spark, SF)))
+    assert "observation_id" not in plan(correlate.retry_relation(usage.retried(spark, SF)))
+
+
+def test_deleted_projects_bring_no_rows_together(spark, tmp_path):
+    rows = spark.range(60).select(F.concat(F.lit("p"), F.col("id") % 3).alias("project_id"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("observed_at"))
+    deleted = spark.createDataFrame([("p1",)], "project_id string")
+    assert "SortMergeJoin" not in plan(files.retention_prune(rows, "2024-01-03", 5, deleted))
+    files.write_ledger(rows, f"{tmp_path}/l", "observed_at")
+    had = len(glob.glob(f"{tmp_path}/l/*/*.parquet"))
+    assert files.erase(spark, f"{tmp_path}/l", deleted) == ["2024-01-02"]
+    assert spark.read.parquet(f"{tmp_path}/l").count() == 40 and len(glob.glob(f"{tmp_path}/l/*/*.parquet")) <= had
+
+
 def test_rows_are_dealt_out_plain_and_traces_alone_meet(spark):
     obs = usage.observations(spark, SF)
     assert "REPARTITION_BY_COL" in plan(obs)
