@@ -20,6 +20,14 @@ def plan(rows: DataFrame) -> str:
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_are_written_compressed(spark):
+    root = files.shared_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/*/part-*"))
+    assert intake._read(spark, SF).collect()
+    new = set(glob.glob(f"{root}/*/part-*")) - before
+    assert new and all(name.endswith(".txt.gz") for name in new)
+
+
 @pytest.mark.parametrize("least", ["none", "correlated"])
 def test_events_of_one_kind_are_not_brought_together(spark, least):
     rows = spark.range(100).select(F.concat(F.lit("op-"), F.col("id") % 7).alias("operation_id"), F.lit("e").alias("billable_event"), F.lit("normal").alias("validity"), F.lit("explicit").alias("resolution"))
