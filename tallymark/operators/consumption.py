@@ -326,13 +326,13 @@ def consumed_rate(obs: DataFrame, used: DataFrame, start: str | None = None, str
     production attempts of normal validity. Both sides of the ratio count attempts, each once.
     """
     client = F.col("observer_side") == "client"
-    seen = correlate.keyed(correlate.attempt_events_only(obs)).where("project_id IS NOT NULL").groupBy("project_id", "attempt_key").agg(
-        F.bool_or(client).alias("client"), F.coalesce(F.bool_or(client & (observable("observer_principal") == "OBSERVABLE")), F.lit(False)).alias("seen"), F.min("observed_at").alias("at"), F.min(some("tool_call_id")).alias("tool_call_id"),
-    ).where("client")
+    rows = correlate.attempts(obs, seen=F.coalesce(F.bool_or(client & (observable("observer_principal") == "OBSERVABLE")), F.lit(False)), tool_call_id=F.min(some("tool_call_id")))
+    seen = rows.where("has_client AND project_id IS NOT NULL")
     if strict:
-        seen = seen.join(correlate.attempts(obs).where("usage_context = 'production' AND validity = 'normal'").select("attempt_key"), "attempt_key", "left_semi")
+        seen = seen.where("usage_context = 'production' AND validity = 'normal'")
     if start is not None:
-        seen = seen.where(F.col("at").cast("timestamp") >= F.lit(start).cast("timestamp"))
+        seen = seen.where(F.col("started_at").cast("timestamp") >= F.lit(start).cast("timestamp"))
+    seen = seen.select("project_id", "tool_call_id", "seen")
     hits = used.select("project_id", "tool_call_id").distinct().withColumn("used", F.lit(True))
     met = seen.join(hits, ["project_id", "tool_call_id"], "left")
     out = met.groupBy("project_id").agg(F.count_if(F.col("seen") & F.coalesce("used", F.lit(False))).alias("consumed"), F.count_if("seen").alias("observable"), F.count_if(~F.col("seen")).alias("unobservable"))

@@ -71,3 +71,10 @@ def test_rows_are_dealt_out_plain_and_traces_alone_meet(spark):
     assert "REPARTITION_BY_COL" in plan(obs)
     text = plan(correlate.keyed(obs))
     assert "Union" in text and text.count("Window") == 1
+
+
+def test_attempts_are_derived_once(spark):
+    attempts = correlate.attempts(usage.observations(spark, SF))
+    assert plan(metrics.measurement_label(attempts, "2001-08-02", 10)).count("hashpartitioning(attempt_key") == 1
+    obs = usage.observations(spark, SF)
+    assert plan(consumption.consumed_rate(obs, obs.select("project_id", "tool_call_id"), strict=True)).count("hashpartitioning(attempt_key") == 1
