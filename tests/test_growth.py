@@ -28,6 +28,14 @@ def test_lines_are_written_compressed(spark):
     assert new and all(name.endswith(".txt.gz") for name in new)
 
 
+def test_a_batch_of_lines_is_not_kept(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([("{}",), ("x",)], "value string").write.text(f"{tmp_path}/in")
+    kept = []
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: kept.append(1) or self)
+    jobs.stream_validated(spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/yes", f"{tmp_path}/no", f"{tmp_path}/c").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/no").count() == 2 and not kept
+
+
 @pytest.mark.parametrize("least", ["none", "correlated"])
 def test_events_of_one_kind_are_not_brought_together(spark, least):
     rows = spark.range(100).select(F.concat(F.lit("op-"), F.col("id") % 7).alias("operation_id"), F.lit("e").alias("billable_event"), F.lit("normal").alias("validity"), F.lit("explicit").alias("resolution"))
