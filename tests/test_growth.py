@@ -74,6 +74,13 @@ def test_deleted_projects_bring_no_rows_together(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/l").count() == 40 and len(glob.glob(f"{tmp_path}/l/*/*.parquet")) <= had
 
 
+def test_unsigned_observations_meet_no_verifier(spark):
+    obs = spark.createDataFrame([("a", "s", "k"), ("b", "s", "k"), ("c", None, "k"), ("d", "", "k"), ("e", "s", None)], "observation_id string, signature string, key_id string").withColumn("signature_valid", F.lit(None).cast("boolean"))
+    out = ingest.with_signatures(obs, spark.createDataFrame([("a", "k"), ("c", "k"), ("d", "k")], "observation_id string, key_id string"))
+    assert {r.observation_id: r.signature_valid for r in out.collect()} == {"a": True, "b": False, "c": False, "d": False, "e": False}
+    assert "Union" in plan(out)
+
+
 def test_rows_are_dealt_out_plain_and_traces_alone_meet(spark):
     obs = usage.observations(spark, SF)
     assert "REPARTITION_BY_COL" in plan(obs)
@@ -86,3 +93,10 @@ def test_attempts_are_derived_once(spark):
     assert plan(metrics.measurement_label(attempts, "2001-08-02", 10)).count("hashpartitioning(attempt_key") == 1
     obs = usage.observations(spark, SF)
     assert plan(consumption.consumed_rate(obs, obs.select("project_id", "tool_call_id"), strict=True)).count("hashpartitioning(attempt_key") == 1
+
+
+def test_pads_go_to_all_tasks(spark):
+    pads = ingest.monthly_pads(spark, b"k", ["2024-01"])
+    rows = spark.createDataFrame([("u", "2024-01-05")], "raw string, at string")
+    out = ingest.pseudonymize(rows, pads, "h", "raw", "at")
+    assert "SortMergeJoin" not in plan(out) and out.collect()[0].client_key.startswith("p-")
