@@ -742,3 +742,21 @@ def test_stages_on_odd_documents(spark, odd):
         else:
             assert out.columns == docs.columns and out.where("n_lines = 'mine' AND h = 2").count() == out.count()
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_no_cut_of_blocks_loses_a_pair(make):
+    """Every fifth word of a line changed: all runs between are of four words. Forty lines that share one of them are a large bucket,
+    in which one pair shares nothing else."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for n in [10, 11, 15, 20, 40] * 20 + [60] * 1500:
+        line = [word() for _ in range(n)]
+        rows += [line, [word() if i % 5 == 4 else w for i, w in enumerate(line)]]
+    common = [word() for _ in range(4)]
+    pair = [word() for _ in range(31)] + common
+    rows += [pair, [word() if i % 5 == 2 and i < 31 else w for i, w in enumerate(pair)]]
+    last = len(rows)
+    rows += [[word() for _ in range(31)] + common for _ in range(40)]
+    pairs = list(zip(rows[:last:2], rows[1:last:2], strict=True))
+    assert all(recalled(make(*((i, " ".join(line)) for i, line in enumerate(rows))), pairs))
