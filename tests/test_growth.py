@@ -100,3 +100,13 @@ def test_pads_go_to_all_tasks(spark):
     rows = spark.createDataFrame([("u", "2024-01-05")], "raw string, at string")
     out = ingest.pseudonymize(rows, pads, "h", "raw", "at")
     assert "SortMergeJoin" not in plan(out) and out.collect()[0].client_key.startswith("p-")
+
+
+def test_only_ids_that_stand_twice_are_dealt_out(spark):
+    ids = [f"o{i}" for i in range(50)] + ["o7", "o7", "", None]
+    rows = spark.createDataFrame([(x, f"2024-01-{1 + n % 28:02}", n) for n, x in enumerate(ids)], "observation_id string, observed_at string, line_no long")
+    out = correlate.dedup_observations(rows)
+    alone, again = plan(out).split("LeftSemi")
+    assert "LeftAnti" in alone and "hashpartitioning(observation_id" not in again
+    assert alone.count("hashpartitioning") == 1 and alone.index("LeftAnti") < alone.index("hashpartitioning")
+    assert sorted((r.observation_id, r.line_no) for r in out.collect()) == sorted((f"o{i}", i) for i in range(50))
