@@ -52,7 +52,7 @@ class MergeTransducer:
         self.out_at: dict[tuple[int, ...], int] = {}
         self.alike: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.starts: list[tuple[int, ...]] = []  # by state, where in its pending bytes a token can start that goes on
-        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 24 | number of what leaves
+        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 24 | number of what leaves; 0: came to once
         self.reset()
 
     def reset(self) -> None:
@@ -90,13 +90,13 @@ class MergeTransducer:
         The tokens are undone, the later of their merges first. They part if at some point what then meets at the boundary would
         have merged before the merge that was undone.
         """
-        if self.split(token)[0] < 0:
-            return False
         if before < 0:
-            return True
+            return self.split(token)[0] >= 0
         pair = before << 32 | token
         if (found := self.agrees.get(pair)) is not None:
             return found
+        if self.split(token)[0] < 0:
+            return False
         spelling, ranks, split = self.by_id, self.ranks, self.split
         left, right, limit, found = before, token, 1 << 60, True
         while True:
@@ -166,12 +166,56 @@ class MergeTransducer:
         found = self.moves[state << 8 | byte] = number << 24 | at
         return found
 
+    def finished(self, data: bytes, before: int) -> list[int]:
+        """The tokens of a piece's last bytes after the token before them, without building states: depth first, longest token first.
+
+        What leads to a position is one sequence, so a position from which the search came back is never entered again.
+        """
+        n, at, previous, ids, dead = len(data), 0, before, [], set()
+        ranks, is_open, agrees, size, options = self.ranks, self.open, self.agrees, self.size, []
+        while at < n:
+            tokens = []
+            for end in range(at + 1, n + 1):
+                part = data[at:end]
+                if (token := ranks.get(part)) is not None:
+                    tokens.append(token)
+                elif part not in is_open:
+                    break
+            options.append(tokens)
+            while True:
+                while tokens:
+                    token = tokens.pop()
+                    if at + size[token] not in dead and ((found := agrees.get(previous << 32 | token)) or (found is None and self.fits(previous, token))):
+                        break
+                else:
+                    dead.add(at)
+                    options.pop()
+                    at -= size[ids.pop()]
+                    previous, tokens = ids[-1] if ids else before, options[-1]
+                    continue
+                break
+            ids.append(token)
+            previous = token
+            at += size[token]
+        return ids
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
+        """A transition is built when a text comes to it again; the first time, the piece is finished from the state before it."""
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        moves, outs, state, ids = self.moves, self.outs, 0, []
+        moves, outs, state, ids, left = self.moves, self.outs, 0, [], len(piece)
         for byte in piece:
-            found = moves.get(state << 8 | byte) or self.built(state, byte)
+            at = state << 8 | byte
+            if not (found := moves.get(at)):
+                if found is None and left <= self.longest:
+                    rest = self.keys[state][0] + piece[-left:]
+                    if len(moves) > 3 * STATES_KEPT:
+                        self.reset()
+                    else:
+                        moves[at] = 0
+                    return (*ids, *self.finished(rest, ids[-1] if ids else -1))
+                found = self.built(state, byte)
+            left -= 1
             state = found >> 24
             if found := found & 0xFFFFFF:
                 ids += outs[found]

@@ -526,6 +526,23 @@ def test_transducer_equals_tiktoken():
         assert [t for p in pieces.findall(text) for t in machine.encode(p.encode())] == library.encode_ordinary(text)
 
 
+def test_pieces_seen_once_build_no_states():
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    machine, rng = byte_bpe.MergeTransducer(ranks), random.Random(7)
+    parts = [t.decode() for t in ranks if len(t) > 1 and t.isalpha()]
+    pieces = {" " + "".join(rng.choices(parts, k=rng.randrange(2, 6))) for _ in range(3000)} | {"".join(rng.choices("aehnstß漢", k=40)) for _ in range(50)}
+    known = set()
+    for piece in sorted(pieces):
+        first = machine.encode(piece.encode())
+        assert list(first) == library.encode_ordinary(piece)
+        known.add(len(machine.keys))
+    assert max(known) < 2 * len(pieces)  # a state for nearly every byte, if each piece built its own
+    assert all(list(machine.encode(p.encode())) == library.encode_ordinary(p) for _ in range(12) for p in sorted(pieces)[::10])
+
+
 def test_states_start_afresh_within_a_piece(monkeypatch):
     monkeypatch.setattr(byte_bpe, "STATES_KEPT", 40)
     ranks = byte_bpe.read_ranks(RANKS)
