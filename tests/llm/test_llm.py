@@ -354,6 +354,16 @@ def test_lines_of_one_word_pattern_are_all_compared(make):
         assert got == {frozenset((i, i + 1)) for i in range(0, 120, 2)}
 
 
+def test_long_lines_of_other_words_are_told_apart_by_their_bitmaps(spark, make):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(100_000)}x" for _ in range(600))) for i in range(12)]
+    nodes = line_dedup.normal_lines(make(*rows)).select(F.col("k").alias("id"), F.size("w").alias("n"), *line_dedup.bitmaps("w"))
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(f"m{k}").alias(f"{x}m{k}") for k in range(line_dedup.MAPS)))
+    may_be = line_dedup.may_be_within("a", "b", F.greatest("n_a", "n_b"), 0.2)
+    left = side("a").crossJoin(side("b")).where(may_be).collect()
+    assert len(left) == 12 and all(r.a == r.b for r in left)
+
+
 def test_odd_lines(odd):
     rows = line_dedup.deduplicated(odd.withColumn("n_lines", F.lit("x"))).collect()
     assert len(rows) == 9 and sorted((r.doc_id or 0, r.text) for r in rows if r.text and r.doc_id in (5, 6)) == [(5, "same text of a few words here")]
