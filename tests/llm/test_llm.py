@@ -364,6 +364,28 @@ def test_long_lines_of_other_words_are_told_apart_by_their_bitmaps(spark, make):
     assert len(left) == 12 and all(r.a == r.b for r in left)
 
 
+def test_similar_lines_share_one_of_few_keys(make):
+    """A line has at most two keys for five of its words and two more, and every line within the margin has one of them."""
+    rng = random.Random(12)
+    word = lambda: "x" * rng.randrange(1, 9) + str(rng.randrange(60))
+    rows, pairs = [], []
+    for n in [*range(4, 31), 44, 45, 99, 100] * 6:
+        line = [word() for _ in range(n)]
+        other = list(line)
+        for _ in range(n // 5 if n > 4 else 1):  # the line as it grows is never longer than n * 1.25
+            i, kind = rng.randrange(len(other)), rng.randrange(3 if n > 4 else 1)
+            other[i : i + 1] = [[other[i], word()], [word()], []][kind]
+        if n // 5 <= max(len(line), len(other)) // 5:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [line, other]
+    ids = line_dedup.normal_lines(make(*((i, " ".join(line)) for i, line in enumerate(rows)))).select(F.col("doc_id").alias("id"), "w")
+    keys = collections.defaultdict(set)
+    for r in line_dedup.line_keys(ids, line_dedup.Config()).collect():
+        keys[r.id].add(r.key)
+    assert len(pairs) > 150 and all(keys[a] & keys[b] for a, b in pairs)
+    assert all(len(keys[i]) <= 0.4 * len(line) + 2 for i, line in enumerate(rows))
+
+
 def test_odd_lines(odd):
     rows = line_dedup.deduplicated(odd.withColumn("n_lines", F.lit("x"))).collect()
     assert len(rows) == 9 and sorted((r.doc_id or 0, r.text) for r in rows if r.text and r.doc_id in (5, 6)) == [(5, "same text of a few words here")]
