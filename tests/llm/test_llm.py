@@ -364,6 +364,43 @@ def test_long_lines_of_other_words_are_told_apart_by_their_bitmaps(spark, make):
     assert len(left) == 12 and all(r.a == r.b for r in left)
 
 
+def test_bitmaps_follow_the_length_of_a_line(make):
+    """A long or two for short lines, and no pair within the margin is turned away: bitmaps of other lengths are folded."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    rows = []
+    for n in (4, 20, 40, 42, 43, 80, 84, 88, 160, 170, 175, 340, 700, 3000):
+        line = [word() for _ in range(n)]
+        other = [w if rng.random() < 0.9 else word() for w in line] + [word() for _ in range(n // 12)]
+        rows += [line, other, [word() for _ in range(n)]]
+    nodes = line_dedup.normal_lines(make(*((i, " ".join(w)) for i, w in enumerate(rows)))).select(F.col("doc_id").alias("id"), F.size("w").alias("n"), *line_dedup.bitmaps("w"))
+    longs = {r.id: len(r.m0) for r in nodes.collect()}
+    assert longs[3] == longs[6] == 1 and longs[12] == 2 and longs[36] == 32 and max(longs.values()) == 64
+    assert any(longs[i] != longs[i + 1] for i in range(0, len(rows), 3))
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("m0").alias(f"{x}m0"))
+    met = side("a").crossJoin(side("b")).where("a < b").where("abs(n_a - n_b) <= 0.2 * greatest(n_a, n_b)")
+    left = {(r.a, r.b) for r in met.where(line_dedup.may_be_within("a", "b", F.greatest("n_a", "n_b"), 0.2)).collect()}
+    assert {(i, i + 1) for i in range(3, len(rows), 3)} <= left and len(left) <= len(rows) // 3 + 3
+
+
+def test_lines_are_filtered_before_they_are_shuffled(spark, make):
+    """The words of lines that no pair names stay where they are: a Bloom filter of the ids goes to the scan."""
+    from tallymark.llm.common import filtered
+
+    nodes = staged(spark.range(1000).select("id", F.array(F.col("id")).alias("w")), "nodes")
+    ids = staged(spark.range(0, 1000, 100), "ids")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        with filtered(spark, 10):
+            out = nodes.join(ids.where(f"id >= {-1 << 63}"), "id", "left_semi")
+            assert "might_contain" in out._jdf.queryExecution().executedPlan().toString()
+            assert sorted(r.id for r in out.collect()) == list(range(0, 1000, 100))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_similar_lines_share_one_of_few_keys(make):
     """A line has at most two keys for five of its words and two more, and every line within the margin has one of them."""
     rng = random.Random(12)
