@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 
 import pytest
 from pyspark.sql import DataFrame
@@ -102,6 +103,44 @@ def test_pads_go_to_all_tasks(spark):
     assert "SortMergeJoin" not in plan(out) and out.collect()[0].client_key.startswith("p-")
 
 
+LINE = {
+    "spec_version": "0.4", "observation_id": "o", "observation_type": "attempt_completed", "observer": {"principal": "p", "side": "client"}, "observed_at": "2024-05-06T07:08:09Z", "deployment_context": {"project_id": "p"},
+    "surface": {"surface_id": "mcp_tool:t", "provider_claim": None}, "caller": {"type": "unknown", "runtime": "r"}, "usage_context": "production", "validity": "normal", "provenance": "otel",
+    "payload": {"tool_call_id": "c", "outcome": "success", "duration_ms": 12}, "signature": None,
+}
+
+
+def test_sound_lines_are_told_by_their_text_and_by_a_search_alike(spark, monkeypatch):
+    """Each field in turn is taken away or gets other values: no line that a search finds fault with passes for sound."""
+    odd = [None, "", "x", 5, 3.5, 10**18, 10**19, True, {}, [], {"zzz": 1}, "unknown", "a\"b", "é", "2024-05-06T07:08:09.5+02:00", "declared", "claimed_agent"]
+    made = [LINE, {"zzz": 1} | LINE, LINE | {"zzz": 1}, dict(reversed(LINE.items())), LINE | {"sampling": {"rate": "1"}}, LINE | {"sampling": None}]
+    for name in [*LINE, "client_key", "context_source", "collection_health"]:
+        made += [LINE | {name: v} for v in odd] + [{k: v for k, v in LINE.items() if k != name}]
+        if isinstance(LINE.get(name), dict):
+            for inner in [*LINE[name], "identity_strength", "trace_id", "error_type", "trust_domain"]:
+                made += [LINE | {name: LINE[name] | {inner: v}} for v in odd] + [LINE | {name: {k: v for k, v in LINE[name].items() if k != inner}}]
+    payloads = [("attempt_started", {"tool_call_id": "c", "started_at": "s"}), ("selection", {"decision_id": "d", "rank": 1, "decision_authority": "model", "selection_constraint": "forced", "selection_reason_observable": True}), ("task_outcome", {"task_id": "t", "task_success": False, "ended_at": "e"})]
+    made += [LINE | {"observation_type": kind, "payload": payload} for kind, payload in payloads]
+    lines = [json.dumps(m, separators=(",", ":"), ensure_ascii=False) for m in made]
+    lines += [json.dumps(LINE), lines[0] + "\n", " " + lines[0], lines[0][:-1], lines[0] + "}", lines[0].replace('"o"', '"o","observation_id":"o"'), "", "null", "[]"]
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "n long, value string")
+    by_text = {r.n for r in rows.where(ingest.sound("value")).collect()}
+    got = {r.n: r.errors for r in ingest.validate_envelope(rows, versions=("0.4",)).collect()}
+    monkeypatch.setattr(ingest, "LONGEST", -1)
+    monkeypatch.setattr(ingest, "typed", lambda shape: F.lit(False))  # nor is any line known to have no field of another type
+    assert rows.where(ingest.sound("value")).count() == 0
+    searched = {r.n: r.errors for r in ingest.validate_envelope(rows, versions=("0.4",)).collect()}
+    assert got == searched and {0, len(made) - 1, len(made) - 2, len(made) - 3} <= by_text
+    assert all(not searched[n] for n in by_text - {n for n, line in enumerate(lines) if '"spec_version":"0.4"' not in line})
+
+
+def test_sound_lines_are_not_parsed(spark):
+    """A line that is sound gets no variant and no envelope: both stand under a condition."""
+    rows = spark.createDataFrame([("{}",)], "value string")
+    text = plan(ingest.validate_envelope(rows).select("errors"))
+    assert text.count("from_json(") == text.count("THEN from_json(") > 0 and text.count("try_parse_json(") == text.count("THEN try_parse_json(")
+
+
 def test_only_ids_that_stand_twice_are_dealt_out(spark):
     ids = [f"o{i}" for i in range(50)] + ["o7", "o7", "", None]
     rows = spark.createDataFrame([(x, f"2024-01-{1 + n % 28:02}", n) for n, x in enumerate(ids)], "observation_id string, observed_at string, line_no long")
