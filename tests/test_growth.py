@@ -29,6 +29,13 @@ def test_lines_are_written_compressed(spark):
     assert new and all(name.endswith(".txt.gz") for name in new)
 
 
+def test_choice_events_are_written_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(intake, "scratch", lambda spark: f"{tmp_path}/events")
+    assert intake._read_choice(spark, SF).collect()
+    names = [name for name in glob.glob(f"{tmp_path}/events/*") if "part-" in name]
+    assert names and all(name.endswith(".json.gz") for name in names)
+
+
 def test_a_batch_of_lines_is_not_kept(spark, tmp_path, monkeypatch):
     spark.createDataFrame([("{}",), ("x",)], "value string").write.text(f"{tmp_path}/in")
     kept = []
